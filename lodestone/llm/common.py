@@ -135,23 +135,23 @@ def shingles(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndar
 
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of the links (a long, b long): one row (node, component) per linked node, component its
-    smallest reachable node. Alternating large-star and small-star steps; each is an aggregation and an equi-join,
-    and its links are a table in the shared folder."""
+    smallest reachable node. Alternating large-star and small-star steps; each is an aggregation and an equi-join, and
+    what a pair of steps leaves is a table in the shared folder. They end when the links are stars: no node has two
+    centres, and no centre has one."""
     e = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    seen = None
     while True:
+        parents = e.groupBy("a").agg(F.count("*").alias("n"), F.min("b").alias("b"))
+        twice = parents.where("n > 1").select(F.col("a").alias("x"))
+        chained = e.select(F.col("b").alias("x")).distinct().join(parents.select(F.col("a").alias("x")), "x", "left_semi")
+        if twice.unionByName(chained).isEmpty():
+            break
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where("a <> b").distinct()
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x"))
         new = stored(small.select("x.a", "x.b").where("a <> b").distinct())
         discard(e)
         e = new
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == seen:
-            break
-        seen = now
     out = e.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return out.unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

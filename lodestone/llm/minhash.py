@@ -6,8 +6,9 @@ filled one comes up (optimal densification). `BANDS` runs of `ROWS` components a
 gives n - 1 candidate edges, all to one centre, and each edge is confirmed on the full shingle sets.
 
 Texts with the same shingle set are one class before that; only the class's smallest document gets keys. A centre
-may fail with a text that another text of the bucket would link with, so the stars are laid again, with other
-centres and only where a bucket still holds more than one component, until a round finds no new link.
+may fail with a text that another text of the bucket would link with, so a bucket has two centres, its smallest document
+and one chosen by hash, and the stars are laid again, with another choice and only where a bucket still holds more than
+one component, until a round finds no new link.
 """
 
 from __future__ import annotations
@@ -116,26 +117,20 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, percent: int =
     bucket = stored(bands_of.join(shared, "key"))  # only what meets another text
     discard(bands_of)
 
-    tried = linked = None
-    comp = None
+    member, linked, comp = bucket.withColumn("comp", F.col("rep")), None, None
     for turn in range(ROUNDS):
-        if turn == 0:
-            rows_ = bucket.withColumn("comp", F.col("rep"))
-            order = F.col("rep")
-        else:
-            rows_ = bucket.join(comp, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
-            order = F.struct(F.xxhash64("rep", F.lit(turn)).alias("o"), "rep")
-        centre = rows_.groupBy("key").agg((F.min(order) if turn == 0 else F.min(order)["rep"]).alias("centre"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key", "centre")
-        of_centre = centre.join(comp, F.col("centre") == F.col("node"), "left").select("key", "centre", F.coalesce("component", "centre").alias("centre_comp")) if comp is not None else centre.withColumn("centre_comp", F.col("centre"))
-        pairs = rows_.join(of_centre, "key").where("comp <> centre_comp").select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = stored(pairs)
+        if turn:
+            member = bucket.join(comp, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
+        other = F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("o"), "rep", "comp"))
+        least = F.min(F.struct("rep", "comp"))
+        centres = member.groupBy("key").agg(least.alias("least"), other.alias("other"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
+        centre = F.explode(F.array(F.struct("least.rep", "least.comp"), F.struct("other.rep", "other.comp"))).alias("centre")
+        pairs = member.join(centres.select("key", centre), "key").where("comp <> centre.comp")
+        pairs = pairs.select(F.least("rep", "centre.rep").alias("a"), F.greatest("rep", "centre.rep").alias("b")).distinct()
         found = stored(confirmed(pairs, docs, width, percent))
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        linked = found if linked is None else linked.unionByName(found)
-        if found.isEmpty() and turn:
+        if turn and found.isEmpty():
             break
+        linked = found if linked is None else linked.unionByName(found)
         comp = stored(components(linked))
     reached = classes.join(comp, F.col("rep") == F.col("node"), "left").select(*sets, F.coalesce("component", "rep").alias("component_id"))
     out = sketched.drop("keys").join(reached, sets, "left")
