@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, embed_dedup, langid, linededup, minhash, packing, pii, toxicity
+import corpus_pipeline
+
+from . import ann, edits, embed_dedup, langid, linededup, minhash, mixing, packing, pii, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +22,16 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=2)
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents"))
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = edits.edited_counts(docs, edits.seeded_edits(docs))
+    return out.select("doc_id", "n_tokens", "n_edits", "n_tokens_edited", "n_chars_coded", F.length("text").alias("n_chars_edited"))
+
+
 def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -48,11 +60,16 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
+    "op3_mixing": op3_mixing,
+    "op4_token_counts": op4_token_counts,
     "op5_embedding_near_dedup": op5_embedding_near_dedup,
     "op6_language_id": op6_language_id,
     "op7_hash_prefix_forest": op7_hash_prefix_forest,
     "op8_line_dedup": op8_line_dedup,
     "op9_pii_sanitisation": op9_pii_sanitisation,
     "op10_toxicity": op10_toxicity,
+    "pipeline": corpus_pipeline.run,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op3_mixing": mixing.oracle()}
+if corpus_pipeline.ORACLE_SQL:
+    ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
