@@ -80,7 +80,11 @@ def token_estimate(text: Column) -> Column:
 
 
 #: Words that are no keywords.
-STOP_WORDS = ("the", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by", "is", "are", "was", "were", "be", "been", "have", "has", "had", "do", "does", "did", "will", "would", "could", "should", "may", "might", "can", "this", "that", "these", "those", "i", "you", "he", "she", "it", "we", "they")
+STOP_WORDS = (
+    "the", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by", "is", "are", "was", "were",
+    "be", "been", "have", "has", "had", "do", "does", "did", "will", "would", "could", "should", "can", "may", "might",
+    "this", "that", "these", "those", "i", "you", "he", "she", "it", "we", "they", "me", "him", "her", "us", "them",
+)
 
 
 def keywords(text: Column, most: int = 10, stop: Sequence[str] = STOP_WORDS) -> Column:
@@ -89,28 +93,34 @@ def keywords(text: Column, most: int = 10, stop: Sequence[str] = STOP_WORDS) ->
     return F.slice(F.filter(words, lambda w: (F.length(w) > 2) & ~w.isin(*stop)), 1, most)
 
 
+#: Patterns of capitalised names, dotted names, calls and quoted code.
+ENTITY_PATTERNS = (r"\b[A-Z][a-zA-Z]*(?:[A-Z][a-zA-Z]*)*\b", r"\b[a-z_]+\.[a-z_]+\b", r"\b[a-z_]+\(\)\b", r"`[^`]+`")
+
+
 def entities(text: Column, most: int = 5) -> Column:
-    """CamelCase names, dotted names, calls and quoted code, distinct and sorted, the first `most`."""
-    found = [F.regexp_extract_all(text, F.lit(p), F.lit(g)) for p, g in ((r"\b[A-Z][a-z]+(?:[A-Z][a-z]+)+\b", 0), (r"\b[a-z_]+\.[a-z_]+\b", 0), (r"\b([a-z_]+)\(\)", 1), (r"`([^`]+)`", 1))]
+    """Names and code in a text, distinct and sorted, the first `most`."""
+    found = [F.regexp_extract_all(text, F.lit(p), F.lit(0)) for p in ENTITY_PATTERNS]
     return F.slice(F.array_sort(F.array_distinct(F.concat(*found))), 1, most)
 
 
 def ip_class(ip: Column) -> Column:
-    """Kind of an address: localhost, private, local, dns, public or ipv6."""
+    """Placeholder name of an address by its range."""
     part = F.split(ip, r"\.")
-    a, b = F.try_element_at(part, F.lit(1)).cast("int"), F.try_element_at(part, F.lit(2)).cast("int")
-    return (
-        F.when(ip.contains(":"), "ipv6")
-        .when(ip.startswith("127."), "localhost")
-        .when((a == 10) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168)), "private")
-        .when((a == 169) & (b == 254), "local")
-        .when(ip.isin("8.8.8.8", "8.8.4.4", "1.1.1.1", "1.0.0.1"), "dns")
-        .otherwise("public")
+    a, b = F.try_element_at(part, F.lit(1)).try_cast("int"), F.try_element_at(part, F.lit(2)).try_cast("int")
+    v4 = (
+        F.when((a == 10) | ((a == 172) & b.between(16, 31)), "private_ip")
+        .when((a == 192) & (b == 168), "local_ip")
+        .when(ip == "127.0.0.1", "localhost")
+        .when(ip.isin("8.8.8.8", "8.8.4.4", "1.1.1.1"), "public_dns")
+        .otherwise("public_ip")
     )
+    return F.when(ip.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$"), v4).when(ip == "::1", "localhost_ipv6").when(ip.contains(":"), "ipv6_address").otherwise("ip_address")
 
 
 def masked_ip(ip: Column) -> Column:
-    return F.regexp_replace(ip, r"^([0-9]+)\.([0-9]+)\.[0-9]+\.[0-9]+$", "$1.$2.***.***")
+    """The first half of a dotted address; anything else is hidden."""
+    parts = F.split(ip, r"\.")
+    return F.when(F.coalesce(ip, F.lit("")) == "", ip).when(F.size(parts) == 4, F.concat_ws(".", parts[0], parts[1], F.lit("***.***"))).otherwise("***REDACTED***")
 
 
 def hashtags(text: Column) -> Column:
@@ -125,9 +135,13 @@ def title(text: Column, words: int = 5) -> Column:
     return F.concat(F.array_join(F.slice(parts, 1, words), " "), F.when(F.size(parts) > words, "...").otherwise(""))
 
 
-#: What tells code and documentation from other text.
-CODE_SIGNS = ("def ", "class ", "import ", "function", "return ", "{", "}", "=>", "();", "```")
-DOC_SIGNS = ("# ", "## ", "### ", "- ", "* ", "http", "readme", "guide", "documentation", "tutorial")
+#: What tells code and documentation from other text, matched against lower case.
+CODE_SIGNS = (
+    "def ", "function", "class ", "import ", "from ", "if __name__", "return ", "print(", "console.log", "#!/", "<?php",
+    "<script", "<html", "SELECT ", "INSERT ", "CREATE TABLE", "function(", "=>", "async ", "await ", "public class",
+    "private ", "protected ", "#include",
+)
+DOC_SIGNS = ("readme", "documentation", "guide", "tutorial", "installation", "getting started", "api reference", "changelog", "license", "contributing")
 
 
 def signs(text: Column, of: Sequence[str]) -> Column:
@@ -135,21 +149,58 @@ def signs(text: Column, of: Sequence[str]) -> Column:
 
 
 def content_type(text: Column) -> Column:
-    """code from three signs of it on, else documentation likewise, else text."""
-    return F.when(signs(text, CODE_SIGNS) >= 3, "code").when(signs(text, DOC_SIGNS) >= 3, "documentation").otherwise("text")
+    """code if it has more signs of it than of documentation, else documentation if it has any, else text."""
+    code, doc = signs(text, CODE_SIGNS), signs(text, DOC_SIGNS)
+    return F.when((code > doc) & (code > 0), "code").when(doc > 0, "documentation").otherwise("text")
 
 
 def identifier_class(name: Column) -> Column:
-    pairs = (("get_", "getter"), ("set_", "setter"), ("is_", "predicate"), ("has_", "predicate"), ("create_", "factory"), ("delete_", "destructor"), ("update_", "mutator"), ("test_", "test"), ("_", "private"))
-    out = None
-    for prefix, kind in pairs:
-        out = F.when(name.startswith(prefix), kind) if out is None else out.when(name.startswith(prefix), kind)
-    return out.otherwise("identifier")
+    """Placeholder of an identifier by its shape."""
+    return (
+        F.when(F.length(name) <= 3, F.concat(F.lit("<"), F.lower(name), F.lit(">")))
+        .when(name.startswith("get_"), "<getter_method>")
+        .when(name.startswith("set_"), "<setter_method>")
+        .when(name.startswith("is_") | name.startswith("has_"), "<predicate_method>")
+        .when(name.startswith("_"), "<private_member>")
+        .when((F.upper(name) == name) & (F.lower(name) != name), "<constant>")
+        .when(name.rlike("^[A-Z]"), "<class_name>")
+        .otherwise("<identifier>")
+    )
 
 
 def reference_type(value: Column) -> Column:
     """Kind of a reference by its characters."""
-    return F.when(value.contains("@"), "email").when(value.contains("://"), "url").when(value.contains("/") | value.contains("\\"), "file_path").when(value.rlike(r"^[0-9]+(\.[0-9]+){3}$"), "ip_address").otherwise("identifier")
+    return (
+        F.when(value.contains("/") | value.contains("\\"), "file_path")
+        .when(value.contains("://"), "url")
+        .when(value.contains("@") & value.contains("."), "user_data")
+        .when(F.lower(value).rlike("password|token|key"), "credential")
+        .otherwise("variable")
+    )
+
+
+#: Keywords of domains and of levels of complexity, in the order they are tried.
+DOMAINS = {
+    "database": ("sql", "database", "db", "query", "table", "index", "join"),
+    "api": ("api", "rest", "endpoint", "http", "request", "response"),
+    "frontend": ("html", "css", "javascript", "react", "vue", "angular"),
+    "backend": ("server", "backend", "node", "python", "java", "spring"),
+    "devops": ("docker", "kubernetes", "deployment", "ci/cd", "pipeline"),
+}
+COMPLEXITY = {
+    "beginner": ("what is", "how to", "basic", "simple", "introduction"),
+    "intermediate": ("optimize", "implement", "integrate", "configure"),
+    "advanced": ("architecture", "performance", "scale", "distribute", "complex"),
+}
+
+
+def first_class(text: Column, classes: dict[str, tuple[str, ...]]) -> Column:
+    """The first class one of whose keywords stands in the text; null if none does."""
+    out = None
+    for name, keys in classes.items():
+        hit = F.exists(F.array(*[F.lit(k) for k in keys]), lambda k: F.contains(F.lower(text), k))
+        out = F.when(hit, name) if out is None else out.when(hit, name)
+    return out
 
 
 def score_bucket(score: Column) -> Column:
@@ -158,7 +209,7 @@ def score_bucket(score: Column) -> Column:
 
 def length_bucket(text: Column) -> Column:
     n = F.length(text)
-    return F.when(n < 100, "short").when(n < 1000, "medium").when(n < 10000, "long").otherwise("very_long")
+    return F.when(n < 100, "short").when(n < 500, "medium").when(n < 2000, "long").otherwise("very_long")
 
 
 def reference_similarity(left: Column, right: Column) -> Column:
