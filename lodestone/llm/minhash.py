@@ -6,9 +6,8 @@ filled one comes up (optimal densification). `BANDS` runs of `ROWS` components a
 gives n - 1 candidate edges, all to one centre, and each edge is confirmed on the full shingle sets.
 
 Texts with the same shingle set are one class before that; only the class's smallest document gets keys. A centre
-may fail with a text that another text of the bucket would link with, so a bucket has two centres, its smallest document
-and one chosen by hash, and the stars are laid again, with another choice and only where a bucket still holds more than
-one component, until a round finds no new link.
+may fail with a text that another text of the bucket would link with. So where a bucket still holds more than one
+component after the first stars, it gets further centres, chosen by hash, for what is not of their component.
 """
 
 from __future__ import annotations
@@ -24,7 +23,7 @@ from .common import U64, components, discard, mix, shingles, slices, stored, tex
 
 ROWS, BANDS = 6, 50  # a pair of similarity 0.8 shares no bucket with probability (1 - 0.8 ** 6) ** 50 = 2.5e-7
 SIMILARITY_PERCENT, SHINGLE_WORDS = 80, 5
-ROUNDS = 4
+STARS = 2  # further centres of a bucket that still holds more than one component
 
 
 def signatures(hashes: np.ndarray, offsets: np.ndarray, bins: int) -> np.ndarray:
@@ -72,7 +71,7 @@ def sketches(docs: DataFrame, width: int, rows: int, bands: int) -> DataFrame:
     return docs.mapInArrow(sketch, "doc_id long, n_shingles long, fp1 long, fp2 long, keys array<long>")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) of doc_ids whose full shingle sets have 100 * intersection >= percent * union."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,11 +93,20 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
                     keep[i] = 100 * common >= percent * (len(x) + len(y) - common)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], ["a", "b"])
 
-    texts = docs.select("doc_id", "text")
     named = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     return named.select("a", "b", "text_a", "text_b").mapInArrow(compare, "a long, b long")
 
 
+def stars(member: DataFrame, orders: list) -> DataFrame:
+    """Candidate pairs (a, b): in each bucket, a centre by each order with all members of other components.
+    member: key, rep, comp."""
+    ways = [F.min(F.struct(o.alias("o"), "rep", "comp")).alias(f"c{i}") for i, o in enumerate(orders)]
+    centres = member.groupBy("key").agg(*ways, F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
+    centres = centres.select("key", F.explode(F.array(*[F.struct(f"c{i}.rep", f"c{i}.comp") for i in range(len(orders))])).alias("centre"))
+    pairs = member.join(centres, "key").where("comp <> centre.comp")
+    return pairs.select(F.least("rep", "centre.rep").alias("a"), F.greatest("rep", "centre.rep").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, percent: int = SIMILARITY_PERCENT, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links) and kept
     (doc_id = component_id).
@@ -117,21 +125,21 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, percent: int =
     bucket = stored(bands_of.join(shared, "key"))  # only what meets another text
     discard(bands_of)
 
-    member, linked, comp = bucket.withColumn("comp", F.col("rep")), None, None
-    for turn in range(ROUNDS):
-        if turn:
-            member = bucket.join(comp, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
-        other = F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("o"), "rep", "comp"))
-        least = F.min(F.struct("rep", "comp"))
-        centres = member.groupBy("key").agg(least.alias("least"), other.alias("other"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
-        centre = F.explode(F.array(F.struct("least.rep", "least.comp"), F.struct("other.rep", "other.comp"))).alias("centre")
-        pairs = member.join(centres.select("key", centre), "key").where("comp <> centre.comp")
-        pairs = pairs.select(F.least("rep", "centre.rep").alias("a"), F.greatest("rep", "centre.rep").alias("b")).distinct()
-        found = stored(confirmed(pairs, docs, width, percent))
-        if turn and found.isEmpty():
-            break
-        linked = found if linked is None else linked.unionByName(found)
-        comp = stored(components(linked))
+    texts = stored(docs.join(bucket.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+
+    first = bucket.withColumn("comp", F.col("rep"))
+    linked = stored(confirmed(stars(first, [F.col("rep")]), texts, width, percent))
+    comp = stored(components(linked))
+    again = bucket.join(comp, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
+    split = again.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+    again = stored(again.join(split, "key"))
+    more = stored(confirmed(stars(again, [F.xxhash64("rep", F.lit(k)) for k in range(STARS)]), texts, width, percent))
+    if not more.isEmpty():  # links between components: few, and joined over components
+        of = comp.unionByName(classes.select(F.col("rep").alias("node"), F.col("rep").alias("component")).join(comp.select("node"), "node", "left_anti"))
+        ends = more.join(of.select(F.col("node").alias("a"), F.col("component").alias("x")), "a").join(of.select(F.col("node").alias("b"), F.col("component").alias("y")), "b")
+        over = stored(components(ends.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()))
+        up = over.select(F.col("node").alias("component"), F.col("component").alias("top"))
+        comp = of.join(up, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
     reached = classes.join(comp, F.col("rep") == F.col("node"), "left").select(*sets, F.coalesce("component", "rep").alias("component_id"))
     out = sketched.drop("keys").join(reached, sets, "left")
     own = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
