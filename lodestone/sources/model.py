@@ -40,7 +40,7 @@ def interactions(spark: SparkSession, folder: str) -> DataFrame:
     access_count, is_validated."""
     ev = read(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     kind = F.coalesce(*[F.when(F.col("event_type") == k, v) for k, v in EVENT_TYPES.items()], F.lit("conversation"))
-    rows = ev.groupBy("user_id", "event_type").agg(F.max("ts").alias("last_accessed"), F.min("ts").alias("created_at"), F.count("*").alias("access_count"), F.least(F.lit(1.0), F.round(F.avg("value") / 200, 4)).alias("weight"))
+    rows = ev.groupBy("user_id", "event_type").agg(F.max("ts").alias("last_accessed"), F.min("ts").alias("created_at"), F.count("*").alias("access_count"), F.least(F.lit(1.0), F.round(F.avg("value") / 200 + 1e-9, 6)).alias("weight"))
     key = F.concat_ws(":", "user_id", "event_type")
     return rows.select(key.alias("interaction_id"), F.col("user_id").alias("session_id"), kind.alias("interaction_type"), "weight", "last_accessed", "created_at", "access_count", (F.pmod("user_id", F.lit(7)) != 0).alias("is_validated"))
 
@@ -101,7 +101,7 @@ SQL = {
         WHERE role = 'user' AND next_role = 'assistant')""",
     "interactions": f"""interactions AS (SELECT user_id || ':' || event_type AS interaction_id, user_id AS session_id,
         CASE event_type {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in EVENT_TYPES.items())} ELSE 'conversation' END AS interaction_type,
-        least(1.0, round(avg(value) / 200, 4))::DOUBLE AS weight, max(ts)::TIMESTAMP AS last_accessed, min(ts)::TIMESTAMP AS created_at, count(*) AS access_count,
+        least(1.0, round(avg(value) / 200 + 1e-9, 6))::DOUBLE AS weight, max(ts)::TIMESTAMP AS last_accessed, min(ts)::TIMESTAMP AS created_at, count(*) AS access_count,
         user_id % 7 <> 0 AS is_validated FROM events GROUP BY user_id, event_type)""",
     "vectors": """vectors AS (SELECT a.vec_id, a.label, a.embedding AS prompt_vector, b.embedding AS response_vector FROM embeddings a JOIN embeddings b
         ON b.vec_id = CASE WHEN a.vec_id = (SELECT max(vec_id) FROM embeddings) THEN (SELECT min(vec_id) FROM embeddings) ELSE a.vec_id + 1 END)""",
