@@ -111,12 +111,14 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     stays, also within one text. Null and empty texts lose nothing and keep their value; null doc_ids come first. Rows
     that repeat a doc_id and its text are one document and have one result. A document may lose all its lines: its text
     is then empty. An empty table gives no rows."""
-    docs = docs.drop("n_lines", "n_removed", "removed")
-    keyed = docs.withColumn("__h", F.xxhash64("text")).withColumn("__id", F.col("doc_id").cast("long"))
-    gone = stored(repeated_lines(keyed.where("text is not null").select(F.col("__id").alias("doc_id"), F.col("__h").alias("h"), F.col("text").cast("string").alias("text")), min_words))
-    out = keyed.join(gone.select(F.col("doc_id").alias("__g"), F.col("h").alias("__gh"), "gone"), F.col("__id").eqNullSafe(F.col("__g")) & (F.col("__h") == F.col("__gh")), "left")
+    names = [c for c in docs.columns if c not in ("n_lines", "n_removed", "removed")]
+    text = F.col("text").cast("string")
+    keyed = docs.select(F.struct(*names).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
+    gone = stored(repeated_lines(keyed.where("text is not null").select("doc_id", "h", "text"), min_words)).select(F.col("doc_id").alias("id_2"), F.col("h").alias("h_2"), "gone").hint("merge")  # one plan at every size: texts are shuffled once
+    out = keyed.join(gone, F.col("doc_id").eqNullSafe(F.col("id_2")) & (F.col("h") == F.col("h_2")), "left")
     lines = F.split("text", "\n", -1)
     left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("gone", i)), "\n")
-    out = out.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(lines))).withColumn("text", F.when(F.col("gone").isNull(), F.col("text")).otherwise(left))
+    new = F.when(F.col("gone").isNull(), F.col("text")).otherwise(left)
     removed = F.coalesce("gone", F.expr("cast(array() as array<int>)"))
-    return out.withColumn("n_removed", F.size(removed)).withColumn("removed", removed).drop("__h", "__id", "__g", "__gh", "gone")
+    own = [new.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in names]
+    return out.select(*own, F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).alias("n_lines"), F.size(removed).alias("n_removed"), removed.alias("removed"))
