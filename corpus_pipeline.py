@@ -33,7 +33,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates by five-word shingles and a similarity of 0.8, the smallest doc_id stays. Of
     rows that repeat a doc_id and its text, one stays."""
-    gone = minhash.near_duplicates(docs).where(~F.col("kept")).select("doc_id")
+    gone = minhash.near_duplicates(docs).where(~F.col("kept")).select("doc_id").hint("merge")  # one plan at every size
     return docs.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
 
 

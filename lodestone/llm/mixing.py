@@ -25,7 +25,7 @@ SEED, MAX_EPOCHS, RANGE = 7, 4, 3  # RANGE: hex digits that name a range
 BROADCAST_LEAVES = 50_000
 LEVELS = ("domain", "lang", "source")
 #: Weights among siblings; a name that isn't listed has the weight under "".
-WEIGHTS = {"domain": {"web": 500, "books": 300, "forum": 200}, "lang": {"en": 600, "de": 150, "es": 120, "fr": 130, "": 50}, "source": {"": 1}}
+WEIGHTS = {"domain": {"web": 500, "books": 300, "forum": 200, "": 50}, "lang": {"en": 600, "de": 150, "es": 120, "fr": 130, "": 50}, "source": {"": 1}}
 
 
 def words(text: Column) -> Column:
