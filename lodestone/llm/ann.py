@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import stored
 from .vectors import matrix, power_of_two, rotated, symbols, usable
 
-TREES, LENGTH, BLOCK, NEAREST = 32, 4, 4096, 20
+TREES, LENGTH, BLOCK, NEAREST = 40, 4, 4096, 20
 #: A query's ranges hold at least this many entries over all trees, and this share of all vectors.
 LEAST, SHARE = 2000, 0.25
 
