@@ -129,12 +129,12 @@ def related_labelled(spark, folder):
     return O.labelled(_related(spark, folder), edges)
 
 
-@query("a32_centroids", sql("SELECT label::INTEGER AS label, at::INTEGER AS at, round(avg(x), 7) AS x FROM (SELECT label, unnest(range(0, 64)) AS at, unnest(prompt_vector)::DOUBLE AS x FROM vectors) GROUP BY ALL", "vectors"))
+@query("a32_centroids", sql("SELECT label::INTEGER AS label, pos::INTEGER AS pos, round(avg(x), 7) AS x FROM (SELECT label, unnest(range(0, 64)) AS pos, unnest(prompt_vector::DOUBLE[]) AS x FROM vectors) GROUP BY ALL", "vectors"))
 def centroids(spark, folder):
-    return O.centroids(M.vectors(spark, folder)).select("label", F.posexplode("centroid").alias("at", "x")).withColumn("x", F.round("x", 7))
+    return O.centroids(M.vectors(spark, folder)).select("label", F.posexplode("centroid").alias("pos", "x")).withColumn("x", F.round("x", 7))
 
 
-CENTRES = f"flat AS (SELECT label, unnest(range(0, 64)) AS at, unnest(prompt_vector)::DOUBLE AS x FROM vectors), means AS (SELECT label, at, avg(x) AS x FROM flat GROUP BY ALL), centres AS (SELECT label, list(x ORDER BY at) AS centroid FROM means GROUP BY label), members AS (SELECT v.label, vec_id, {cos('prompt_vector', 'centroid')} AS score FROM vectors v JOIN centres USING (label))"
+CENTRES = f"flat AS (SELECT label, unnest(range(0, 64)) AS pos, unnest(prompt_vector::DOUBLE[]) AS x FROM vectors), means AS (SELECT label, pos, avg(x) AS x FROM flat GROUP BY ALL), centres AS (SELECT label, list(x ORDER BY pos) AS centroid FROM means GROUP BY label), members AS (SELECT v.label, vec_id, {cos('prompt_vector', 'centroid')} AS score FROM vectors v JOIN centres USING (label))"
 
 
 @query("a10_cluster_statistics", sql(f"{CENTRES} SELECT label, count(*) AS members, round(avg(score), 7) AS avg_score, round(min(score), 7) AS min_score, round(max(score), 7) AS max_score FROM members GROUP BY label", "vectors"))
@@ -144,7 +144,7 @@ def cluster_statistics(spark, folder):
     return out.withColumns({c: F.round(c, 7) for c in ("avg_score", "min_score", "max_score")})
 
 
-@query("c07_recommended_clusters", sql(f"{CENTRES}, ranked AS (SELECT vec_id, c.label AS cluster, {cos('prompt_vector', 'c.centroid')} AS score FROM vectors v, centres c) SELECT vec_id, row_number() OVER w::INTEGER AS rank, cluster, round(score, 7) AS score FROM ranked QUALIFY row_number() OVER w <= 3 WINDOW w AS (PARTITION BY vec_id ORDER BY score DESC, cluster)", "vectors").replace("row_number() OVER w::INTEGER", "(row_number() OVER w)::INTEGER"))
+@query("c07_recommended_clusters", sql(f"{CENTRES}, ranked AS (SELECT vec_id, c.label AS cluster, {cos('prompt_vector', 'c.centroid')} AS score FROM vectors v, centres c) SELECT vec_id, (row_number() OVER w)::INTEGER AS rank, cluster, round(score, 7) AS score FROM ranked WINDOW w AS (PARTITION BY vec_id ORDER BY score DESC, cluster) QUALIFY row_number() OVER w <= 3", "vectors"))
 def recommended_clusters(spark, folder):
     v = M.vectors(spark, folder)
     return O.recommended(v, O.centroids(v)).withColumn("score", F.round("score", 7))
@@ -155,7 +155,7 @@ def gram_sql(column: str) -> str:
     return f"list_distinct(flatten(list_transform({words}, lambda w: list_transform(range(1, length(w) + 2), lambda i: substring('  ' || w || ' ', i, 3)))))"
 
 
-@query("c04_text_search", f"WITH t AS (SELECT conv_id * 1000 + turn AS id, {gram_sql('text')} AS g FROM conversations), q AS (SELECT item_id AS query_id, {gram_sql('text')} AS qg FROM benchmark), s AS (SELECT query_id, id, len(list_intersect(g, qg)) AS b, len(g) AS n, len(qg) AS m FROM t, q), r AS (SELECT query_id, id, CASE WHEN n + m - b > 0 THEN b::DOUBLE / (n + m - b) ELSE 0.0 END AS score FROM s) SELECT query_id, (row_number() OVER w)::INTEGER AS rank, id, score FROM r WHERE score >= 0.2 QUALIFY row_number() OVER w <= 10 WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, id)")
+@query("c04_text_search", f"WITH t AS (SELECT conv_id * 1000 + turn AS id, {gram_sql('text')} AS g FROM conversations), q AS (SELECT item_id AS query_id, {gram_sql('text')} AS qg FROM benchmark), s AS (SELECT query_id, id, len(list_intersect(g, qg)) AS b, len(g) AS n, len(qg) AS m FROM t, q), r AS (SELECT query_id, id, CASE WHEN n + m - b > 0 THEN b::DOUBLE / (n + m - b) ELSE 0.0 END AS score FROM s) SELECT query_id, (row_number() OVER w)::INTEGER AS rank, id, score FROM r WHERE score >= 0.2 WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, id) QUALIFY row_number() OVER w <= 10")
 def text_search(spark, folder):
     t = read(spark, folder, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
     q = read(spark, folder, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))

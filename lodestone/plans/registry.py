@@ -1,4 +1,4 @@
 """All queries of the engine outside the training-data subpackage, by name."""
 
-from . import graphs, memory, texts, views  # noqa: F401
+from . import graphs, memory, more, texts, views  # noqa: F401
 from .base import ORACLE, QUERIES  # noqa: F401

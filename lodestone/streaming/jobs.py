@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from lodestone.functions import text as X
 from lodestone.operators import validate as V
@@ -36,7 +37,7 @@ def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
 
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True)
     writer.foreachBatch(put).start().awaitTermination()
-    schema = stream.schema.add("__batch", "int")
+    schema = StructType([*stream.schema.fields, StructField("__batch", IntegerType())])
     out = spark.read.schema(schema).parquet(f"{base}/out")
     if mode == "complete":
         out = out.join(F.broadcast(out.agg(F.max("__batch").alias("__batch"))), "__batch", "left_semi")
