@@ -64,7 +64,7 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def slices(offsets: np.ndarray, most: int = 2_000_000) -> list[tuple[int, int]]:
+def slices(offsets: np.ndarray, most: int = 500_000) -> list[tuple[int, int]]:
     """Row ranges of at most `most` bytes each, or of one row."""
     out, a, n = [], 0, len(offsets) - 1
     while a < n:

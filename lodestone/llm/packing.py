@@ -43,7 +43,7 @@ def tokenized_pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = EN
                 while start < n:
                     own = ids[4 * start : 4 * stop]
                     length = stop - start
-                    rows.append((doc_id, piece, start, length, zlib.crc32(own), block, int(placed[length]), own))
+                    rows.append((doc_id, piece, start, length, zlib.crc32(own), block, int(placed[length]), own if keep_ids else None))
                     placed[length] += 1
                     start, stop, piece = stop, stop + capacity, piece + 1
             cols = list(zip(*rows)) if rows else [()] * 8

@@ -12,7 +12,7 @@ import public_tokenizers
 BYTE_BPE = "byte_bpe_50k"
 #: A chunk may be coded by itself if exactly one blank, with no white space beside it, stands before it.
 _UNEVEN = re.compile(r" \s|\s |^ | $")
-MEMO, LONGEST = 400_000, 48
+MEMO, LONGEST = 250_000, 48
 
 
 class Encoder:
