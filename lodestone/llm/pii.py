@@ -100,7 +100,7 @@ def disclosing(near: DataFrame, texts: DataFrame, total: int) -> DataFrame:
     terms = stored(pairs.select("term").distinct())
     listed = F.broadcast(terms) if terms.count() <= BROADCAST_TERMS else terms
     each = texts.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("term")).where(F.length("term") >= SHORTEST)
-    n_term = each.groupBy("term").agg(F.count("*").alias("n_term")).join(listed, "term", "left_semi")
+    n_term = each.groupBy("term").agg(F.count("*").alias("n_term")).join(listed, "term")  # not a semi-join: that would be pushed below the count
     known = pairs.join(n_term, "term").join(n_entity, entity)
     pmi = F.log2(F.lit(float(total)) * F.col("n_both") / (F.col("n_term") * F.col("n_entity")))
     share = F.when(F.col("n_entity") < total, pmi / F.log2(F.lit(float(total)) / F.col("n_entity")))
