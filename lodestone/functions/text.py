@@ -246,3 +246,35 @@ def relative_time(then: Column, as_of: Column) -> Column:
         return F.concat(n.cast("string"), F.lit(f" {unit}"), F.when(n == 1, "").otherwise("s"), F.lit(" ago"))
 
     return F.when(s < 60, "just now").when(s < 3600, ago(F.floor(s / 60), "minute")).when(s < 86400, ago(F.floor(s / 3600), "hour")).when(s < 604800, ago(F.floor(s / 86400), "day")).otherwise(ago(F.floor(s / 604800), "week"))
+
+
+def filled(template: str, values: dict[str, Column]) -> Column:
+    """A template with {{name}} in place of values, and {{#if name}}...{{/if}} and {{#each name}}...{{this}}...{{/each}}
+    blocks, as one expression: the template is read once, when the plan is built."""
+    import re
+
+    parts, at = [], 0
+    for m in re.finditer(r"\{\{#(if|each) (\w+)\}\}(.*?)\{\{/\1\}\}|\{\{(\w+)\}\}", template, re.S):
+        parts.append(F.lit(template[at : m.start()]))
+        kind, name, inner, plain = m.groups()
+        if plain:
+            parts.append(F.coalesce(values[plain].cast("string"), F.lit("")))
+        elif kind == "if":
+            parts.append(F.when(F.coalesce(values[name].cast("string"), F.lit("")) != "", filled(inner, values)).otherwise(""))
+        else:
+            parts.append(F.array_join(F.transform(values[name], _each(inner)), ""))
+        at = m.end()
+    return F.concat(*parts, F.lit(template[at:]))
+
+
+def _each(inner: str):
+    return lambda x: F.replace(F.lit(inner), F.lit("{{this}}"), x.cast("string"))
+
+
+def is_code(text: Column, least: int = 3) -> Column:
+    return signs(text, CODE_SIGNS) >= least
+
+
+def formatted(text: Column) -> Column:
+    """A note's text as Markdown: code in a fence, a question as a quotation, anything else as it is."""
+    return F.when(is_code(text), F.concat(F.lit("```\n"), text, F.lit("\n```"))).when(F.trim(text).endswith("?"), F.concat(F.lit("> "), text)).otherwise(text)

@@ -150,3 +150,27 @@ def features(texts: DataFrame, size: int = 64) -> DataFrame:
     dense = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.try_element_at("m", i.cast("long")), F.lit(0.0)))
     vectors = maps.select("content", W.normalised(dense).alias("vector"))
     return hashed.join(vectors, "content", "left").drop("content")
+
+
+def joined_or_new(vectors: DataFrame, centres: DataFrame, least: float = 0.8) -> DataFrame:
+    """(vec_id, cluster, score, action): the nearest cluster if it is near enough, else a new one of its own."""
+    best = recommended(vectors, centres, 1)
+    action = F.when(F.col("score") >= least, "join").otherwise("create")
+    return best.withColumn("action", action).withColumn("cluster", F.when(F.col("action") == "join", F.col("cluster"))).select("vec_id", "cluster", "score", "action")
+
+
+def needing_vectors(rows: DataFrame, column: str, size: int) -> DataFrame:
+    """Rows whose vector is missing or of another size."""
+    return rows.where(F.col(column).isNull() | (F.size(column) != size))
+
+
+def intent_search(found: DataFrame, intents: DataFrame, k: int = 10) -> DataFrame:
+    """Hits (query_id, id, score) raised by 0.3 for the query's intent and 0.1 for a related one, up to 1. intents: id,
+    intent, of queries and memories alike."""
+    from . import intent as I
+
+    q = intents.select(F.col("id").alias("query_id"), F.col("intent").alias("__q"))
+    both = found.join(q, "query_id", "left").join(intents.select("id", "intent"), "id", "left")
+    more = F.when(F.col("__q") == F.col("intent"), 0.3).when(I.related(F.col("__q"), F.col("intent")), 0.1).otherwise(0.0)
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    return both.withColumn("score", F.least(F.lit(1.0), F.col("score") + more)).withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")

@@ -210,3 +210,31 @@ def status(score: Column) -> Column:
 def query_score(original: Column, references: Column) -> Column:
     """0.9 less 0.1 for each reference, at least 0.5; 1 without any."""
     return F.when(references == 0, 1.0).otherwise(F.greatest(F.lit(0.5), 0.9 - 0.1 * references))
+
+
+def storage_ready(columns: list[str], score: Column, least: float = 0.8) -> Column:
+    """Whether a row has all that storage asks for and scores enough."""
+    held = F.lit(True)
+    for c in columns:
+        held = held & F.col(c).isNotNull() & (F.length(F.col(c).cast("string")) > 0)
+    return F.coalesce(held & (score >= least), F.lit(False))
+
+
+def note_score(parts: list[Column]) -> Column:
+    """1 less 0.1 for each concrete reference in a note's components, at least 0."""
+    found = sum((F.size(detect.violations(F.coalesce(p, F.lit("")))) for p in parts), F.lit(0))
+    return F.greatest(F.lit(0.0), 1.0 - 0.1 * found)
+
+
+def reference_row(concrete: Column, abstract: Column) -> Column:
+    """What is wrong with a reference: no abstraction, one that is still concrete, or null."""
+    return F.when(F.coalesce(concrete, F.lit("")).rlike(".") & (F.coalesce(abstract, F.lit("")) == ""), "missing_abstraction").when(detect.pattern_hits(abstract) > 0, "still_concrete")
+
+
+def verdict(open_references: Column, score: Column) -> Column:
+    return F.when(open_references > 0, F.concat(open_references.cast("string"), F.lit(" references are not abstracted"))).when(score < 0.8, F.format_string("score %.2f is too low", score)).otherwise("complete")
+
+
+def merge_safe(text: Column, most: int = 5) -> Column:
+    """Whether a merged text has few enough references and no unclosed code fence."""
+    return (detect.pattern_hits(text) <= most) & (F.regexp_count(text, F.lit("(?m)^```")) % 2 == 0)

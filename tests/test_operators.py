@@ -145,3 +145,38 @@ def test_budget_and_audit(spark):
     rows = spark.createDataFrame([("s", 1, 9, 50), ("s", 2, 8, 60), ("s", 3, 7, 10)], "k string, id long, score long, tokens long")
     assert [r["id"] for r in VW.within_budget(rows, ["k"], 115).orderBy("id").collect()] == [1, 2]
     assert {tuple(r) for r in VW.audit(rows, {"score": "score < 9", "tokens": "tokens > 0"}).collect()} == {("score", 1), ("tokens", 0)}
+
+
+def test_templates_and_sql_functions(spark):
+    from lodestone.functions import registered
+
+    df = spark.createDataFrame([("T", ["a", "b"], None)], "t string, tags array<string>, n string")
+    text = "# {{t}}{{#if n}} note{{/if}}\n{{#each tags}}- {{this}}\n{{/each}}"
+    assert df.select(X.filled(text, {c: F.col(c) for c in df.columns}).alias("x")).first()["x"] == "# T\n- a\n- b\n"
+    registered.register(spark)
+    assert spark.sql("select placeholder_count('<a> <b1>') a, round(cosine(array(3D, 4D), array(4D, 3D)), 2) b, token_estimate('12345') c").first().asDict() == {"a": 2, "b": 0.96, "c": 2}
+    found = spark.sql("""select path, violation from json_leaves('{"a": {"p": "/home/u/x"}, "b": [1]}')""").collect()
+    assert {(r["path"], r["violation"]) for r in found} == {("$.a.p", "file_path"), ("$.b[0]", None)}
+
+
+def test_tables(spark, tmp_path):
+    from lodestone.sources import tables
+
+    rows = spark.createDataFrame([(1, 1, [1.0], "2024-01-01"), (2, 1, None, "2024-01-02")], "id long, session_id long, v array<double>, created_at string")
+    tables.append(rows.where("id = 1"), f"{tmp_path}/i")
+    tables.append_interactions(rows.where("id = 2"), f"{tmp_path}/i", ["v"])
+    assert {(r["id"], tuple(r["v"])) for r in spark.read.parquet(f"{tmp_path}/i").collect()} == {(1, (1.0,)), (2, (1.0,))}
+    changes = spark.createDataFrame([(2, "2025-01-01")], "id long, created_at string")
+    out = tables.changed(rows, changes, rows.where("id = 1").select("id"), "id", ["created_at"]).collect()
+    assert [(r["id"], r["created_at"]) for r in out] == [(2, "2025-01-01")]
+
+
+def test_spans(spark):
+    from lodestone.operators import spans as P
+
+    df = spark.createDataFrame([(1, "see http://a.org/x and mail a@b.org, id=42"), (2, None)], "doc_id long, text string")
+    got = {(r["type"], r["value"], r["placeholder"]) for r in P.report(df).collect()}
+    assert ("url", "http://a.org/x", "<url>") in got and ("identifier", "42", "<numeric_id>") in got and ("user_data", "a@b.org", "<email_address>") in got
+    assert one(spark, "get_user_by_id", P.by_rule) == "get_<entity>_by_id" and one(spark, "00:11:22:33:44:55", P.by_rule) == "<mac_address>"
+    with pytest.raises(Exception):
+        P.checked("bad", "x", "(")
