@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,12 +63,36 @@ def tag_overlap(notes: DataFrame, most: int = 1000) -> DataFrame:
     return both.groupBy("a", "b").agg(F.count("*").alias("shared"))
 
 
-def text_search(texts: DataFrame, queries: DataFrame, least: float = 0.3, k: int = 10) -> DataFrame:
+def text_search(texts: DataFrame, queries: DataFrame, least: float = 0.3, k: int = 10, most: int = 100_000) -> DataFrame:
     """The k texts most like each query by trigrams, of those of at least `least`. texts: id, text; queries: query_id,
-    query: a stated set, sent to every task, so texts stream through without a shuffle before the ranking."""
-    few = F.broadcast(queries.select("query_id", X.trigrams(F.col("query")).alias("qg")))
-    both = texts.select("id", X.trigrams(F.col("text")).alias("g")).crossJoin(few)
-    score = both.select("query_id", "id", X.trigram_similarity(F.col("g"), F.col("qg")).alias("score")).where(F.col("score") >= least)
+    query: a stated set, at most `most`, that goes to every task. A batch of texts and all queries are compared by one
+    product of 0/1 matrices over the queries' trigrams; only matches leave the task."""
+    asked = queries.select("query_id", X.trigrams(F.col("query")).alias("g")).limit(most + 1).collect()
+    if len(asked) > most:
+        raise ValueError(f"more than {most} queries; search for them in parts")
+    index = {g: i for i, g in enumerate(sorted({g for r in asked for g in r["g"] or ()}))}
+    ids, matrix = [r["query_id"] for r in asked], np.zeros((len(index), len(asked)), np.float32)
+    for j, r in enumerate(asked):
+        matrix[[index[g] for g in r["g"] or ()], j] = 1
+    sizes = np.array([len(r["g"] or ()) for r in asked], np.float64)
+    shared = texts.sparkSession.sparkContext.broadcast((index, np.array(ids, np.int64), matrix, sizes))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, ids, matrix, sizes = shared.value
+        for batch in batches:
+            for a in range(0, batch.num_rows, 256):
+                part = batch.slice(a, 256)
+                own, n = np.zeros((part.num_rows, len(index)), np.float32), np.zeros(part.num_rows)
+                for i, grams in enumerate(part.column(1).to_pylist()):
+                    n[i] = len(grams or ())
+                    own[i, [index[g] for g in grams or () if g in index]] = 1
+                both = (own @ matrix).astype(np.float64)
+                union = n[:, None] + sizes[None] - both
+                score = np.divide(both, union, out=np.zeros_like(both), where=union > 0)
+                i, j = np.nonzero(score >= least)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[j]), part.column(0).take(pa.array(i)), pa.array(score[i, j])], ["query_id", "id", "score"])
+
+    score = texts.select(F.col("id").cast("long"), X.trigrams(F.col("text")).alias("g")).mapInArrow(compare, "query_id long, id long, score double")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return score.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 

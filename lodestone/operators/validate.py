@@ -12,15 +12,18 @@ from . import detect
 HAS_PLACEHOLDER = X.PLACEHOLDER
 
 
-def abstraction_score(text: Column, references: Column) -> Column:
+def score_of(length: Column, held: Column, references: Column) -> Column:
     """0 to 1 from placeholders and the number of concrete references: at most 0.5 with any of these, 0 if there is no
     placeholder beside them, 0 for the empty text; two decimals."""
-    held = X.placeholder_count(text)
     base = F.when(references == 0, 0.7).otherwise(F.greatest(F.lit(0.0), 0.7 - references * 0.2))
     score = F.least(F.lit(1.0), held * 0.3 + base)
     score = F.when(references > 0, F.least(score, F.lit(0.5))).otherwise(score)
     score = F.when((held == 0) & (references > 0), 0.0).otherwise(score)
-    return F.when(F.length(text) == 0, 0.0).otherwise(F.round(F.greatest(F.lit(0.0), score), 2))
+    return F.when(length == 0, 0.0).otherwise(F.round(F.greatest(F.lit(0.0), score), 2))
+
+
+def abstraction_score(text: Column, references: Column) -> Column:
+    return score_of(F.length(text), X.placeholder_count(text), references)
 
 
 def abstraction_quality(text: Column, least: float = 0.8) -> Column:

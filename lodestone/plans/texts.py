@@ -24,10 +24,12 @@ SCORED = f"""marked AS (SELECT doc_id, text, lang, source, n_chars, {REFS} AS re
 
 
 def scored(spark: SparkSession, folder: str) -> DataFrame:
-    """documents with references, critical ones, placeholders and the abstraction score."""
-    docs = read(spark, folder, "documents")
-    q = V.abstraction_quality(F.col("text"))
-    return docs.withColumn("q", q).select("doc_id", "text", "lang", "source", "n_chars", F.col("q.violation_count").alias("refs"), F.col("q.critical_count").alias("critical"), X.placeholder_count(F.col("text")).alias("held"), F.col("q.score").alias("score"), F.col("q.meets_minimum").alias("meets_minimum"))
+    """documents with references, critical ones, placeholders and the abstraction score. References are found once, as a
+    column of their own."""
+    docs = read(spark, folder, "documents").withColumns({"found": D.violations(F.col("text")), "held": X.placeholder_count(F.col("text"))})
+    counted = docs.withColumns({"refs": F.size("found"), "critical": F.size(F.filter("found", lambda v: v["severity"] == "critical"))})
+    score = V.score_of(F.length("text"), F.col("held"), F.col("refs"))
+    return counted.select("doc_id", "text", "lang", "source", "n_chars", "refs", "critical", "held", score.alias("score")).withColumn("meets_minimum", F.col("score") >= 0.8)
 
 
 def documents(spark, folder):
@@ -105,7 +107,7 @@ def round_trip(spark, folder):
 
 @query("d08_detections")
 def detections(spark, folder):
-    return D.detections(documents(spark, folder).select(F.col("doc_id").alias("id"), "text"), M.detection_rules(spark))
+    return D.detections(documents(spark, folder).select(F.col("doc_id").alias("id"), "text"), M.RULES)
 
 
 _RULE_ROWS = " UNION ALL ".join(f"SELECT doc_id, '{r[0]}' AS rule, '{r[3]}' AS severity, '{r[4]}' AS action FROM documents WHERE {like('text', r[2])}" for r in M.RULES if r[1] == "regex" and r[5] <= 0.95)
@@ -113,7 +115,7 @@ _RULE_ROWS = " UNION ALL ".join(f"SELECT doc_id, '{r[0]}' AS rule, '{r[3]}' AS s
 
 @query("d08_regex_rules", f"SELECT rule, severity, action, count(*) AS contents FROM ({_RULE_ROWS}) GROUP BY ALL")
 def regex_rules(spark, folder):
-    rules = M.detection_rules(spark).where("type = 'regex'")
+    rules = [r for r in M.RULES if r[1] == "regex"]
     return D.detections(documents(spark, folder).select(F.col("doc_id").alias("id"), "text"), rules).groupBy("rule", "severity", "action").agg(F.count("*").alias("contents"))
 
 

@@ -135,7 +135,7 @@ def quality_issues(spark, folder):
 
 @query("a05_detection_dashboard")
 def detection_dashboard(spark, folder):
-    found = D.detections(read(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text"), M.detection_rules(spark))
+    found = D.detections(read(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text"), M.RULES)
     return found.groupBy("severity").agg(F.count("*").alias("total"), F.countDistinct("rule").alias("rules"), F.countDistinct("id").alias("contents"), F.round(F.avg("confidence"), 8).alias("avg_confidence"), F.max("confidence").alias("max_confidence"), F.count_if(F.col("action") == "quarantine").alias("quarantined"), F.count_if(F.col("action") == "reject").alias("rejected"))
 
 

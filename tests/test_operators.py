@@ -79,7 +79,7 @@ def test_detection_rules(spark):
     from lodestone.sources import model
 
     rows = [(1, "AKIA" + "A" * 16), (2, "x" * 10001), (3, "abcdefghijklmnopqrstuvwxyz" * 5), (4, None)]
-    got = {(r["id"], r["rule"]) for r in D.detections(spark.createDataFrame(rows, "id long, text string"), model.detection_rules(spark)).collect()}
+    got = {(r["id"], r["rule"]) for r in D.detections(spark.createDataFrame(rows, "id long, text string"), model.RULES).collect()}
     assert (2, "repeated_pattern") in got and (3, "repeated_pattern") in got and all(r[0] != 4 for r in got)
 
 
