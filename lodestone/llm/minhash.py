@@ -6,8 +6,9 @@ filled one comes up (optimal densification). `BANDS` runs of `ROWS` components a
 gives n - 1 candidate edges, all to one centre, and each edge is confirmed on the full shingle sets.
 
 Texts with the same shingle set are one class before that; only the class's smallest document gets keys. A centre
-may fail with a text that another text of the bucket would link with. So where a bucket still holds more than one
-component after the first stars, it gets further centres, chosen by hash, for what is not of their component.
+may fail with a text that another text of the bucket would link with. So a centre leaves its bucket once it is compared
+with all others there, and while what is left of a bucket holds more than one component, it gets further centres, chosen
+by hash, twice as many each turn. In the end every two texts that share a bucket are of one component or were compared.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from .common import U64, components, discard, mix, shingles, slices, stored, tex
 
 ROWS, BANDS = 6, 50  # a pair of similarity 0.8 shares no bucket with probability (1 - 0.8 ** 6) ** 50 = 2.5e-7
 SIMILARITY_PERCENT, SHINGLE_WORDS = 80, 5
-STARS = 2  # further centres of a bucket that still holds more than one component
+STARS = 2  # about so many further centres get a bucket that still holds more than one component; each turn twice as many
 
 
 def signatures(hashes: np.ndarray, offsets: np.ndarray, bins: int) -> np.ndarray:
@@ -97,16 +98,33 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
     return named.select("a", "b", "text_a", "text_b").mapInArrow(compare, "a long, b long")
 
 
-def stars(member: DataFrame, orders: list) -> DataFrame:
-    """Candidate pairs (a, b): in each bucket, a centre by each order with all members of other components.
-    member: key, rep, comp."""
-    ways = [F.min(F.struct(o.alias("o"), "rep", "comp")).alias(f"c{i}") for i, o in enumerate(orders)]
-    centres = member.groupBy("key").agg(*ways, F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
-    centres = centres.select("key", F.explode(F.array(*[F.struct(f"c{i}.rep", f"c{i}.comp") for i in range(len(orders))])).alias("centre"))
-    pairs = member.join(centres, "key").where("comp <> centre.comp")
+def alike(percent: int, other: str) -> str:
+    """SQL for whether sets of such sizes can be similar at all."""
+    return f"100 * least(n_shingles, {other}.n_shingles) >= {percent} * greatest(n_shingles, {other}.n_shingles)"
+
+
+def stars(member: DataFrame, centres: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs (a, b): in each bucket, the centres with all members of other components. member: key, rep, comp,
+    n_shingles; centres: key, centre (rep, comp, n_shingles)."""
+    pairs = member.join(centres, "key").where(f"comp <> centre.comp and {alike(percent, 'centre')}")
     return pairs.select(F.least("rep", "centre.rep").alias("a"), F.greatest("rep", "centre.rep").alias("b")).distinct()
 
 
+def unsettled(member: DataFrame) -> DataFrame:
+    """The members of the buckets that hold more than one component."""
+    split = member.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+    return member.join(split, "key")
+
+
+def with_centres(member: DataFrame, turn: int) -> DataFrame:
+    """member with a column chosen: by a hash of the turn, at least one member of each bucket, STARS * 2 ** turn of them
+    on average, and all where there are no more than that."""
+    order, most = F.xxhash64("rep", F.lit(turn)), STARS << turn
+    each = member.groupBy("key").agg(F.count("*").alias("n"), F.min(order).alias("first"))
+    chosen = (order == F.col("first")) | (F.pmod(order, F.lit(1 << 20)) * F.col("n") < F.lit(most << 20))
+    return member.join(each, "key").select("key", "rep", "comp", "n_shingles", chosen.alias("chosen"))
+
+
 def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, percent: int = SIMILARITY_PERCENT, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links) and kept
     (doc_id = component_id).
@@ -119,8 +137,8 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, percent: int =
     sets = ["n_shingles", "fp1", "fp2"]
     filled = sketched.where("n_shingles > 0 and doc_id is not null")
     classes = stored(filled.groupBy(*sets).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
-    alone = filled.join(classes, sets).where("doc_id = rep").select("rep", "keys").dropDuplicates(["rep"])
-    bands_of = stored(alone.select(F.explode("keys").alias("key"), "rep"))
+    alone = filled.join(classes, sets).where("doc_id = rep").select("rep", "keys", "n_shingles").dropDuplicates(["rep"])
+    bands_of = stored(alone.select(F.explode("keys").alias("key"), "rep", "n_shingles"))
     shared = bands_of.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     bucket = stored(bands_of.join(shared, "key"))  # only what meets another text
     discard(bands_of)
@@ -128,18 +146,29 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, percent: int =
     texts = stored(docs.join(bucket.select(F.col("rep").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
 
     first = bucket.withColumn("comp", F.col("rep"))
-    linked = stored(confirmed(stars(first, [F.col("rep")]), texts, width, percent))
-    comp = stored(components(linked))
-    again = bucket.join(comp, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
-    split = again.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    again = stored(again.join(split, "key"))
-    more = stored(confirmed(stars(again, [F.xxhash64("rep", F.lit(k)) for k in range(STARS)]), texts, width, percent))
-    if not more.isEmpty():  # links between components: few, and joined over components
-        of = comp.unionByName(classes.select(F.col("rep").alias("node"), F.col("rep").alias("component")).join(comp.select("node"), "node", "left_anti"))
-        ends = more.join(of.select(F.col("node").alias("a"), F.col("component").alias("x")), "a").join(of.select(F.col("node").alias("b"), F.col("component").alias("y")), "b")
-        over = stored(components(ends.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()))
-        up = over.select(F.col("node").alias("component"), F.col("component").alias("top"))
-        comp = of.join(up, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
+    centre = bucket.groupBy("key").agg(F.min(F.struct("rep", F.col("rep").alias("comp"), "n_shingles")).alias("centre"))
+    tried = stored(stars(first, centre, percent))
+    comp = stored(components(stored(confirmed(tried, texts, width, percent))))
+    rest = bucket.join(centre, "key").where("rep <> centre.rep").join(comp, F.col("rep") == F.col("node"), "left")
+    left, turn = stored(unsettled(rest.select("key", "rep", F.coalesce("component", "rep").alias("comp"), "n_shingles"))), 0
+    while not left.isEmpty():
+        turn += 1
+        member = stored(with_centres(left, turn - 1))
+        discard(left)
+        centre = member.where("chosen").select("key", F.struct("rep", "comp", "n_shingles").alias("centre"))
+        pairs = stored(stars(member, centre, percent).join(tried, ["a", "b"], "left_anti"))
+        tried = tried.unionByName(pairs)
+        more = stored(confirmed(pairs, texts, width, percent))
+        rest = member.where("not chosen").drop("chosen")
+        if not more.isEmpty():  # links between components: few, and joined over components
+            of = comp.unionByName(classes.select(F.col("rep").alias("node"), F.col("rep").alias("component")).join(comp.select("node"), "node", "left_anti"))
+            ends = more.join(of.select(F.col("node").alias("a"), F.col("component").alias("x")), "a").join(of.select(F.col("node").alias("b"), F.col("component").alias("y")), "b")
+            over = stored(components(ends.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()))
+            up = over.select(F.col("node").alias("component"), F.col("component").alias("top"))
+            comp = stored(of.join(up, "component", "left").select("node", F.coalesce("top", "component").alias("component")))
+            rest = rest.join(over, F.col("comp") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "comp").alias("comp"), "n_shingles")
+        left = stored(unsettled(rest))
+        discard(member)
     reached = classes.join(comp, F.col("rep") == F.col("node"), "left").select(*sets, F.coalesce("component", "rep").alias("component_id"))
     out = sketched.drop("keys").join(reached, sets, "left")
     own = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))

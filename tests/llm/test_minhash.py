@@ -53,6 +53,35 @@ def test_components_equal_brute_force(spark):
         assert got == brute(rows, width, 80)
 
 
+def family(seed, n, planted):
+    """Copies of one template, alike by 0.66 to 0.77; planted pairs of them that share two words more are alike by 0.81."""
+    rng, rows, fresh = random.Random(seed), [], iter(range(10**6))
+    base = [f"b{k}" for k in range(200)]
+
+    def edited(own, places):
+        return [f"w{next(fresh)}" if k in places else w for k, w in enumerate(own)]
+
+    def places(kept=()):
+        return rng.sample([k for k in range(5, 195, 5) if k not in kept], 4 - len(kept))
+
+    for _ in range(n):
+        rows.append(edited(base, places()))
+    for _ in range(planted):
+        kept = places()[:2]
+        own = edited(base, kept)
+        rows += [edited(own, places(kept)) for _ in range(2)]
+    rng.shuffle(rows)
+    return [(i, " ".join(w)) for i, w in enumerate(rows)]
+
+
+def test_pairs_within_a_large_family_of_texts_that_are_less_alike(spark):
+    rows = family(3, 420, 40)
+    want = brute(rows, 5, 80)
+    assert 40 <= sum(i != c for i, (_, c) in want.items()) < 80
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(data.documents(spark, rows)).collect()}
+    assert got == want
+
+
 def test_odd_rows(spark):
     out = minhash.near_duplicates(data.odd_documents(spark), width=2).collect()
     assert len(out) == 10
