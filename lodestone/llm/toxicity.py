@@ -1,9 +1,10 @@
 """Toxicity of texts that may be disguised: a noisy-channel decoder, then a scorer of the restored words.
 
 Language model: counts of three characters in a row over the plain words of all documents; one table of 64 ** 3 cells,
-whatever the corpus. Channel: what may stand for what. A suspicious token (a digit or sign before a letter, letters
-between separators, a letter three times running, or four single letters in a row) becomes a lattice in which a sign
-may be a letter or nothing, a run of one letter may be one or two, and a blank between single letters may be a word's
+whatever the corpus. Channel: what may stand for what. A suspicious token (a digit or sign before or after a letter,
+letters between separators, a letter three times running, or four single letters in a row in one text), and what stands between
+other characters in it, becomes a lattice
+over its whole length, in which a sign may be a letter or nothing, a run of one letter may be one or two, and a blank between single letters may be a word's
 end or nothing. Viterbi finds the likeliest reading; its words are scored like the plain ones.
 
 Scorer: units are whole words and prefixes of PREFIXES bytes. It is fitted on at most SAMPLE labelled rows. Units go
@@ -109,12 +110,14 @@ def language_model(docs: DataFrame) -> np.ndarray:
 
 
 class Decoder:
-    """The likeliest reading of a suspicious token, with a bounded memo."""
+    """The likeliest reading of a suspicious token, with a bounded memo of those of up to LONGEST characters."""
 
     def __init__(self, model: np.ndarray):
         self.model, self.memo = model, {}
 
     def words(self, token: str) -> list[str]:
+        if len(token) > LONGEST:
+            return self._decode(token).split()
         if token not in self.memo:
             if len(self.memo) >= MEMO:
                 self.memo.clear()
@@ -142,10 +145,10 @@ class Decoder:
 
     def _decode(self, token: str) -> str:
         model = self.model
-        best = {(0, 0): (0.0, "")}
+        best = {(0, 0): (0.0, 0, None)}  # cost, a number that settles ties, and the readings, last one first
         for arcs in [*self._arcs(token), [(" ", 0.0)]]:
             new: dict = {}
-            for (a, b), (cost, text) in best.items():
+            for (a, b), (cost, _, path) in best.items():
                 for reading, price in arcs:
                     x, y, total = a, b, cost + price
                     for byte in reading.encode():
@@ -153,9 +156,13 @@ class Decoder:
                         total += model[x, y, z]
                         x, y = (0, 0) if z == 0 else (y, z)
                     if (x, y) not in new or total < new[x, y][0]:
-                        new[x, y] = (total, text + reading)
+                        new[x, y] = (total, len(new), (path, reading) if reading else path)
             best = new
-        return min(best.values())[1]
+        path, out = min(best.values(), key=lambda v: v[:2])[2], []
+        while path:
+            path, reading = path
+            out.append(reading)
+        return "".join(reversed(out))
 
 
 def suspicious(data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, str]]:
@@ -167,21 +174,24 @@ def suspicious(data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, str]]:
     if not len(starts):
         return []
     letter, sign, separator = _LETTER[data], _SIGN[data], _SEPARATOR[data]
-    marks = [np.flatnonzero(sign[:-1] & letter[1:])]
-    marks.append(np.flatnonzero(letter[:-2] & (data[:-2] == data[1:-1]) & (data[1:-1] == data[2:]) & (data[:-2] < 128)))
+    reach = np.repeat(ends, np.diff(np.append(starts, n)))  # where the token of a byte ends; a mark ends with its token
+    reach = np.concatenate([np.zeros(starts[0], np.int64), reach])
+    marks = [np.flatnonzero(((sign[:-1] & letter[1:]) | (letter[:-1] & sign[1:])) & (reach[:-1] > np.arange(1, n)))]
+    marks.append(np.flatnonzero(letter[:-2] & (data[:-2] == data[1:-1]) & (data[1:-1] == data[2:]) & (data[:-2] < 128) & (reach[:-2] > np.arange(2, n))))
     if n > 4:
-        marks.append(np.flatnonzero(letter[:-4] & separator[1:-3] & letter[2:-2] & separator[3:-1] & letter[4:]))
+        marks.append(np.flatnonzero(letter[:-4] & separator[1:-3] & letter[2:-2] & separator[3:-1] & letter[4:] & (reach[:-4] > np.arange(4, n))))
     token = np.unique(np.searchsorted(starts, np.concatenate(marks), "right") - 1)
     doc = np.searchsorted(offsets, starts, "right") - 1
     length = ends - starts
-    out = [(int(doc[t]), data[starts[t] : ends[t]].tobytes().decode("utf8", "ignore")) for t in token[length[token] <= LONGEST]]
+    out = [(int(doc[t]), data[starts[t] : ends[t]].tobytes().decode("utf8", "ignore")) for t in token]
+    left, right = runs(letter | sign, offsets)  # a word that other signs join to others is read by itself, too
+    own = np.unique(np.searchsorted(left, np.concatenate(marks[:2]), "right") - 1)
+    own = own[(right[own] - left[own] >= 3) & (right[own] - left[own] < length[np.searchsorted(starts, left[own], "right") - 1])]
+    out += [(int(d), data[left[t] : right[t]].tobytes().decode("utf8", "ignore")) for d, t in zip(np.searchsorted(offsets, left[own], "right") - 1, own)]
     single = (length == 1) & letter[starts] & (data[starts] < 128)
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], single.astype(np.int8), [0]])))
-    for a, b in zip(edge[::2], edge[1::2]):
-        for c in range(a, b, LONGEST):  # a reading is a few words long
-            d = min(b, c + LONGEST)
-            if d - c >= 4 and doc[c] == doc[d - 1] and len(set(data[starts[c:d]].tolist())) > 1:
-                out.append((int(doc[c]), " ".join(map(chr, data[starts[c:d]]))))
+    for a, b in zip(*runs(single, np.searchsorted(starts, offsets))):  # a run ends with its text
+        if b - a >= 4 and len(set(data[starts[a:b]].tolist())) > 1:
+            out.append((int(doc[a]), " ".join(map(chr, data[starts[a:b]]))))
     return out
 
 

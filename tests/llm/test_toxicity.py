@@ -59,6 +59,33 @@ def test_decoder_keeps_plain_words():
     assert decoder.words("hoooouse") == ["house"] and decoder.words("the5e") == ["these"]
 
 
+def found(texts):
+    return toxicity.suspicious(*toxicity.text_buffer(toxicity.pa.array(texts)))
+
+
+def test_tokens_end_with_their_text():
+    alone = ["s n a r f l e", "a cat", "kalo 12", "abc xx", "x", "I b c"]
+    alone = [t.lower() for t in alone]
+    assert found(alone) == [(i, t) for i, own in enumerate(alone) for _, t in found([own])]
+    assert found(alone)[0] == (0, "s n a r f l e")
+
+
+def test_long_tokens_and_runs_are_found_whole():
+    dotted, spaced = ".".join("snarfle_zugwort_blorgh_snarfle_kalo"), " ".join("kalomirusatevo" * 3 + "snarfle" + "b")
+    drawn, cyrillic = "blo" + "r" * 60 + "gh", "".join(chr(0x430 + k % 32) for k in range(30)) + "4a"
+    got = [t for _, t in found([dotted, spaced, drawn, cyrillic, "this is idio+ now"])]
+    assert sorted(got) == sorted([dotted, spaced, drawn, cyrillic, "idio+"])
+
+
+def test_long_disguises_count(spark):
+    told = rows()
+    hidden = ["s.n.a.r.f.l.e." + "_".join("zugwortsnarfleblorgh"), "blo" + "r" * 60 + "gh you", "kalo-miru-kalo-miru-kalo-miru-kalo-miru/sn4rfle/you", " ".join("kalomirusatevo" * 3)[:-28] + " s n a r f l e"]
+    plain = ["kalo", "a b c d", "miru!", "x" * 60]
+    told += [(1000 + k, t, None) for k, t in enumerate(hidden)] + [(2000 + k, t, None) for k, t in enumerate(plain)]
+    out = {r["doc_id"]: r["predicted"] for r in toxicity.toxicity(*frames(spark, told)).collect()}
+    assert [out[1000 + k] for k in range(3)] == [1, 1, 1] and [out[2000 + k] for k in range(4)] == [0, 0, 0, 0]
+
+
 def test_odd_rows(spark):
     docs = data.odd_documents(spark)
     labels = spark.createDataFrame([(1, 1, 1), (5, 1, 0), (6, None, None), (None, 1, 1)], LABELS)
