@@ -3,12 +3,13 @@
 Everything here is DataFrame and SQL functions. Base spans are the leftmost non-overlapping matches of four patterns.
 Spark gives no match positions, so they come from the lengths of the matches and of what `split` leaves between them.
 
-An entity is a distinct base value. A term near it (a word of `SHORTEST` letters or more, within `AROUND` characters)
-tells p(entity | term) about it. With document counts n over N documents,
+An entity is a distinct base value. A term (a word of `SHORTEST` letters or more) that stands near it, within `AROUND`
+characters, in `SUPPORT` documents or more tells p(entity | term) about it. With document counts n over N documents,
+where n(t, e) counts the documents that hold both, however far apart,
     IC(e) = log2(N / n(e))      PMI(t; e) = log2(N * n(t, e) / (n(t) * n(e)))
-and PMI(t; e) / IC(e) is the share of the entity that the term discloses: 1 if it stands nowhere without it. A term seen
-near it in `SUPPORT` documents or more that discloses `GENERALISE` or more is a span of kind `term`, to be replaced by a
-placeholder there; from `REMOVE` on it is to be removed. Counts cover all documents.
+and PMI(t; e) / IC(e) is the share of the entity that the term discloses: 1 if it stands nowhere without it. A term that
+discloses `GENERALISE` or more of an entity is a span of kind `term` wherever it stands, also in texts without the
+entity, to be replaced by a placeholder; from `REMOVE` on it is to be removed. Counts cover all documents.
 """
 
 from __future__ import annotations
@@ -35,6 +36,9 @@ PATTERNS = {
 NEEDS = {"email": r"@", "ip": r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){11}", "phone": r"\+[0-9]"}
 
 
+WORD = r"\p{L}{" + str(SHORTEST) + ",}+"
+
+
 def literal(pattern: str) -> str:
     return "r'" + pattern + "'"
 
@@ -77,12 +81,11 @@ def base_spans(text: str) -> Column:
 def near_terms(text: str, spans: str) -> Column:
     """Terms near each base span of a text: (kind, value) of the entity, term, start, stop. A word that the window cuts,
     and one that touches a base span, is none."""
-    word = r"\p{L}{" + str(SHORTEST) + ",}+"
     term = "struct<kind:string,value:string,term:string,start:bigint,stop:bigint>"
 
     def side(begin: str, end: str, whole_left: str, whole_right: str) -> str:
         part = f"substring({text}, cast({begin} + 1 as int), cast({end} - {begin} as int))"
-        kept = f"filter({found(part, 'term', word, 0)}, w -> ({whole_left} or w.start > 0) and ({whole_right} or w.stop < {end} - {begin}))"
+        kept = f"filter({found(part, 'term', WORD, 0)}, w -> ({whole_left} or w.start > 0) and ({whole_right} or w.stop < {end} - {begin}))"
         shifted = f"transform({kept}, w -> named_struct('kind', s.kind, 'value', lower(s.value), 'term', lower(w.value), 'start', w.start + {begin}, 'stop', w.stop + {begin}))"
         return f"filter({shifted}, w -> not exists({spans}, b -> b.start < w.stop and w.start < b.stop))"
 
@@ -91,20 +94,24 @@ def near_terms(text: str, spans: str) -> Column:
     return F.expr(f"flatten(transform({spans}, s -> cast(concat({left}, {right}) as array<{term}>)))")
 
 
-def disclosing(near: DataFrame, texts: DataFrame, total: int) -> DataFrame:
-    """(kind, value, term, share) of the terms that disclose an entity. near: row_id, kind, value, term."""
+def disclosing(near: DataFrame, entities: DataFrame, words: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
+    """(term, share) of the terms that disclose an entity, with the greatest share, and (row_id, term) of all rows that
+    hold a term which stands near an entity in SUPPORT rows. near: row_id, kind, value, term; entities: row_id, kind,
+    value; words: row_id, term, once each."""
     entity = ["kind", "value"]
-    pairs = near.groupBy(*entity, "term").agg(F.countDistinct("row_id").alias("n_both")).where(F.col("n_both") >= SUPPORT)
-    pairs = stored(pairs)
-    n_entity = near.groupBy(*entity).agg(F.countDistinct("row_id").alias("n_entity"))
+    pairs = near.groupBy(*entity, "term").agg(F.countDistinct("row_id").alias("n_near")).where(F.col("n_near") >= SUPPORT)
+    pairs = stored(pairs.drop("n_near"))
     terms = stored(pairs.select("term").distinct())
     listed = F.broadcast(terms) if terms.count() <= BROADCAST_TERMS else terms
-    each = texts.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("term")).where(F.length("term") >= SHORTEST)
-    n_term = each.groupBy("term").agg(F.count("*").alias("n_term")).join(listed, "term")  # not a semi-join: that would be pushed below the count
-    known = pairs.join(n_term, "term").join(n_entity, entity)
+    holds = stored(words.join(listed, "term"))
+    n_term = holds.groupBy("term").agg(F.count("*").alias("n_term"))
+    n_entity = entities.groupBy(*entity).agg(F.count("*").alias("n_entity"))
+    both = entities.join(pairs, entity).join(holds, ["row_id", "term"]).groupBy(*entity, "term").agg(F.count("*").alias("n_both"))
+    known = both.join(n_term, "term").join(n_entity, entity)
     pmi = F.log2(F.lit(float(total)) * F.col("n_both") / (F.col("n_term") * F.col("n_entity")))
     share = F.when(F.col("n_entity") < total, pmi / F.log2(F.lit(float(total)) / F.col("n_entity")))
-    return known.withColumn("share", share).where(F.col("share") >= GENERALISE).select(*entity, "term", "share")
+    telling = known.withColumn("share", share).where(F.col("share") >= GENERALISE)
+    return telling.groupBy("term").agg(F.max("share").alias("share")), holds
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
@@ -116,14 +123,21 @@ def personal_data(docs: DataFrame) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     based = texts.withColumn("spans", base_spans("text"))
     near = F.when(F.size("spans") > 0, near_terms("text", "spans"))
-    rows = stored(based.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "spans", near.alias("near")))
-    seen = rows.select("row_id", F.explode("near").alias("w")).select("row_id", "w.*")
-    telling = stored(disclosing(seen, texts, rows.count()))
-    term = F.struct("start", F.lit(len(KINDS)).alias("rank"), "stop", F.lit("term").alias("kind"), F.col("term").alias("value"))
-    told = seen.join(telling, ["kind", "value", "term"]).groupBy("row_id").agg(F.collect_set(term).alias("terms"), F.collect_set(F.when(F.col("share") >= REMOVE, F.col("start"))).alias("remove"))
-    out = rows.select("row_id", "doc_id", "spans").join(told, "row_id", "left")
-    none = F.expr(f"cast(array() as array<{SPAN}>)")
-    return out.select("doc_id", F.array_sort(F.concat("spans", F.coalesce("terms", none))).alias("spans"), F.coalesce("remove", F.expr("cast(array() as array<bigint>)")).alias("remove"))
+    rows = stored(based.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "text", "spans", near.alias("near")))
+    seen = rows.select("row_id", F.explode("near").alias("w")).select("row_id", "w.kind", "w.value", "w.term")
+    entities = rows.select("row_id", F.explode("spans").alias("s")).select("row_id", "s.kind", F.lower("s.value").alias("value")).distinct()
+    words = rows.select("row_id", F.explode(F.expr(f"array_distinct(transform(regexp_extract_all(text, {literal(WORD)}, 0), w -> lower(w)))")).alias("term"))
+    telling, holds = disclosing(seen, entities, words, rows.count())
+    telling = stored(telling)
+    listed = F.broadcast(telling) if telling.count() <= BROADCAST_TERMS else telling
+    told = holds.join(listed, "term").groupBy("row_id").agg(F.collect_list("term").alias("told"), F.collect_list(F.when(F.col("share") >= REMOVE, F.col("term"))).alias("gone"))
+    none = f"cast(array() as array<{SPAN}>)"
+    all_terms = found("text", "term", WORD, len(KINDS), "array_contains(told, lower(x.v))")
+    free = f"filter({all_terms}, w -> not exists(spans, b -> b.start < w.stop and w.start < b.stop))"
+    lowered = f"transform({free}, w -> named_struct('start', w.start, 'rank', w.rank, 'stop', w.stop, 'kind', w.kind, 'value', lower(w.value)))"
+    out = rows.select("row_id", "doc_id", "text", "spans").join(told, "row_id", "left").withColumn("terms", F.expr(f"if(told is null, {none}, {lowered})"))
+    remove = F.expr("coalesce(transform(filter(terms, w -> array_contains(gone, w.value)), w -> w.start), cast(array() as array<bigint>))")
+    return out.select("doc_id", F.array_sort(F.concat("spans", "terms")).alias("spans"), remove.alias("remove"))
 
 
 def sanitised(text: Column, spans: Column, remove: Column) -> Column:

@@ -58,6 +58,19 @@ def test_disclosing_terms(spark):
     assert "<email>" in text[100] and "joe@" not in text[100] and "wombat" not in text[100] and text[5] == dict(rows)[5]
 
 
+def test_disclosing_terms_are_spans_wherever_they_stand(spark):
+    rng = random.Random(6)
+    far = " ".join(data.text(rng, 60))[:300].strip()
+    rows = [(i, data.text(rng, 40)) for i in range(200)]
+    rows += [(300 + i, f"{data.text(rng, 20)} Wombat joe@mail.org {far} wombat end") for i in range(4)]
+    rows += [(400, "a WOMBAT and wombats; wombat@zoo.org"), (401, "no such")]
+    found = pii.personal_data(data.documents(spark, rows))
+    texts, out = dict(rows), {r["doc_id"]: r for r in found.collect()}
+    terms = {i: [(s["start"], s["stop"]) for s in r["spans"] if s["value"] == "wombat"] for i, r in out.items()}
+    assert {i: x for i, x in terms.items() if x} == {i: [m.span() for m in re.finditer(r"(?i)\bwombat\b(?!@)", texts[i])] for i in (300, 301, 302, 303, 400)}
+    assert all(len(terms[i]) == 2 and terms[i][1][0] - terms[i][0][1] > 200 for i in range(300, 304)) and len(terms[400]) == 1
+
+
 def test_odd_rows(spark):
     out = pii.digest(pii.personal_data(data.odd_documents(spark))).collect()
     assert len(out) == 10 and all(r["spans"] == "" for r in out)
