@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 AROUND, SHORTEST, SUPPORT, GENERALISE, REMOVE = 48, 4, 3, 0.8, 0.95
 #: Beyond so many distinct terms, counts are joined by a shuffle and no longer by a broadcast.
@@ -94,29 +94,37 @@ def near_terms(text: str, spans: str) -> Column:
     return F.expr(f"flatten(transform({spans}, s -> cast(concat({left}, {right}) as array<{term}>)))")
 
 
-def disclosing(near: DataFrame, entities: DataFrame, words: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
-    """(term, share) of the terms that disclose an entity, with the greatest share, and (row_id, term) of all rows that
-    hold a term which stands near an entity in SUPPORT rows. near: row_id, kind, value, term; entities: row_id, kind,
-    value; words: row_id, term, once each."""
+def terms_of(rows: DataFrame) -> DataFrame:
+    """(row_id, term): the distinct terms of each text."""
+    return rows.select("row_id", F.explode(F.expr(f"array_distinct(transform(regexp_extract_all(text, {literal(WORD)}, 0), w -> lower(w)))")).alias("term"))
+
+
+def disclosing(near: DataFrame, entities: DataFrame, held: DataFrame, words: DataFrame, total: int) -> DataFrame:
+    """(term, share) of the terms that disclose an entity, with the greatest share. near: row_id, kind, value, term;
+    entities: row_id, kind, value; words: row_id, term, once each, of all rows; held: the same of rows with entities."""
     entity = ["kind", "value"]
     pairs = near.groupBy(*entity, "term").agg(F.countDistinct("row_id").alias("n_near")).where(F.col("n_near") >= SUPPORT)
     pairs = stored(pairs.drop("n_near"))
-    terms = stored(pairs.select("term").distinct())
-    listed = F.broadcast(terms) if terms.count() <= BROADCAST_TERMS else terms
-    holds = stored(words.join(listed, "term"))
-    n_term = holds.groupBy("term").agg(F.count("*").alias("n_term"))
+    #: Counted before anything is joined to them: as many rows as there are terms, not places.
+    n_term = words.groupBy("term").agg(F.count("*").alias("n_term"))
+    n_term = stored(n_term.join(pairs.select("term").distinct(), "term"))
     n_entity = entities.groupBy(*entity).agg(F.count("*").alias("n_entity"))
-    both = entities.join(pairs, entity).join(holds, ["row_id", "term"]).groupBy(*entity, "term").agg(F.count("*").alias("n_both"))
+    #: n(t, e) is counted in the rows of the entity only.
+    both = entities.join(pairs, entity).join(held, ["row_id", "term"]).groupBy(*entity, "term").agg(F.count("*").alias("n_both"))
     known = both.join(n_term, "term").join(n_entity, entity)
     pmi = F.log2(F.lit(float(total)) * F.col("n_both") / (F.col("n_term") * F.col("n_entity")))
     share = F.when(F.col("n_entity") < total, pmi / F.log2(F.lit(float(total)) / F.col("n_entity")))
     telling = known.withColumn("share", share).where(F.col("share") >= GENERALISE)
-    return telling.groupBy("term").agg(F.max("share").alias("share")), holds
+    out = stored(telling.groupBy("term").agg(F.max("share").alias("share")))
+    discard(pairs)
+    discard(n_term)
+    return out
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id and `spans`, an array of (start, rank, stop, kind, value) with kinds email, ip,
-    card, phone and term, by start and then by kind; `remove` holds the starts of terms to be removed.
+    """One row per document: doc_id, `spans`, an array of (start, rank, stop, kind, value) with kinds email, ip, card,
+    phone and term, by start and then by kind, `remove`, the starts of the terms to be removed, and `clean`, the text
+    with spans replaced or removed.
 
     Null text counts as empty, and both have no spans. Repeated rows and null doc_ids are treated row by row. A text of
     any length is searched whole. Only doc_id and text are read. An empty table gives no rows."""
@@ -126,18 +134,18 @@ def personal_data(docs: DataFrame) -> DataFrame:
     rows = stored(based.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "text", "spans", near.alias("near")))
     seen = rows.select("row_id", F.explode("near").alias("w")).select("row_id", "w.kind", "w.value", "w.term")
     entities = rows.select("row_id", F.explode("spans").alias("s")).select("row_id", "s.kind", F.lower("s.value").alias("value")).distinct()
-    words = rows.select("row_id", F.explode(F.expr(f"array_distinct(transform(regexp_extract_all(text, {literal(WORD)}, 0), w -> lower(w)))")).alias("term"))
-    telling, holds = disclosing(seen, entities, words, rows.count())
-    telling = stored(telling)
+    words = terms_of(rows)
+    telling = disclosing(seen, entities, terms_of(rows.where(F.size("spans") > 0)), words, rows.count())
     listed = F.broadcast(telling) if telling.count() <= BROADCAST_TERMS else telling
-    told = holds.join(listed, "term").groupBy("row_id").agg(F.collect_list("term").alias("told"), F.collect_list(F.when(F.col("share") >= REMOVE, F.col("term"))).alias("gone"))
+    told = words.join(listed, "term").groupBy("row_id").agg(F.collect_list("term").alias("told"), F.collect_list(F.when(F.col("share") >= REMOVE, F.col("term"))).alias("gone"))
     none = f"cast(array() as array<{SPAN}>)"
     all_terms = found("text", "term", WORD, len(KINDS), "array_contains(told, lower(x.v))")
     free = f"filter({all_terms}, w -> not exists(spans, b -> b.start < w.stop and w.start < b.stop))"
     lowered = f"transform({free}, w -> named_struct('start', w.start, 'rank', w.rank, 'stop', w.stop, 'kind', w.kind, 'value', lower(w.value)))"
     out = rows.select("row_id", "doc_id", "text", "spans").join(told, "row_id", "left").withColumn("terms", F.expr(f"if(told is null, {none}, {lowered})"))
     remove = F.expr("coalesce(transform(filter(terms, w -> array_contains(gone, w.value)), w -> w.start), cast(array() as array<bigint>))")
-    return out.select("doc_id", F.array_sort(F.concat("spans", "terms")).alias("spans"), remove.alias("remove"))
+    out = out.select("doc_id", "text", F.array_sort(F.concat("spans", "terms")).alias("spans"), remove.alias("remove"))
+    return out.select("doc_id", "spans", "remove", sanitised(F.col("text"), F.col("spans"), F.col("remove")).alias("clean"))
 
 
 def sanitised(text: Column, spans: Column, remove: Column) -> Column:
@@ -154,11 +162,11 @@ def sanitised(text: Column, spans: Column, remove: Column) -> Column:
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """Counts by kind, the checksum of the base spans, and all spans as text."""
+    """Counts by kind, the checksum of the base spans, all spans as text, and the text without them."""
 
     def written(spans: Column) -> Column:
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["stop"])), ",")
 
     base = F.filter("spans", lambda s: s["kind"] != "term")
     counts = [F.expr(f"cast(size(filter(spans, s -> s.kind = '{k}')) as bigint)").alias(f"n_{k}") for k in (*KINDS, "term")]
-    return found.select("doc_id", *counts, F.sha2(written(base), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(written(base), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"), "clean")
