@@ -64,3 +64,8 @@ def boosted(similarity: Column, membership: Column, members: Column) -> Column:
 
 def dynamic_threshold(readings: Column) -> Column:
     return F.least(80 + 5 * (readings - 1), F.lit(90))
+
+
+def combined_weight(weight: Column, confidence: Column, temporal: Column) -> Column:
+    """Weight of an edge: its own times its confidence times what time leaves of it."""
+    return weight * confidence * temporal

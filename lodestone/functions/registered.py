@@ -27,6 +27,21 @@ def register(spark: SparkSession) -> None:
     spark.udtf.register("json_leaves", JsonLeaves)
 
 
+#: name, arguments, columns and query of table functions over three tables: vectors, rows and the rows as they are now.
+TABLES = (
+    ("related_memories", "id BIGINT, least DOUBLE", "vec_id BIGINT, score DOUBLE", "SELECT v.vec_id, cosine(cast(v.prompt_vector as array<double>), cast(q.prompt_vector as array<double>)) FROM {0} v JOIN {0} q ON q.vec_id = related_memories.id AND v.vec_id <> q.vec_id WHERE cosine(cast(v.prompt_vector as array<double>), cast(q.prompt_vector as array<double>)) >= related_memories.least"),
+    ("stale_references", "days INT", "interaction_id STRING, age BIGINT", "SELECT interaction_id, floor((unix_timestamp(as_of) - unix_timestamp(last_accessed)) / 86400) FROM {1} WHERE floor((unix_timestamp(as_of) - unix_timestamp(last_accessed)) / 86400) > stale_references.days"),
+    ("reference_drift", "", "interaction_id STRING, old DOUBLE, new DOUBLE", "SELECT coalesce(o.interaction_id, n.interaction_id), o.weight, n.weight FROM {1} o FULL JOIN {2} n ON o.interaction_id = n.interaction_id WHERE NOT o.weight <=> n.weight"),
+    ("unsafe_in_time", "days INT", "interaction_id STRING", "SELECT interaction_id FROM {1} WHERE NOT is_validated OR floor((unix_timestamp(as_of) - unix_timestamp(last_accessed)) / 86400) > unsafe_in_time.days"),
+)
+
+
+def register_tables(spark: SparkSession, vectors: str, rows: str, new: str) -> None:
+    """Makes the table functions over three views known to a session: they are queries, which the optimiser sees through."""
+    for name, arguments, columns, body in TABLES:
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({arguments}) RETURNS TABLE ({columns}) RETURN {body.format(vectors, rows, new)}")
+
+
 @udtf(returnType="path string, value string, depth int, violation string")
 class JsonLeaves:
     """Every value of a JSON text with its path; a path deeper than ten levels and a text that is no JSON are violations,

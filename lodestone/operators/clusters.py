@@ -13,40 +13,52 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import numbers as W
 
-#: Vectors that one block of exact clustering holds at most; larger labels are split by hash.
-BLOCK = 500
+from . import memory as O
 
+#: Clustering starts from so many vectors, the latest ones.
+CANDIDATES = 500
 
-def average_linkage(vectors: DataFrame, stop: float = 0.3, block: int = BLOCK) -> DataFrame:
-    """(label, block, vec_id, cluster): agglomerative clusters by average linkage of cosine distance within blocks,
-    merged until the nearest two are further apart than `stop`. A block has about `block` vectors, so a task's memory
-    is bounded whatever a label holds; cluster is its smallest vec_id."""
-    sizes = vectors.groupBy("label").agg(F.ceil(F.count("*") / block).alias("blocks"))
-    dealt = vectors.join(F.broadcast(sizes), "label").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")))
+
+def average_linkage(vectors: DataFrame, stop: float = 0.3, most: int = CANDIDATES) -> DataFrame:
+    """(vec_id, cluster, candidate): agglomerative clusters by average linkage of cosine distance of the latest `most`
+    vectors (by vec_id), merged until the nearest two are further apart than `stop`; every other vector joins the nearest
+    of these clusters by its centroid, if that is within `stop`, else it is a cluster of its own. A cluster is named by
+    its smallest candidate. The candidates are one group of bounded size, and their centroids a table of `most` rows."""
+    latest = vectors.select("vec_id", F.col("prompt_vector").cast("array<double>").alias("v")).orderBy(F.desc("vec_id")).limit(most)
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack([np.asarray(v, float) for v in pdf["prompt_vector"]])
+        x = np.stack([np.asarray(v, float) for v in pdf["v"]])
         x = x / np.maximum(1e-12, np.linalg.norm(x, axis=1))[:, None]
         ids = pdf["vec_id"].to_numpy()
-        n = len(x)
-        d, size, own = 1 - x @ x.T, np.ones(n), [[i] for i in range(n)]
-        np.fill_diagonal(d, np.inf)
-        while True:
-            i, j = np.unravel_index(d.argmin(), d.shape)
-            if not d[i, j] <= stop:
-                break
-            row = (d[i] * size[i] + d[j] * size[j]) / (size[i] + size[j])
-            d[i], d[:, i] = row, row
-            d[i, i] = d[j] = d[:, j] = np.inf
-            size[i], own[i], own[j] = size[i] + size[j], own[i] + own[j], []
-        cluster = np.empty(n, np.int64)
+        own = merged(1 - x @ x.T, stop)
+        cluster = np.empty(len(x), np.int64)
         for c in own:
-            if c:
-                cluster[c] = ids[c].min()
-        return pd.DataFrame({"label": pdf["label"], "block": pdf["block"], "vec_id": ids, "cluster": cluster})
-
-    cols = dealt.select("label", "block", "vec_id", "prompt_vector")
-    return cols.groupBy("label", "block").applyInPandas(merge, "label int, block long, vec_id long, cluster long")
+            cluster[c] = ids[c].min()
+        return pd.DataFrame({"vec_id": ids, "cluster": cluster})
+
+    placed = latest.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(merge, "vec_id long, cluster long")
+    both = latest.join(placed, "vec_id")
+    centres = both.select(F.col("cluster").alias("label"), F.col("v").alias("prompt_vector"))
+    rest = vectors.join(placed.select("vec_id"), "vec_id", "left_anti")
+    near = O.recommended(rest, O.centroids(centres), 1)
+    joined = near.select("vec_id", F.when(1 - F.col("score") <= stop, F.col("cluster")).otherwise(F.col("vec_id")).alias("cluster"), F.lit(False).alias("candidate"))
+    return placed.withColumn("candidate", F.lit(True)).unionByName(joined)
+
+
+def merged(d: np.ndarray, stop: float) -> list[list[int]]:
+    """Members of the clusters of a distance matrix by average linkage."""
+    n = len(d)
+    size, own = np.ones(n), [[i] for i in range(n)]
+    np.fill_diagonal(d, np.inf)
+    while n:
+        i, j = np.unravel_index(d.argmin(), d.shape)
+        if not d[i, j] <= stop:
+            break
+        row = (d[i] * size[i] + d[j] * size[j]) / (size[i] + size[j])
+        d[i], d[:, i] = row, row
+        d[i, i] = d[j] = d[:, j] = np.inf
+        size[i], own[i], own[j] = size[i] + size[j], own[i] + own[j], []
+    return [c for c in own if c]
 
 
 def bisecting(vectors: DataFrame, k: int) -> DataFrame:
@@ -74,7 +86,7 @@ def probe_lists(vectors: DataFrame, queries: DataFrame, lists: int = 16, probes:
 def embedded(texts: DataFrame, model, column: str = "text", size: int = 64) -> DataFrame:
     """Adds `vector` by a given model: a function that returns, once per worker, one from texts to a matrix."""
 
-    def run(batches):
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encode = model()
         for texts_ in batches:
             yield pd.Series(list(encode(texts_.fillna("").tolist())))

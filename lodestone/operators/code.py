@@ -37,14 +37,14 @@ def cognitive(code: Column) -> Column:
 
 def halstead_difficulty(code: Column) -> Column:
     ops = F.regexp_extract_all(code, F.lit(r"[+\-*/=<>!&|%^~]+"), F.lit(0))
-    words = F.regexp_extract_all(code, F.lit(r"\b[a-zA-Z_]\w*\b"), F.lit(0))
+    words = F.regexp_extract_all(code, F.lit(r"[a-zA-Z_][A-Za-z0-9_]*"), F.lit(0))
     unique = F.size(F.array_distinct(words))
     return F.when(unique > 0, F.size(F.array_distinct(ops)) / 2 * F.size(words) / unique).otherwise(F.lit(0.0))
 
 
 def maintainability(code: Column) -> Column:
     """171 less terms in volume, complexity and lines, scaled to 0 to 100."""
-    words = F.size(F.regexp_extract_all(code, F.lit(r"\w+|[^\s\w]"), F.lit(0)))
+    words = F.size(F.regexp_extract_all(code, F.lit(r"[A-Za-z0-9_]+|[^\sA-Za-z0-9_]"), F.lit(0)))
     volume = F.greatest(F.lit(1.0), words * F.log2(F.greatest(F.lit(2), words)))
     lines = F.greatest(F.lit(1), F.size(F.split(code, "\n")))
     score = 171 - 5.2 * F.ln(volume) - 0.23 * cyclomatic(code) - 16.2 * F.ln(lines)
@@ -107,3 +107,9 @@ def quality(code: Column) -> Column:
         )
     )
     return F.struct(F.greatest(F.lit(0.0), 1.0 - 0.2 * F.size(issues)).alias("score"), issues.alias("issues"))
+
+
+def documentation_coverage(files: DataFrame, key: str) -> DataFrame:
+    """Files, those documented, the share and what to do, by a key. files: key, documented."""
+    out = files.groupBy(key).agg(F.count("*").alias("files"), F.count_if("documented").alias("documented")).withColumn("coverage", F.col("documented") / F.col("files"))
+    return out.withColumn("recommendation", F.when(F.col("coverage") >= 0.8, "keep").when(F.col("coverage") >= 0.5, "extend").otherwise("write"))

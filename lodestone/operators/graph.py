@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import numbers as W
 from lodestone.functions import text as X
+from lodestone.streaming.jobs import shared_dir
+
+from . import code as N
 
 
 def memory_nodes(memories: DataFrame) -> DataFrame:
@@ -23,6 +24,13 @@ def memory_nodes(memories: DataFrame) -> DataFrame:
     )
 
 
+def code_nodes(files: DataFrame) -> DataFrame:
+    """(id, type, title): a module a file, and its functions and classes. files: file, text."""
+    modules = files.select(F.concat(F.lit("file_"), "file").alias("id"), F.lit("module").alias("type"), F.col("file").cast("string").alias("title"))
+    own = N.definitions(files).select(F.concat_ws(":", F.col("file").cast("string"), "name").alias("id"), F.col("kind").alias("type"), F.col("name").alias("title"))
+    return modules.unionByName(own)
+
+
 def semantic_edges(pairs: DataFrame) -> DataFrame:
     """Edges of pairs (source, target, similarity, hours): type by similarity, weight by it and by time."""
     kind = F.when(F.col("similarity") >= 0.9, "similar_to").when(F.col("similarity") >= 0.8, "related_to").otherwise("references")
@@ -54,6 +62,17 @@ def queried(nodes: DataFrame, edges: DataFrame, keep: Column, order: list[Column
     return found, induced(found, edges.where(F.col("weight") >= least))
 
 
+def edges_of(edges: DataFrame, kinds: list[str], least: float = 0.0, sure: float = 0.0) -> DataFrame:
+    """Edges of some types, of a least weight and confidence."""
+    return edges.where(F.col("type").isin(*kinds) & (F.col("weight") >= least) & (F.col("confidence") >= sure))
+
+
+def banded(degrees: DataFrame) -> DataFrame:
+    """degrees() with the band of coupling, and whether a node has no edge."""
+    band = F.when(F.col("coupling") >= 0.7, "high").when(F.col("coupling") >= 0.4, "medium").otherwise("low")
+    return degrees.withColumns({"band": band, "isolated": F.col("in_degree") + F.col("out_degree") == 0})
+
+
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, out_degree, in_degree, coupling) of all nodes."""
     out = edges.groupBy(F.col("source").alias("id")).agg(F.count("*").alias("out_degree"))
@@ -96,26 +115,24 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """df written to the checkpoint folder that the session names; one of its own only where none is named."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestone-"))
+        context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
 
 
-def components(edges: DataFrame, rounds: int = 20) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(id, component): the smallest id that a node reaches. Least labels spread over edges, and each round follows the
-    label's own label, so long chains halve; a checkpoint a round cuts lineage."""
+    label's own label, so long chains halve; a checkpoint a round cuts lineage. Rounds end when one changes nothing."""
     both = edges.select("source", "target").unionByName(edges.select(F.col("target").alias("source"), F.col("source").alias("target"))).distinct()
     label = both.groupBy(F.col("source").alias("id")).agg(F.least(F.col("source"), F.min("target")).alias("component"))
-    before = None
-    for _ in range(rounds):
+    while True:
         near = both.join(label, both["target"] == label["id"]).groupBy("source").agg(F.min("component").alias("near"))
         low = label.join(near, label["id"] == near["source"], "left").select("id", F.least("component", F.coalesce("near", "component")).alias("component"))
         hop = low.select(F.col("id").alias("component"), F.col("component").alias("next"))
-        label = checkpointed(low.join(hop, "component", "left").select("id", F.coalesce("next", "component").alias("component")))
-        now = label.agg(F.sum(F.xxhash64("id", "component").cast("decimal(38,0)"))).first()[0]
-        if now == before:
-            break
-        before = now
-    return label
+        new = checkpointed(low.join(hop, "component", "left").select("id", F.coalesce("next", "component").alias("component")))
+        moved = new.join(label.select("id", F.col("component").alias("old")), "id").where("component <> old")
+        if moved.isEmpty():
+            return new
+        label = new
 
 
 def centrality(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import numbers as W
@@ -130,6 +130,22 @@ def overall_confidence(connections: DataFrame) -> DataFrame:
     return connections.groupBy("query_id").agg((F.sum(F.col("strength") / F.col("rank")) / F.sum(1 / F.col("rank"))).alias("confidence"))
 
 
+def safe(connections: DataFrame, concrete: DataFrame, least: float = 0.3) -> DataFrame:
+    """Connections strong enough, to memories without a concrete reference. concrete: memory_id, has_concrete."""
+    clean = concrete.where(~F.col("has_concrete")).select("memory_id")
+    return connections.where(F.col("strength") >= least).join(clean, "memory_id", "left_semi")
+
+
+def group_dimension(spark: SparkSession) -> DataFrame:
+    """(grp, intent): which intents go together, as a table of a few rows."""
+    return spark.createDataFrame([(i, x) for i, g in enumerate(GROUPS) for x in g], "grp int, intent string")
+
+
+def boost(asked: Column, intent: Column) -> Column:
+    """What a memory's intent adds to its score: 0.3 if it is the query's, 0.1 if it goes with it."""
+    return F.when(asked == intent, 0.3).when(related(asked, intent), 0.1).otherwise(0.0)
+
+
 def explained(connections: DataFrame) -> DataFrame:
     """A sentence for each connection."""
     how = F.when(F.col("strength") >= 0.9, "very strongly").when(F.col("strength") >= 0.7, "strongly").otherwise("somewhat")

@@ -6,6 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,16 +55,19 @@ def latest(rows: DataFrame, keys: list[str], order: str, columns: list[str]) ->
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*columns), F.struct(order, *columns)).alias("x")).select(*keys, "x.*")
 
 
-def tag_overlap(notes: DataFrame, most: int = 1000) -> DataFrame:
-    """Pairs (a, b), a < b, of notes that share a tag, with how many. notes: note, tags. A tag on more than `most` notes
-    tells nothing and is left out; `most` is a parameter of the feature."""
+def tag_overlap(notes: DataFrame, asked: DataFrame) -> DataFrame:
+    """Pairs (a, b) of an asked note and any other note that share a tag, with how many: a stated set (column note)
+    against all notes, whatever the number of notes a tag is on. notes: note, tags."""
     each = notes.select("note", F.explode(F.array_distinct("tags")).alias("tag"))
-    told = each.groupBy("tag").agg(F.count("*").alias("n")).where((F.col("n") > 1) & (F.col("n") <= most)).select("tag")
-    own = each.join(told, "tag")
-    both = own.select("tag", F.col("note").alias("a")).join(own.select("tag", F.col("note").alias("b")), "tag").where("a < b")
+    own = each.join(asked.select("note"), "note", "left_semi").select("tag", F.col("note").alias("a"))
+    both = own.join(each.select("tag", F.col("note").alias("b")), "tag").where("a <> b")
     return both.groupBy("a", "b").agg(F.count("*").alias("shared"))
 
 
+#: A batch of text queries and their distinct trigrams make a table of so many cells at most.
+MOST_CELLS = 50_000_000
+
+
 def text_search(texts: DataFrame, queries: DataFrame, least: float = 0.3, k: int = 10, most: int = 100_000) -> DataFrame:
     """The k texts most like each query by trigrams, of those of at least `least`. texts: id, text; queries: query_id,
     query: a stated set, at most `most`, that goes to every task. A batch of texts and all queries are compared by one
@@ -71,6 +76,8 @@ def text_search(texts: DataFrame, queries: DataFrame, least: float = 0.3, k: int
     if len(asked) > most:
         raise ValueError(f"more than {most} queries; search for them in parts")
     index = {g: i for i, g in enumerate(sorted({g for r in asked for g in r["g"] or ()}))}
+    if len(index) * len(asked) > MOST_CELLS:
+        raise ValueError("the queries and their trigrams are too many; search for them in parts")
     ids, matrix = [r["query_id"] for r in asked], np.zeros((len(index), len(asked)), np.float32)
     for j, r in enumerate(asked):
         matrix[[index[g] for g in r["g"] or ()], j] = 1
@@ -101,13 +108,58 @@ def related_vectors(vectors: DataFrame, sources: DataFrame, least: float = 0.7,
     """The k vectors nearest to each source by the greater cosine of prompt and response, at least `least`.
 
     vectors: vec_id, prompt_vector, response_vector; sources: source_id, vector: a stated, small set of queries."""
-    few = F.broadcast(sources)
-    both = vectors.crossJoin(few).where("vec_id <> source_id")
+    both = vectors.crossJoin(stated(sources)).where("vec_id <> source_id")
     score = F.greatest(W.cosine(F.col("prompt_vector"), F.col("vector")), W.cosine(F.col("response_vector"), F.col("vector")))
     place = F.row_number().over(Window.partitionBy("source_id").orderBy(F.desc("score"), "vec_id"))
     return both.withColumn("score", score).where(F.col("score") >= least).withColumn("rank", place).where(F.col("rank") <= k).select("source_id", "rank", "vec_id", "score")
 
 
+def similar_vectors(vectors: DataFrame, sources: DataFrame, least: float) -> DataFrame:
+    """(source_id, vec_id, score): every vector whose cosine with a source reaches `least`. sources: a stated set."""
+    both = vectors.select("vec_id", "prompt_vector").crossJoin(stated(sources)).where("vec_id <> source_id")
+    return both.select("source_id", "vec_id", W.cosine(F.col("prompt_vector"), F.col("vector")).alias("score")).where(F.col("score") >= least)
+
+
+#: So many clusters are compared with every vector at most; beyond, use the inverted lists.
+MOST_CLUSTERS = 10_000
+#: So many stated queries go to every task at once; more must come in parts.
+MOST_QUERIES = 100_000
+
+
+def stated(queries: DataFrame, most: int = MOST_QUERIES) -> DataFrame:
+    """A stated set of queries, broadcast: at most `most`, which is checked."""
+    if queries.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} queries; search for them in parts")
+    return F.broadcast(queries)
+
+
+def alike_pairs(vectors: DataFrame, asked: DataFrame, least: float) -> DataFrame:
+    """(a, b, similarity) of each asked vector (source_id, vector: a stated set) and all others of at least `least`, by
+    cosine. A batch of vectors and all queries are one matrix product; only the pairs found leave the task."""
+    few = asked.select("source_id", F.col("vector").cast("array<double>")).limit(MOST_QUERIES + 1).collect()
+    if len(few) > MOST_QUERIES:
+        raise ValueError(f"more than {MOST_QUERIES} queries; search for them in parts")
+    if not few:
+        return vectors.sparkSession.createDataFrame([], "a long, b long, similarity double")
+    q = np.array([r["vector"] for r in few])
+    q = q / np.maximum(1e-300, np.sqrt((q * q).sum(1)))[:, None]
+    shared = vectors.sparkSession.sparkContext.broadcast((np.array([r["source_id"] for r in few], np.int64), q))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, q = shared.value
+        for batch in batches:
+            for a in range(0, batch.num_rows, 1024):
+                part = batch.slice(a, 1024)
+                x = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
+                own = part.column(0).to_numpy()
+                score = x @ q.T / np.maximum(1e-300, np.sqrt((x * x).sum(1)))[:, None]
+                i, j = np.nonzero((score >= least) & (own[:, None] != ids[None]))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[j]), pa.array(own[i]), pa.array(score[i, j])], ["a", "b", "similarity"])
+
+    same = vectors.where(F.size("prompt_vector") == q.shape[1])
+    return same.select(F.col("vec_id").cast("long"), F.col("prompt_vector").cast("array<double>")).mapInArrow(compare, "a long, b long, similarity double")
+
+
 def labelled(related: DataFrame, edges: DataFrame) -> DataFrame:
     """Adds the kind of an existing relationship, or `similar`."""
     known = edges.groupBy(F.col("source").alias("source_id"), F.col("target").alias("vec_id")).agg(F.min("kind").alias("kind"))
@@ -115,21 +167,20 @@ def labelled(related: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def centroids(vectors: DataFrame, weight: Column | None = None) -> DataFrame:
-    """(label, centroid): the weighted mean of a label's vectors, number by number, so no group is gathered."""
+    """(label, centroid): the weighted mean of a label's vectors. Each task sums up its own vectors first."""
     w = F.lit(1.0) if weight is None else weight
-    each = vectors.select("label", w.alias("w"), F.posexplode("prompt_vector").alias("at", "x"))
-    mean = each.groupBy("label", "at").agg((F.sum(F.col("w") * F.col("x").cast("double")) / F.sum("w")).alias("x"))
-    return mean.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("at", "x"))).alias("v")).select("label", F.col("v.x").alias("centroid"))
+    told = vectors.select("label", w.cast("double").alias("w"), array_to_vector(F.col("prompt_vector").cast("array<double>")).alias("v"))
+    return told.groupBy("label").agg(Summarizer.mean(F.col("v"), F.col("w")).alias("m")).select("label", vector_to_array("m").alias("centroid"))
 
 
 def memberships(vectors: DataFrame, centres: DataFrame) -> DataFrame:
     """(label, vec_id, score): cosine of each vector with its label's centroid. Centroids are one row a label."""
-    return vectors.join(F.broadcast(centres), "label").select("label", "vec_id", W.cosine(F.col("prompt_vector"), F.col("centroid")).alias("score"))
+    return vectors.join(centres, "label").select("label", "vec_id", W.cosine(F.col("prompt_vector"), F.col("centroid")).alias("score"))
 
 
 def recommended(vectors: DataFrame, centres: DataFrame, k: int = 3) -> DataFrame:
     """The k clusters whose centroids are nearest to each vector."""
-    both = vectors.crossJoin(F.broadcast(centres.withColumnRenamed("label", "cluster")))
+    both = vectors.crossJoin(stated(centres.withColumnRenamed("label", "cluster"), MOST_CLUSTERS))
     score = W.cosine(F.col("prompt_vector"), F.col("centroid"))
     place = F.row_number().over(Window.partitionBy("vec_id").orderBy(F.desc("score"), "cluster"))
     return both.withColumn("score", score).withColumn("rank", place).where(F.col("rank") <= k).select("vec_id", "rank", "cluster", "score")
@@ -141,7 +192,7 @@ def cluster_statistics(members: DataFrame) -> DataFrame:
 
 def boosted_search(found: DataFrame, members: DataFrame, sizes: DataFrame, k: int = 10) -> DataFrame:
     """Search hits (query_id, id, score) raised by their cluster's membership and size; hits without a cluster stay."""
-    joined = found.join(members.select(F.col("vec_id").alias("id"), "label", F.col("score").alias("membership")), "id", "left").join(F.broadcast(sizes), "label", "left")
+    joined = found.join(members.select(F.col("vec_id").alias("id"), "label", F.col("score").alias("membership")), "id", "left").join(sizes, "label", "left")
     score = W.boosted(F.col("score"), F.col("membership"), F.col("members"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("boosted"), "id"))
     return joined.withColumn("boosted", score).withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "id", "label", "boosted")
@@ -199,6 +250,6 @@ def intent_search(found: DataFrame, intents: DataFrame, k: int = 10) -> DataFram
 
     q = intents.select(F.col("id").alias("query_id"), F.col("intent").alias("__q"))
     both = found.join(q, "query_id", "left").join(intents.select("id", "intent"), "id", "left")
-    more = F.when(F.col("__q") == F.col("intent"), 0.3).when(I.related(F.col("__q"), F.col("intent")), 0.1).otherwise(0.0)
+    more = I.boost(F.col("__q"), F.col("intent"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return both.withColumn("score", F.least(F.lit(1.0), F.col("score") + more)).withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")

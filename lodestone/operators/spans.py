@@ -9,6 +9,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.functions import text as X
+
+from . import detect
+
 #: Patterns of references (name, type, confidence, pattern).
 PATTERNS = (
     ("unix_absolute", "file_path", 0.9, r"(?<![\w/])/(?:[a-zA-Z0-9_\-.]+/)*[a-zA-Z0-9_\-.]+\b"),
@@ -105,12 +109,10 @@ def by_type(kind: Column, value: Column) -> Column:
     low = F.lower(value)
     path = F.when(low.rlike(r"^(/home|/users|~)"), "<user_home>/<file_path>").when(low.rlike(r"\.(py|js|ts|java|go|rs)$"), "<source_file>").when(low.rlike(r"\.(json|ya?ml|toml|ini|env)$"), "<config_file>").otherwise("<file_path>")
     url = F.when(low.rlike("^(postgresql|mysql|mongodb|redis)://"), "<database_url>").when(low.contains("api"), "<api_endpoint>").otherwise("<url>")
-    from lodestone.functions.text import ip_class
-
     return (
         F.when(kind == "file_path", path)
         .when(kind == "url", url)
-        .when(kind == "ip_address", F.concat(F.lit("<"), ip_class(value), F.lit(">")))
+        .when(kind == "ip_address", F.concat(F.lit("<"), X.ip_class(value), F.lit(">")))
         .when(kind == "identifier", F.when(value.rlike("^[0-9]+$"), "<numeric_id>").otherwise("<uuid>"))
         .when(kind == "container", "<container_name>")
         .when(kind == "config", "<config_value>")
@@ -147,6 +149,33 @@ def quality_score(parts: dict[str, Column]) -> Column:
     return sum((parts[k] * w for k, w in QUALITY.items()), F.lit(0.0))
 
 
+#: Placeholders that say little of what they stand for.
+GENERIC = ("<value>", "<data>", "<item>", "<thing>", "<object>", "<placeholder>", "<config_value>")
+
+
+def quality_parts(text: Column, abstract: Column) -> Column:
+    """struct of the six parts of an abstraction's quality: specific placeholders, one style of names, nothing concrete
+    left, length kept, placeholders that are used once, and few kinds of them. Without placeholders each is 1."""
+    held, kinds = X.placeholders(abstract), F.array_distinct(X.placeholders(abstract))
+    n, k = F.size(held), F.size(kinds)
+
+    def share(part: Column, of: Column) -> Column:
+        return F.when(of > 0, part / of).otherwise(1.0)
+
+    return F.struct(
+        share(F.size(F.filter(held, lambda x: ~x.isin(*GENERIC))), n).alias("specificity"),
+        share(F.size(F.filter(kinds, lambda x: x == F.lower(x))), k).alias("consistency"),
+        F.when(F.size(detect.found_values(abstract)) == 0, 1.0).otherwise(0.0).alias("completeness"),
+        F.when(F.length(text) > 0, F.least(F.lit(1.0), F.length(abstract) / F.length(text))).otherwise(1.0).alias("semantic"),
+        share(k, n).alias("efficiency"),
+        F.when(k <= 10, 1.0).otherwise(10.0 / k).alias("maintainability"),
+    )
+
+
+def quality_level(score: Column) -> Column:
+    return F.when(score >= 0.9, "excellent").when(score >= 0.75, "good").when(score >= 0.6, "fair").otherwise("poor")
+
+
 def first_failure(stages: list[tuple[str, Column]]) -> Column:
     """The name of the first stage that doesn't hold; null if all do. Null counts as not holding."""
     out = F.lit(None).cast("string")

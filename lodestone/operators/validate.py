@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as X
@@ -185,6 +185,28 @@ def density_valid(text: Column, least: float = 0.1) -> Column:
     return X.placeholder_density(text) >= least
 
 
+def semantic_quality(text: Column, abstract: Column) -> Column:
+    """struct<score, issues>: 1 less 0.4 if over half of the words are placeholders, 0.2 if lines are lost or added, and
+    0.3 if fewer than seven tenths of the words are left."""
+    words = lambda t: F.size(F.filter(F.split(t, r"\s+"), lambda w: w != ""))
+    before, after, held = words(text), words(abstract), X.placeholder_count(abstract)
+    lines = lambda t: F.size(F.split(t, "\n"))
+    found = (
+        ("over_abstracted", 0.4, (after > 0) & (held / after > 0.5)),
+        ("structure_lost", 0.2, lines(text) != lines(abstract)),
+        ("meaning_lost", 0.3, (before > 0) & (after / before < 0.7)),
+    )
+    score = 1.0 - sum((F.when(c, w).otherwise(0.0) for _, w, c in found), F.lit(0.0))
+    return F.struct(F.greatest(F.lit(0.0), score).alias("score"), F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, _, c in found])).alias("issues"))
+
+
+def corpus_audit(files: DataFrame, key: str) -> DataFrame:
+    """Files checked, passed and failed by a key, the rate, and a verdict: safe from 95 %, review from 80 %. files: key,
+    ok."""
+    out = files.groupBy(key).agg(F.count("*").alias("checked"), F.count_if("ok").alias("passed"), F.count_if(~F.col("ok")).alias("failed"), F.avg(F.col("ok").cast("int")).alias("rate"))
+    return out.withColumn("verdict", F.when(F.col("rate") >= 0.95, "safe").when(F.col("rate") >= 0.8, "review").otherwise("unsafe"))
+
+
 def overall_quality(density: Column, consistent: Column, complete: Column, semantic: Column, safety: Column) -> Column:
     return (0.25 * density + 0.25 * consistent + 0.3 * complete + 0.2 * semantic) * 0.8 + 0.2 * safety
 

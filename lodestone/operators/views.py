@@ -157,6 +157,31 @@ def page(rows: DataFrame, order: list[Column], number: int, size: int = 20, most
     return rows.orderBy(*order).offset((number - 1) * size).limit(size)
 
 
+def listed(rows: DataFrame, as_of: Column, kinds: list[str], days: int, limit: int = 20, most: int = 50) -> DataFrame:
+    """Rows of some types accessed within some days, latest first; a list holds `most` rows at most."""
+    since = as_of - F.expr(f"interval {days} days")
+    found = rows.where(F.col("interaction_type").isin(*kinds) & (F.col("last_accessed") > since))
+    return found.orderBy(F.desc("last_accessed"), "interaction_id").limit(min(limit, most))
+
+
+def sorted_page(rows: DataFrame, column: str, direction: str, allowed: list[str], key: str, number: int, size: int = 20) -> DataFrame:
+    """A page by a column that a caller names: only those allowed, in a known direction; ties by key."""
+    if column not in allowed or direction not in ("asc", "desc"):
+        raise ValueError(f"can't sort by {column} {direction}")
+    return page(rows, [F.col(column).desc() if direction == "desc" else F.col(column).asc(), F.col(key)], number, size)
+
+
+def candidates(rows: DataFrame, most: int = 500) -> DataFrame:
+    """The rows accessed last, so many at most: what interactive clustering starts from."""
+    return rows.orderBy(F.desc("last_accessed"), "interaction_id").limit(most)
+
+
+def by_category(docs: DataFrame) -> DataFrame:
+    """docs once for each category, that of their own (column category) and those of their tags."""
+    each = F.array_distinct(F.array_compact(F.concat(F.array("category"), F.coalesce("tags", F.array().cast("array<string>")))))
+    return docs.withColumn("category", F.explode(each))
+
+
 def audit(rows: DataFrame, rules: dict[str, str]) -> DataFrame:
     """How many rows break each rule, a SQL condition; null counts as kept."""
     counts = rows.agg(*[F.count_if(~F.coalesce(F.expr(c), F.lit(True))).alias(n) for n, c in rules.items()])

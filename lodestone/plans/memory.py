@@ -95,9 +95,11 @@ def notes(spark, folder):
     return read(spark, folder, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("note"), words.alias("tags"))
 
 
-@query("j17_tag_overlap", f"WITH {NOTES}, e AS (SELECT note, unnest(tags) AS tag FROM notes), k AS (SELECT tag FROM e GROUP BY tag HAVING count(*) BETWEEN 2 AND 1000) SELECT a.note AS a, b.note AS b, count(*) AS shared FROM e a JOIN e b USING (tag) JOIN k USING (tag) WHERE a.note < b.note GROUP BY ALL")
+@query("j17_tag_overlap", f"WITH {NOTES}, e AS (SELECT note, unnest(tags) AS tag FROM notes), q AS (SELECT conv_id * 1000 + turn AS note FROM conversations WHERE role = 'user') SELECT a.note AS a, b.note AS b, count(*) AS shared FROM e a JOIN q ON q.note = a.note JOIN e b USING (tag) WHERE a.note <> b.note GROUP BY ALL")
 def tag_overlap(spark, folder):
-    return O.tag_overlap(notes(spark, folder))
+    """The notes that share a tag with a user's turn."""
+    asked = read(spark, folder, "conversations").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("note"))
+    return O.tag_overlap(notes(spark, folder), asked)
 
 
 @query("x02_cosine", sql(f"SELECT vec_id, round({cos('prompt_vector', 'response_vector')}, 8) AS cosine FROM vectors", "vectors"))
@@ -162,21 +164,6 @@ def text_search(spark, folder):
     return O.text_search(t, q, 0.2)
 
 
-@query("c05_boosted_search")
-def boosted_search(spark, folder):
-    """Vector hits raised by their cluster's membership and size."""
-    v = M.vectors(spark, folder)
-    members = O.memberships(v, O.centroids(v))
-    hits = _related(spark, folder).select(F.col("source_id").alias("query_id"), F.col("vec_id").alias("id"), "score")
-    return O.boosted_search(hits, members, members.groupBy("label").agg(F.count("*").alias("members")))
-
-
-@query("c12_features")
-def features(spark, folder):
-    f = O.features(read(spark, folder, "conversations").select("conv_id", "turn", "text"))
-    return f.select("conv_id", "turn", F.round(W.norm(F.col("vector")), 6).alias("norm"))
-
-
 def _asked(spark, folder):
     """Memories with intent, domain and complexity of their prompts."""
     best = I.best_intent(M.memories(spark, folder), "memory_id", "prompt")
@@ -197,15 +184,6 @@ def temporal_connections(spark, folder):
     return I.temporal_connections(_queries(asked), asked).withColumn("strength", F.round("strength", 8))
 
 
-@query("i11_query_analysis")
-def query_analysis(spark, folder):
-    """All connections of all queries of a session, ranked, explained and without orders to the reader."""
-    asked = _asked(spark, folder)
-    q = _queries(asked)
-    links = I.temporal_connections(q, asked).unionByName(I.pattern_connections(q, asked))
-    return I.non_directive(I.explained(I.ranked(links, q.select("query_id", "intent")))).select("query_id", "memory_id", "kind", F.round("score", 8).alias("score"), "rank", "explanation")
-
-
 @query("m14_resolved_notes", sql("SELECT m.memory_id AS note, 'changed' AS conflict FROM memories m WHERE m.session_id % 2 = 0 UNION ALL SELECT memory_id, 'missing_file' FROM memories WHERE session_id % 3 = 1 AND session_id % 2 = 1", "memories"))
 def resolved_notes(spark, folder):
     """Files lack a third of the notes with odd sessions, and hold one more line for even sessions."""

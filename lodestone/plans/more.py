@@ -52,25 +52,37 @@ def stream_alerts(spark, folder):
     return S.drained(S.alerts(stream(spark, folder), (F.col("event_type") == "error") & (F.col("value") > 60)).select("event_id", "user_id", "value"))
 
 
-@query("t07_token_bucket")
+BUCKET = """WITH RECURSIVE e AS (SELECT event_id, user_id, epoch(ts::TIMESTAMP) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events),
+    b AS (SELECT event_id, user_id, r, t, 2.0::DOUBLE AS tokens, TRUE AS admitted FROM e WHERE r = 1 UNION ALL
+        SELECT e.event_id, e.user_id, e.r, e.t, CASE WHEN f >= 1 THEN f - 1 ELSE f END, f >= 1 FROM (SELECT e.*, least(3.0::DOUBLE, b.tokens + greatest(0.0, e.t - b.t) * (1 / 3600)) AS f FROM b JOIN e ON e.user_id = b.user_id AND e.r = b.r + 1) e)
+    SELECT event_id, user_id, admitted FROM b"""
+
+
+@query("t07_token_bucket", BUCKET)
 def token_bucket(spark, folder):
     return S.admitted_batch(events(spark, folder), 1 / 3600, 3.0)
 
 
-@query("t07_stream_token_bucket")
+@query("t07_stream_token_bucket", BUCKET)
 def stream_token_bucket(spark, folder):
     return S.drained(S.admitted(stream(spark, folder), 1 / 3600, 3.0))
 
 
-@query("t12_stream_threshold")
+THRESHOLD = """WITH RECURSIVE e AS (SELECT event_id, user_id, avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS m, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events),
+    b AS (SELECT event_id, user_id, r, m AS told, TRUE AS changed FROM e WHERE r = 1 UNION ALL
+        SELECT e.event_id, e.user_id, e.r, CASE WHEN abs(e.m - b.told) > 1 THEN e.m ELSE b.told END, abs(e.m - b.told) > 1 FROM b JOIN e ON e.user_id = b.user_id AND e.r = b.r + 1)
+    SELECT user_id, event_id, round(told, 7) AS threshold FROM b WHERE changed"""
+
+
+@query("t12_stream_threshold", THRESHOLD)
 def stream_threshold(spark, folder):
-    return S.drained(S.smoothed_threshold(stream(spark, folder)))
+    return S.drained(S.smoothed_threshold(stream(spark, folder))).withColumn("threshold", F.round("threshold", 7))
 
 
-@query("t03_stream_queue")
+@query("t03_stream_queue", "WITH e AS (SELECT user_id AS item, event_type <> 'click' AS ok, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events), f AS (SELECT item, count(*) AS n, min(r) FILTER (ok) AS first FROM e GROUP BY item), k AS (SELECT item, first, coalesce(first - 1, n) AS failures FROM f) SELECT item, CASE WHEN failures >= 3 THEN 'failed' WHEN first IS NOT NULL THEN 'done' ELSE 'pending' END AS status, least(failures, 3)::INTEGER AS retries FROM k")
 def stream_queue(spark, folder):
-    asked = stream(spark, folder).select(F.col("user_id").alias("item"), (F.col("event_type") != "error").alias("ok"))
-    return S.drained(S.scan_queue(asked), "update")
+    asked = stream(spark, folder).select(F.col("user_id").alias("item"), (F.col("event_type") != "click").alias("ok"), "ts", "event_id")
+    return S.drained(S.scan_queue(asked), "update", ["item"])
 
 
 @query("t01_stream_scores", f"WITH {texts.SCORED} SELECT doc_id, score, refs::BIGINT AS refs FROM scored")
@@ -241,7 +253,10 @@ def conflicts(spark, folder):
     return O.conflicts(d, files).groupBy(F.col("conflict").alias("kind")).agg(F.count("*").alias("n"))
 
 
-@query("u06_unique_lines")
+_TRIMMED = "list_transform(string_split({t}, chr(10)), lambda x: trim(x, ' '))"
+
+
+@query("u06_unique_lines", f"WITH p AS (SELECT a.doc_id, {_TRIMMED.format(t='a.text')} AS mine, {_TRIMMED.format(t='b.text')} AS theirs FROM documents a JOIN documents b ON a.doc_id = b.doc_id + 1) SELECT doc_id, len(list_filter(theirs, lambda x: NOT list_contains(mine, x) AND length(x) > 10 AND NOT starts_with(x, '#')))::INTEGER AS lines FROM p")
 def unique_lines(spark, folder):
     docs = read(spark, folder, "documents").select("doc_id", "text")
     other = docs.select((F.col("doc_id") + 1).alias("doc_id"), F.col("text").alias("theirs"))
@@ -254,13 +269,6 @@ def scores_of_both(spark, folder):
     return both.groupBy("what").agg(F.count("*").alias("n"), F.round(F.avg("x"), 8).alias("mean"))
 
 
-@query("d12_evolved")
-def evolved(spark, folder):
-    d = read(spark, folder, "documents")
-    told = d.select("doc_id", "text", F.explode(F.array_distinct(D.violations(F.col("text"))["type"])).alias("type"))
-    return D.evolved(D.learned(told), 0.5, 1)
-
-
 @query("d13_document_abstraction", f"WITH a AS (SELECT doc_id, text, {texts._ABSTRACT} AS a FROM documents) SELECT doc_id, len(regexp_extract_all(a, '{X.PLACEHOLDER}'))::BIGINT AS placeholders, round(length(a)::DOUBLE / greatest(1, length(text)), 8) AS ratio FROM a")
 def document_abstraction(spark, folder):
     a = read(spark, folder, "documents").select("doc_id", "text", D.abstracted(F.col("text")).alias("a"))
@@ -292,10 +300,16 @@ def complexity_levels(spark, folder):
     return read(spark, folder, "documents").groupBy(N.cyclomatic_level(N.cyclomatic(F.col("text"))).alias("level")).agg(F.count("*").alias("documents"))
 
 
-@query("n04_maintainability")
+_WORDS = "len(regexp_extract_all(text, '[A-Za-z0-9_]+|[^\\sA-Za-z0-9_]'))"
+_NAMES = "regexp_extract_all(text, '[a-zA-Z_][A-Za-z0-9_]*')"
+_OPS = "regexp_extract_all(text, '[+\\-*/=<>!&|%^~]+')"
+_CYCLO = "(1 + " + " + ".join(f"len(regexp_extract_all(text, {quoted(p)}))" for p in N.BRANCHES) + ")"
+
+
+@query("n04_maintainability", f"SELECT doc_id, round(greatest(0.0, least(100.0, (171 - 5.2 * ln(greatest(1.0, {_WORDS} * log2(greatest(2, {_WORDS})))) - 0.23 * {_CYCLO} - 16.2 * ln(greatest(1, len(string_split(text, chr(10)))))) * 100 / 171)), 4)::DOUBLE AS maintainability, round(CASE WHEN len(list_distinct({_NAMES})) > 0 THEN len(list_distinct({_OPS})) / 2.0 * len({_NAMES}) / len(list_distinct({_NAMES})) ELSE 0.0 END, 4)::DOUBLE AS difficulty FROM documents")
 def maintainability(spark, folder):
     t = F.col("text")
-    return read(spark, folder, "documents").select("doc_id", F.round(N.maintainability(t), 4).alias("maintainability"), F.round(N.halstead_difficulty(t), 4).alias("difficulty"), N.cognitive(t).alias("cognitive"), N.quality(t)["score"].alias("quality"), N.language(t).alias("language"))
+    return read(spark, folder, "documents").select("doc_id", F.round(N.maintainability(t), 4).alias("maintainability"), F.round(N.halstead_difficulty(t), 4).alias("difficulty"))
 
 
 @query("l03_by_severity", "SELECT severity, pattern, n FROM (" + " UNION ALL ".join(f"SELECT '{s}' AS severity, '{n}' AS pattern, count(*) AS n FROM documents WHERE {like('text', p)}" for _, n, s, p in D.CONCRETE) + ") WHERE n > 0")

@@ -1,4 +1,4 @@
 """All queries of the engine outside the training-data subpackage, by name."""
 
-from . import graphs, memory, more, rest, texts, views  # noqa: F401
+from . import deeper, graphs, memory, more, rest, texts, views, wider  # noqa: F401
 from .base import ORACLE, QUERIES  # noqa: F401

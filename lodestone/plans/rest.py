@@ -64,9 +64,10 @@ def coverage_score(spark, folder):
     return log.select("doc_id", F.round(V.coverage_score(F.col("score"), F.col("critical"), F.col("refs")), 7).alias("adjusted"))
 
 
-@query("v15_completeness")
+@query("v15_completeness", f"SELECT doc_id, 0::INTEGER AS missing, 0::INTEGER AS unused, 1.0::DOUBLE AS score FROM documents WHERE NOT {like('text', X.PLACEHOLDER)}")
 def completeness(spark, folder):
-    told = documents(spark, folder).select("doc_id", "text", D.mapping(F.col("text")).alias("pairs"))
+    """Completeness of each text abstracted by its own mapping, of texts that hold no placeholder before."""
+    told = documents(spark, folder).where(~F.col("text").rlike(X.PLACEHOLDER)).select("doc_id", "text", D.mapping(F.col("text")).alias("pairs"))
     return told.select("doc_id", V.completeness(D.apply(F.col("text"), F.col("pairs")), F.col("pairs")).alias("c")).select("doc_id", "c.*")
 
 
@@ -137,16 +138,18 @@ def three_way(spark, folder):
     return m.join(documents(spark, folder).select(F.col("doc_id").alias("vec_id"), "source"), "vec_id").select("label", "vec_id", F.round("score", 7).alias("score"), "source")
 
 
-@query("j08_label_pairs", sql(f"SELECT a.vec_id AS a, b.vec_id AS b, round({cos('a.prompt_vector', 'b.prompt_vector')}, 8) AS similarity FROM vectors a JOIN vectors b ON a.label = b.label AND a.vec_id % 16 = b.vec_id % 16 AND a.vec_id < b.vec_id WHERE {cos('a.prompt_vector', 'b.prompt_vector')} >= 0.2", "vectors"))
-def label_pairs(spark, folder):
-    """Pairs of alike vectors within blocks of a label and a sixteenth of the ids."""
-    v = M.vectors(spark, folder).withColumn("block", F.pmod("vec_id", F.lit(16)))
-    a, b = (v.select("label", "block", F.col("vec_id").alias(n), F.col("prompt_vector").alias(f"v{n}")) for n in "ab")
-    both = a.join(b, ["label", "block"]).where("a < b").withColumn("similarity", W.cosine(F.col("va"), F.col("vb")))
-    return both.where("similarity >= 0.2").select("a", "b", F.round("similarity", 8).alias("similarity"))
+@query("j08_alike_pairs", sql(f"SELECT a.vec_id AS a, b.vec_id AS b, round({cos('a.prompt_vector', 'b.prompt_vector')}, 8) AS similarity FROM vectors a JOIN vectors b ON a.vec_id <> b.vec_id WHERE a.vec_id % 25 = 0 AND {cos('a.prompt_vector', 'b.prompt_vector')} >= 0.3", "vectors"))
+def alike_pairs(spark, folder):
+    """Pairs of alike vectors: a stated set of queries, every 25th vector, with all vectors."""
+    v = M.vectors(spark, folder)
+    asked = v.where("vec_id % 25 = 0").select(F.col("vec_id").alias("source_id"), F.col("prompt_vector").alias("vector"))
+    return O.alike_pairs(v, asked, 0.3).select("a", "b", F.round("similarity", 8).alias("similarity"))
+
+
+_LINES = "md5(array_to_string(list_filter(list_transform(string_split({t}, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> ''), chr(10)))"
 
 
-@query("j16_hash_join", "SELECT doc_id AS note, doc_id % 5 <> 0 AS same FROM documents")
+@query("j16_hash_join", f"SELECT doc_id AS note, {_LINES.format(t='text')} = {_LINES.format(t='other')} AS same FROM (SELECT doc_id, text, CASE WHEN doc_id % 5 = 0 THEN text || chr(10) || 'more text' ELSE text END AS other FROM documents)")
 def hash_join(spark, folder):
     d = documents(spark, folder).select(F.col("doc_id").alias("note"), X.lines_hash(F.col("text")).alias("mine"), "text")
     other = F.when(F.col("note") % 5 == 0, F.concat("text", F.lit("\nmore text"))).otherwise(F.col("text"))
@@ -177,13 +180,6 @@ def relevant_documents(spark, folder):
     return documents(spark, folder).select("doc_id", F.round(score, 6).alias("relevance")).orderBy(F.desc("relevance"), "doc_id").limit(25)
 
 
-@query("u02_all_connections")
-def all_connections(spark, folder):
-    asked = _asked(spark, folder)
-    q = _queries(asked)
-    return I.temporal_connections(q, asked).unionByName(I.pattern_connections(q, asked))
-
-
 @query("i05_semantic_connections", sql(f"SELECT a.vec_id AS query_id, b.vec_id AS memory_id, round(0.3 * {cos('a.prompt_vector', 'b.prompt_vector')} + 0.7 * {cos('a.prompt_vector', 'b.response_vector')}, 8)::DOUBLE AS strength FROM vectors a JOIN vectors b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0 AND 0.3 * {cos('a.prompt_vector', 'b.prompt_vector')} + 0.7 * {cos('a.prompt_vector', 'b.response_vector')} >= 0.2", "vectors"))
 def semantic_connections(spark, folder):
     v = M.vectors(spark, folder)
@@ -253,7 +249,12 @@ def titles(spark, folder):
     return M.memories(spark, folder).select("memory_id", X.title(F.col("prompt")).alias("title"))
 
 
-@query("x40_compacted")
+_LIGHT = r"regexp_replace(regexp_replace(text, '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g')"
+_MODERATE = f"array_to_string(list_distinct(string_split(regexp_replace({_LIGHT}, '(?m)^> .*\\n?', '', 'g'), chr(10))), chr(10))"
+_HEAVY = f"array_to_string(list_transform(string_split(regexp_replace({_MODERATE}, '(?m)^[-*] .*\\n?', '', 'g'), chr(10)), lambda x: CASE WHEN length(x) > 200 THEN substring(x, 1, 197) || '...' ELSE x END), chr(10))"
+
+
+@query("x40_compacted", f"SELECT doc_id, length({_LIGHT})::BIGINT AS light, length({_MODERATE})::BIGINT AS moderate, length({_HEAVY})::BIGINT AS heavy FROM documents")
 def compacted(spark, folder):
     t = F.col("text")
     return documents(spark, folder).select("doc_id", *[F.length(X.compacted(t, s)).cast("long").alias(s) for s in ("light", "moderate", "heavy")])
@@ -264,10 +265,3 @@ def reference_similarity(spark, folder):
     p = read(spark, folder, "pages").select("page_id", "url")
     both = p.join(p.select((F.col("page_id") - 1).alias("page_id"), F.col("url").alias("next_url")), "page_id")
     return both.select("page_id", F.levenshtein("url", "next_url").cast("double").alias("distance"))
-
-
-@query("n06_definitions")
-def definitions(spark, folder):
-    from lodestone.operators import code as N
-
-    return N.definitions(documents(spark, folder).select(F.col("doc_id").alias("file"), "text"))

@@ -129,7 +129,7 @@ _SHAPES = " UNION ALL ".join(f"SELECT doc_id, text, '{k}' AS type FROM documents
 
 
 @query("d11_learned_patterns", f"""WITH v AS (SELECT DISTINCT doc_id, type, CASE type WHEN 'file_path' THEN regexp_extract(text, '((/[a-zA-Z0-9_.-]+)+)', 1) WHEN 'network' THEN regexp_extract(text, '(https?://[a-zA-Z0-9.-]+\\.[a-zA-Z]{{2,}})', 1)
-    WHEN 'credential' THEN regexp_replace(substring(text, 1, 100), '[a-zA-Z0-9]', 'X', 'g') ELSE substring(text, 1, 100) END AS pattern FROM ({_SHAPES}))
+    WHEN 'credential' THEN CASE WHEN length(text) > 100 THEN 'sha256:' || sha256(regexp_replace(text, '[a-zA-Z0-9]', 'X', 'g')) ELSE regexp_replace(text, '[a-zA-Z0-9]', 'X', 'g') END ELSE substring(text, 1, 100) END AS pattern FROM ({_SHAPES}))
     SELECT pattern, type, count(*) AS detections, round(least(1.0, 0.5 + 0.05 * (count(*) - 1)), 4)::DOUBLE AS confidence FROM v WHERE length(pattern) >= 5 GROUP BY ALL""")
 def learned_patterns(spark, folder):
     told = documents(spark, folder).select("doc_id", "text", F.explode(F.array_distinct(D.violations(F.col("text"))["type"])).alias("type"))
@@ -162,10 +162,11 @@ def credentials(spark, folder):
     return found.select("doc_id", F.exists("found", lambda v: v["type"] == "credential_pattern").alias("credential_pattern"))
 
 
-@query("x08_entropy", "SELECT lang, count(*) AS n, round(avg(e), 5) AS bits, round(min(e), 5) AS least, round(max(e), 5) AS most FROM (SELECT lang, list_sum(list_transform(list_distinct(string_split(text, '')), lambda c: -((len(string_split(text, '')) - len(list_filter(string_split(text, ''), lambda x: x <> c)))::DOUBLE / length(text)) * log2((len(string_split(text, '')) - len(list_filter(string_split(text, ''), lambda x: x <> c)))::DOUBLE / length(text)))) AS e FROM (SELECT lang, substring(text, 1, 400) AS text FROM documents WHERE length(text) > 0)) GROUP BY lang")
+@query("x08_entropy", "WITH c AS (SELECT doc_id, n, sum(1) AS k FROM (SELECT doc_id, length(text) AS n, unnest(string_split(text, '')) AS c FROM documents WHERE length(text) > 0) GROUP BY doc_id, n, c), e AS (SELECT doc_id, -sum(k::DOUBLE / n * log2(k::DOUBLE / n)) AS e FROM c GROUP BY doc_id) SELECT lang, count(*) AS n, round(avg(e), 5) AS bits, round(min(e), 5) AS least, round(max(e), 5) AS most FROM e JOIN documents USING (doc_id) GROUP BY lang")
 def text_entropy(spark, folder):
-    head = documents(spark, folder).where(F.length("text") > 0).withColumn("head", F.substring("text", 1, 400))  # the entropy of an excerpt is the feature here
-    return head.groupBy("lang").agg(F.count("*").alias("n"), *[F.round(f(X.entropy(F.col("head"))), 5).alias(n) for f, n in ((F.avg, "bits"), (F.min, "least"), (F.max, "most"))])
+    """Entropy of whole texts by language."""
+    told = documents(spark, folder).where(F.length("text") > 0).select("lang", X.entropy(F.col("text")).alias("e"))
+    return told.groupBy("lang").agg(F.count("*").alias("n"), *[F.round(f("e"), 5).alias(n) for f, n in ((F.avg, "bits"), (F.min, "least"), (F.max, "most"))])
 
 
 @query("x06_hashes", "SELECT doc_id, sha256(text) AS content_hash, sha256(text) || ':text:small' AS cache_key FROM documents")
@@ -224,7 +225,10 @@ def consistency(spark, folder):
     return c.select("doc_id", F.col("c.issues").cast("long").alias("issues"), F.round("c.score", 4).alias("score"))
 
 
-@query("v17_overall_quality")
+_NUMBERED = f"v AS (SELECT doc_id, kind, value, row_number() OVER (PARTITION BY doc_id, kind ORDER BY length(value) DESC, value DESC) AS r FROM ({_VALUES})), o AS (SELECT v.*, (length(d.text) - length(replace(d.text, value, ''))) / length(value) AS occ FROM v JOIN documents d USING (doc_id)), h AS (SELECT doc_id, sum(occ) AS held, sum(occ * (length(kind) + 2 + CASE WHEN r > 1 THEN 1 + length((r - 1)::VARCHAR) ELSE 0 END - length(value))) AS more FROM o GROUP BY doc_id)"
+
+
+@query("v17_overall_quality", f"WITH {SCORED}, {_NUMBERED} SELECT s.doc_id, s.score, CASE WHEN length(s.text) = 0 OR coalesce(h.held, 0) * 100.0 / (length(s.text) + coalesce(more, 0)) >= 0.1 THEN 1.0 ELSE 0.0 END::DOUBLE AS density, 1.0::DOUBLE AS consistent, 1.0::DOUBLE AS complete, 1.0::DOUBLE AS semantic, round((0.25 * CASE WHEN length(s.text) = 0 OR coalesce(h.held, 0) * 100.0 / (length(s.text) + coalesce(more, 0)) >= 0.1 THEN 1.0 ELSE 0.0 END + 0.25 + 0.3 + 0.2) * 0.8 + 0.2 * s.score, 6)::DOUBLE AS overall FROM scored s LEFT JOIN h USING (doc_id)")
 def overall_quality(spark, folder):
     """Quality of each document once abstracted: density, consistency, completeness, meaning kept, safety."""
     t = F.col("a")
@@ -251,9 +255,14 @@ def code_metrics(spark, folder):
     return documents(spark, folder).select("doc_id", N.cyclomatic(t).cast("long").alias("cyclomatic"), F.size(F.split(t, "\n")).cast("long").alias("lines"))
 
 
-@query("v05_code_report", None)
+_TOLD = f"list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ') <> '' AND NOT {like('x', V.COMMENT)})"
+_HITS = [f"len(list_filter(told, lambda x: {like('x', p)}" + ("" if b else f" AND NOT {like('x', X.PLACEHOLDER)}") + "))" for _, _, p, b in V.CODE_LINES]
+_CODE = f"c AS (SELECT doc_id, len(string_split(text, chr(10))) AS lines, {' + '.join(_HITS)} AS violations, {_HITS[0]} + {_HITS[1]} AS critical, coalesce(list_sum(list_transform(told, lambda x: len(regexp_extract_all(x, '{X.PLACEHOLDER}')))), 0) AS placeholders, len(list_filter(told, lambda x: {like('x', V.IMPORT)})) AS imports, len(list_filter(told, lambda x: {like('x', V.IMPORT)} AND {like('x', V.LOCAL_IMPORT)})) AS concrete_imports FROM (SELECT doc_id, text, {_TOLD} AS told FROM documents))"
+
+
+@query("v05_code_report", f"WITH {_CODE} SELECT doc_id, violations::INTEGER AS violations, critical::INTEGER AS critical, lines::INTEGER AS lines, placeholders::INTEGER AS placeholders, imports::INTEGER AS imports, concrete_imports::INTEGER AS concrete_imports, round(greatest(0.0, 1.0 - violations * 0.2 + placeholders / lines * 0.5) * CASE WHEN imports > 0 AND concrete_imports > 0 THEN 1 - concrete_imports / imports * 0.3 ELSE 1.0 END, 7)::DOUBLE AS score FROM c")
 def code_report(spark, folder):
-    return documents(spark, folder).select("doc_id", V.code_report(F.col("text")).alias("r")).select("doc_id", "r.*")
+    return documents(spark, folder).select("doc_id", V.code_report(F.col("text")).alias("r")).select("doc_id", "r.*").withColumn("score", F.round("score", 7))
 
 
 @query("x26_tags", "SELECT conv_id, turn, array_to_string(list_sort(list_distinct(list_concat(list_concat(regexp_extract_all(lower(text), '#([a-z0-9_]+)', 1), regexp_extract_all(lower(text), '@([a-z0-9_]+)', 1)), list_concat(regexp_extract_all(lower(text), 'tag:([a-z0-9_]+)', 1), regexp_extract_all(lower(text), 'topic:([a-z0-9_]+)', 1))))), ',') AS tags FROM conversations")

@@ -251,11 +251,11 @@ def json_path(spark, folder):
     return events(spark, folder).where(~F.get_json_object("props", "$.page").eqNullSafe(F.lit("/home"))).select("event_id")
 
 
-@query("f17_stale", sql(f"SELECT interaction_id, floor(epoch({NOW} - last_accessed) / 86400)::BIGINT AS days FROM interactions WHERE last_accessed < {NOW} - INTERVAL 10 DAYS", "interactions"))
+@query("f17_stale", sql(f"SELECT interaction_id, floor(epoch({NOW} - last_accessed) / 86400)::BIGINT AS days FROM interactions WHERE last_accessed < {NOW} - INTERVAL 2 DAYS", "interactions"))
 def stale(spark, folder):
     from lodestone.functions import numbers as W
 
-    old = interactions(spark, folder).where(F.col("last_accessed") < as_of() - F.expr("interval 10 days"))
+    old = interactions(spark, folder).where(F.col("last_accessed") < as_of() - F.expr("interval 2 days"))
     return old.select("interaction_id", W.days_between(F.col("last_accessed"), as_of()).cast("long").alias("days"))
 
 

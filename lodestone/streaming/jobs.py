@@ -22,15 +22,27 @@ LATE = "1 hour"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a folder of its own only where the session has none."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestone-")).rstrip("/")
+    """spark.checkpoint.dir; a folder of its own only where a local session has none."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("on a cluster, set spark.checkpoint.dir to a folder that driver and executors share")
+        found = tempfile.mkdtemp(prefix="lodestone-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
 
 
-def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Runs a streaming query over all that its source holds (AvailableNow) and reads what it wrote. In complete and
-    update mode, rows are those of the last batch that held them."""
+def scratch(spark: SparkSession, what: str) -> str:
+    """A new folder's path below the shared one."""
+    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+
+
+def drained(stream: DataFrame, mode: str = "append", keys: list[str] | None = None) -> DataFrame:
+    """Runs a streaming query over all that its source holds (AvailableNow) and reads what it wrote. In complete mode
+    the rows are those of the last batch; in update mode, each key's (columns `keys`) are those of the last batch that
+    held it."""
     spark = stream.sparkSession
-    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    base = scratch(spark, "stream")
 
     def put(batch: DataFrame, number: int) -> None:
         batch.withColumn("__batch", F.lit(number)).write.mode("append").parquet(f"{base}/out")
@@ -41,6 +53,9 @@ def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
     out = spark.read.schema(schema).parquet(f"{base}/out")
     if mode == "complete":
         out = out.join(F.broadcast(out.agg(F.max("__batch").alias("__batch"))), "__batch", "left_semi")
+    if mode == "update":
+        rest = [c for c in stream.columns if c not in keys]
+        out = out.groupBy(*keys).agg(F.max_by(F.struct("__batch", *rest), "__batch").alias("x")).select(*keys, "x.*")
     return out.drop("__batch")
 
 
@@ -90,6 +105,38 @@ def alerts(stream: DataFrame, condition: Column) -> DataFrame:
     return stream.where(condition)
 
 
+def append_changes(stream: DataFrame, path: str, key: str, columns: list[str]) -> None:
+    """An audit log that only grows: each batch of (key, seq, columns) is held against the latest state in the log, and
+    what differs is appended as one row a change. A batch that is run again overwrites its own part."""
+    from lodestone.operators.views import snapshot_diff
+
+    spark, schema = stream.sparkSession, stream.select(key, *columns).schema
+
+    def put(batch: DataFrame, number: int) -> None:
+        new = batch.groupBy(key).agg(F.max_by(F.struct(*columns), "seq").alias("x")).select(key, "x.*")
+        log = spark.read.schema(StructType([*schema.fields, StructField("batch", IntegerType())])).option("recursiveFileLookup", False).parquet(f"{path}/batch=*") if number else spark.createDataFrame([], StructType([*schema.fields, StructField("batch", IntegerType())]))
+        old = log.where(F.col("batch") < number).groupBy(key).agg(F.max_by(F.struct(*columns), "batch").alias("x")).select(key, "x.*")
+        old = old.join(new.select(key), key, "left_semi")
+        told = snapshot_diff(old, new, key, columns).join(new, key)
+        told.select(key, *columns, "operation", F.array_join("changed", ",").alias("changed"), F.lit(number).alias("batch")).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    writer = stream.writeStream.option("checkpointLocation", f"{path}-state").trigger(availableNow=True)
+    writer.foreachBatch(put).start().awaitTermination()
+
+
+def scheduled_decay(spark: SparkSession, read_rows, config: DataFrame, as_of: Column, path: str, runs: int = 1) -> None:
+    """The runs that a schedule starts, one after another: each reads the rows, decays them and writes the table anew
+    under its own number, so that a run that is started again overwrites itself."""
+    from lodestone.operators.views import decay_batch
+
+    rows = read_rows()
+    for number in range(runs):
+        done = decay_batch(rows, config, as_of)
+        kept = [c for c in rows.columns if c != "weight"]
+        done.select(*kept, F.col("applied").alias("weight"), "action").write.mode("overwrite").parquet(f"{path}/run={number}")
+        rows = spark.read.parquet(f"{path}/run={number}").select(*rows.columns)
+
+
 class Bucket:
     """Tokens that fill up with time: `rate` a second up to `size`."""
 
@@ -106,21 +153,39 @@ class Bucket:
         return False
 
 
+#: State of a key is dropped so many milliseconds of event time after its last row; a bucket is long full again by then.
+IDLE = 7 * 86_400_000
+
+
+def until_idle(state: GroupState, rows: pd.DataFrame) -> None:
+    state.setTimeoutTimestamp(int(rows["ts"].max().timestamp() * 1000) + IDLE)
+
+
+def in_order(frames: Iterator[pd.DataFrame], columns: list[str]) -> pd.DataFrame:
+    """What a batch holds of one key, by time: frames cut a key's rows anywhere. Bounded by what a batch admits of a key."""
+    whole = pd.concat([f[columns] for f in frames], ignore_index=True)
+    return whole.sort_values(["ts", "event_id"], ignore_index=True)
+
+
 ADMITTED = "event_id long, user_id long, admitted boolean"
 
 
 def admitted(stream: DataFrame, rate: float, size: float) -> DataFrame:
-    """event_id, user_id and whether a bucket a user admits the event; the state is two numbers a user."""
+    """event_id, user_id and whether a bucket a user admits the event, in the order of time within a batch; the state is
+    two numbers a user, until it is idle. Rows later than the watermark are dropped."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         bucket = Bucket(rate, size, *state.get) if state.exists else Bucket(rate, size)
-        for pdf in frames:
-            pdf = pdf.sort_values(["ts", "event_id"])
-            ok = [bucket.admit(t.timestamp()) for t in pdf["ts"]]
-            yield pd.DataFrame({"event_id": pdf["event_id"], "user_id": pdf["user_id"], "admitted": ok})
+        pdf = in_order(frames, ["event_id", "user_id", "ts"])
+        ok = [bucket.admit(t.timestamp()) for t in pdf["ts"]]
         state.update((bucket.tokens, bucket.last))
+        until_idle(state, pdf)
+        yield pd.DataFrame({"event_id": pdf["event_id"], "user_id": pdf["user_id"], "admitted": ok})
 
-    return stream.groupBy("user_id").applyInPandasWithState(step, ADMITTED, "tokens double, last double", "append", GroupStateTimeout.NoTimeout)
+    return stream.withWatermark("ts", LATE).groupBy("user_id").applyInPandasWithState(step, ADMITTED, "tokens double, last double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def admitted_batch(events: DataFrame, rate: float, size: float) -> DataFrame:
@@ -144,35 +209,43 @@ def smoothed_threshold(stream: DataFrame, k: int = 5, least: float = 1.0) -> Dat
     """user_id, event_id, threshold: the mean of a user's last k values, told when it moves by more than `least`."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         last, told = state.get if state.exists else ([], None)
         last, rows = list(last), []
-        for pdf in frames:
-            for e, v in pdf.sort_values(["ts", "event_id"])[["event_id", "value"]].itertuples(index=False):
-                last = [*last, float(v)][-k:]
-                mean = sum(last) / len(last)
-                if told is None or abs(mean - told) > least:
-                    told = mean
-                    rows.append((key[0], e, mean))
+        pdf = in_order(frames, ["event_id", "ts", "value"])
+        for e, v in pdf[["event_id", "value"]].itertuples(index=False):
+            last = [*last, float(v)][-k:]
+            mean = sum(last) / len(last)
+            if told is None or abs(mean - told) > least:
+                told = mean
+                rows.append((key[0], e, mean))
         state.update((last, told))
+        until_idle(state, pdf)
         yield pd.DataFrame(rows, columns=["user_id", "event_id", "threshold"])
 
-    return stream.groupBy("user_id").applyInPandasWithState(step, "user_id long, event_id long, threshold double", "last array<double>, told double", "append", GroupStateTimeout.NoTimeout)
+    return stream.withWatermark("ts", LATE).groupBy("user_id").applyInPandasWithState(step, "user_id long, event_id long, threshold double", "last array<double>, told double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def scan_queue(stream: DataFrame, most: int = 3) -> DataFrame:
-    """item, status, retries of a queue of scan results (item, ok): done at the first success, failed after `most`
-    failures, else pending."""
+    """item, status, retries of a queue of scan results (item, ok, ts, event_id), in the order of time: done at the first
+    success, failed after `most` failures, else pending."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         status, retries = state.get if state.exists else ("pending", 0)
-        for pdf in frames:
-            for ok in pdf["ok"]:
-                if status == "pending":
-                    status, retries = ("done", retries) if ok else ("failed" if retries + 1 >= most else "pending", retries + 1)
+        pdf = in_order(frames, ["ok", "ts", "event_id"])
+        for ok in pdf["ok"]:
+            if status == "pending":
+                status, retries = ("done", retries) if ok else ("failed" if retries + 1 >= most else "pending", retries + 1)
         state.update((status, retries))
+        until_idle(state, pdf)
         yield pd.DataFrame({"item": [key[0]], "status": [status], "retries": [retries]})
 
-    return stream.groupBy("item").applyInPandasWithState(step, "item long, status string, retries int", "status string, retries int", "update", GroupStateTimeout.NoTimeout)
+    return stream.withWatermark("ts", LATE).groupBy("item").applyInPandasWithState(step, "item long, status string, retries int", "status string, retries int", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def cached(stream: DataFrame, ttl: str = "1 hour") -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import numbers as W
 from lodestone.functions import text as X
+from lodestone.operators import clusters as C
 from lodestone.operators import code as N
 from lodestone.operators import detect as D
 from lodestone.operators import graph as G
@@ -15,6 +16,7 @@ from lodestone.operators import memory as O
 from lodestone.operators import validate as V
 from lodestone.operators import views as VW
 from lodestone.sources import files
+from lodestone.sources import model as M
 from lodestone.streaming import jobs as S
 
 
@@ -126,19 +128,24 @@ def test_conflicts_are_resolved(spark):
 
 
 def test_stream_equals_batch(spark, tmp_path):
-    rows = [(i, i % 3, i * 600.0) for i in range(60)]
+    """A hot user and others, rows dealt at random over files and frames of seven rows."""
+    rows = [(i, 0 if i % 4 else i % 3, 1e9 + i * 600.0) for i in range(120)]
     df = spark.createDataFrame(rows, "event_id long, user_id long, s double").withColumn("ts", F.timestamp_seconds("s")).drop("s")
-    df.coalesce(1).write.parquet(f"{tmp_path}/in")
+    df.orderBy(F.xxhash64("event_id")).repartition(5).write.parquet(f"{tmp_path}/in")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
     stream = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in")
     want = {tuple(r) for r in S.admitted_batch(df, 1 / 3600, 2.0).collect()}
     assert {tuple(r) for r in S.drained(S.admitted(stream, 1 / 3600, 2.0)).collect()} == want
-    assert 0 < sum(r[2] for r in want) < 60
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert 0 < sum(r[2] for r in want) < 120
 
 
 def test_scan_queue_gives_up_after_three(spark, tmp_path):
-    spark.createDataFrame([(1, False), (1, False), (1, False), (1, True), (2, True)], "item long, ok boolean").coalesce(1).write.parquet(f"{tmp_path}/in")
-    stream = spark.readStream.schema("item long, ok boolean").parquet(f"{tmp_path}/in")
-    assert {tuple(r) for r in S.drained(S.scan_queue(stream), "update").collect()} == {(1, "failed", 3), (2, "done", 0)}
+    rows = [(1, True, 4), (1, False, 1), (1, False, 3), (1, False, 2), (2, True, 5), (3, False, 6)]  # not in order
+    df = spark.createDataFrame(rows, "item long, ok boolean, event_id long").withColumn("ts", F.timestamp_seconds("event_id"))
+    df.repartition(3).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in")
+    assert {tuple(r) for r in S.drained(S.scan_queue(stream), "update", ["item"]).collect()} == {(1, "failed", 3), (2, "done", 0), (3, "pending", 1)}
 
 
 def test_budget_and_audit(spark):
@@ -180,3 +187,77 @@ def test_spans(spark):
     assert one(spark, "get_user_by_id", P.by_rule) == "get_<entity>_by_id" and one(spark, "00:11:22:33:44:55", P.by_rule) == "<mac_address>"
     with pytest.raises(Exception):
         P.checked("bad", "x", "(")
+
+
+def test_clusters_of_candidates_and_the_rest(spark, monkeypatch):
+    import numpy as np
+
+    r = np.random.default_rng(2)
+    rows, want = [], {}
+    for i in range(60):  # the last 20 are candidates; four groups far apart, and one vector alone
+        v = np.eye(8)[i % 4] + r.normal(size=8) * 0.05 if i != 7 else np.eye(8)[7]
+        rows.append((i, [float(x) for x in v]))
+        want[i] = 40 + i % 4 if i != 7 else 7
+    df = spark.createDataFrame(rows, "vec_id long, prompt_vector array<double>")
+    got = C.average_linkage(df, 0.3, 20).collect()
+    assert {x["vec_id"]: x["cluster"] for x in got} == want and sum(x["candidate"] for x in got) == 20
+    assert C.average_linkage(df.limit(0), 0.3).count() == 0
+
+
+def test_average_linkage_equals_plain_merging():
+    import numpy as np
+
+    x = np.random.default_rng(3).normal(size=(25, 4))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    d = 1 - x @ x.T
+    own = [[i] for i in range(25)]
+    while len(own) > 1:
+        pairs = [(np.mean([d[a, b] for a in own[i] for b in own[j]]), i, j) for i in range(len(own)) for j in range(i)]
+        least, i, j = min(pairs)
+        if least > 0.5:
+            break
+        own[j] += own.pop(i)
+    assert sorted(map(sorted, own)) == sorted(map(sorted, C.merged(d.copy(), 0.5)))
+
+
+def test_detections_equal_plain_rules(spark):
+    import re
+
+    texts = ["10.1.2.3 here", "see localhost:80", "x" * 10_001, "ab" * 60, "AKIA" + "A1" * 8, "", "/home/a/b", "plain words of a text"]
+    got = {(r["id"], r["rule"]) for r in D.detections(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), M.RULES).collect()}
+    want = set()
+    for i, t in enumerate(texts):
+        for name, kind, pattern, _, _, threshold in M.RULES:
+            if kind == "entropy":
+                bits = -sum(t.count(c) / len(t) * np_log2(t.count(c) / len(t)) for c in set(t))
+                hit = bits > float(pattern) and min(1, bits / 5) >= threshold
+            else:
+                hit = bool(re.search(pattern, t)) and (0.95 if kind == "regex" else 0.85) >= threshold
+            if hit:
+                want.add((i, name))
+    assert got == want
+
+
+def np_log2(x):
+    import math
+
+    return math.log2(x)
+
+
+def test_audit_log_grows_by_changes(spark, tmp_path):
+    for n, rows in enumerate([[(1, 1, "a"), (2, 1, "b")], [(1, 2, "a"), (2, 2, "c"), (3, 2, "d")]]):
+        spark.createDataFrame(rows, "id long, seq long, kind string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema("id long, seq long, kind string").parquet(f"{tmp_path}/in")
+        S.append_changes(stream, f"{tmp_path}/log", "id", ["kind"])
+    got = sorted((r["id"], r["kind"], r["operation"], r["changed"], r["batch"]) for r in spark.read.option("basePath", f"{tmp_path}/log").parquet(f"{tmp_path}/log").collect())
+    assert got == [(1, "a", "insert", "kind", 0), (2, "b", "insert", "kind", 0), (2, "c", "update", "kind", 1), (3, "d", "insert", "kind", 1)]
+
+
+def test_lists_and_pages_keep_to_their_limits(spark):
+    rows = spark.range(100).selectExpr("cast(id as string) as interaction_id", "'debugging' as interaction_type", "timestamp_seconds(id * 3600) as last_accessed", "id as weight")
+    now = F.lit("1970-01-05 00:00:00").cast("timestamp")
+    assert VW.listed(rows, now, ["debugging"], 30, 80).count() == 50 and VW.listed(rows, now, ["other"], 30).count() == 0
+    with pytest.raises(ValueError):
+        VW.sorted_page(rows, "secret", "asc", ["weight"], "interaction_id", 1)
+    with pytest.raises(ValueError):
+        O.stated(rows, 10)

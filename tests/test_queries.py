@@ -13,6 +13,8 @@ from lodestone.plans import registry
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 TYPES = {"bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN", "int": "INTEGER", "timestamp": "TIMESTAMP", "date": "DATE"}
+#: Queries that find nothing in the smallest test data, and say the same as their SQL there.
+EMPTY = {"d08_regex_rules", "j15_rules_by_content", "j19_intent_groups", "i07_pattern_connections"}
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test data")
 
 
@@ -42,8 +44,8 @@ def test_query(spark, duck, name):
     df = registry.QUERIES[name](spark, FOLDER)
     names = sorted(df.columns)
     rows = [tuple(plain(r[c]) for c in names) for r in df.collect()]
+    assert rows or name in EMPTY
     if name not in registry.ORACLE:
-        assert df.columns
         return
     got = duck.execute(registry.ORACLE[name])
     found = {d[0]: str(d[1]) for d in got.description}
