@@ -18,6 +18,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, set here only where the session has none."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("on a cluster, set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="lodestone-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -133,6 +135,30 @@ def shingles(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndar
     return (np.concatenate(parts) if parts else np.zeros(0, U64)), np.cumsum(sizes)
 
 
+def ragged(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of a list column, end to end, and n + 1 offsets into them."""
+    column = column.combine_chunks()
+    ends = column.offsets.to_numpy()
+    return column.flatten().to_numpy(), ends - ends[0]
+
+
+def rooted(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of the links (a, b) and, for each, the smallest node that it reaches by them."""
+    names, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    i, j, low = at[: len(a)], at[len(a) :], np.arange(len(names))
+    while True:
+        least = np.minimum(low[i], low[j])
+        new = low.copy()
+        np.minimum.at(new, i, least)
+        np.minimum.at(new, j, least)
+        np.minimum.at(new, low[i], least)
+        np.minimum.at(new, low[j], least)
+        new = new[new]
+        if (new == low).all():
+            return names, names[low]
+        low = new
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of the links (a long, b long): one row (node, component) per linked node, component its
     smallest reachable node. Alternating large-star and small-star steps; each is an aggregation and an equi-join, and
@@ -146,12 +172,13 @@ def components(edges: DataFrame) -> DataFrame:
         if twice.unionByName(chained).isEmpty():
             break
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
+        least = stored(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")))  # a table, so that a hot centre's rows can be split in the join
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x"))
+        lower = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(lower, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x"))
         new = stored(small.select("x.a", "x.b").where("a <> b").distinct())
         discard(e)
+        discard(least)
         e = new
     out = e.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return out.unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

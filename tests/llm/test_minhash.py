@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from lodestone.llm import minhash
 
 from . import data
@@ -92,3 +94,34 @@ def test_odd_rows(spark):
 
 def test_empty_table(spark):
     assert minhash.near_duplicates(data.documents(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize(("seed", "n", "shortest", "longest", "vocabulary"), [(1, 2500, 14, 20, 5), (3, 3000, 8, 12, 4)])
+def test_short_texts_over_few_words(spark, seed, n, shortest, longest, vocabulary):
+    rng = random.Random(seed)
+    rows = [(i, " ".join(rng.choice("abcdefgh"[:vocabulary]) for _ in range(rng.randint(shortest, longest)))) for i in range(n)]
+    want = brute(rows, 2, 80)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(data.documents(spark, rows), width=2).collect()}
+    assert got == want
+
+
+def test_families_and_buckets_cut_into_blocks(spark, monkeypatch):
+    rows = family(5, 150, 20)
+    want = brute(rows, 5, 80)
+    monkeypatch.setattr(minhash, "BLOCK", 16)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(data.documents(spark, rows)).collect()}
+    assert got == want
+
+
+def test_a_repeated_doc_id_with_other_texts(spark):
+    rng = random.Random(4)
+    a, b = data.words(rng, 60), data.text(rng, 60)
+    edited = " ".join([*a[:30], "other", *a[31:]])
+    a = " ".join(a)
+    docs = data.documents(spark, [(3, a), (5, a), (5, b), (7, a), (7, edited), (None, a), (8, None), (8, None), (8, "")])
+    got = sorted((r["doc_id"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(docs).where("n_shingles > 0 and doc_id is not null").collect())
+    assert got == [(3, 3, True), (5, 3, False), (5, 5, True), (7, 3, False), (7, 3, False)]
+    left = sorted(((r["doc_id"] or -1, r["text"] or "-") for r in minhash.without_near_duplicates(docs).collect()))
+    assert left == sorted([(3, a), (5, b), (-1, a), (8, "-"), (8, "-")])
+    both = data.documents(spark, [(2, a), (2, edited), (2, a), (9, a)])
+    assert minhash.without_near_duplicates(both).count() == 1
