@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import linededup, minhash, mixing, packing, toxicity
-from lodestone.llm.common import stored
+from lodestone.llm.common import discard, stored
 
 #: No SQL: the stages fit models, sort suffixes and walk links. tests/llm holds each against brute force.
 ORACLE_SQL = None
@@ -31,10 +31,9 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates by five-word shingles and a similarity of 0.8, the smallest doc_id stays. Of
-    rows that repeat a doc_id and its text, one stays."""
-    gone = minhash.near_duplicates(docs).where(~F.col("kept")).select("doc_id").hint("merge")  # one plan at every size
-    return docs.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    """Of each group of near-duplicates by five-word shingles and a similarity of 0.8, one row stays, that of the smallest
+    doc_id. Rows that repeat a doc_id with another text are documents of their own; of those with the same text, one stays."""
+    return minhash.without_near_duplicates(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,5 +60,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the table `documents`. Each stage's result is a table in the shared folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir))
+        before, docs = docs, stored(stage(spark, docs, sf_dir))
+        if hasattr(before, "stored_path"):
+            discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
