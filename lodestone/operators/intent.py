@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from lodestone.functions import numbers as W
 from lodestone.functions import text as X
 
+from .memory import stated
+
 #: Patterns of ten intents, matched against lower case.
 PATTERNS = {
     "question": (r"\b(what|how|why|when|where|who|which)\b", r"\?", r"\b(explain|describe|tell me|clarify)\b", r"\b(is|are|can|could|would|should|do|does|did)\b.*\?"),
@@ -41,7 +43,7 @@ def pattern_scores(text: Column) -> Column:
 def example_scores(queries: DataFrame, key: str, vector: str, examples: DataFrame) -> DataFrame:
     """(key, intent, score): the best cosine with an intent's examples, over 0.5. examples: intent, vector; a small
     table."""
-    each = queries.select(key, F.col(vector).alias("__q")).crossJoin(F.broadcast(examples.select("intent", F.col("vector").alias("__e"))))
+    each = queries.select(key, F.col(vector).alias("__q")).crossJoin(stated(examples.select("intent", F.col("vector").alias("__e"))))
     return each.groupBy(key, "intent").agg(F.max(W.cosine(F.col("__q"), F.col("__e"))).alias("score")).where("score > 0.5")
 
 

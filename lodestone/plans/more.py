@@ -138,28 +138,28 @@ def vector_top_k(spark, folder):
     asked = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("source_id"), "label", F.col("prompt_vector").alias("q"))
     from pyspark.sql import Window
 
-    both = v.join(F.broadcast(asked), "label").where("vec_id <> source_id").withColumn("score", W.cosine(F.col("q"), F.col("prompt_vector")))
+    both = v.join(asked, "label").where("vec_id <> source_id").withColumn("score", W.cosine(F.col("q"), F.col("prompt_vector")))
     place = F.row_number().over(Window.partitionBy("source_id").orderBy(F.desc("score"), "vec_id"))
     return both.withColumn("r", place).where("r <= 5").select("source_id", "vec_id", F.round("score", 8).alias("score"))
 
 
-@query("v04_json_paths", "SELECT event_id, json_valid(props) AS valid, length(json_extract_string(props, '$.page'))::BIGINT AS page_length FROM events")
+@query("v04_json_paths", "SELECT event_id, json_valid(props) AS valid, length(json_extract_string(props, '$.k'))::BIGINT AS page_length FROM events")
 def json_paths(spark, folder):
     e = events(spark, folder)
-    return e.select("event_id", F.get_json_object("props", "$").isNotNull().alias("valid"), F.length(F.get_json_object("props", "$.page")).cast("long").alias("page_length"))
+    return e.select("event_id", F.get_json_object("props", "$").isNotNull().alias("valid"), F.length(F.get_json_object("props", "$.k")).cast("long").alias("page_length"))
 
 
-@query("f06_json_keys", "SELECT event_id, list_contains(json_keys(props), 'ref') AS has_ref FROM events")
+@query("f06_json_keys", "SELECT event_id, list_contains(json_keys(props), 'k') AS has_ref FROM events")
 def json_keys(spark, folder):
-    return events(spark, folder).select("event_id", F.array_contains(F.json_object_keys("props"), "ref").alias("has_ref"))
+    return events(spark, folder).select("event_id", F.array_contains(F.json_object_keys("props"), "k").alias("has_ref"))
 
 
-@query("x19_json_map", "SELECT event_id, json_extract_string(props, '$.page') AS page, TRUE AS synced FROM events WHERE json_extract_string(props, '$.page') IS NOT NULL")
+@query("x19_json_map", "SELECT event_id, json_extract_string(props, '$.k') AS page, TRUE AS synced FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL")
 def json_map(spark, folder):
     """Marks each event's properties as synced, as a typed map."""
-    m = events(spark, folder).withColumn("m", F.from_json("props", "map<string,string>")).where(F.try_element_at("m", F.lit("page")).isNotNull())
+    m = events(spark, folder).withColumn("m", F.from_json("props", "map<string,string>")).where(F.try_element_at("m", F.lit("k")).isNotNull())
     marked = F.map_concat("m", F.create_map(F.lit("vault_synced"), F.lit("true")))
-    return m.select("event_id", F.try_element_at(marked, F.lit("page")).alias("page"), (F.try_element_at(marked, F.lit("vault_synced")) == "true").alias("synced"))
+    return m.select("event_id", F.try_element_at(marked, F.lit("k")).alias("page"), (F.try_element_at(marked, F.lit("vault_synced")) == "true").alias("synced"))
 
 
 @query("x21_masked_ips", r"SELECT masked, count(*) AS n FROM (SELECT split_part(ip, '.', 1) || '.' || split_part(ip, '.', 2) || '.***.***' AS masked FROM (SELECT unnest(regexp_extract_all(text, '[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}')) AS ip FROM documents)) GROUP BY masked")

@@ -208,18 +208,18 @@ def chains(spark, folder):
     return c.groupBy(F.col("component").alias("chain")).agg(F.count("*").alias("n"), F.min("created_at").alias("first_seen"), F.max("created_at").alias("last_seen"))
 
 
-@query("m13_pruned_chains", sql(f"{EDGES} SELECT source, target FROM edges JOIN memories m ON m.memory_id = target WHERE m.created_at >= {NOW} - INTERVAL 25 DAYS", "memories"))
+@query("m13_pruned_chains", sql(f"{EDGES} SELECT source, target FROM edges JOIN memories m ON m.memory_id = target WHERE m.created_at >= {NOW} - INTERVAL 29 DAYS", "memories"))
 def pruned_chains(spark, folder):
     m = M.memories(spark, folder)
-    fresh = m.where(F.col("created_at") >= as_of() - F.expr("interval 25 days")).select(F.col("memory_id").alias("target"))
+    fresh = m.where(F.col("created_at") >= as_of() - F.expr("interval 29 days")).select(F.col("memory_id").alias("target"))
     return O.continuations(m).join(fresh, "target", "left_semi").select("source", "target")
 
 
-@query("m08_vault_sync", "SELECT event_id, json_extract_string(props, '$.page') IS NULL OR ts::TIMESTAMP > TIMESTAMP '2024-01-20 00:00:00' AS needs_sync FROM events")
+@query("m08_vault_sync", "SELECT event_id, json_extract_string(props, '$.k') IS NULL OR ts::TIMESTAMP > TIMESTAMP '2024-01-20 00:00:00' AS needs_sync FROM events")
 def vault_sync(spark, folder):
     e = events(spark, folder)
     late = F.col("ts") > F.lit("2024-01-20 00:00:00").cast("timestamp")
-    return e.select("event_id", (F.get_json_object("props", "$.page").isNull() | late).alias("needs_sync"))
+    return e.select("event_id", (F.get_json_object("props", "$.k").isNull() | late).alias("needs_sync"))
 
 
 @query("c10_stale_centroids", sql("SELECT label::INTEGER AS label, round(sum(x * x), 7)::DOUBLE AS square FROM (SELECT label, pos, avg(x) AS x FROM (SELECT label, unnest(range(0, 64)) AS pos, unnest(prompt_vector::DOUBLE[]) AS x FROM vectors WHERE label % 2 = 0) GROUP BY ALL) GROUP BY label", "vectors"))

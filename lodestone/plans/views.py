@@ -166,9 +166,9 @@ def daily_rollup(spark, folder):
     return V.rollup(events(spark, folder), "day").withColumn("avg_value", F.round("avg_value", 8))
 
 
-@query("a15_code_distribution", "SELECT json_extract_string(props, '$.page') AS page, event_type, count(*) AS n FROM events GROUP BY ALL")
+@query("a15_code_distribution", "SELECT json_extract_string(props, '$.k') AS page, event_type, count(*) AS n FROM events GROUP BY ALL")
 def code_distribution(spark, folder):
-    return events(spark, folder).groupBy(F.get_json_object("props", "$.page").alias("page"), "event_type").agg(F.count("*").alias("n"))
+    return events(spark, folder).groupBy(F.get_json_object("props", "$.k").alias("page"), "event_type").agg(F.count("*").alias("n"))
 
 
 @query("a24_alerts", f"WITH {EV}, m AS (SELECT user_id, round(avg(value), 8) AS mean, max(value) AS most FROM ev GROUP BY user_id) SELECT user_id, 'mean' AS metric, mean AS value, 60.0::DOUBLE AS threshold FROM m WHERE mean > 60 UNION ALL SELECT user_id, 'most', most, 300.0::DOUBLE FROM m WHERE most > 300")
@@ -246,9 +246,9 @@ def by_type(spark, folder):
     return interactions(spark, folder).where(F.col("interaction_type").isin("conversation", "debugging")).select("interaction_type", "interaction_id")
 
 
-@query("f05_json_path", "SELECT event_id FROM events WHERE json_extract_string(props, '$.page') IS NULL OR json_extract_string(props, '$.page') <> '/home'")
+@query("f05_json_path", "SELECT event_id FROM events WHERE json_extract_string(props, '$.k') IS NULL OR json_extract_string(props, '$.k') <> '/home'")
 def json_path(spark, folder):
-    return events(spark, folder).where(~F.get_json_object("props", "$.page").eqNullSafe(F.lit("/home"))).select("event_id")
+    return events(spark, folder).where(~F.get_json_object("props", "$.k").eqNullSafe(F.lit("/home"))).select("event_id")
 
 
 @query("f17_stale", sql(f"SELECT interaction_id, floor(epoch({NOW} - last_accessed) / 86400)::BIGINT AS days FROM interactions WHERE last_accessed < {NOW} - INTERVAL 2 DAYS", "interactions"))
