@@ -2,7 +2,7 @@
 
 A window of WINDOW bytes goes through an embedding of bytes, filters of several widths, ReLU, the maximum over the window
 and a softmax. A text is cut into windows end to end; its languages' probabilities are the windows' means, weighted by
-their bytes. Training takes windows of at most about SAMPLE labelled rows. For prediction, embedding and filters are
+their bytes. Training takes windows of at most SAMPLE labelled rows. For prediction, embedding and filters are
 folded into tables over byte pairs, which gives the same numbers with a few look-ups for each byte.
 """
 
@@ -14,13 +14,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices, text_buffer
+from .common import discard, slices, stored, text_buffer
 
 WINDOW, EMBED, FILTERS, WIDTHS = 256, 8, 16, (2, 3, 4)
-SAMPLE, PER_TEXT, EPOCHS, BATCH, RATE = 6000, 2, 8, 64, 0.01
+SAMPLE, PER_TEXT, EPOCHS, BATCH, RATE = 6000, 2, 4, 64, 0.01
 UNKNOWN = "und"
 
 
@@ -48,6 +48,7 @@ class Network:
         self.p = {"embed": r.normal(0, 0.5, (256, EMBED)), "dense": r.normal(0, 0.2, (FILTERS * len(WIDTHS), len(languages))), "out": np.zeros(len(languages))}
         for w in WIDTHS:
             self.p[f"w{w}"], self.p[f"b{w}"] = r.normal(0, 1 / np.sqrt(w * EMBED), (w, EMBED, FILTERS)), np.zeros(FILTERS)
+        self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
 
     def step(self, x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
         """Gradients of the mean cross-entropy. The maximum passes a gradient to one place per filter only."""
@@ -122,12 +123,17 @@ def held_out():
 
 
 def trained(docs: DataFrame, sample: int = SAMPLE, epochs: int = EPOCHS) -> Network | None:
-    """A network fitted on windows of about `sample` rows of docs (text, lang) at most; None without any such row.
-    Rows with a null or empty text or a null language are left out. Equal texts may come more than once."""
-    able = docs.where("lang is not null and text is not null and text <> ''").select(F.col("text").cast("string"), F.col("lang").cast("string"))
-    share = sample / max(1, able.count())
-    if share < 1:
-        able = able.where(F.pmod(F.xxhash64("text", F.lit(6)), F.lit(1_000_000)) < int(share * 1_000_000))
+    """A network fitted on windows of at most `sample` rows of docs (doc_id, text, lang), as many of each language, or one
+    of each if there are more languages; None without any such row. Rows with a null or empty text or a null language are
+    left out. Rows are chosen by a hash of doc_id, so copies of a text come no more often than other rows."""
+    able = docs.where("lang is not null and text is not null and text <> ''").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    each = stored(able.groupBy("lang").agg(F.count("*").alias("n")))
+    quota = max(1, sample // max(1, each.count()))
+    order = F.xxhash64("doc_id", F.lit(6))
+    #: About twice the quota by hash, then the first of these: no task sees more of a language.
+    near = able.join(each, "lang").where(F.pmod(order, F.lit(1_000_000)) * F.col("n") < F.lit(1_000_000 * (2 * quota + 20)))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(order, "doc_id", F.crc32("text")))
+    able = near.withColumn("place", place).where(F.col("place") <= quota).select("text", "lang")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,6 +148,7 @@ def trained(docs: DataFrame, sample: int = SAMPLE, epochs: int = EPOCHS) -> Netw
             yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.binary()), pa.array([g[1] for g in got], pa.string())], ["window", "lang"])
 
     rows = able.mapInArrow(cut, "window binary, lang string").orderBy(F.xxhash64("window"), "window", "lang").collect()  # bounded by `sample`
+    discard(each)
     if not rows:
         return None
     languages = sorted({r["lang"] for r in rows})

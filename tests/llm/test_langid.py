@@ -71,3 +71,12 @@ def test_odd_rows(spark):
     unlabelled = spark.createDataFrame([(1, "text", None, None, 4)], data.DOCUMENTS)
     assert langid.language_id(unlabelled).first()["lang_pred"] == "und"
     assert langid.language_id(data.documents(spark, [])).count() == 0
+
+
+def test_copies_of_a_text_and_rare_languages_in_the_sample(spark, monkeypatch):
+    few = [(60_000 + i, f"kalo {i} miru", "xx") for i in range(3)]
+    seen = []
+    monkeypatch.setattr(langid.Network, "fit", lambda self, x, y, epochs: seen.append((len(x), list(self.languages))))
+    docs = spark.range(50_000).selectExpr("id as doc_id", "'the same text of all' as text", "'en' as lang").unionByName(spark.createDataFrame(few, "doc_id long, text string, lang string"))
+    langid.trained(docs, 400)
+    assert seen[0][0] <= 400 * langid.PER_TEXT and seen[0][1] == ["en", "xx"]
