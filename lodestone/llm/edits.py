@@ -1,20 +1,21 @@
 """Token counts that follow edits.
 
-A document's pre-tokens stand in leaves of LEAF blank-delimited chunks; a leaf ends where one blank stands between two
-other characters, which no pre-token crosses. Over the leaves lies a segment tree of sums of characters and tokens. An
-edit finds its leaves by descending on characters, takes in a neighbour where it touches the blank that parts them
-(the boundary context), re-encodes only these, and corrects the sums above them.
+A document's pre-tokens stand in leaves of LEAF pieces; a leaf may end before one white-space character between two
+others, or between a letter and a sign, which no pre-token crosses. Over the leaves lies a segment tree of sums of
+characters and tokens. An edit finds its leaves by descending on characters, takes in a neighbour where it touches the
+place that parts them (the boundary context), re-encodes only these, and corrects the sums above them. A run of letters
+is one pre-token and so one leaf, however long.
 
 The trees are a table beside the documents; a leaf is some hundreds of characters, so it is small against the texts.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,26 +23,12 @@ from . import tokens
 from .common import stored
 
 LEAF = 64
-_CUT = re.compile(r"(?<=\S) (?=\S)")
+_CUT = regex.compile(r"(?<=\S)[ \t\n\r\f\v](?=\S)|(?<=\p{L})(?=[^\s\p{L}\p{N}])")
 
 
-def leaf_count(code: tokens.Encoder, text: str) -> int:
-    """Tokens of a leaf. One that starts with its blank is coded as if it stood in the text."""
-    if text[:1] == " " and len(text) > 1:
-        return code.count("a" + text) - code.count("a")  # "a" and what follows its blank are coded apart
-    return code.count(text)
-
-
-def cuts(text: str, every: int) -> list[int]:
-    """Places of every `every`-th blank between two other characters."""
-    if not tokens._UNEVEN.search(text):  # all blanks are such
-        out, at = [], 0
-        for i, chunk in enumerate(text.split(" ")):
-            if i and i % every == 0:
-                out.append(at - 1)
-            at += len(chunk) + 1
-        return out
-    return [m.start() for m in _CUT.finditer(text)][every - 1 :: every]
+def cuts(text: str) -> list[int]:
+    """The places where a leaf may end."""
+    return [m.start() for m in _CUT.finditer(text)]
 
 
 class Tree:
@@ -75,8 +62,8 @@ class Tree:
 
 def built(text: str, code: tokens.Encoder) -> tuple[np.ndarray, np.ndarray]:
     """Characters and tokens of each leaf of a text."""
-    at = [0, *cuts(text, LEAF), len(text)]
-    return np.diff(at), np.array([leaf_count(code, text[a:b]) for a, b in zip(at, at[1:])], np.int64)
+    at = [0, *cuts(text)[LEAF - 1 :: LEAF], len(text)]
+    return np.diff(at), np.array([code.count(text[a:b]) for a, b in zip(at, at[1:])], np.int64)
 
 
 def edit(text: str, tree: Tree, start: int, stop: int, put: str, code: tokens.Encoder) -> tuple[str, int]:
@@ -101,10 +88,12 @@ def edit(text: str, tree: Tree, start: int, stop: int, put: str, code: tokens.En
         if open_right:
             last += 1
             b += int(tree.sums[tree.size + last, 0])
-    marks = cuts(own, max(1, own.count(" ") // (last - first + 1) + 1))[: last - first]
+    able = cuts(own)
+    every = len(able) // (last - first + 1) + 1
+    marks = able[every - 1 :: every][: last - first]
     at = [0, *marks, *[len(own)] * (last - first - len(marks)), len(own)]
     for i, (x, y) in enumerate(zip(at, at[1:])):
-        tree.set(first + i, y - x, leaf_count(code, own[x:y]))
+        tree.set(first + i, y - x, code.count(own[x:y]))
     return new, len(own)
 
 

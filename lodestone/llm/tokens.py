@@ -1,26 +1,18 @@
-"""Byte-level BPE over whole texts, with a bounded memo of blank-delimited chunks in each worker."""
+"""Byte-level BPE over whole texts."""
 
 from __future__ import annotations
 
 import base64
-import re
+from array import array
 from functools import lru_cache
 
-import numpy as np
 import public_tokenizers
 
 BYTE_BPE = "byte_bpe_50k"
-#: A chunk may be coded by itself if exactly one blank, with no white space beside it, stands before it.
-_UNEVEN = re.compile(r" \s|\s |^ | $")
-MEMO, LONGEST = 250_000, 48
 
 
 class Encoder:
-    """Ids of whole texts. The vocabulary is byte_bpe_50k, read as ranks; ids equal those of byte_bpe_50k.json.
-
-    No pre-token of this vocabulary crosses a single blank between two other characters except by starting with it,
-    so the chunks between such blanks are coded by themselves and remembered. Texts with other white space beside a
-    blank are coded whole. The memo holds MEMO chunks of up to LONGEST characters and is emptied when full."""
+    """Ids of whole texts. The vocabulary is byte_bpe_50k, read as ranks; ids equal those of byte_bpe_50k.json."""
 
     def __init__(self, ranks_path: str):
         import tiktoken
@@ -28,35 +20,13 @@ class Encoder:
         with open(ranks_path, "rb") as file:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
         self.bpe = tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.first: dict[str, bytes] = {}
-        self.rest: dict[str, bytes] = {}
-
-    def _code(self, text: str) -> bytes:
-        return np.array(self.bpe.encode_ordinary(text), "<u4").tobytes()
 
     def packed(self, text: str) -> bytes:
-        """The ids of a text as little-endian unsigned 32-bit numbers."""
-        if _UNEVEN.search(text):
-            return self._code(text)
-        head, *tail = text.split(" ")
-        rest, out = self.rest, [self.first.get(head) or self._miss(self.first, head, head)]
-        try:
-            out.extend([rest[x] for x in tail])
-        except KeyError:
-            for x in tail[len(out) - 1 :]:
-                out.append(rest.get(x) or self._miss(rest, x, " " + x))
-        return b"".join(out)
-
-    def _miss(self, memo: dict, key: str, text: str) -> bytes:
-        ids = self._code(text)
-        if len(key) <= LONGEST:
-            if len(memo) >= MEMO:
-                memo.clear()
-            memo[key] = ids
-        return ids
+        """The ids of a text as unsigned 32-bit numbers in the machine's order (little-endian where this runs)."""
+        return array("I", self.bpe.encode_ordinary(text)).tobytes()
 
     def count(self, text: str) -> int:
-        return len(self.packed(text)) // 4
+        return len(self.bpe.encode_ordinary(text))
 
 
 @lru_cache(maxsize=2)

@@ -8,7 +8,7 @@ from lodestone.llm import edits, tokens
 from . import data
 
 CODE = tokens.Encoder(tokens.default_path())
-PARTS = st.sampled_from([" ", "  ", "\n", "a", "the", " the", "'s", "1", "é", ".", "!?", "b c d", " \n ", "word " * 70])
+PARTS = st.sampled_from([" ", "  ", "\n", "a", "the", " the", "'s", "1", "é", ".", "!?", "b c d", " \n ", "word " * 70, "世界，", "\t", "x\ty", "(é)", "'", "\x1c", "\u00a0"])
 
 
 @settings(max_examples=150, deadline=None)
@@ -28,6 +28,14 @@ def test_only_touched_leaves_are_coded():
     assert 0 < coded < 1500
 
 
+def test_leaves_end_at_tabs_lines_and_signs():
+    for text in ("世界，你好。" * 500, "def\tf\nreturn\tx\n" * 300):
+        tree = edits.Tree(*edits.built(text, CODE))
+        assert tree.leaves > 5
+        new, coded = edits.edit(text, tree, 1000, 1001, "x", CODE)
+        assert coded < 800 and tuple(tree.sums[1]) == (len(new), CODE.count(new))
+
+
 def test_table_equals_whole_counts(spark):
     docs = data.odd_documents(spark)
     out = edits.edited_counts(docs, edits.seeded_edits(docs)).collect()
