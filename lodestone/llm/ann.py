@@ -6,8 +6,13 @@ blocks, and a block's nearest cross-polytope vertex is one symbol. A tree is the
 vectors that share a prefix stand side by side in it, so a prefix is a range and its size a count.
 
 A query descends in every tree to its longest matching prefix, then ascends in all trees at once, symbol by symbol,
-until the ranges hold at least `candidates` entries; the whole table is the last step. Each (tree, prefix) range that
-a query ended at is scored in blocks of about `BLOCK` vectors as one matrix product, of which only the best leave.
+until the ranges hold at least `LEAST` entries and a share of all vectors; the whole table is the last step. The share
+is fitted on a bounded sample: the least of SHARES with which the sample's queries find TARGET of their true neighbours
+in the sample. Where neighbours are near it is 0 and a query has some LEAST candidates, however large the table; where
+all vectors are about equally far, as in isotropic data, no index finds them with few, and the share grows.
+
+Each (tree, prefix) range that queries ended at is cut into blocks of about `BLOCK` entries and of about `ASKING` queries;
+each pair of blocks is scored as one matrix product, of which only the best leave.
 
 Equal vectors are one entry of the forest, with as many of their smallest ids as a result can hold.
 """
@@ -21,12 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import ragged, stored
 from .vectors import matrix, power_of_two, rotated, symbols, usable
 
-TREES, LENGTH, BLOCK, NEAREST = 40, 4, 4096, 20
-#: A query's ranges hold at least this many entries over all trees, and this share of all vectors.
-LEAST, SHARE = 2000, 0.25
+TREES, LENGTH, BLOCK, ASKING, NEAREST = 40, 4, 4096, 1024, 20
+LEAST, SHARES, TARGET = 2000, (0.0, 0.01, 0.02, 0.05, 0.1, 0.15, 0.2, 0.25, 0.35, 0.5, 1.0), 0.95
+#: The share is fitted on at most so many vectors, and so many queries among them.
+SAMPLE, SAMPLE_QUERIES = 16_384, 128
 
 
 def strings(x: np.ndarray, trees: int, length: int) -> np.ndarray:
@@ -65,8 +71,33 @@ def forest(classes: DataFrame, greatest: float, trees: int, length: int) -> Data
     return classes.select("rep", "embedding", "asks").mapInArrow(run, "rep long, embedding array<double>, asks boolean, codes array<long>, query_codes array<long>")
 
 
+def fitted_share(index: DataFrame, k: int, least: int, length: int) -> float:
+    """The share of a table that a query's ranges must hold, from a sample of at most SAMPLE entries by hash."""
+    rows = index.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("embedding", "asks", "codes", "query_codes").toArrow()
+    asking = np.flatnonzero(rows["asks"].to_numpy())[:SAMPLE_QUERIES]
+    n = rows.num_rows
+    if n <= max(least, k) or not len(asking):
+        return 1.0
+    x, codes, own_codes = matrix(rows["embedding"]), *(ragged(rows[c])[0].reshape(n, -1) for c in ("codes", "query_codes"))
+    levels, recalls = [], []
+    for q in asking:
+        own = own_codes[q]
+        score = x @ x[q]
+        score[q] = -np.inf
+        true = np.argsort(-score, kind="stable")[:k]
+        met = [(codes >> 8 * (length - v)) == (own >> 8 * (length - v))[None] for v in range(1, length + 1)]
+        levels.append([n, *(int(m.sum()) for m in met)])
+        recalls.append([1.0, *(m[true].any(1).mean() for m in met)])
+    levels, recalls = np.array(levels), np.array(recalls)
+    for share in SHARES:
+        deepest = ((levels >= share * n) * np.arange(length + 1)).max(1)
+        if recalls[np.arange(len(asking)), deepest].mean() >= TARGET:
+            return share
+    return 1.0
+
+
 def best_of_ranges(asked: DataFrame, held: DataFrame, keep: int) -> DataFrame:
-    """For each group (tree, level, prefix, part): each query's `keep` best entries, as (query, rep, score)."""
+    """For each group (tree, level, prefix, part, asking): each query's `keep` best entries, as (query, rep, score)."""
 
     def score(queries: pa.Table, entries: pa.Table) -> pa.Table:
         if not queries.num_rows or not entries.num_rows:
@@ -83,19 +114,21 @@ def best_of_ranges(asked: DataFrame, held: DataFrame, keep: int) -> DataFrame:
         cols = [np.concatenate(c) for c in zip(*rows)]
         return pa.table({"query": cols[0], "rep": cols[1], "score": cols[2]})
 
-    key = ["tree", "level", "prefix", "part"]
+    key = ["tree", "level", "prefix", "part", "asking"]
     return asked.groupBy(*key).cogroup(held.groupBy(*key)).applyInArrow(score, "query long, rep long, score double")
 
 
-def nearest(vectors: DataFrame, asks, k: int = NEAREST, trees: int = TREES, length: int = LENGTH, least: int = LEAST, share: float = SHARE) -> DataFrame:
+def nearest(vectors: DataFrame, asks, k: int = NEAREST, trees: int = TREES, length: int = LENGTH, least: int = LEAST, share: float | None = None) -> DataFrame:
     """The k nearest of each query among all other rows: query_id, rank (from 1), vec_id, score (inner product of the
-    given vectors, in double precision), nearest first, ties to the smaller vec_id. `asks` is a condition on vec_id.
+    given vectors, in double precision), nearest first, ties to the smaller vec_id. `asks` is a condition on vec_id. The
+    share of a table that a query's candidates make is fitted, unless it is given.
 
     Vectors that are null, empty, zero or hold null or non-finite numbers, and rows with a null vec_id, take no part.
-    A query meets vectors of its own length only. Rows that repeat a vec_id count once. Only vec_id and embedding are
+    A query meets vectors of its own length only. Rows that repeat a vec_id count once; if their vectors differ, the
+    first in order counts. Only vec_id and embedding are
     read. With fewer than k others, a query has fewer rows; an empty table gives none."""
     given = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    able = given.where(usable(F.col("embedding")) & F.col("vec_id").isNotNull()).dropDuplicates(["vec_id"])
+    able = given.where(usable(F.col("embedding")) & F.col("vec_id").isNotNull()).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     able = stored(able.withColumn("ask", asks(F.col("vec_id"))).withColumn("square", F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)).withColumn("dim", F.size("embedding")))
     found = None
     for row in able.groupBy("dim").agg(F.max("square").alias("most"), F.count("*").alias("n")).collect():  # lengths of vectors
@@ -105,10 +138,11 @@ def nearest(vectors: DataFrame, asks, k: int = NEAREST, trees: int = TREES, leng
     return empty if found is None else found
 
 
-def nearest_of_one_length(able: DataFrame, greatest: float, n: int, k: int, trees: int, length: int, least: int, share: float) -> DataFrame:
+def nearest_of_one_length(able: DataFrame, greatest: float, n: int, k: int, trees: int, length: int, least: int, share: float | None) -> DataFrame:
     keep = k + 1
     classes = able.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.max("ask").alias("asks"))
     index = stored(forest(classes, greatest, trees, length))
+    share = fitted_share(index, k, least, length) if share is None else share
 
     def prefixes(code: str, levels, who: str) -> DataFrame:
         rows = (index if who == "rep" else index.where("asks")).select(F.col("rep").alias(who), F.posexplode(code).alias("tree", "text"))
@@ -127,10 +161,16 @@ def nearest_of_one_length(able: DataFrame, greatest: float, n: int, k: int, tree
 
     entries = prefixes("codes", range(1, length + 1), "rep").unionByName(index.select("rep", F.lit(0).alias("tree"), F.lit(0).alias("level"), F.lit(0).cast("long").alias("prefix")))
     entries = entries.join(spots, ["tree", "level", "prefix"])
-    sizes = entries.groupBy("tree", "level", "prefix").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
-    held = entries.join(sizes, ["tree", "level", "prefix"]).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts"))).drop("parts")
+    spot = ["tree", "level", "prefix"]
+    sizes = entries.groupBy(*spot).agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    sizes = stored(sizes.join(ranged.groupBy(*spot).agg(F.ceil(F.count("*") / ASKING).alias("askings")), spot))
+
+    def numbers(c: str):
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+
+    held = entries.join(sizes, spot).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts"))).withColumn("asking", numbers("askings")).drop("parts", "askings")
     held = held.join(index.select("rep", "embedding"), "rep")
-    asked = ranged.join(sizes, ["tree", "level", "prefix"]).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
+    asked = ranged.join(sizes, spot).withColumn("asking", F.pmod(F.xxhash64("query"), F.col("askings"))).withColumn("part", numbers("parts")).drop("parts", "askings")
     scored = best_of_ranges(asked, held, keep).groupBy("query", "rep").agg(F.max("score").alias("score"))
     first = Window.partitionBy("query").orderBy(F.desc("score"), "rep")
     scored = scored.withColumn("place", F.row_number().over(first)).where(F.col("place") <= keep)

@@ -50,7 +50,7 @@ def test_nearest_reach_recall_and_order(spark):
     rows = made(700, seed=5)
     scale = np.random.default_rng(1).uniform(0.5, 2, len(rows))
     rows = [(i, [float(np.float32(x * s)) for x in v] if good(v) else v, y) for (i, v, y), s in zip(rows, scale)]
-    got = ann.nearest(spark.createDataFrame(rows, SCHEMA), lambda c: c % 20 == 0, least=150, share=0.5).collect()
+    got = ann.nearest(spark.createDataFrame(rows, SCHEMA), lambda c: c % 20 == 0, least=150).collect()
     able = [r for r in rows if good(r[1])]
     x, ids = np.array([r[1] for r in able], float), np.array([r[0] for r in able])
     hit = total = 0
@@ -74,3 +74,52 @@ def test_copies_and_small_tables(spark):
     assert len(few) == 2
     none = spark.createDataFrame([], SCHEMA)
     assert ann.nearest(none, lambda c: c % 20 == 0).count() == 0 and embed_dedup.near_vectors(none).count() == 0
+
+
+def recall(spark, x, sample=None, **more):
+    rows = [(i, [float(c) for c in v], 0) for i, v in enumerate(x.astype(np.float32))]
+    got = ann.nearest(spark.createDataFrame(rows, SCHEMA), lambda c: c % 20 == 0, **more).collect()
+    x, own = x.astype(np.float32).astype(float), {}
+    for r in got:
+        own.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hit = []
+    for q in range(0, len(x), 20):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hit.append(len(own[q] & set(np.argsort(-s)[:20].tolist())) / 20)
+    return float(np.mean(hit))
+
+
+def test_recall_with_production_parameters(spark):
+    r = np.random.default_rng(8)
+    x = r.normal(size=(5000, 64))
+    assert recall(spark, x * np.exp(r.normal(size=5000) * 0.4)[:, None]) >= 0.9
+
+
+def test_clustered_vectors_need_few_candidates(spark, monkeypatch):
+    r = np.random.default_rng(9)
+    centres = r.normal(size=(250, 64))
+    x = np.repeat(centres, 40, 0) + r.normal(size=(10_000, 64)) * 0.15
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    shares, plain = [], ann.fitted_share
+    monkeypatch.setattr(ann, "fitted_share", lambda *a: shares.append(plain(*a)) or shares[-1])
+    assert recall(spark, x, least=500) >= 0.9 and shares[0] <= 0.05
+
+
+def test_repeated_ids_labels_of_text_and_clashing_columns(spark):
+    v, w = [1.0] + [0.25] * 7, [0.25] * 7 + [1.0]
+    rows = [(1, v, "a"), (1, w, "a"), (2, v, "a"), (3, v, "b"), (4, w, "a"), (5, v, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    for c in ("rep", "copies", "key", "t", "slot", "part", "n", "tree", "level", "prefix", "query", "score", "component", "linked"):
+        df = df.selectExpr("*", f"'x' AS {c}")
+    out = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in embed_dedup.near_vectors(df).collect())
+    assert out == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 0, 3), (4, 1, 1), (5, 0, 5)]
+    near = ann.nearest(df, lambda c: c == 2, k=3).collect()
+    assert [(r["vec_id"]) for r in sorted(near, key=lambda r: r["rank"])][:2] == [3, 5]
+
+
+def test_ties_between_different_vectors(spark):
+    e = np.eye(8) * 2
+    rows = [(100 - i, [float(c) for c in (e[i % 8] + e[0])], 0) for i in range(1, 8)] + [(0, [float(c) for c in e[0]], 0)]
+    near = ann.nearest(spark.createDataFrame(rows, SCHEMA), lambda c: c == 0, k=4).collect()
+    assert [(r["vec_id"]) for r in sorted(near, key=lambda r: r["rank"])] == [93, 94, 95, 96]
