@@ -23,6 +23,7 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table has no domains: they are made of the number in a source's name, modulo 3."""
     return mixing.mixed(table(spark, sf_dir, "documents"))
 
 

@@ -1,8 +1,8 @@
 """Repeated runs of lines: a suffix array over line ids by prefix doubling, whose common-prefix intervals show what to
 delete.
 
-Every line of the corpus has a place in one sequence, document by document in the order of doc_id, and an id, the hash
-of its stripped text. Round k knows the suffixes' order by their first 2 ** k lines: suffixes alike so far share a rank,
+Every line of the corpus has a place in one sequence, document by document in the order of doc_id, and an id, a 128-bit
+hash of its stripped text. Round k knows the suffixes' order by their first 2 ** k lines: suffixes alike so far share a rank,
 which is an interval of the suffix array with a common prefix of 2 ** k lines. Round k + 1 ranks the pairs of a suffix's
 rank and that of the suffix 2 ** k lines on, by a distributed sort of the distinct pairs. Suffixes alone in their
 interval leave; so do those whose document ends first. Rounds end when none is left.
@@ -28,17 +28,19 @@ MIN_WORDS = 25
 
 
 def numbered_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(lines, texts). lines: pos, end (of the document), id, words. texts: doc_id, h, start, end. Rows with the same
+    """(lines, texts). lines: pos, end (of the document), id and id_2 (the hash), words. texts: doc_id, h, start, end. Rows with the same
     doc_id and text are one document."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, words = [], []
+            ids, more, words = [], [], []
             for t in batch.column(2).to_pylist():
                 own = [x.strip() for x in (t or "").split("\n")]
-                ids.append(np.array([xxhash.xxh64_intdigest(x.encode()) for x in own], np.uint64).view(np.int64))
+                both = np.frombuffer(b"".join([xxhash.xxh3_128_digest(x.encode()) for x in own]), np.int64).reshape(-1, 2)
+                ids.append(both[:, 0])
+                more.append(both[:, 1])
                 words.append(np.array([len(x.split()) for x in own], np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.list_(pa.int64())), pa.array(words, pa.list_(pa.int32()))], ["doc_id", "h", "ids", "words"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(x, pa.list_(pa.int64())) for x in (ids, more)], pa.array(words, pa.list_(pa.int32()))], ["doc_id", "h", "ids", "more", "words"])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -47,26 +49,28 @@ def numbered_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         for batch in batches:
             size = np.diff(batch.column(2).offsets.to_numpy())
             stop = at + np.cumsum(size)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(size), block, np.int32)), pa.array(stop - size), pa.array(size.astype(np.int64))], ["doc_id", "h", "ids", "words", "block", "at", "n"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(size), block, np.int32)), pa.array(stop - size), pa.array(size.astype(np.int64))], ["doc_id", "h", "ids", "more", "words", "block", "at", "n"])
             at = int(stop[-1]) if len(stop) else at
 
-    read = docs.select("doc_id", "h", "text").mapInArrow(split, "doc_id long, h long, ids array<long>, words array<int>")
-    once = read.groupBy("doc_id", "h").agg(F.first("ids").alias("ids"), F.first("words").alias("words"))
+    read = docs.select("doc_id", "h", "text").mapInArrow(split, "doc_id long, h long, ids array<long>, more array<long>, words array<int>")
+    once = read.groupBy("doc_id", "h").agg(*[F.first(c).alias(c) for c in ("ids", "more", "words")])
     ordered = once.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h")
-    placed = stored(ordered.mapInArrow(place, "doc_id long, h long, ids array<long>, words array<int>, block int, at long, n long"))
+    placed = stored(ordered.mapInArrow(place, "doc_id long, h long, ids array<long>, more array<long>, words array<int>, block int, at long, n long"))
     blocks = placed.groupBy("block").agg(F.sum("n").alias("n"))  # one row a task
     before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     base = blocks.select("block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     placed = placed.join(F.broadcast(base), "block").withColumn("start", F.col("base") + F.col("at")).withColumn("end", F.col("start") + F.col("n"))
-    lines = placed.select("start", "end", F.posexplode(F.arrays_zip("ids", "words")).alias("i", "x"))
-    lines = lines.select((F.col("start") + F.col("i")).alias("pos"), "end", F.col("x.ids").alias("id"), F.col("x.words").alias("words"))
+    lines = placed.select("start", "end", F.posexplode(F.arrays_zip("ids", "more", "words")).alias("i", "x"))
+    lines = lines.select((F.col("start") + F.col("i")).alias("pos"), "end", F.col("x.ids").alias("id"), F.col("x.more").alias("id_2"), F.col("x.words").alias("words"))
     return lines, placed.select("doc_id", "h", "start", "end")
 
 
 def rounds(lines: DataFrame) -> list[DataFrame]:
     """The suffixes that share an interval, a table per round k: pos, end, words, rank and first (of the interval)."""
-    alike = lines.groupBy("id").agg(F.count("*").alias("n"), F.min("pos").alias("first")).where("n > 1").drop("n")
-    tables = [stored(lines.join(alike, "id").select("pos", "end", "words", F.col("id").alias("rank"), "first"))]
+    alike = lines.groupBy("id", "id_2").agg(F.count("*").alias("n"), F.min("pos").alias("first")).where("n > 1").drop("n")
+    alike = stored(alike.withColumn("rank", F.monotonically_increasing_id()))  # a table: so a common line's rows can be split in the join
+    tables = [stored(lines.join(alike, ["id", "id_2"]).select("pos", "end", "words", "rank", "first"))]
+    discard(alike)
     reach = 1
     while True:
         last = tables[-1]

@@ -93,3 +93,22 @@ def test_odd_rows(spark):
     assert len(out) == 10 and all(0 <= r["score"] <= 1 and r["predicted"] == 0 for r in out)
     assert toxicity.toxicity(data.documents(spark, []), labels).count() == 0
     assert toxicity.toxicity(docs, labels.where("doc_id = -1")).count() == 10
+
+
+def test_scores_do_not_depend_on_batches(spark):
+    told = rows()
+    told += [(1000, "x a", None), (1001, "s n a r f l e", None), (1002, "I am", None), (1003, "s.n.a.r.f.l.e", None), (1004, None, None)]
+    got = []
+    for size, turn in (("10000", 1), ("1", -1)):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        out = toxicity.toxicity(*frames(spark, told[::turn])).collect()
+        got.append(sorted((r["doc_id"], r["score"], r["n_toxic"]) for r in out))
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got[0] == got[1] and dict((i, n) for i, _, n in got[0])[1001] > 0
+
+
+def test_labels_that_differ(spark):
+    docs = data.documents(spark, [(1, "kalo blorgh miru"), (2, "kalo blorgh miru"), (3, "kalo blorgh miru"), (4, "teso"), (6, "kalo blorgh miru")])
+    labels = spark.createDataFrame([(1, 1, 1), (1, 1, 0), (1, 1, 1), (2, 1, 0), (3, 1, 1), (4, 1, 0)], LABELS)
+    got = [sorted((r["doc_id"], r["score"]) for r in toxicity.toxicity(docs, part).collect()) for part in (labels, labels.orderBy("toxic"), labels.repartition(3))]
+    assert got[0] == got[1] == got[2]
