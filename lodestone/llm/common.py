@@ -14,14 +14,17 @@ U64 = np.uint64
 _GOLD, _M1, _M2 = U64(0x9E3779B97F4A7C15), U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
 
 
+_OWN: dict[str, str] = {}  # by application: Spark doesn't let a running session name the folder
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, set here only where the session has none."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a new one only where a local session has none."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("on a cluster, set spark.checkpoint.dir to a folder that driver and executors share")
-        found = tempfile.mkdtemp(prefix="lodestone-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        found = _OWN.get(spark.sparkContext.applicationId) or tempfile.mkdtemp(prefix="lodestone-")
+        _OWN[spark.sparkContext.applicationId] = found
     return found.rstrip("/")
 
 
