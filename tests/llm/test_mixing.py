@@ -62,8 +62,17 @@ def test_rows_equal_sql(spark):
 
 
 def test_odd_rows(spark):
+    """Null, empty and very long texts, null and repeated doc_ids, ties: as the SQL says."""
     docs = data.odd_documents(spark)
     out = mixing.mixed_documents(docs)
     assert out.columns == docs.columns and out.count() > 0
+    same = docs.select("doc_id", "text", "lang", "source").unionByName(docs.selectExpr("doc_id", "text", "cast(null as string) as lang", "'src7' as source"))
+    got = mixing.mixed(same).select("doc_id", *mixing.LEVELS, "tokens", "copies").collect()
+    rows_ = same.collect()
+    con = duckdb.connect()
+    con.register("documents", pa.table({c: pa.array([r[c] for r in rows_], pa.int64() if c == "doc_id" else pa.string()) for c in same.columns}))
+    want = con.execute(f"SELECT doc_id, domain, lang, source, tokens, copies FROM ({mixing.oracle()})").fetchall()
+    order = lambda rows: sorted(map(tuple, rows), key=lambda r: tuple((x is None, x or 0) if not isinstance(x, str) else (False, x) for x in r))
+    assert order(got) == order(want)
     empty = docs.where("doc_id = -1")
     assert mixing.mixed(empty).count() == 0 and mixing.mixed_documents(empty).count() == 0

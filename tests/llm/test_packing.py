@@ -53,23 +53,33 @@ def test_plan_is_best_fit_decreasing():
         assert len(placed) == len(rooms)
 
 
+def pieces(doc_id, text, code):
+    """The pieces of one row: only the first may be shorter than the capacity, if the text needs more than one."""
+    ids = np.frombuffer(code.packed(text or ""), "<u4").tolist() + [packing.END_ID]
+    start, stop, out = 0, len(ids) % packing.CAPACITY or packing.CAPACITY, []
+    while start < len(ids):
+        out.append((doc_id, len(out), start, stop - start, tuple(ids[start:stop])))
+        start, stop = stop, stop + packing.CAPACITY
+    return out
+
+
 def test_pieces_and_sequences_round_trip(spark):
+    """Also of rows that repeat a doc_id with the same text or another one, and of null doc_ids."""
     docs = data.odd_documents(spark)
+    more = [(5, "another text of five"), (6, data.text(random.Random(8), 3000)), (None, None)]
+    docs = docs.select("doc_id", "text", "block", "length", "pos").unionByName(spark.createDataFrame(more, "doc_id long, text string"), allowMissingColumns=True)
     packed = packing.best_fit_packing(docs, keep_ids=True)
-    rows = packed.collect()
-    code = tokens.Encoder(tokens.default_path())
-    given = Counter((r["doc_id"], r["text"]) for r in docs.collect())
-    total = 0
-    for (doc_id, text), n in given.items():
-        ids = np.frombuffer(code.packed(text or ""), "<u4").tolist() + [packing.END_ID]
-        total += n * len(ids)
-        own = sorted((r["piece"], r["start"], r["length"], tuple(r["ids"])) for r in rows if r["doc_id"] == doc_id and r["length"] and len([1]) and True)
-        if n == 1 and doc_id is not None:
-            assert [x for p in own for x in p[3]] == ids
-            assert [p[1] for p in own] == np.concatenate([[0], np.cumsum([p[2] for p in own])[:-1]]).tolist()
-            assert all(p[2] == packing.CAPACITY for p in own[1:])
-    assert sum(r["length"] for r in rows) == total
+    rows, code = packed.collect(), tokens.Encoder(tokens.default_path())
+    want = Counter(p for r in docs.collect() for p in pieces(r["doc_id"], r["text"], code))
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], tuple(r["ids"])) for r in rows) == want
     assert all(zlib.crc32(np.array(r["ids"], "<u4").tobytes()) == r["ids_crc32"] for r in rows)
+    total = sum(r["length"] for r in rows)
+    places = {}
+    for r in rows:
+        places.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for own in places.values():
+        own.sort()
+        assert [o for o, _ in own] == [sum(n for _, n in own[:k]) for k in range(len(own))]
     seqs = packing.sequences(packed).collect()
     assert sum(len(s["ids"]) for s in seqs) == total and max(len(s["ids"]) for s in seqs) <= packing.CAPACITY
     assert len(seqs) <= -(-total // packing.CAPACITY) + 2
