@@ -109,7 +109,11 @@ def quality(code: Column) -> Column:
     return F.struct(F.greatest(F.lit(0.0), 1.0 - 0.2 * F.size(issues)).alias("score"), issues.alias("issues"))
 
 
-def documentation_coverage(files: DataFrame, key: str) -> DataFrame:
-    """Files, those documented, the share and what to do, by a key. files: key, documented."""
-    out = files.groupBy(key).agg(F.count("*").alias("files"), F.count_if("documented").alias("documented")).withColumn("coverage", F.col("documented") / F.col("files"))
-    return out.withColumn("recommendation", F.when(F.col("coverage") >= 0.8, "keep").when(F.col("coverage") >= 0.5, "extend").otherwise("write"))
+def documentation_coverage(corpora: DataFrame) -> DataFrame:
+    """Coverage of each corpus and what to do. corpora: functions, classes, readme, api_docs, changelog (whether there is
+    one), and other columns. Reference pages count for 0.8 of the items, a read-me for 0.2; no items, no coverage."""
+    items = F.col("functions") + F.col("classes")
+    share = F.when(F.col("api_docs"), 0.8).otherwise(0.0) + F.when(F.col("readme"), 0.2).otherwise(0.0)
+    out = corpora.withColumn("coverage", F.when(items > 0, F.least(F.lit(1.0), share)).otherwise(0.0))
+    todo = (("api documentation", F.col("coverage") < 0.5), ("read-me", ~F.col("readme")), ("changelog", ~F.col("changelog")), ("examples", F.col("coverage") < 0.8))
+    return out.withColumn("recommendations", F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in todo])))

@@ -68,8 +68,8 @@ def edges_of(edges: DataFrame, kinds: list[str], least: float = 0.0, sure: float
 
 
 def banded(degrees: DataFrame) -> DataFrame:
-    """degrees() with the band of coupling, and whether a node has no edge."""
-    band = F.when(F.col("coupling") >= 0.7, "high").when(F.col("coupling") >= 0.4, "medium").otherwise("low")
+    """degrees() with the band of coupling (over 0.7 high, over 0.3 medium), and whether a node has no edge."""
+    band = F.when(F.col("coupling") > 0.7, "high").when(F.col("coupling") > 0.3, "medium").otherwise("low")
     return degrees.withColumns({"band": band, "isolated": F.col("in_degree") + F.col("out_degree") == 0})
 
 

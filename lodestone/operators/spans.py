@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as X
 
-from . import detect
-
 #: Patterns of references (name, type, confidence, pattern).
 PATTERNS = (
     ("unix_absolute", "file_path", 0.9, r"(?<![\w/])/(?:[a-zA-Z0-9_\-.]+/)*[a-zA-Z0-9_\-.]+\b"),
@@ -149,31 +147,111 @@ def quality_score(parts: dict[str, Column]) -> Column:
     return sum((parts[k] * w for k, w in QUALITY.items()), F.lit(0.0))
 
 
-#: Placeholders that say little of what they stand for.
-GENERIC = ("<value>", "<data>", "<item>", "<thing>", "<object>", "<placeholder>", "<config_value>")
-
-
-def quality_parts(text: Column, abstract: Column) -> Column:
-    """struct of the six parts of an abstraction's quality: specific placeholders, one style of names, nothing concrete
-    left, length kept, placeholders that are used once, and few kinds of them. Without placeholders each is 1."""
-    held, kinds = X.placeholders(abstract), F.array_distinct(X.placeholders(abstract))
-    n, k = F.size(held), F.size(kinds)
-
-    def share(part: Column, of: Column) -> Column:
-        return F.when(of > 0, part / of).otherwise(1.0)
-
-    return F.struct(
-        share(F.size(F.filter(held, lambda x: ~x.isin(*GENERIC))), n).alias("specificity"),
-        share(F.size(F.filter(kinds, lambda x: x == F.lower(x))), k).alias("consistency"),
-        F.when(F.size(detect.found_values(abstract)) == 0, 1.0).otherwise(0.0).alias("completeness"),
-        F.when(F.length(text) > 0, F.least(F.lit(1.0), F.length(abstract) / F.length(text))).otherwise(1.0).alias("semantic"),
-        share(k, n).alias("efficiency"),
-        F.when(k <= 10, 1.0).otherwise(10.0 / k).alias("maintainability"),
-    )
+#: What raises or lowers the parts of an abstraction's quality.
+SPECIFIC = ("_id", "_url", "_path", "_key", "_token", "_config", "_service", "_host", "_port", "_database", "_user")
+GENERIC = ("reference", "value", "data", "item", "thing")
+CONTEXT = (("user", "user"), ("database", "db"), ("config", "config"))
+CONCEPTS = {
+    "user": ("user", "person", "account"), "database": ("db", "database", "data"), "config": ("config", "setting", "option"),
+    "auth": ("auth", "login", "credential"), "api": ("api", "service", "endpoint"), "file": ("file", "path", "document"),
+    "network": ("network", "ip", "host"), "time": ("time", "date", "timestamp"),
+}
+KEPT = ("id", "key", "token")
+UNCLEAR = ("tmp", "cfg", "usr", "sys", "obj", "var")
+CRITICAL_TYPES = ("credential", "file_path", "url")
+LEVELS = (("excellent", 0.9), ("good", 0.8), ("acceptable", 0.7), ("poor", 0.5))
+
+
+def _any(text: Column, words: tuple[str, ...]) -> Column:
+    return F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(text, w))
+
+
+def _bounded(parts: list[tuple[Column, float]]) -> Column:
+    """0.5 and what applies of the parts, within 0 and 1."""
+    score = sum((F.when(c, w).otherwise(0.0) for c, w in parts), F.lit(0.5))
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))
+
+
+def specificity(original: Column, abstracted: Column) -> Column:
+    low, name = F.lower(abstracted), F.lower(original)
+    context = [(name.contains(a) & low.contains(b), 0.1) for a, b in CONTEXT]
+    return _bounded([(_any(low, SPECIFIC), 0.3), (low.contains("_"), 0.2), (_any(low, GENERIC), -0.3), *context])
+
+
+def meaning(original: Column, abstracted: Column) -> Column:
+    """Whether a placeholder still tells what it stands for."""
+    low, name = F.lower(abstracted), F.lower(original)
+    parts = []
+    for concept, signs in CONCEPTS.items():
+        parts += [(name.contains(concept) & _any(low, signs), 0.2), (name.contains(concept) & ~_any(low, signs), -0.1)]
+    parts += [(name.contains(k) & low.contains(k), 0.15) for k in KEPT]
+    return _bounded([*parts, (F.length(_bare(low)) < 3, -0.2)])
+
+
+def _bare(placeholder: Column) -> Column:
+    return F.regexp_replace(placeholder, "^[<>]+|[<>]+$", "")
+
+
+def maintainable(abstracted: Column) -> Column:
+    name = _bare(abstracted)
+    words, fits = F.split(name, "_"), F.length(name).between(5, 25)
+    return _bounded([
+        (name.rlike("^[a-z][a-z0-9_]*[a-z0-9]$"), 0.2), (fits, 0.15), (~fits, -0.1), (_any(name, UNCLEAR), -0.1),
+        ((F.size(words) == 2) & F.forall(words, lambda w: F.length(w) > 2), 0.15), (F.size(words) > 4, -0.2),
+    ])
+
+
+def _alike(a: Column, b: Column) -> Column:
+    """Whether two placeholders follow one pattern: six tenths of their words are the same, or one holds the other."""
+    a, b = _bare(a), _bare(b)
+    x, y = F.split(a, "_"), F.split(b, "_")
+    same = F.size(F.filter(F.zip_with(x, y, lambda p, q: p.eqNullSafe(q)), lambda e: e))
+    parts = (F.size(x) > 1) & (F.size(y) > 1) & (F.size(x) == F.size(y))
+    return F.when(parts, same >= F.size(x) * 0.6).otherwise(F.contains(a, b) | F.contains(b, a))
+
+
+def quality_parts(texts: DataFrame, abstractions: DataFrame, references: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, the six parts of QUALITY) of each text. abstractions: key, type, original, abstracted; references: key, type,
+    value: all that should be abstracted. A text without abstractions has specificity 0 and 1 for the other parts, one
+    without references is complete. Pairs of placeholders are counted by type, within a text."""
+    told = abstractions.select(key, "type", "original", "abstracted")
+    scored = told.withColumns({"spec": specificity(F.col("original"), F.col("abstracted")), "sem": meaning(F.col("original"), F.col("abstracted")), "main": maintainable(F.col("abstracted"))})
+    form = F.when(F.col("abstracted").rlike("^<.*>$"), "angle").when(F.col("abstracted").rlike(r"^\{.*\}$"), "curly").when(F.col("abstracted").rlike(r"^\[.*\]$"), "square").otherwise("none")
+    ratio = F.sum(F.length("abstracted")) / F.sum(F.length("original"))
+    shape = F.when(ratio.between(0.3, 0.7), 1.0).when(ratio < 0.3, ratio / 0.3).otherwise(F.greatest(F.lit(0.0), 1 - (ratio - 0.7) / 0.3))
+    critical = F.count_if(F.col("type").isin(*CRITICAL_TYPES))
+    each = scored.groupBy(key).agg(
+        F.avg("spec").alias("specificity"), F.avg("sem").alias("semantic"), F.avg("main").alias("maintainability"), F.countDistinct(form).alias("forms"), F.count("*").alias("n"), critical.alias("n_critical"),
+        (0.5 * F.coalesce(shape, F.lit(1.0)) + 0.3 * F.countDistinct("abstracted") / F.count("*") + 0.2).alias("efficiency"),
+    )
+    names = told.select(key, "type", "abstracted").distinct()
+    pairs = names.join(names.withColumnRenamed("abstracted", "other"), [key, "type"]).where("abstracted < other")
+    odd = pairs.groupBy(key, "type").agg((F.count_if(~_alike(F.col("abstracted"), F.col("other"))) / F.count("*") * 0.3).alias("odd")).groupBy(key).agg(F.sum("odd").alias("odd"))
+    shared = told.groupBy(key, "abstracted").agg(F.countDistinct("original").alias("k"), F.count("*").alias("m"))
+    mapped = shared.groupBy(key).agg((F.sum(F.when(F.col("k") == 1, F.col("m")).otherwise(0)) / F.sum("m")).alias("mapped"))
+    due = references.groupBy(key).agg(F.count("*").alias("due"), critical.alias("due_critical"))
+    folder = F.regexp_extract("original", "^(.*)/[^/]*$", 1)
+    split = told.where("type = 'file_path'").groupBy(key, folder.alias("folder")).agg(F.countDistinct("abstracted").alias("k")).where("k > 1").groupBy(key).agg(F.least(F.lit(0.5), F.count("*") * 0.1).alias("split"))
+    out = texts.select(key)
+    for part in (each, odd, mapped, due, split):
+        out = out.join(part, key, "left")
+    cover = F.col("n") / F.col("due")
+    cover = F.when(F.col("due_critical") > 0, 0.3 * cover + 0.7 * F.col("n_critical") / F.col("due_critical")).otherwise(cover)
+    lost = F.coalesce("odd", F.lit(0.0)) + (1 - F.col("mapped")) * 0.4 + F.when(F.col("forms") > 1, 0.3 * 0.3).otherwise(0.0)
+    parts = {
+        "specificity": F.coalesce("specificity", F.lit(0.0)),
+        "consistency": F.when(F.col("n").isNull(), 1.0).otherwise(F.greatest(F.lit(0.0), 1 - lost)),
+        "completeness": F.when(F.col("due").isNull(), 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(cover, F.lit(0.0)) - F.coalesce("split", F.lit(0.0))))),
+        **{c: F.coalesce(c, F.lit(1.0)) for c in ("semantic", "efficiency", "maintainability")},
+    }
+    return out.select(key, *[parts[c].alias(c) for c in QUALITY])
 
 
 def quality_level(score: Column) -> Column:
-    return F.when(score >= 0.9, "excellent").when(score >= 0.75, "good").when(score >= 0.6, "fair").otherwise("poor")
+    out = F.when(score >= LEVELS[0][1], LEVELS[0][0])
+    for name, least in LEVELS[1:]:
+        out = out.when(score >= least, name)
+    return out.otherwise("unacceptable")
 
 
 def first_failure(stages: list[tuple[str, Column]]) -> Column:

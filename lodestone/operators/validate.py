@@ -185,26 +185,28 @@ def density_valid(text: Column, least: float = 0.1) -> Column:
     return X.placeholder_density(text) >= least
 
 
-def semantic_quality(text: Column, abstract: Column) -> Column:
-    """struct<score, issues>: 1 less 0.4 if over half of the words are placeholders, 0.2 if lines are lost or added, and
-    0.3 if fewer than seven tenths of the words are left."""
-    words = lambda t: F.size(F.filter(F.split(t, r"\s+"), lambda w: w != ""))
-    before, after, held = words(text), words(abstract), X.placeholder_count(abstract)
-    lines = lambda t: F.size(F.split(t, "\n"))
+def semantic_quality(text: Column, abstract: Column, pairs: Column) -> Column:
+    """struct<score, issues, reconstructable> of an abstracted text and its map of values to placeholders: less 0.3 if no
+    placeholder of the map stands in it, 0.2 if it is less than half as long, 0.1 if its lines are gone, and 0.05 for each
+    placeholder whose name is short or starts with no letter."""
+    back = detect.restored(abstract, pairs)
+    names = F.transform(F.map_values(pairs), lambda v: F.regexp_replace(v, "^<|>$", ""))
+    poor = F.size(F.filter(names, lambda n: (F.length(n) < 3) | ~n.rlike("^[a-zA-Z]")))
     found = (
-        ("over_abstracted", 0.4, (after > 0) & (held / after > 0.5)),
-        ("structure_lost", 0.2, lines(text) != lines(abstract)),
-        ("meaning_lost", 0.3, (before > 0) & (after / before < 0.7)),
+        ("no_substitution", 0.3, (back == abstract) & (F.size(pairs) > 0)),
+        ("over_abstraction", 0.2, F.length(abstract) < F.length(text) * 0.5),
+        ("structure_loss", 0.1, text.contains("\n") & ~abstract.contains("\n")),
     )
-    score = 1.0 - sum((F.when(c, w).otherwise(0.0) for _, w, c in found), F.lit(0.0))
-    return F.struct(F.greatest(F.lit(0.0), score).alias("score"), F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, _, c in found])).alias("issues"))
+    score = 1.0 - sum((F.when(c, w).otherwise(0.0) for _, w, c in found), F.lit(0.0)) - 0.05 * poor
+    issues = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, _, c in found], F.when(poor > 0, F.lit("poor_placeholder_name"))))
+    return F.struct(F.greatest(F.lit(0.0), score).alias("score"), issues.alias("issues"), (back != abstract).alias("reconstructable"))
 
 
-def corpus_audit(files: DataFrame, key: str) -> DataFrame:
-    """Files checked, passed and failed by a key, the rate, and a verdict: safe from 95 %, review from 80 %. files: key,
-    ok."""
-    out = files.groupBy(key).agg(F.count("*").alias("checked"), F.count_if("ok").alias("passed"), F.count_if(~F.col("ok")).alias("failed"), F.avg(F.col("ok").cast("int")).alias("rate"))
-    return out.withColumn("verdict", F.when(F.col("rate") >= 0.95, "safe").when(F.col("rate") >= 0.8, "review").otherwise("unsafe"))
+def corpus_audit(files: DataFrame, key: str, least: float = 0.8) -> DataFrame:
+    """Files checked, passed (a score of at least `least`) and failed by a key, the mean score, and the violations of
+    those that failed. files: key, score, violations."""
+    ok = F.col("score") >= least
+    return files.groupBy(key).agg(F.count("*").alias("checked"), F.count_if(ok).alias("passed"), F.count_if(~ok).alias("failed"), F.avg("score").alias("safety"), F.sum(F.when(ok, 0).otherwise(F.col("violations"))).alias("violations"))
 
 
 def overall_quality(density: Column, consistent: Column, complete: Column, semantic: Column, safety: Column) -> Column:

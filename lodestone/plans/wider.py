@@ -216,7 +216,7 @@ def export_filter(spark, folder):
 DEGREE = f"{STAR}, deg AS (SELECT id, coalesce(o, 0) AS o, coalesce(i, 0) AS i FROM nodes LEFT JOIN (SELECT source AS id, count(*) AS o FROM sedges GROUP BY 1) USING (id) LEFT JOIN (SELECT target AS id, count(*) AS i FROM sedges GROUP BY 1) USING (id))"
 
 
-@query("f21_coupling_band", f"WITH {DEGREE} SELECT id, least(1.0, (o + i) / 10.0)::DOUBLE AS coupling, CASE WHEN o + i >= 7 THEN 'high' WHEN o + i >= 4 THEN 'medium' ELSE 'low' END AS band FROM deg WHERE o + i >= 4 OR o + i = 0")
+@query("f21_coupling_band", f"WITH {DEGREE} SELECT id, least(1.0, (o + i) / 10.0)::DOUBLE AS coupling, CASE WHEN o + i > 7 THEN 'high' WHEN o + i > 3 THEN 'medium' ELSE 'low' END AS band FROM deg WHERE o + i > 3 OR o + i = 0")
 def coupling_band(spark, folder):
     """Coupled nodes by band, and those that depend on nothing."""
     d = G.banded(G.degrees(*star(spark, folder)))
