@@ -205,12 +205,12 @@ def visible(spark, folder):
 CENTRAL = f"{STAR}, n AS (SELECT count(*) AS n FROM nodes), central AS (SELECT id, (coalesce(o, 0) + coalesce(i, 0))::DOUBLE / (n - 1) AS centrality FROM nodes CROSS JOIN n LEFT JOIN (SELECT source AS id, count(*) AS o FROM sedges GROUP BY 1) USING (id) LEFT JOIN (SELECT target AS id, count(*) AS i FROM sedges GROUP BY 1) USING (id))"
 
 
-@query("f20_export_filter", f"WITH {CENTRAL}, few AS (SELECT id FROM central WHERE centrality >= 0.01 ORDER BY centrality DESC, id LIMIT 25) SELECT source, target FROM sedges WHERE source IN (SELECT id FROM few) AND target IN (SELECT id FROM few)")
+@query("f20_export_filter", f"WITH {CENTRAL}, few AS (SELECT id FROM central WHERE centrality >= 0.0002 ORDER BY centrality DESC, id LIMIT 30) SELECT source, target FROM sedges WHERE source IN (SELECT id FROM few) AND target IN (SELECT id FROM few)")
 def export_filter(spark, folder):
-    """The edges among the 25 most central nodes of a least centrality."""
+    """The edges among the 30 most central nodes of a least centrality."""
     nodes, e = star(spark, folder)
     c = G.centrality(nodes, e)
-    return G.queried(c, e, F.col("centrality") >= 0.01, [F.desc("centrality"), F.col("id")], 25)[1].select("source", "target")
+    return G.queried(c, e, F.col("centrality") >= 0.0002, [F.desc("centrality"), F.col("id")], 30)[1].select("source", "target")
 
 
 DEGREE = f"{STAR}, deg AS (SELECT id, coalesce(o, 0) AS o, coalesce(i, 0) AS i FROM nodes LEFT JOIN (SELECT source AS id, count(*) AS o FROM sedges GROUP BY 1) USING (id) LEFT JOIN (SELECT target AS id, count(*) AS i FROM sedges GROUP BY 1) USING (id))"
