@@ -28,12 +28,18 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def _files(spark: SparkSession, path: str):
+    """The file system that holds a path."""
+    return spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Writes df as a Parquet table in the shared folder and reads it back: lineage ends there, and losing an
-    executor loses none of it."""
+    executor loses none of it. What is not discarded before goes when the driver ends, as results read it lazily."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lodestone-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _files(spark, path).deleteOnExit(spark._jvm.org.apache.hadoop.fs.Path(path))
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_path = path
     return out
@@ -41,9 +47,7 @@ def stored(df: DataFrame) -> DataFrame:
 
 def discard(df: DataFrame) -> None:
     """Deletes what stored() wrote, once nothing reads it any more."""
-    jvm, sc = df.sparkSession._jvm, df.sparkSession.sparkContext
-    path = jvm.org.apache.hadoop.fs.Path(df.stored_path)
-    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+    _files(df.sparkSession, df.stored_path).delete(df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stored_path), True)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BYTE, U64, mix, slices, stored, text_buffer
+from .common import _BYTE, U64, discard, mix, slices, stored, text_buffer
 
 PREFIXES, SUPPORT, NEW, PURITY = (4, 5, 6, 7), 3, 2, 0.7
 SAMPLE, UNITS, LONGEST, MEMO = 40_000, 20_000, 40, 200_000
@@ -230,6 +230,8 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     held = each.where("toxic = 1").join(pure.select("unit"), "unit").select("doc_id", "unit").toPandas()
     known = pure.toPandas().set_index("unit")
     rate = rows.agg(F.sum("toxic").alias("t"), F.count("*").alias("n")).first()
+    discard(pure)
+    discard(rows)
     of_unit: dict = defaultdict(set)
     for d, u in zip(held["doc_id"].tolist(), held["unit"].tolist()):
         of_unit[u].add(d)
