@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from lodestone.llm import pii
@@ -71,6 +72,55 @@ def test_disclosing_terms_are_spans_wherever_they_stand(spark):
     assert all(len(terms[i]) == 2 and terms[i][1][0] - terms[i][0][1] > 200 for i in range(300, 304)) and len(terms[400]) == 1
 
 
+def plain_terms(rows):
+    """Disclosing terms by counting: terms near an entity in SUPPORT documents, and their share of its information."""
+    word, near, ents, held = re.compile(r"[^\W\d_]{4,}"), {}, {}, {}
+    for i, t in rows:
+        spans = base(t)
+        held[i] = {w.lower() for w in word.findall(t)}
+        for a, _, b, kind in spans:
+            e = (kind, t[a:b].lower())
+            ents.setdefault(e, set()).add(i)
+            low, high = max(0, a - pii.AROUND), min(len(t), b + pii.AROUND)
+            found = [(m, low) for m in word.finditer(t[low:a]) if low == 0 or m.start() > 0]
+            found += [(m, b) for m in word.finditer(t[b:high]) if high == len(t) or m.end() < high - b]
+            for m, at in found:
+                if not any(x < m.end() + at and m.start() + at < y for x, _, y, _ in spans):
+                    near.setdefault((e, m.group().lower()), set()).add(i)
+    n, out = len(rows), set()
+    for (e, w), docs in near.items():
+        if len(docs) >= pii.SUPPORT and len(ents[e]) < n:
+            n_w, n_e = sum(w in h for h in held.values()), len(ents[e])
+            both = sum(w in held[i] for i in ents[e])
+            if np.log2(n * both / (n_w * n_e)) / np.log2(n / n_e) >= pii.GENERALISE:
+                out.add(w)
+    return out
+
+
+def test_disclosing_terms_equal_plain_counts(spark):
+    rng = random.Random(11)
+    people = [(f"user{k}@mail.org", data.words(rng, 3)) for k in range(6)] + [("10.0.0.7", data.words(rng, 2))]
+    rows = []
+    for i in range(160):
+        t = data.words(rng, 30)
+        for value, own in rng.sample(people, rng.choice([0, 0, 1, 2])):
+            at = rng.randrange(len(t))
+            t[at:at] = [rng.choice(own), value, rng.choice(own)] if rng.random() < 0.8 else [value]
+        if rng.random() < 0.1:
+            t.append(rng.choice(rng.choice(people)[1]))
+        rows.append((i, " ".join(t)))
+    want = plain_terms(rows)
+    found = pii.personal_data(data.documents(spark, rows)).collect()
+    got = {s["value"] for r in found for s in r["spans"] if s["kind"] == "term"}
+    assert got == want and len(want) > 3
+    for r in found:  # every place of such a term, and none else
+        t = dict(rows)[r["doc_id"]]
+        spans = base(t)
+        places = [(m.start(), m.end()) for m in re.finditer(r"[^\W\d_]{4,}", t) if m.group().lower() in want and not any(x < m.end() and m.start() < y for x, _, y, _ in spans)]
+        assert [(s["start"], s["stop"]) for s in r["spans"] if s["kind"] == "term"] == places
+        assert all(v not in r["clean"] for v in ("@mail.org", "10.0.0.7"))
+
+
 def test_odd_rows(spark):
     out = pii.digest(pii.personal_data(data.odd_documents(spark))).collect()
     assert len(out) == 10 and all(r["spans"] == "" for r in out)
