@@ -45,6 +45,13 @@ def stored(df: DataFrame) -> DataFrame:
     return out
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A new folder in the shared folder, for files that tasks write themselves. It goes when the driver ends."""
+    path = f"{shared_dir(spark)}/lodestone-{uuid.uuid4().hex}"
+    _files(spark, path).deleteOnExit(spark._jvm.org.apache.hadoop.fs.Path(path))
+    return path
+
+
 def discard(df: DataFrame) -> None:
     """Deletes what stored() wrote, once nothing reads it any more."""
     _files(df.sparkSession, df.stored_path).delete(df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stored_path), True)

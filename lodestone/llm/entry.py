@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import ann, edits, embed_dedup, langid, linededup, minhash, mixing, packing, pii, toxicity
+from . import ann, edits, embed_dedup, langid, linededup, minhash, mixing, packing, pii, toxicity, warc
+from .common import new_folder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +59,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.archived(table(spark, sf_dir, "pages"), new_folder(spark))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
@@ -69,8 +75,9 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_pii_sanitisation": op9_pii_sanitisation,
     "op10_toxicity": op10_toxicity,
+    "op13_warc": op13_warc,
     "pipeline": corpus_pipeline.run,
 }
-ORACLE: dict[str, str] = {"op3_mixing": mixing.oracle()}
+ORACLE: dict[str, str] = {"op3_mixing": mixing.oracle(), "op13_warc": warc.ORACLE}
 if corpus_pipeline.ORACLE_SQL:
     ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
