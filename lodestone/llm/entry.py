@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import ann, edits, embed_dedup, langid, linededup, minhash, mixing, packing, pii, toxicity, warc
+from . import alignment, ann, edits, embed_dedup, langid, linededup, minhash, mixing, packing, pii, toxicity, warc
 from .common import new_folder
 
 
@@ -59,6 +59,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment(table(spark, sf_dir, "documents"))
+
+
 def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc.archived(table(spark, sf_dir, "pages"), new_folder(spark))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -75,6 +79,7 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_pii_sanitisation": op9_pii_sanitisation,
     "op10_toxicity": op10_toxicity,
+    "op11_alignment": op11_alignment,
     "op13_warc": op13_warc,
     "pipeline": corpus_pipeline.run,
 }
