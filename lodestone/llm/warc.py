@@ -34,7 +34,7 @@ from .common import discard, stored
 LEAST = 1000  # payloads of fewer bytes are always written
 BLOCK = 1000  # captures in a block of the index
 ARCHIVE = 1 << 30  # bytes after which a task begins another archive
-GAP, SPAN = 1 << 16, 1 << 22  # ranges are read together over gaps of GAP bytes; a task reads whole spans of SPAN bytes
+GAP, SPAN = 1 << 16, 1 << 22  # ranges are read together over gaps of GAP bytes, up to SPAN bytes
 CAPTURED = "2024-01-01T00:00:00Z"
 
 _URL = r"(?i)^([a-z][a-z0-9+.-]*)://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]*)(?::([0-9]*))?([^?#]*)(\?[^#]*)?"
@@ -326,7 +326,7 @@ def read_records(captures: DataFrame, folder: str, keep_payload: bool = False) -
                 yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in types], [c for c, _ in types])
                 i = j
 
-    placed = captures.select("path", "offset", "length").repartition("path", F.floor(F.col("offset") / SPAN)).sortWithinPartitions("path", "offset")
+    placed = _ranges(captures.select("path", "offset", "length"), "path", "offset").sortWithinPartitions("path", "offset")
     return placed.mapInArrow(read, schema)
 
 
@@ -346,7 +346,8 @@ def archived(pages: DataFrame, folder: str, least: int = LEAST) -> DataFrame:
     payloads, also empty ones, are responses always. An empty table gives no rows. A record is held in memory whole."""
     captures = write_archives(records(pages, least), folder)
     index = build_index(captures, f"{folder}/index")
-    return read_records(lookup(index, captures.select("key", "page_id")), folder).select("page_id", "url", "record_type", "payload_bytes", "payload_digest", "refers_to")
+    found = stored(lookup(index, captures.select("key", "page_id")))
+    return read_records(found, folder).select("page_id", "url", "record_type", "payload_bytes", "payload_digest", "refers_to")
 
 
 #: DuckDB SQL for the rows of op13_warc.
