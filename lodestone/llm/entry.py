@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import alignment, ann, edits, embed_dedup, langid, linededup, minhash, mixing, packing, pii, toxicity, warc
+from . import alignment, ann, collocations, edits, embed_dedup, langid, linededup, minhash, mixing, packing, pii, toxicity, warc
 from .common import new_folder
 
 
@@ -63,6 +63,10 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.alignment(table(spark, sf_dir, "documents"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc.archived(table(spark, sf_dir, "pages"), new_folder(spark))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -80,9 +84,10 @@ QUERIES = {
     "op9_pii_sanitisation": op9_pii_sanitisation,
     "op10_toxicity": op10_toxicity,
     "op11_alignment": op11_alignment,
+    "op12_collocations": op12_collocations,
     "op13_warc": op13_warc,
     "pipeline": corpus_pipeline.run,
 }
-ORACLE: dict[str, str] = {"op3_mixing": mixing.oracle(), "op13_warc": warc.ORACLE}
+ORACLE: dict[str, str] = {"op3_mixing": mixing.oracle(), "op12_collocations": collocations.ORACLE, "op13_warc": warc.ORACLE}
 if corpus_pipeline.ORACLE_SQL:
     ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
