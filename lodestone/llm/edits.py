@@ -1,7 +1,7 @@
 """Token counts that follow edits.
 
 A document's pre-tokens stand in leaves of LEAF pieces; a leaf may end before one white-space character between two
-others, or between a letter and a sign, which no pre-token crosses. Over the leaves lies a segment tree of sums of
+others, or between a letter and a sign, but not in the added token, so that no token crosses it. Over the leaves lies a segment tree of sums of
 characters and tokens. An edit finds its leaves by descending on characters, takes in a neighbour where it touches the
 place that parts them (the boundary context), re-encodes only these, and corrects the sums above them. A run of letters
 is one pre-token and so one leaf, however long.
@@ -23,7 +23,7 @@ from . import tokens
 from .common import stored
 
 LEAF = 64
-_CUT = regex.compile(r"(?<=\S)[ \t\n\r\f\v](?=\S)|(?<=\p{L})(?=[^\s\p{L}\p{N}])")
+_CUT = regex.compile(rf"(?<=\S)[ \t\n\r\f\v](?=\S)|(?<=\p{{L}})(?=[^\s\p{{L}}\p{{N}}])(?!(?<={regex.escape(tokens.ADDED[:-2])}){regex.escape(tokens.ADDED[-2:])})")
 
 
 def cuts(text: str) -> list[int]:

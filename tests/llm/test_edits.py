@@ -21,6 +21,33 @@ def test_counts_follow_edits(parts, changes):
         assert tuple(tree.sums[1]) == (len(text), CODE.count(text))
 
 
+MARKS = st.sampled_from(["<|endoftext|>", "<|endoftext", "|>", "<|", "|", ">", "endoftext", "x", "t", " ", "a b", ".", "\n"])
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(MARKS, max_size=40), st.lists(st.tuples(st.integers(0, 200), st.integers(0, 6), st.lists(MARKS, max_size=2)), max_size=5))
+def test_counts_follow_edits_in_the_added_token(parts, changes):
+    """Edits that make, break and join the added token, with a leaf for every piece."""
+    text, leaf = "".join(parts), edits.LEAF
+    edits.LEAF = 1
+    try:
+        tree = edits.Tree(*edits.built(text, CODE))
+        assert tree.sums[1, 1] == CODE.count(text)
+        for start, n, put in changes:
+            text, _ = edits.edit(text, tree, start, start + n, "".join(put), CODE)
+            assert tuple(tree.sums[1]) == (len(text), CODE.count(text))
+    finally:
+        edits.LEAF = leaf
+
+
+def test_long_text():
+    text = data.text(random.Random(4), 120_000) + "<|endoftext|>" * 3 + "y" * 20_000
+    tree = edits.Tree(*edits.built(text, CODE))
+    assert tree.sums[1, 1] == CODE.count(text)
+    text, coded = edits.edit(text, tree, 400_000, 400_010, " new ", CODE)
+    assert tuple(tree.sums[1]) == (len(text), CODE.count(text)) and coded < 3000
+
+
 def test_only_touched_leaves_are_coded():
     text = data.text(random.Random(3), 5000)
     tree = edits.Tree(*edits.built(text, CODE))

@@ -13,14 +13,20 @@ from . import data
 
 def test_ids_equal_the_tokenizer_file():
     whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    whole.encode_special_tokens = True
     code, rng = tokens.Encoder(tokens.default_path()), random.Random(1)
-    parts = [" ", "  ", "\n", "\t", "a", "the", " the", "'s", "don't", "1", "é", "漢", ".", "!?", "b c", " \n ", " ", "<|endoftext|>"]
+    parts = [" ", "  ", "\n", "\t", "a", "the", " the", "'s", "don't", "1", "é", "漢", ".", "!?", "b c", " \n ", " ", "<|endoftext|>", "<|endoftext", "|>", "<|"]
     for _ in range(300):
         t = "".join(rng.choice(parts) for _ in range(rng.randint(0, 60)))
         assert np.frombuffer(code.packed(t), "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_added_token_at_starts_and_ends():
+    whole, code = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), tokens.Encoder(tokens.default_path())
+    for t in ("x<|endoftext|>y", "<|endoftext|>", "<|endoftext|><|endoftext|>", " <|endoftext|> ", "a  <|endoftext|>  b", "<|endoftext|", "\n\n<|endoftext|>\n"):
+        assert code.ids(t) == whole.encode(t, add_special_tokens=False).ids
+    assert code.ids("x<|endoftext|>y") == [87, tokens.ADDED_ID, 88]
+
+
 def test_plan_is_best_fit_decreasing():
     """Against a plain best fit over single pieces: as many sequences, no overlap, no gap."""
     rng = random.Random(2)
