@@ -7,9 +7,11 @@ which is an interval of the suffix array with a common prefix of 2 ** k lines. R
 rank and that of the suffix 2 ** k lines on, by a distributed sort of the distinct pairs. Suffixes alone in their
 interval leave; so do those whose document ends first. Rounds end when none is left.
 
-In an interval, all suffixes but the one that stands first in the corpus start a later copy of 2 ** k lines. The longest
-repeated run from a line on is covered by two such copies that overlap, so overlapping copies are joined to stretches,
-and a stretch of MIN_WORDS words or more is deleted; lines repeated on their own, with fewer words, stay.
+A run of MIN_WORDS words or more is deleted where it is a later copy of one earlier place; lines repeated on their own,
+with fewer words, stay. Such runs are the unions of two kinds of windows: the shortest one of so many words that starts
+at a line, and the shortest that ends at it. What a window holds tells how long it is, so its copies are windows too. A
+window of n lines is named by the ranks of its first and last 2 ** k lines, where 2 ** k <= n < 2 ** (k + 1); of windows
+with one name, all but the first in the corpus go.
 """
 
 from __future__ import annotations
@@ -27,20 +29,29 @@ from .common import discard, stored
 MIN_WORDS = 25
 
 
-def numbered_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(lines, texts). lines: pos, end (of the document), id and id_2 (the hash), words. texts: doc_id, h, start, end. Rows with the same
-    doc_id and text are one document."""
+def numbered_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
+    """(lines, texts). lines: pos, end (of the document), id and id_2 (the hash), ahead and behind (lines in the shortest window of
+    min_words words that starts or ends there, 0 if none does). texts: doc_id, h, start, end. Rows with the same doc_id
+    and text are one document."""
+
+    names, kinds = ["ids", "more", "ahead", "behind"], "ids array<long>, more array<long>, ahead array<int>, behind array<int>"
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, more, words = [], [], []
+            ids, more, ahead, behind = [], [], [], []
             for t in batch.column(2).to_pylist():
                 own = [x.strip() for x in (t or "").split("\n")]
                 both = np.frombuffer(b"".join([xxhash.xxh3_128_digest(x.encode()) for x in own]), np.int64).reshape(-1, 2)
                 ids.append(both[:, 0])
                 more.append(both[:, 1])
-                words.append(np.array([len(x.split()) for x in own], np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(x, pa.list_(pa.int64())) for x in (ids, more)], pa.array(words, pa.list_(pa.int32()))], ["doc_id", "h", "ids", "more", "words"])
+                total = np.concatenate([[0], np.cumsum([len(x.split()) for x in own])])
+                at = np.arange(len(own))
+                stop = np.searchsorted(total, total[:-1] + min_words, "left")  # the first place where enough words lie behind
+                start = np.searchsorted(total, total[1:] - min_words, "right") - 1
+                ahead.append(np.where(stop <= len(own), np.maximum(stop - at, 1), 0).astype(np.int32))
+                behind.append(np.where(start >= 0, np.maximum(at + 1 - start, 1), 0).astype(np.int32))
+            lists = [pa.array(x, pa.list_(t)) for x, t in ((ids, pa.int64()), (more, pa.int64()), (ahead, pa.int32()), (behind, pa.int32()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], ["doc_id", "h", *names])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -49,61 +60,73 @@ def numbered_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         for batch in batches:
             size = np.diff(batch.column(2).offsets.to_numpy())
             stop = at + np.cumsum(size)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(size), block, np.int32)), pa.array(stop - size), pa.array(size.astype(np.int64))], ["doc_id", "h", "ids", "more", "words", "block", "at", "n"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(size), block, np.int32)), pa.array(stop - size), pa.array(size.astype(np.int64))], ["doc_id", "h", *names, "block", "at", "n"])
             at = int(stop[-1]) if len(stop) else at
 
-    read = docs.select("doc_id", "h", "text").mapInArrow(split, "doc_id long, h long, ids array<long>, more array<long>, words array<int>")
-    once = read.groupBy("doc_id", "h").agg(*[F.first(c).alias(c) for c in ("ids", "more", "words")])
+    read = docs.select("doc_id", "h", "text").mapInArrow(split, f"doc_id long, h long, {kinds}")
+    once = read.groupBy("doc_id", "h").agg(*[F.first(c).alias(c) for c in names])
     ordered = once.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h")
-    placed = stored(ordered.mapInArrow(place, "doc_id long, h long, ids array<long>, more array<long>, words array<int>, block int, at long, n long"))
+    placed = stored(ordered.mapInArrow(place, f"doc_id long, h long, {kinds}, block int, at long, n long"))
     blocks = placed.groupBy("block").agg(F.sum("n").alias("n"))  # one row a task
     before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     base = blocks.select("block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     placed = placed.join(F.broadcast(base), "block").withColumn("start", F.col("base") + F.col("at")).withColumn("end", F.col("start") + F.col("n"))
-    lines = placed.select("start", "end", F.posexplode(F.arrays_zip("ids", "more", "words")).alias("i", "x"))
-    lines = lines.select((F.col("start") + F.col("i")).alias("pos"), "end", F.col("x.ids").alias("id"), F.col("x.more").alias("id_2"), F.col("x.words").alias("words"))
+    lines = placed.select("start", "end", F.posexplode(F.arrays_zip(*names)).alias("i", "x"))
+    lines = lines.select((F.col("start") + F.col("i")).alias("pos"), "end", F.col("x.ids").alias("id"), F.col("x.more").alias("id_2"), "x.ahead", "x.behind")
     return lines, placed.select("doc_id", "h", "start", "end")
 
 
 def rounds(lines: DataFrame) -> list[DataFrame]:
-    """The suffixes that share an interval, a table per round k: pos, end, words, rank and first (of the interval)."""
-    alike = lines.groupBy("id", "id_2").agg(F.count("*").alias("n"), F.min("pos").alias("first")).where("n > 1").drop("n")
+    """The suffixes that share an interval, a table per round k: pos, end, rank; ahead and behind in the first one. Rounds
+    go as far as the longest window needs."""
+    alike = lines.groupBy("id", "id_2").agg(F.count("*").alias("n")).where("n > 1").drop("n")
     alike = stored(alike.withColumn("rank", F.monotonically_increasing_id()))  # a table: so a common line's rows can be split in the join
-    tables = [stored(lines.join(alike, ["id", "id_2"]).select("pos", "end", "words", "rank", "first"))]
+    tables = [stored(lines.join(alike, ["id", "id_2"]).select("pos", "end", "rank", "ahead", "behind"))]
     discard(alike)
+    longest = tables[0].agg(F.max(F.greatest("ahead", "behind"))).first()[0] or 0
     reach = 1
-    while True:
-        last = tables[-1]
+    while 2 * reach <= longest:
+        last = tables[-1].select("pos", "end", "rank")
         ahead = last.select((F.col("pos") - reach).alias("pos"), F.col("rank").alias("rank_2"))
-        pairs = last.where(F.col("pos") + 2 * reach <= F.col("end")).join(ahead, "pos").drop("first")
-        alike = pairs.groupBy("rank", "rank_2").agg(F.count("*").alias("n"), F.min("pos").alias("first")).where("n > 1").drop("n")
+        pairs = last.where(F.col("pos") + 2 * reach <= F.col("end")).join(ahead, "pos")
+        alike = pairs.groupBy("rank", "rank_2").agg(F.count("*").alias("n")).where("n > 1").drop("n")
         ranked = stored(alike.repartitionByRange("rank", "rank_2").sortWithinPartitions("rank", "rank_2").withColumn("new", F.monotonically_increasing_id()))
         if ranked.isEmpty():
             discard(ranked)
-            return tables
-        tables.append(stored(pairs.join(ranked, ["rank", "rank_2"]).select("pos", "end", "words", F.col("new").alias("rank"), "first")))
+            break
+        tables.append(stored(pairs.join(ranked, ["rank", "rank_2"]).select("pos", "end", F.col("new").alias("rank"))))
         discard(ranked)
         reach *= 2
+    return tables
+
+
+def later_copies(levels: list[DataFrame]) -> DataFrame:
+    """(start, stop, end): windows of enough words that stand earlier in the corpus as well."""
+    first = levels[0]
+    starts = first.where("ahead > 0").select("end", F.col("pos").alias("start"), F.col("ahead").alias("n"))
+    stops = first.where("behind > 0").select("end", (F.col("pos") + 1 - F.col("behind")).alias("start"), F.col("behind").alias("n"))
+    windows = starts.unionByName(stops).distinct().withColumn("k", F.floor(F.log2("n")).cast("int"))
+    named = None
+    for k, table in enumerate(levels):
+        head = table.select(F.col("pos").alias("start"), F.col("rank").alias("head"))
+        own = windows.where(F.col("k") == k).join(head, "start").withColumn("tail_at", F.col("start") + F.col("n") - 2**k)
+        own = own.join(table.select(F.col("pos").alias("tail_at"), F.col("rank").alias("tail")), "tail_at").select("k", "n", "head", "tail", "start", "end")
+        named = own if named is None else named.unionByName(own)
+    named = stored(named)
+    again = named.groupBy("k", "n", "head", "tail").agg(F.min("start").alias("first"), F.count("*").alias("times")).where("times > 1").drop("times")
+    return named.join(stored(again), ["k", "n", "head", "tail"]).where("start > first").select("start", (F.col("start") + F.col("n")).alias("stop"), "end")
 
 
 def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, h and `gone` (numbers of the lines to delete, from 0) of the documents that lose any. docs: doc_id, h
     (hash of the text), text."""
-    lines, texts = numbered_lines(docs)
-    levels = rounds(stored(lines))
-    copies = None
-    for k, table in enumerate(levels):
-        own = table.select("pos", "end", "words", F.when(F.col("first") < F.col("pos"), F.col("pos") + 2**k).otherwise(F.col("pos")).alias("reach"))
-        copies = own if copies is None else copies.unionByName(own)
-    copies = copies.groupBy("pos").agg(F.max("end").alias("end"), F.max("words").alias("words"), F.max("reach").alias("reach"))
-    sofar = Window.partitionBy("end").orderBy("pos")
-    before = F.coalesce(F.max("reach").over(sofar.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    covered = copies.withColumn("before", before).where(F.greatest("before", "reach") > F.col("pos"))
-    stretch = F.sum(F.when(F.col("before") <= F.col("pos"), 1).otherwise(0)).over(sofar)
-    covered = covered.withColumn("stretch", stretch)
-    total = F.sum("words").over(Window.partitionBy("end", "stretch"))
-    gone = covered.withColumn("total", total).where(F.col("total") >= min_words)
-    gone = gone.groupBy("end").agg(F.array_sort(F.collect_list("pos")).alias("gone"))  # bounded by a document's lines
+    lines, texts = numbered_lines(docs, min_words)
+    copies = later_copies(rounds(stored(lines))).groupBy("end", "start").agg(F.max("stop").alias("stop"))
+    sofar = Window.partitionBy("end").orderBy("start")  # a document's windows
+    apart = F.col("start") > F.coalesce(F.max("stop").over(sofar.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))
+    merged = copies.withColumn("apart", apart.cast("int")).withColumn("stretch", F.sum("apart").over(sofar))
+    merged = merged.groupBy("end", "stretch").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
+    gone = merged.groupBy("end").agg(F.sort_array(F.flatten(F.collect_list(F.sequence("start", F.col("stop") - 1)))).alias("gone"))  # bounded by a document's lines
     return gone.join(texts, "end").select("doc_id", "h", F.transform("gone", lambda p: (p - F.col("start")).cast("int")).alias("gone"))
 
 

@@ -7,33 +7,23 @@ from . import data
 
 
 def brute(rows, least):
-    """Stretches of overlapping longest previous factors, by comparing all places with all earlier ones."""
+    """Each place with each earlier one: the run that they share goes if it has words enough."""
     seq, end, docs = [], [], []
     for d, t in sorted(rows, key=lambda r: r[0]):
         own = [x.strip() for x in t.split("\n")]
         docs.append((d, len(seq), len(seq) + len(own)))
         end += [len(seq) + len(own)] * len(own)
         seq += own
-    where, longest = defaultdict(list), [0] * len(seq)
+    where, gone = defaultdict(list), [False] * len(seq)
     for i, x in enumerate(seq):
         for j in where[x]:
             n = 0
             while i + n < end[i] and j + n < end[j] and seq[i + n] == seq[j + n]:
                 n += 1
-            longest[i] = max(longest[i], n)
+            if sum(len(y.split()) for y in seq[i : i + n]) >= least:
+                gone[i : i + n] = [True] * n
         where[x].append(i)
-    out = {}
-    for d, a, b in docs:
-        gone, i = [], a
-        while i < b:
-            stop, p = i + longest[i], i + 1
-            while p < stop:
-                stop, p = max(stop, p + longest[p]), p + 1
-            if longest[i] and sum(len(seq[k].split()) for k in range(i, stop)) >= least:
-                gone += range(i - a, stop - a)
-            i = max(stop, i + 1)
-        out[d] = gone
-    return out
+    return {d: [k - a for k in range(a, b) if gone[k]] for d, a, b in docs}
 
 
 def rows(seed):
@@ -61,6 +51,22 @@ def test_removed_lines_equal_brute_force(spark):
             assert r["text"] == "\n".join(x for k, x in enumerate(own) if k not in set(want[r["doc_id"]]))
 
 
+def test_short_runs_of_different_places_are_not_joined(spark):
+    """Lines a, b and c of nine words: ab and bc stand before abc, and each of them is too short."""
+    a, b, c = (data.text(random.Random(k), 9) for k in (1, 2, 3))
+    docs = [(1, f"{a}\n{b}"), (2, f"{b}\n{c}"), (3, f"{a}\n{b}\n{c}"), (4, f"x\n{a}\n{b}\n{c}\ny")]
+    got = {r["doc_id"]: list(r["removed"]) for r in linededup.line_dedup(data.documents(spark, docs)).collect()}
+    assert got == {1: [], 2: [], 3: [], 4: [1, 2, 3]}
+
+
+def test_many_blank_lines(spark):
+    """Windows over many blank lines are as long as these, and cost no more than the lines."""
+    passage = "\n" * 60 + data.text(random.Random(4), 20) + "\n" * 60 + data.text(random.Random(5), 20)
+    docs = [(1, "one" + passage), (2, "two" + passage + "\nend")]
+    got = {r["doc_id"]: list(r["removed"]) for r in linededup.line_dedup(data.documents(spark, docs)).collect()}
+    assert got == brute(docs, 25) and got[2] == list(range(1, 121))
+
+
 def test_first_copy_stays_whatever_the_row_order(spark):
     passage = data.text(random.Random(9), 60)
     docs = [(5, "b\n" + passage), (3, passage + "\na"), (4, passage)]
