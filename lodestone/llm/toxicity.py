@@ -2,9 +2,8 @@
 
 Language model: counts of three characters in a row over the plain words of all documents; one table of 64 ** 3 cells,
 whatever the corpus. Channel: what may stand for what. A suspicious token (a digit or sign before or after a letter,
-letters between separators, a letter three times running, or four single letters in a row in one text), and what stands between
-other characters in it, becomes a lattice
-over its whole length, in which a sign may be a letter or nothing, a run of one letter may be one or two, and a blank between single letters may be a word's
+letters and signs between separators, a letter three times running, a doubled letter that reads likelier as one, or four
+single letters and signs in a row in one text), and what stands between other characters in it, becomes a lattice over its whole length, in which a sign may be a letter or nothing, a run of one letter may be one or two, and a blank between single letters may be a word's
 end or nothing. Viterbi finds the likeliest reading; its words are scored like the plain ones.
 
 Scorer: units are whole words and prefixes of PREFIXES bytes. It is fitted on at most SAMPLE labelled rows. Units go
@@ -14,6 +13,7 @@ explained yet, until none explains NEW of them. So words that merely stand in co
 
 from __future__ import annotations
 
+import heapq
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -165,8 +165,8 @@ class Decoder:
         return "".join(reversed(out))
 
 
-def suspicious(data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, str]]:
-    """(text, token) of the tokens to be decoded."""
+def suspicious(data: np.ndarray, offsets: np.ndarray, model: np.ndarray | None = None) -> list[tuple[int, str]]:
+    """(text, token) of the tokens to be decoded. Doubled letters are weighed by the language model, where there is one."""
     n = len(data)
     if n < 3:
         return []
@@ -174,24 +174,36 @@ def suspicious(data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, str]]:
     if not len(starts):
         return []
     letter, sign, separator = _LETTER[data], _SIGN[data], _SEPARATOR[data]
+    either = letter | sign
     reach = np.repeat(ends, np.diff(np.append(starts, n)))  # where the token of a byte ends; a mark ends with its token
     reach = np.concatenate([np.zeros(starts[0], np.int64), reach])
     marks = [np.flatnonzero(((sign[:-1] & letter[1:]) | (letter[:-1] & sign[1:])) & (reach[:-1] > np.arange(1, n)))]
     marks.append(np.flatnonzero(letter[:-2] & (data[:-2] == data[1:-1]) & (data[1:-1] == data[2:]) & (data[:-2] < 128) & (reach[:-2] > np.arange(2, n))))
+    if model is not None:  # a b b c against a b c: the letters before and after are the same, so this settles a lone pair
+        two = np.flatnonzero(letter[:-1] & (data[:-1] == data[1:]) & (data[:-1] < 128) & (reach[:-1] > np.arange(1, n)))
+        code = _ALPHABET[data]
+        before = np.where((two > 0) & (reach[np.maximum(two - 1, 0)] == reach[two]), code[np.maximum(two - 1, 0)], 0)
+        after = np.where(two + 2 < reach[two], code[np.minimum(two + 2, n - 1)], 0)
+        own = code[two]
+        marks.append(two[model[before, own, own] + model[own, own, after] > COLLAPSE + model[before, own, after]])
+    words = len(marks)
     if n > 4:
-        marks.append(np.flatnonzero(letter[:-4] & separator[1:-3] & letter[2:-2] & separator[3:-1] & letter[4:] & (reach[:-4] > np.arange(4, n))))
+        marks.append(np.flatnonzero(either[:-4] & separator[1:-3] & either[2:-2] & separator[3:-1] & either[4:] & (letter[:-4] | letter[2:-2] | letter[4:]) & (reach[:-4] > np.arange(4, n))))
     token = np.unique(np.searchsorted(starts, np.concatenate(marks), "right") - 1)
     doc = np.searchsorted(offsets, starts, "right") - 1
     length = ends - starts
     out = [(int(doc[t]), data[starts[t] : ends[t]].tobytes().decode("utf8", "ignore")) for t in token]
-    left, right = runs(letter | sign, offsets)  # a word that other signs join to others is read by itself, too
-    own = np.unique(np.searchsorted(left, np.concatenate(marks[:2]), "right") - 1)
+    left, right = runs(either, offsets)  # a word that other signs join to others is read by itself, too
+    own = np.unique(np.searchsorted(left, np.concatenate(marks[:words]), "right") - 1)
     own = own[(right[own] - left[own] >= 3) & (right[own] - left[own] < length[np.searchsorted(starts, left[own], "right") - 1])]
     out += [(int(d), data[left[t] : right[t]].tobytes().decode("utf8", "ignore")) for d, t in zip(np.searchsorted(offsets, left[own], "right") - 1, own)]
-    single = (length == 1) & letter[starts] & (data[starts] < 128)
+    first = data[starts]
+    single = either[starts] & (length == 1 + (first >= 0xC0).astype(np.int64) + (first >= 0xE0) + (first >= 0xF0))  # one character, of up to four bytes
     for a, b in zip(*runs(single, np.searchsorted(starts, offsets))):  # a run ends with its text
-        if b - a >= 4 and len(set(data[starts[a:b]].tolist())) > 1:
-            out.append((int(doc[a]), " ".join(map(chr, data[starts[a:b]]))))
+        if b - a >= 4 and letter[starts[a:b]].any():
+            own = [data[x:y].tobytes().decode("utf8", "ignore") for x, y in zip(starts[a:b], ends[a:b])]
+            if len(set(own)) > 1:
+                out.append((int(doc[a]), " ".join(own)))
     return out
 
 
@@ -241,17 +253,23 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
             of_doc[d].append(u)
     left = {u: len(own) for u, own in of_unit.items()}
     done, model = set(), []
-    while left and len(model) < UNITS:
-        u = max(left, key=lambda x: (left[x], known.at[x, "t"] / known.at[x, "n"], x))
-        if left[u] < NEW:
+    share = (known["t"] / known["n"]).to_dict()
+    queue = [(-k, -share[u], -u) for u, k in left.items()]
+    heapq.heapify(queue)
+    while queue and len(model) < UNITS:
+        k, _, u = queue[0]
+        k, u = -k, -u
+        if k < NEW:
             break
+        if left[u] < k:  # texts have been explained meanwhile
+            heapq.heapreplace(queue, (-left[u], -share[u], -u))
+            continue
+        heapq.heappop(queue)
         model.append(u)
         for d in of_unit[u] - done:
             done.add(d)
             for v in of_doc[d]:
-                if v in left:
-                    left[v] -= 1
-        left = {v: k for v, k in left.items() if k >= NEW}
+                left[v] -= 1
     chosen_units = np.array(model, np.int64).view(U64)
     p = np.array([(known.at[u, "t"] + 0.5) / (known.at[u, "n"] + 1) for u in model])
     order = np.argsort(chosen_units)
@@ -284,7 +302,7 @@ def scorer(model: dict, language: np.ndarray):
             u, doc = units(data, offsets)
             near = screen[(u & U64((1 << 20) - 1)).astype(np.int64)].any(1)
             pairs = [(doc[near], found(u[near]))]
-            read = [(d, w.encode()) for d, t in suspicious(data, offsets) for w in decoder.words(t)]
+            read = [(d, w.encode()) for d, t in suspicious(data, offsets, decoder.model) for w in decoder.words(t)]
             if read:
                 v, owner = units(np.frombuffer(b"".join(w for _, w in read), np.uint8), np.concatenate([[0], np.cumsum([len(w) for _, w in read])]))
                 pairs.append((np.array([d for d, _ in read])[owner], found(v)))

@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import numpy as np
@@ -86,6 +87,39 @@ def test_long_disguises_count(spark):
     assert [out[1000 + k] for k in range(3)] == [1, 1, 1] and [out[2000 + k] for k in range(4)] == [0, 0, 0, 0]
 
 
+def test_spaced_leetspeak_and_doubled_letters(spark):
+    told = rows()
+    hidden = ["you 5 n 4 r f 1 3 you", "s n 4 r f l e", "$ n @ r f l e now", "5.n.4.r.f.1.3", "a snnarfle b", "z u g w 0 r 7"]
+    plain = ["| 1 | 2 | 3 |", "1 2 3 4 5 6", "x 1 y 2 z 3", "kallo mirru", "é t é ü ß"]
+    told += [(1000 + k, t, None) for k, t in enumerate(hidden)] + [(2000 + k, t, None) for k, t in enumerate(plain)]
+    out = {r["doc_id"]: r for r in toxicity.toxicity(*frames(spark, told)).collect()}
+    assert [out[1000 + k]["predicted"] for k in range(len(hidden))] == [1] * len(hidden)
+    assert [out[2000 + k]["predicted"] for k in range(len(plain))] == [0] * len(plain)
+    assert out[1000]["score"] == out[1001]["score"]
+    assert [t for _, t in found(["é t é ü", "1 2 3 4", "a b", "5 n 4 r"])] == ["é t é ü", "5 n 4 r"]
+
+
+def test_viterbi_finds_the_likeliest_of_all_readings():
+    """Every reading of a short token's lattice is priced, as the product of its arcs and of the language model."""
+    rng = np.random.default_rng(3)
+    model = -np.log(rng.dirichlet(np.ones(64) * 0.1, (64, 64)) + 1e-9).astype(np.float32)
+    decoder, signs = toxicity.Decoder(model), random.Random(4)
+    for _ in range(150):
+        token = "".join(signs.choice("ab5 .1@aé") for _ in range(signs.randint(1, 6)))
+        best = None
+        for path in itertools.product(*decoder._arcs(token)):
+            word, cost, x, y = "".join(r for r, _ in path), sum(p for _, p in path), 0, 0
+            for byte in (word + " ").encode():
+                z = int(toxicity._ALPHABET[byte])
+                cost += model[x, y, z]
+                x, y = (0, 0) if z == 0 else (y, z)
+            if best is None or cost < best[0] - 1e-3:
+                best = (cost, {word.strip()})
+            elif abs(cost - best[0]) <= 1e-3:
+                best[1].add(word.strip())
+        assert decoder._decode(token).strip() in best[1], token
+
+
 def test_odd_rows(spark):
     docs = data.odd_documents(spark)
     labels = spark.createDataFrame([(1, 1, 1), (5, 1, 0), (6, None, None), (None, 1, 1)], LABELS)
