@@ -1,65 +1,15 @@
-"""Clusters of vectors, and an index of inverted lists."""
+"""Clusters of vectors by named other methods, and vectors of given models."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import BisectingKMeans, KMeans
+from pyspark.ml.clustering import BisectingKMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.functions import numbers as W
-
-from . import memory as O
-
-#: Clustering starts from so many vectors, the latest ones.
-CANDIDATES = 500
-
-
-def average_linkage(vectors: DataFrame, stop: float = 0.3, most: int = CANDIDATES) -> DataFrame:
-    """(vec_id, cluster, candidate): agglomerative clusters by average linkage of cosine distance of the latest `most`
-    vectors (by vec_id), merged until the nearest two are further apart than `stop`; every other vector joins the nearest
-    of these clusters by its centroid, if that is within `stop`, else it is a cluster of its own. A cluster is named by
-    its smallest candidate. The candidates are one group of bounded size, and their centroids a table of `most` rows."""
-    latest = vectors.select("vec_id", F.col("prompt_vector").cast("array<double>").alias("v")).orderBy(F.desc("vec_id")).limit(most)
-
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack([np.asarray(v, float) for v in pdf["v"]])
-        x = x / np.maximum(1e-12, np.linalg.norm(x, axis=1))[:, None]
-        ids = pdf["vec_id"].to_numpy()
-        own = merged(1 - x @ x.T, stop)
-        cluster = np.empty(len(x), np.int64)
-        for c in own:
-            cluster[c] = ids[c].min()
-        return pd.DataFrame({"vec_id": ids, "cluster": cluster})
-
-    placed = latest.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(merge, "vec_id long, cluster long")
-    both = latest.join(placed, "vec_id")
-    centres = both.select(F.col("cluster").alias("label"), F.col("v").alias("prompt_vector"))
-    rest = vectors.join(placed.select("vec_id"), "vec_id", "left_anti")
-    near = O.recommended(rest, O.centroids(centres), 1)
-    joined = near.select("vec_id", F.when(1 - F.col("score") <= stop, F.col("cluster")).otherwise(F.col("vec_id")).alias("cluster"), F.lit(False).alias("candidate"))
-    return placed.withColumn("candidate", F.lit(True)).unionByName(joined)
-
-
-def merged(d: np.ndarray, stop: float) -> list[list[int]]:
-    """Members of the clusters of a distance matrix by average linkage."""
-    n = len(d)
-    size, own = np.ones(n), [[i] for i in range(n)]
-    np.fill_diagonal(d, np.inf)
-    while n:
-        i, j = np.unravel_index(d.argmin(), d.shape)
-        if not d[i, j] <= stop:
-            break
-        row = (d[i] * size[i] + d[j] * size[j]) / (size[i] + size[j])
-        d[i], d[:, i] = row, row
-        d[i, i] = d[j] = d[:, j] = np.inf
-        size[i], own[i], own[j] = size[i] + size[j], own[i] + own[j], []
-    return [c for c in own if c]
-
 
 def bisecting(vectors: DataFrame, k: int) -> DataFrame:
     """(vec_id, cluster) by bisecting k-means on cosine: the form for any size."""
@@ -68,21 +18,6 @@ def bisecting(vectors: DataFrame, k: int) -> DataFrame:
     return model.transform(data).select("vec_id", F.col("prediction").alias("cluster"))
 
 
-def probe_lists(vectors: DataFrame, queries: DataFrame, lists: int = 16, probes: int = 4, k: int = 10) -> DataFrame:
-    """The k nearest by cosine of each query (source_id, vector) among the vectors of its nearest lists. Lists are
-    k-means cells; their centres are a table of `lists` rows."""
-    unit = vectors.select("vec_id", W.normalised(F.col("prompt_vector")).alias("unit")).withColumn("features", array_to_vector("unit"))
-    model = KMeans(k=lists, seed=1, featuresCol="features").fit(unit)
-    placed = model.transform(unit).select("vec_id", "unit", F.col("prediction").alias("list"))
-    centres = vectors.sparkSession.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "list int, centre array<double>")
-    near = queries.withColumn("unit_q", W.normalised(F.col("vector"))).crossJoin(F.broadcast(centres))
-    place = F.row_number().over(Window.partitionBy("source_id").orderBy(F.desc(W.cosine(F.col("unit_q"), F.col("centre"))), "list"))
-    asked = near.withColumn("r", place).where(F.col("r") <= probes).select("source_id", "unit_q", "list")
-    both = placed.join(asked, "list").where("vec_id <> source_id").withColumn("score", W.dot(F.col("unit"), F.col("unit_q")))
-    best = F.row_number().over(Window.partitionBy("source_id").orderBy(F.desc("score"), "vec_id"))
-    return both.withColumn("rank", best).where(F.col("rank") <= k).select("source_id", "rank", "vec_id", F.round("score", 8).alias("score"))
-
-
 def embedded(texts: DataFrame, model, column: str = "text", size: int = 64) -> DataFrame:
     """Adds `vector` by a given model: a function that returns, once per worker, one from texts to a matrix."""
 

@@ -9,6 +9,7 @@ from lodestone.functions import numbers as W
 from lodestone.functions import text as X
 
 from .memory import stated
+from .neighbours import compared
 
 #: Patterns of ten intents, matched against lower case.
 PATTERNS = {
@@ -87,13 +88,13 @@ def in_sequence(left: Column, right: Column) -> Column:
 
 
 def semantic_connections(queries: DataFrame, memories: DataFrame, least: float = 0.7) -> DataFrame:
-    """(query_id, memory_id, kind, strength) by 0.3 of the prompt's and 0.7 of the response's cosine, within blocks.
+    """(query_id, memory_id, kind, strength) by 0.3 of the prompt's and 0.7 of the response's cosine, of each query with
+    all memories.
 
-    queries: query_id, block, vector; memories: memory_id, block, prompt_vector, response_vector. Rows of one block
-    (a label, a list of an index) are compared."""
-    both = queries.join(memories, "block").where("query_id <> memory_id")
-    strength = 0.3 * W.cosine(F.col("vector"), F.col("prompt_vector")) + 0.7 * W.cosine(F.col("vector"), F.col("response_vector"))
-    return both.select("query_id", "memory_id", F.lit("semantic").alias("kind"), strength.alias("strength")).where(F.col("strength") >= least)
+    queries: query_id, vector: a stated set; memories: memory_id, prompt_vector, response_vector."""
+    asked = queries.select(F.col("query_id").alias("source_id"), "vector")
+    found = compared(memories.withColumnRenamed("memory_id", "vec_id"), asked, {"prompt_vector": 0.3, "response_vector": 0.7}, least)
+    return found.select(F.col("source_id").alias("query_id"), F.col("vec_id").alias("memory_id"), F.lit("semantic").alias("kind"), F.col("score").alias("strength"))
 
 
 def temporal_connections(queries: DataFrame, memories: DataFrame, hours: int = 24, least: float = 0.3) -> DataFrame:

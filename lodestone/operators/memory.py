@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from lodestone.functions import numbers as W
 from lodestone.functions import text as X
 
+from . import neighbours as N
+
 
 def both_ways(edges: DataFrame) -> DataFrame:
     """Edges, and bidirectional ones once more the other way."""
@@ -107,21 +109,15 @@ def text_search(texts: DataFrame, queries: DataFrame, least: float = 0.3, k: int
 def related_vectors(vectors: DataFrame, sources: DataFrame, least: float = 0.7, k: int = 10) -> DataFrame:
     """The k vectors nearest to each source by the greater cosine of prompt and response, at least `least`.
 
-    vectors: vec_id, prompt_vector, response_vector; sources: source_id, vector: a stated, small set of queries."""
-    both = vectors.crossJoin(stated(sources)).where("vec_id <> source_id")
-    score = F.greatest(W.cosine(F.col("prompt_vector"), F.col("vector")), W.cosine(F.col("response_vector"), F.col("vector")))
-    place = F.row_number().over(Window.partitionBy("source_id").orderBy(F.desc("score"), "vec_id"))
-    return both.withColumn("score", score).where(F.col("score") >= least).withColumn("rank", place).where(F.col("rank") <= k).select("source_id", "rank", "vec_id", "score")
+    vectors: vec_id, prompt_vector, response_vector; sources: source_id, vector: a stated set of queries."""
+    return N.compared(vectors, sources, {"prompt_vector": None, "response_vector": None}, least, k).select("source_id", "rank", "vec_id", "score")
 
 
 def similar_vectors(vectors: DataFrame, sources: DataFrame, least: float) -> DataFrame:
     """(source_id, vec_id, score): every vector whose cosine with a source reaches `least`. sources: a stated set."""
-    both = vectors.select("vec_id", "prompt_vector").crossJoin(stated(sources)).where("vec_id <> source_id")
-    return both.select("source_id", "vec_id", W.cosine(F.col("prompt_vector"), F.col("vector")).alias("score")).where(F.col("score") >= least)
+    return N.compared(vectors, sources, {"prompt_vector": None}, least)
 
 
-#: So many clusters are compared with every vector at most; beyond, use the inverted lists.
-MOST_CLUSTERS = 10_000
 #: So many stated queries go to every task at once; more must come in parts.
 MOST_QUERIES = 100_000
 
@@ -134,30 +130,8 @@ def stated(queries: DataFrame, most: int = MOST_QUERIES) -> DataFrame:
 
 
 def alike_pairs(vectors: DataFrame, asked: DataFrame, least: float) -> DataFrame:
-    """(a, b, similarity) of each asked vector (source_id, vector: a stated set) and all others of at least `least`, by
-    cosine. A batch of vectors and all queries are one matrix product; only the pairs found leave the task."""
-    few = asked.select("source_id", F.col("vector").cast("array<double>")).limit(MOST_QUERIES + 1).collect()
-    if len(few) > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} queries; search for them in parts")
-    if not few:
-        return vectors.sparkSession.createDataFrame([], "a long, b long, similarity double")
-    q = np.array([r["vector"] for r in few])
-    q = q / np.maximum(1e-300, np.sqrt((q * q).sum(1)))[:, None]
-    shared = vectors.sparkSession.sparkContext.broadcast((np.array([r["source_id"] for r in few], np.int64), q))
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, q = shared.value
-        for batch in batches:
-            for a in range(0, batch.num_rows, 1024):
-                part = batch.slice(a, 1024)
-                x = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
-                own = part.column(0).to_numpy()
-                score = x @ q.T / np.maximum(1e-300, np.sqrt((x * x).sum(1)))[:, None]
-                i, j = np.nonzero((score >= least) & (own[:, None] != ids[None]))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[j]), pa.array(own[i]), pa.array(score[i, j])], ["a", "b", "similarity"])
-
-    same = vectors.where(F.size("prompt_vector") == q.shape[1])
-    return same.select(F.col("vec_id").cast("long"), F.col("prompt_vector").cast("array<double>")).mapInArrow(compare, "a long, b long, similarity double")
+    """(a, b, similarity) of each asked vector (source_id, vector: a stated set) and all others of at least `least`."""
+    return N.compared(vectors, asked, {"prompt_vector": None}, least).select(F.col("source_id").alias("a"), F.col("vec_id").alias("b"), F.col("score").alias("similarity"))
 
 
 def labelled(related: DataFrame, edges: DataFrame) -> DataFrame:
@@ -180,10 +154,7 @@ def memberships(vectors: DataFrame, centres: DataFrame) -> DataFrame:
 
 def recommended(vectors: DataFrame, centres: DataFrame, k: int = 3) -> DataFrame:
     """The k clusters whose centroids are nearest to each vector."""
-    both = vectors.crossJoin(stated(centres.withColumnRenamed("label", "cluster"), MOST_CLUSTERS))
-    score = W.cosine(F.col("prompt_vector"), F.col("centroid"))
-    place = F.row_number().over(Window.partitionBy("vec_id").orderBy(F.desc("score"), "cluster"))
-    return both.withColumn("score", score).withColumn("rank", place).where(F.col("rank") <= k).select("vec_id", "rank", "cluster", "score")
+    return N.nearest_centres(vectors, centres, k)
 
 
 def cluster_statistics(members: DataFrame) -> DataFrame:

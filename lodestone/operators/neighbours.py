@@ -124,6 +124,87 @@ def link_counts(members: DataFrame, links: DataFrame) -> DataFrame:
     return members.join(each, "class_id").select("vec_id", "class_id", "n_links")
 
 
+# Stated queries against all rows, as matrix products
+
+
+def _rows(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Unit rows of a list column, zeros for nulls, and which are there."""
+    there = column.is_valid().to_numpy(zero_copy_only=False)
+    x = np.zeros((len(column), size))
+    x[there] = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size)
+    return _unit(x), there
+
+
+def compared(vectors: DataFrame, queries: DataFrame, columns: dict[str, float | None], least: float, k: int | None = None, most: int = 20_000) -> DataFrame:
+    """source_id, vec_id, score of at least `least`, of each query with every other row; the `k` best of a query, if given.
+
+    The score adds up the cosines of the query with the columns by their weights, and needs them all; weights of None
+    take the greatest cosine there is. queries: source_id, vector: a stated set, which goes to the tasks in parts of about
+    `most`, however many there are. Vectors without a direction, or of another length than the query's, have no cosine.
+    A batch of rows and a part of the queries are one matrix product; only matches leave the task."""
+    spark, out = vectors.sparkSession, None
+    for ids, q in _parts(queries, most):
+        shared, size = spark.sparkContext.broadcast((ids, q)), q.shape[1]
+
+        def search(batches: Iterator[pa.RecordBatch], shared=shared, size=size) -> Iterator[pa.RecordBatch]:
+            ids, q = shared.value
+            for batch in batches:
+                for a in range(0, batch.num_rows, 1024):
+                    part, score = batch.slice(a, 1024), None
+                    for c, weight in enumerate(columns.values(), 1):
+                        x, there = _rows(part.column(c), size)
+                        own = np.where(there, q @ x.T, -np.inf) * (1 if weight is None else weight)
+                        score = own if score is None else np.maximum(score, own) if weight is None else score + own
+                    names = part.column(0).to_numpy()
+                    score[ids[:, None] == names[None]] = -np.inf
+                    low = np.full((len(ids), 1), least)
+                    if k is not None and score.shape[1] > k:
+                        low = np.maximum(low, np.partition(score, score.shape[1] - k, axis=1)[:, -k, None])
+                    i, j = np.nonzero((score >= low) & (score > -np.inf))
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(names[j]), pa.array(score[i, j])], ["source_id", "vec_id", "score"])
+
+        told = [F.when(valid(c) & (F.size(c) == size), F.col(c).cast("array<double>")).alias(c) for c in columns]
+        found = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), *told).mapInArrow(search, "source_id long, vec_id long, score double")
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        out = spark.createDataFrame([], "source_id long, vec_id long, score double")
+    if k is None:
+        return out
+    place = F.row_number().over(Window.partitionBy("source_id").orderBy(F.desc("score"), "vec_id"))
+    return out.withColumn("rank", place).where(F.col("rank") <= k)
+
+
+def nearest_centres(vectors: DataFrame, centres: DataFrame, k: int, most: int = 20_000) -> DataFrame:
+    """vec_id, rank, cluster, score: the k centres (label, centroid) of the greatest cosine with each prompt_vector, ties to
+    the smaller label. Centres go to the tasks in parts; k rows of a vector leave a task for each part."""
+    kind, out, parts = centres.schema["label"].dataType, None, 0
+    for ids, q in _parts(centres.select(F.col("label").alias("source_id"), F.col("centroid").alias("vector")), most):
+        order = np.argsort(ids, kind="stable")
+        shared, size, parts = vectors.sparkSession.sparkContext.broadcast((ids[order], q[order])), q.shape[1], parts + 1
+
+        def rank(batches: Iterator[pa.RecordBatch], shared=shared, size=size) -> Iterator[pa.RecordBatch]:
+            ids, q = shared.value
+            for batch in batches:
+                for a in range(0, batch.num_rows, 1024):
+                    part = batch.slice(a, 1024)
+                    score = _rows(part.column(1), size)[0] @ q.T
+                    best = np.argsort(-score, axis=1, kind="stable")[:, :k]
+                    n = best.shape[1]
+                    at = np.repeat(np.arange(part.num_rows), n)
+                    ranks = np.tile(np.arange(1, n + 1, dtype=np.int32), part.num_rows)
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at)), pa.array(ranks), pa.array(ids[best.ravel()]), pa.array(score[at, best.ravel()])], ["vec_id", "rank", "cluster", "score"])
+
+        own = vectors.where(valid("prompt_vector") & (F.size("prompt_vector") == size)).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("prompt_vector").cast("array<double>"))
+        found = own.mapInArrow(rank, "vec_id long, rank int, cluster long, score double")
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        out = vectors.sparkSession.createDataFrame([], "vec_id long, rank int, cluster long, score double")
+    if parts > 1:
+        place = F.row_number().over(Window.partitionBy("vec_id").orderBy(F.desc("score"), "cluster"))
+        out = out.withColumn("rank", place).where(F.col("rank") <= k)
+    return out.withColumn("cluster", F.col("cluster").cast(kind))
+
+
 # A stored index of inverted lists: a folder with `centres`, `vectors` (partitioned by list) and `probes`.
 
 

@@ -195,7 +195,7 @@ def diagram_edges(spark, folder):
 # Clusters and search
 
 
-@query("c02_similar", sql(f"SELECT a.vec_id AS source_id, b.vec_id, round({cos('a.prompt_vector', 'b.prompt_vector')}, 8) AS score FROM vectors a JOIN vectors b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0 AND {cos('a.prompt_vector', 'b.prompt_vector')} >= 0.25", "vectors"))
+@query("c02_similar", sql(f"SELECT a.vec_id AS source_id, b.vec_id, round({cos('a.prompt_vector', 'b.prompt_vector')}, 8) AS score FROM vectors a JOIN vectors b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0 AND {cos('a.prompt_vector', 'b.prompt_vector')} >= 0.25", "vectors"))
 def similar(spark, folder):
     """All vectors alike enough to each of a given batch."""
     v = M.vectors(spark, folder)

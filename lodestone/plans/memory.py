@@ -22,11 +22,11 @@ def cos(a: str, b: str) -> str:
 
 
 def sources(spark, folder):
-    """The stated queries of vector searches: every 100th vector."""
-    return M.vectors(spark, folder).where("vec_id % 100 = 0").select(F.col("vec_id").alias("source_id"), F.col("prompt_vector").alias("vector"))
+    """The stated queries of vector searches: every 50th vector."""
+    return M.vectors(spark, folder).where("vec_id % 50 = 0").select(F.col("vec_id").alias("source_id"), F.col("prompt_vector").alias("vector"))
 
 
-SRC = "src AS (SELECT vec_id AS source_id, prompt_vector AS vector FROM vectors WHERE vec_id % 100 = 0)"
+SRC = "src AS (SELECT vec_id AS source_id, prompt_vector AS vector FROM vectors WHERE vec_id % 50 = 0)"
 
 
 @query("j01_memory_events", sql("SELECT m.memory_id, m.interaction_type, i.weight, i.access_count FROM memories m JOIN interactions i ON i.session_id = m.session_id AND i.interaction_type = m.interaction_type", "memories", "interactions"))

@@ -11,6 +11,7 @@ from lodestone.operators import detect as D
 from lodestone.operators import graph as G
 from lodestone.operators import intent as I
 from lodestone.operators import memory as O
+from lodestone.operators import neighbours as N
 from lodestone.operators import spans as P
 from lodestone.operators import validate as V
 from lodestone.sources import model as M
@@ -146,6 +147,23 @@ def alike_pairs(spark, folder):
     return O.alike_pairs(v, asked, 0.3).select("a", "b", F.round("similarity", 8).alias("similarity"))
 
 
+_ALIKE = f"pairs AS (SELECT a.vec_id AS a, b.vec_id AS b, {cos('a.prompt_vector', 'b.prompt_vector')} AS s FROM vectors a JOIN vectors b ON a.vec_id <> b.vec_id), near AS (SELECT * FROM pairs WHERE s >= 0.4), classes AS (SELECT vec_id, min(vec_id) OVER (PARTITION BY prompt_vector) AS class_id FROM vectors)"
+
+
+@query("j08_alike_classes", sql(f"{_ALIKE} SELECT c.vec_id, c.class_id, count(n.a) AS n_links FROM classes c LEFT JOIN near n ON n.a = c.vec_id GROUP BY ALL", "vectors"))
+def alike_classes(spark, folder):
+    """All vectors against all, with how many are alike: by 0.4, as none here reach 0.7."""
+    return N.link_counts(*N.alike_classes(M.vectors(spark, folder), 0.4))
+
+
+@query("g03_class_edges", sql(f"{_ALIKE} SELECT DISTINCT x.class_id AS source, y.class_id AS target, CASE WHEN s >= 0.9 THEN 'similar_to' WHEN s >= 0.8 THEN 'related_to' ELSE 'references' END AS type, round(s * exp(-(abs(x.class_id - y.class_id)) / 168.0), 7)::DOUBLE AS weight FROM near n JOIN classes x ON x.vec_id = n.a JOIN classes y ON y.vec_id = n.b WHERE x.class_id < y.class_id", "vectors"))
+def class_edges(spark, folder):
+    """Semantic edges of all vectors with all, one for each pair of classes; ids stand for hours."""
+    _, links = N.alike_classes(M.vectors(spark, folder), 0.4)
+    pairs = links.select(F.col("a").alias("source"), F.col("b").alias("target"), "similarity", F.abs(F.col("a") - F.col("b")).alias("hours"))
+    return G.semantic_edges(pairs).withColumn("weight", F.round("weight", 7))
+
+
 _LINES = "md5(array_to_string(list_filter(list_transform(string_split({t}, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> ''), chr(10)))"
 
 
@@ -180,11 +198,11 @@ def relevant_documents(spark, folder):
     return documents(spark, folder).select("doc_id", F.round(score, 6).alias("relevance")).orderBy(F.desc("relevance"), "doc_id").limit(25)
 
 
-@query("i05_semantic_connections", sql(f"SELECT a.vec_id AS query_id, b.vec_id AS memory_id, round(0.3 * {cos('a.prompt_vector', 'b.prompt_vector')} + 0.7 * {cos('a.prompt_vector', 'b.response_vector')}, 8)::DOUBLE AS strength FROM vectors a JOIN vectors b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0 AND 0.3 * {cos('a.prompt_vector', 'b.prompt_vector')} + 0.7 * {cos('a.prompt_vector', 'b.response_vector')} >= 0.2", "vectors"))
+@query("i05_semantic_connections", sql(f"SELECT a.vec_id AS query_id, b.vec_id AS memory_id, round(0.3 * {cos('a.prompt_vector', 'b.prompt_vector')} + 0.7 * {cos('a.prompt_vector', 'b.response_vector')}, 8)::DOUBLE AS strength FROM vectors a JOIN vectors b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0 AND 0.3 * {cos('a.prompt_vector', 'b.prompt_vector')} + 0.7 * {cos('a.prompt_vector', 'b.response_vector')} >= 0.2", "vectors"))
 def semantic_connections(spark, folder):
     v = M.vectors(spark, folder)
-    asked = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("block"), F.col("prompt_vector").alias("vector"))
-    found = I.semantic_connections(asked, v.select(F.col("vec_id").alias("memory_id"), F.col("label").alias("block"), "prompt_vector", "response_vector"), 0.2)
+    asked = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("prompt_vector").alias("vector"))
+    found = I.semantic_connections(asked, v.select(F.col("vec_id").alias("memory_id"), "prompt_vector", "response_vector"), 0.2)
     return found.select("query_id", "memory_id", F.round("strength", 8).alias("strength"))
 
 

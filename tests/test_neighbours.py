@@ -7,7 +7,6 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import clusters as C
 from lodestone.operators import neighbours as N
 
 SF = "/root/testdata/sf0.1"
@@ -32,6 +31,22 @@ def cosines(x):
     return u @ u.T
 
 
+def merged(d: np.ndarray, stop: float) -> list[list[int]]:
+    """Members of the clusters of a distance matrix by average linkage."""
+    n = len(d)
+    size, own = np.ones(n), [[i] for i in range(n)]
+    np.fill_diagonal(d, np.inf)
+    while n:
+        i, j = np.unravel_index(d.argmin(), d.shape)
+        if not d[i, j] <= stop:
+            break
+        row = (d[i] * size[i] + d[j] * size[j]) / (size[i] + size[j])
+        d[i], d[:, i] = row, row
+        d[i, i] = d[j] = d[:, j] = np.inf
+        size[i], own[i], own[j] = size[i] + size[j], own[i] + own[j], []
+    return [c for c in own if c]
+
+
 def test_all_pairs_in_one_bucket(spark):
     """Copies, odd vectors and another length; nothing is missed while one bucket holds all, dealt in blocks or not."""
     rng = np.random.default_rng(1)
@@ -114,7 +129,7 @@ def test_average_linkage_equals_plain_merging(spark):
     s = cosines(x)
     d = np.where(s >= 0.3, 1 - s, 1.0)
     np.fill_diagonal(d, 0)
-    want = sorted(sorted(c) for c in C.merged(d, 0.3))
+    want = sorted(sorted(c) for c in merged(d, 0.3))
     placed = N.average_linkage(frame(spark, enumerate(x)), 0.3, floor=0.3).collect()
     own = {}
     for r in placed:
@@ -128,3 +143,28 @@ def test_clusters_of_copies_and_single_vectors(spark):
     got = {r["vec_id"]: r["cluster"] for r in N.average_linkage(frame(spark, rows)).collect()}
     assert got == {0: 0, 1: 0, 2: 0, 3: 0, 4: 0, 9: 9, 10: 10}
     assert N.average_linkage(frame(spark, [])).count() == 0
+
+
+def test_stated_queries_in_parts(spark):
+    """Queries in many parts give what one part gives, and what plain cosines give; odd rows have no score."""
+    rng = np.random.default_rng(5)
+    x, y = rng.standard_normal((80, 6)), rng.standard_normal((80, 6))
+    rows = [(i, a.tolist(), b.tolist()) for i, (a, b) in enumerate(zip(x, y))] + [(100, None, y[0].tolist()), (101, [0.0] * 6, None), (102, [1.0], [1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, prompt_vector array<double>, response_vector array<double>").repartition(3)
+    asked = df.where("vec_id % 3 = 0 and vec_id < 80").select(F.col("vec_id").alias("source_id"), F.col("prompt_vector").alias("vector"))
+    q, p, r = (v / np.linalg.norm(v, axis=1)[:, None] for v in (x, x, y))
+    cp, cr = q @ p.T, q @ r.T
+    for columns, score in (({"prompt_vector": None, "response_vector": None}, np.maximum(cp, cr)), ({"prompt_vector": 0.3, "response_vector": 0.7}, 0.3 * cp + 0.7 * cr)):
+        want = {(i, j) for i in range(0, 80, 3) for j in range(80) if i != j and score[i, j] >= 0.2}
+        for most in (1000, 4):
+            found = {(a.source_id, a.vec_id): a.score for a in N.compared(df, asked, columns, 0.2, most=most).collect()}
+            assert {k for k in found if k[1] < 80} == want and all(abs(found[k] - score[k]) < 1e-9 for k in want)
+            top = N.compared(df.where("vec_id < 80"), asked, columns, 0.2, 3, most=most).collect()
+            for i in range(0, 80, 3):
+                best = sorted((-score[i, j], j) for a, j in want if a == i)[:3]
+                assert [a.vec_id for a in sorted(top, key=lambda a: a.rank) if a.source_id == i] == [j for _, j in best]
+    centres = spark.createDataFrame([(k, y[k].tolist()) for k in range(9)], "label int, centroid array<double>")
+    for most in (100, 2):
+        near = N.nearest_centres(df, centres, 2, most=most).collect()
+        assert len(near) == 160 and {a.vec_id: a.cluster for a in near if a["rank"] == 1} == dict(enumerate((p @ r[:9].T).argmax(1).tolist()))
+    assert N.compared(df, asked.where("source_id < 0"), {"prompt_vector": None}, 0.1).count() == 0

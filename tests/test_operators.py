@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import numbers as W
 from lodestone.functions import text as X
-from lodestone.operators import clusters as C
 from lodestone.operators import code as N
 from lodestone.operators import detect as D
 from lodestone.operators import graph as G
@@ -189,37 +188,6 @@ def test_spans(spark):
         P.checked("bad", "x", "(")
 
 
-def test_clusters_of_candidates_and_the_rest(spark, monkeypatch):
-    import numpy as np
-
-    r = np.random.default_rng(2)
-    rows, want = [], {}
-    for i in range(60):  # the last 20 are candidates; four groups far apart, and one vector alone
-        v = np.eye(8)[i % 4] + r.normal(size=8) * 0.05 if i != 7 else np.eye(8)[7]
-        rows.append((i, [float(x) for x in v]))
-        want[i] = 40 + i % 4 if i != 7 else 7
-    df = spark.createDataFrame(rows, "vec_id long, prompt_vector array<double>")
-    got = C.average_linkage(df, 0.3, 20).collect()
-    assert {x["vec_id"]: x["cluster"] for x in got} == want and sum(x["candidate"] for x in got) == 20
-    assert C.average_linkage(df.limit(0), 0.3).count() == 0
-
-
-def test_average_linkage_equals_plain_merging():
-    import numpy as np
-
-    x = np.random.default_rng(3).normal(size=(25, 4))
-    x /= np.linalg.norm(x, axis=1)[:, None]
-    d = 1 - x @ x.T
-    own = [[i] for i in range(25)]
-    while len(own) > 1:
-        pairs = [(np.mean([d[a, b] for a in own[i] for b in own[j]]), i, j) for i in range(len(own)) for j in range(i)]
-        least, i, j = min(pairs)
-        if least > 0.5:
-            break
-        own[j] += own.pop(i)
-    assert sorted(map(sorted, own)) == sorted(map(sorted, C.merged(d.copy(), 0.5)))
-
-
 def test_detections_equal_plain_rules(spark):
     import re
 
