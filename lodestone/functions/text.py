@@ -284,3 +284,13 @@ def is_code(text: Column, least: int = 3) -> Column:
 def formatted(text: Column) -> Column:
     """A note's text as Markdown: code in a fence, a question as a quotation, anything else as it is."""
     return F.when(is_code(text), F.concat(F.lit("```\n"), text, F.lit("\n```"))).when(F.trim(text).endswith("?"), F.concat(F.lit("> "), text)).otherwise(text)
+
+
+def reference_similarity(old: Column, new: Column) -> Column:
+    """How surely one reference has become another: the mean of 1 less edit distance over the longer length, and the share
+    of the old one's path segments that the new one has, over the longer path. Two empty ones are alike entirely."""
+    longer = F.greatest(F.length(old), F.length(new))
+    text = F.when(longer == 0, 1.0).otherwise((longer - F.levenshtein(old, new)) / longer)
+    a, b = F.split(old, r"[/\\]", -1), F.split(new, r"[/\\]", -1)
+    shared = F.size(F.filter(a, lambda part: F.array_contains(b, part)))
+    return (text + shared / F.greatest(F.size(a), F.size(b))) / 2

@@ -26,13 +26,26 @@ def cyclomatic_level(n: Column) -> Column:
     return F.when(n <= 5, "excellent").when(n <= 10, "good").when(n <= 20, "fair").otherwise("poor")
 
 
+#: What opens a block, in a stripped line in lower case.
+OPENERS = ("if ", "for ", "while ", "function")
+_BLANKS = r"[\t\n\x0B\f\r\x1c-\x1f \u0085\u00a0]+"
+
+
 def cognitive(code: Column) -> Column:
-    """Branches weighted by depth, a line at a time: an opening word adds one and the depth; depth follows braces and
-    indentation of four."""
-    lines = F.split(code, "\n")
-    opens = r"\b(if|for|while|switch|catch|except|elif)\b"
-    depth = lambda x: F.floor((F.length(x) - F.length(F.ltrim(x))) / 4)
-    return F.aggregate(lines, F.lit(0).cast("long"), lambda a, x: a + F.when(x.rlike(opens), 1 + depth(x)).otherwise(F.lit(0).cast("long")))
+    """A fold over lines: one that opens a block adds one and the depth, and one more level if it holds a brace or a
+    colon; then a closing brace, and any line that isn't blank, ends a level. Blank lines leave the depth as it is."""
+    lines = F.transform(F.split(code, "\n", -1), lambda x: F.regexp_replace(x, f"^{_BLANKS}|{_BLANKS}$", ""))
+
+    def step(a: Column, x: Column) -> Column:
+        opens = F.lower(x).contains(OPENERS[0])
+        for word in OPENERS[1:]:
+            opens = opens | F.lower(x).contains(word)
+        deeper = a["depth"] + F.when(opens & (x.contains("{") | x.contains(":")), 1).otherwise(0)
+        ends = x.contains("}") | ((x != "") & (deeper > 0))
+        return F.struct((a["total"] + F.when(opens, 1 + a["depth"]).otherwise(0)).alias("total"), F.when(ends, F.greatest(F.lit(0).cast("long"), deeper - 1)).otherwise(deeper).alias("depth"))
+
+    start = F.struct(F.lit(0).cast("long").alias("total"), F.lit(0).cast("long").alias("depth"))
+    return F.aggregate(lines, start, step, lambda a: a["total"])
 
 
 def halstead_difficulty(code: Column) -> Column:

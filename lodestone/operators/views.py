@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import numbers as W
 
+from . import order as R
+
 
 def validated(interactions: DataFrame, least: float = 0.3) -> DataFrame:
     """Rows that are validated and at least so heavy."""
@@ -104,15 +106,15 @@ def rank_exact_percentile(values: Column, share: float) -> Column:
 
 
 def current_metrics(events: DataFrame, keys: list[str]) -> DataFrame:
-    """Count, mean, median, variance and exact 95th and 99th percentiles of `value` by keys: ranks within a key, no
-    array of a whole group."""
-    order = Window.partitionBy(*keys).orderBy("value", "event_id")
-    ranked = events.withColumn("__n", F.count("*").over(Window.partitionBy(*keys))).withColumn("__r", F.row_number().over(order) - 1)
-
-    def at(share: float) -> Column:
-        return F.max(F.when(F.col("__r") == F.least(F.floor(F.col("__n") * share), F.col("__n") - 1), F.col("value")))
-
-    return ranked.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.median("value").alias("median"), F.var_samp("value").alias("variance"), at(0.95).alias("p95"), at(0.99).alias("p99"))
+    """Count, mean, exact median, variance and exact 95th and 99th percentiles of `value` by keys. Ranks are places in a
+    table sorted over all tasks; the rest are plain aggregates."""
+    ranks = R.ranked_values(events, keys, "value", "event_id", {"p95": 0.95, "p99": 0.99}).drop("n")
+    told = ranks.select(*[F.col(k).alias(f"__{k}") for k in keys], "median", "p95", "p99")
+    sums = events.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.var_samp("value").alias("variance"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    return sums.join(told, same, "left").select(*keys, "n", "mean", "median", "variance", "p95", "p99")
 
 
 def rollup(events: DataFrame, unit: str) -> DataFrame:
@@ -139,16 +141,15 @@ def moving_average(events: DataFrame, keys: list[str], k: int = 5) -> DataFrame:
     return events.withColumn("smoothed", F.avg("value").over(w))
 
 
-def within_budget(rows: DataFrame, keys: list[str], budget: int) -> DataFrame:
-    """The longest prefix by score whose tokens fit the budget. rows: keys, id, score, tokens."""
-    w = Window.partitionBy(*keys).orderBy(F.desc("score"), "id").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("used", F.sum("tokens").over(w)).where(F.col("used") <= budget)
+def within_budget(rows: DataFrame, keys: list[str], budget: int, most: int | None = None) -> DataFrame:
+    """Rows by score whose tokens fit the budget of their keys, past those that don't fit. rows: keys, id, score, tokens."""
+    return R.greedy_within(rows, keys, [F.desc("score"), F.asc("id")], "tokens", budget, most)
 
 
 def to_free(rows: DataFrame, keys: list[str], required: int) -> DataFrame:
     """The rows of lowest score to drop until `required` tokens are free."""
-    w = Window.partitionBy(*keys).orderBy("score", "id").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("freed_before", F.coalesce(F.sum("tokens").over(w), F.lit(0))).where(F.col("freed_before") < required)
+    at = R.placed(rows, keys, [F.asc("score"), F.asc("id")], "tokens")
+    return at.withColumnRenamed("before", "freed_before").where(F.col("freed_before") < required)
 
 
 def page(rows: DataFrame, order: list[Column], number: int, size: int = 20, most: int = 100) -> DataFrame:

@@ -317,7 +317,9 @@ def languages(spark, folder):
     return f.groupBy(N.language(F.col("text"), F.col("name")).alias("language")).agg(F.count("*").alias("n"))
 
 
-_COGNITIVE = r"SELECT doc_id, list_sum(list_transform(string_split(text, chr(10)), lambda x: CASE WHEN regexp_matches(x, '\b(if|for|while|switch|catch|except|elif)\b') THEN 1 + (length(x) - length(ltrim(x, ' '))) // 4 ELSE 0 END))::BIGINT AS cognitive FROM documents"
+#: The fold in closed form: a line that isn't blank ends a level, so a level opened in a line never outlives it.
+_STRIPPED = r"regexp_replace(lower(x), '^[\t\n\x0B\f\r\x1c-\x1f \x{85}\x{a0}]+|[\t\n\x0B\f\r\x1c-\x1f \x{85}\x{a0}]+$', '', 'g')"
+_COGNITIVE = f"SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: {' OR '.join(f'contains({_STRIPPED}, {quoted(w)})' for w in N.OPENERS)}))::BIGINT AS cognitive FROM documents"
 
 
 @query("n03_cognitive", _COGNITIVE)

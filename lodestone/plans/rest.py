@@ -278,8 +278,9 @@ def compacted(spark, folder):
     return documents(spark, folder).select("doc_id", *[F.length(X.compacted(t, s)).cast("long").alias(s) for s in ("light", "moderate", "heavy")])
 
 
-@query("x11_reference_similarity", "SELECT p.page_id, round(levenshtein(p.url, n.url)::DOUBLE, 4) AS distance FROM pages p JOIN pages n ON n.page_id = p.page_id + 1")
+@query("x11_reference_similarity", r"WITH u AS (SELECT p.page_id, p.url AS a, n.url AS b, regexp_split_to_array(p.url, '[/\\]') AS x, regexp_split_to_array(n.url, '[/\\]') AS y FROM pages p JOIN pages n ON n.page_id = p.page_id + 1) SELECT page_id, round((CASE WHEN greatest(length(a), length(b)) = 0 THEN 1.0 ELSE (greatest(length(a), length(b)) - levenshtein(a, b))::DOUBLE / greatest(length(a), length(b)) END + len(list_filter(x, lambda p: list_contains(y, p)))::DOUBLE / greatest(len(x), len(y))) / 2, 8)::DOUBLE AS confidence FROM u")
 def reference_similarity(spark, folder):
+    """How surely a page's URL has become the next page's."""
     p = read(spark, folder, "pages").select("page_id", "url")
     both = p.join(p.select((F.col("page_id") - 1).alias("page_id"), F.col("url").alias("next_url")), "page_id")
-    return both.select("page_id", F.levenshtein("url", "next_url").cast("double").alias("distance"))
+    return both.select("page_id", F.round(X.reference_similarity(F.col("url"), F.col("next_url")), 8).alias("confidence"))

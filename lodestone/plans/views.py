@@ -211,7 +211,7 @@ def budget_rows(spark, folder):
     return read(spark, folder, "documents").select("source", F.col("doc_id").alias("id"), F.ceil(F.length("text") / 4).alias("tokens"), F.pmod("n_chars", F.lit(97)).alias("score"))
 
 
-@query("w04_token_budget", f"WITH {BUDGET} SELECT source, id, used::BIGINT AS used FROM (SELECT *, sum(tokens) OVER (PARTITION BY source ORDER BY score DESC, id ROWS UNBOUNDED PRECEDING) AS used FROM rows) WHERE used <= 4000")
+@query("w04_token_budget", f"WITH RECURSIVE {BUDGET}, r AS (SELECT source, id, tokens, row_number() OVER (PARTITION BY source ORDER BY score DESC, id) AS n FROM rows), g AS (SELECT DISTINCT source, 0::BIGINT AS n, 0::BIGINT AS used, NULL::BIGINT AS id, false AS took FROM r UNION ALL SELECT r.source, r.n, CASE WHEN g.used + r.tokens <= 4000 THEN g.used + r.tokens ELSE g.used END, r.id, g.used + r.tokens <= 4000 FROM g JOIN r ON r.source = g.source AND r.n = g.n + 1) SELECT source, id, used FROM g WHERE took")
 def token_budget(spark, folder):
     return V.within_budget(budget_rows(spark, folder), ["source"], 4000).select("source", "id", "used")
 

@@ -229,3 +229,44 @@ def test_lists_and_pages_keep_to_their_limits(spark):
         VW.sorted_page(rows, "secret", "asc", ["weight"], "interaction_id", 1)
     with pytest.raises(ValueError):
         O.stated(rows, 10)
+
+
+def test_reference_similarity(spark):
+    from lodestone.functions import text as X
+
+    def plain(a, b):
+        d = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            d = _row(d, i, x, b)
+        longer = max(len(a), len(b))
+        s, p, q = (longer - d[-1]) / longer if longer else 1.0, a.replace("\\", "/").split("/"), b.replace("\\", "/").split("/")
+        return (s + sum(x in q for x in p) / max(len(p), len(q))) / 2
+
+    def _row(d, i, x, b):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(new[-1] + 1, d[j] + 1, d[j - 1] + (x != y)))
+        return new
+
+    pairs = [("src/a/b.py", "src/c/b.py"), ("", ""), ("a", ""), ("C:\\x\\y", "C:\\x\\z\\y"), ("a/a/b", "a/c"), ("same/path", "same/path")]
+    rows = spark.createDataFrame(pairs, "a string, b string").select("a", "b", X.reference_similarity(F.col("a"), F.col("b")).alias("s")).collect()
+    assert all(abs(r["s"] - plain(r["a"], r["b"])) < 1e-12 for r in rows) and {r["s"] for r in rows if r["a"] == r["b"]} == {1.0}
+
+
+def test_cognitive_is_the_fold(spark):
+    from lodestone.operators import code as N
+
+    def plain(text):
+        total = depth = 0
+        for line in text.split("\n"):
+            line = line.strip()
+            if any(p in line.lower() for p in ("if ", "for ", "while ", "function")):
+                total += 1 + depth
+                depth += "{" in line or ":" in line
+            if "}" in line or (line and line[0] not in " \t" and depth > 0):
+                depth = max(0, depth - 1)
+        return total
+
+    texts = ["", "if x:\n  for y in z:\n    pass\n\nwhile (a) {\n}\n", "FUNCTION f() {\n\n if b {\n}}\nif ", "x\n\tfor i\r\n  else\n", "nothing"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", N.cognitive(F.col("t")).alias("n")).collect()
+    assert {r["t"]: r["n"] for r in rows} == {t: plain(t) for t in texts}
