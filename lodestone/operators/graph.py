@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import numbers as W
 from lodestone.functions import text as X
+from lodestone.sources.scratch import dropped, kept
 from lodestone.streaming.jobs import shared_dir
 
 from . import code as N
@@ -141,6 +142,35 @@ def centrality(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return degrees(nodes, edges).crossJoin(F.broadcast(n)).select("id", F.when(F.col("n") > 1, (F.col("in_degree") + F.col("out_degree")) / (F.col("n") - 1)).otherwise(0.0).alias("centrality"))
 
 
+def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, tolerance: float = 1e-6, most: int = 200) -> DataFrame:
+    """(id, rank): the share of time that a walk spends on a node, which follows a link with probability `damping` (each
+    of a node's links alike; from a node without links, to any node) and else goes to any node. Ranks add up to 1.
+
+    Power iteration: a round joins ranks to edges by their source and sums them up by target, each task its own rows
+    first, so a node that many link to is no burden; the mass of nodes without links is one number. It ends when the
+    ranks change by less than `tolerance` in all, or after `most` rounds. Edges to or from unknown ids don't count; an
+    edge that is there twice counts twice. nodes: id; edges: source, target."""
+    ids = kept(nodes.select("id").where("id is not null").distinct())
+    n = ids.count()
+    if not n:
+        return ids.withColumn("rank", F.lit(0.0))
+    own = induced(ids, edges).select("source", "target")
+    out = own.groupBy("source").agg(F.count("*").alias("out"))
+    links = kept(own.join(out, "source").select("source", "target", (1 / F.col("out")).alias("share")))
+    starts = out.select(F.col("source").alias("id"), F.lit(True).alias("linked"))
+    ranks = kept(ids.join(starts, "id", "left").select("id", F.coalesce("linked", F.lit(False)).alias("linked"), F.lit(1.0 / n).alias("rank"), F.lit(1.0).alias("moved")))
+    for _ in range(most):
+        state = ranks.agg(F.sum(F.when(~F.col("linked"), F.col("rank")).otherwise(0.0)).alias("lost"), F.sum("moved").alias("moved")).first()
+        if state["moved"] < tolerance:
+            break
+        given = links.join(ranks.select(F.col("id").alias("source"), "rank"), "source").groupBy(F.col("target").alias("id")).agg(F.sum(F.col("rank") * F.col("share")).alias("given"))
+        new = (1 - damping) / n + damping * (F.coalesce("given", F.lit(0.0)) + state["lost"] / n)
+        old = ranks
+        ranks = kept(old.join(given, "id", "left").select("id", "linked", new.alias("rank"), F.abs(new - F.col("rank")).alias("moved")))
+        dropped(old)
+    return ranks.select("id", "rank")
+
+
 def neighbours(edges: DataFrame, k: int) -> DataFrame:
     """The k heaviest edges out of each node."""
     w = Window.partitionBy("source").orderBy(F.desc("weight"), "target")

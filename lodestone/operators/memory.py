@@ -66,20 +66,35 @@ def tag_overlap(notes: DataFrame, asked: DataFrame) -> DataFrame:
     return both.groupBy("a", "b").agg(F.count("*").alias("shared"))
 
 
-#: A batch of text queries and their distinct trigrams make a table of so many cells at most.
+#: A part of text queries and their distinct trigrams make a table of so many cells at most.
 MOST_CELLS = 50_000_000
 
 
-def text_search(texts: DataFrame, queries: DataFrame, least: float = 0.3, k: int = 10, most: int = 100_000) -> DataFrame:
+def text_search(texts: DataFrame, queries: DataFrame, least: float = 0.3, k: int = 10, most: int = 10_000) -> DataFrame:
     """The k texts most like each query by trigrams, of those of at least `least`. texts: id, text; queries: query_id,
-    query: a stated set, at most `most`, that goes to every task. A batch of texts and all queries are compared by one
-    product of 0/1 matrices over the queries' trigrams; only matches leave the task."""
-    asked = queries.select("query_id", X.trigrams(F.col("query")).alias("g")).limit(most + 1).collect()
-    if len(asked) > most:
-        raise ValueError(f"more than {most} queries; search for them in parts")
-    index = {g: i for i, g in enumerate(sorted({g for r in asked for g in r["g"] or ()}))}
-    if len(index) * len(asked) > MOST_CELLS:
-        raise ValueError("the queries and their trigrams are too many; search for them in parts")
+    query: a stated set. Queries go to the tasks in parts of about `most`, and fewer if their trigrams are many, so any
+    number can be asked. A batch of texts and a part are compared by one product of 0/1 matrices over the part's
+    trigrams; only matches leave the task."""
+    grams = queries.select("query_id", X.trigrams(F.col("query")).alias("g"))
+    parts, out = -(-grams.count() // most), None
+    for p in range(parts):
+        asked = (grams.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == p) if parts > 1 else grams).collect()
+        while asked:
+            n, known = 0, set()
+            while n < len(asked) and (n == 0 or len(known | set(asked[n]["g"] or ())) * (n + 1) <= MOST_CELLS):
+                known |= set(asked[n]["g"] or ())
+                n += 1
+            found = _matches(texts, asked[:n], sorted(known), least)
+            out, asked = found if out is None else out.unionByName(found), asked[n:]
+    if out is None:
+        out = texts.sparkSession.createDataFrame([], "query_id long, id long, score double")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    return out.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+
+
+def _matches(texts: DataFrame, asked: list, known: list[str], least: float) -> DataFrame:
+    """(query_id, id, score) of one part of the queries, rows (query_id, g), whose trigrams are `known`."""
+    index = {g: i for i, g in enumerate(known)}
     ids, matrix = [r["query_id"] for r in asked], np.zeros((len(index), len(asked)), np.float32)
     for j, r in enumerate(asked):
         matrix[[index[g] for g in r["g"] or ()], j] = 1
@@ -101,9 +116,7 @@ def text_search(texts: DataFrame, queries: DataFrame, least: float = 0.3, k: int
                 i, j = np.nonzero(score >= least)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[j]), part.column(0).take(pa.array(i)), pa.array(score[i, j])], ["query_id", "id", "score"])
 
-    score = texts.select(F.col("id").cast("long"), X.trigrams(F.col("text")).alias("g")).mapInArrow(compare, "query_id long, id long, score double")
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return score.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+    return texts.select(F.col("id").cast("long"), X.trigrams(F.col("text")).alias("g")).mapInArrow(compare, "query_id long, id long, score double")
 
 
 def related_vectors(vectors: DataFrame, sources: DataFrame, least: float = 0.7, k: int = 10) -> DataFrame:

@@ -28,9 +28,15 @@ PATTERNS = (
     ("ipv6", "ip_address", 0.9, r"\b(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}\b"),
     ("localhost_port", "ip_address", 0.8, r"(?:localhost|0\.0\.0\.0|127\.0\.0\.1):(\d{1,5})\b"),
     ("container_name", "container", 0.9, r"(?:container_name|--name)\s*[=:]\s*[\"']?([a-zA-Z0-9][a-zA-Z0-9_\-.]*)[\"']?"),
+    ("image_tag", "container", 0.85, r"\b[a-zA-Z0-9][a-zA-Z0-9_\-.]*(?:/[a-zA-Z0-9_\-.]+)*:[a-zA-Z0-9_\-.]+\b"),
     ("container_id", "container", 0.7, r"\b[0-9a-f]{12}\b"),
     ("environment", "config", 0.7, r"\b[A-Z][A-Z0-9_]*\s*=\s*[\"']?([^\"'\s]+)[\"']?"),
     ("config_value", "config", 0.8, r"(?i)(?:host|port|database|username|server)\s*[=:]\s*[\"']?([^\"'\s,}]+)[\"']?"),
+    ("iso_time", "timestamp", 1.0, r"\b\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:\d{2})?\b"),
+    ("unix_time", "timestamp", 0.9, r"(?i)(?:timestamp|expires?|created_at|updated_at)\s*[=:]\s*(\d{10})\b"),
+    ("api_key", "token", 0.95, r"(?i)(?:api[_\-]?key|apikey)\s*[=:]\s*[\"']?([a-zA-Z0-9_\-]{20,})[\"']?"),
+    ("jwt", "token", 1.0, r"eyJ[a-zA-Z0-9_\-]+\.eyJ[a-zA-Z0-9_\-]+\.[a-zA-Z0-9_\-]+"),
+    ("secret", "token", 0.8, r"(?i)(?:secret|password|token)\s*[=:]\s*[\"']?([^\s\"']{8,})[\"']?"),
     ("email", "user_data", 1.0, r"\b[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}\b"),
 )
 SCHEMA = "array<struct<type:string,value:string,start:int,stop:int,context:string,confidence:double,rule:string>>"
@@ -102,8 +108,20 @@ def by_rule(value: Column) -> Column:
     return out
 
 
-def by_type(kind: Column, value: Column) -> Column:
-    """A placeholder by type, from what the value looks like."""
+#: Placeholders of times (pattern of the value) and of tokens (pattern of the value, or of what stands around it in lower case), first match.
+TIMES = ((r"T.*[:-]|[:-].*T", "timestamp"), (r"^[0-9]{10}$", "unix_timestamp"), (r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$", "date"), (r"Mon|Tue|Wed|Thu|Fri|Sat|Sun", "http_date"))
+TOKENS = (("^eyJ", None, "jwt_token"), (None, "(?s)api.*key|key.*api", "api_key"), ("^AKIA", None, "aws_access_key"), ("(?s)^.{40}$", "aws", "aws_secret"), (None, "password", "password"), (None, "token", "auth_token"), (None, "secret", "secret"))
+
+
+def _first_of(rules: list[tuple[Column, str]], other: str) -> Column:
+    return F.coalesce(*[F.when(c, F.lit(f"<{name}>")) for c, name in rules], F.lit(f"<{other}>"))
+
+
+def by_type(kind: Column, value: Column, context: Column | None = None) -> Column:
+    """A placeholder by type, from what the value looks like and, for tokens, what stands around it."""
+    near = F.lower(F.coalesce(context, F.lit(""))) if context is not None else F.lit("")
+    time = _first_of([(value.rlike(p), name) for p, name in TIMES], "timestamp")
+    held = [((F.lit(True) if own is None else value.rlike(own)) & (F.lit(True) if around is None else near.rlike(around)), name) for own, around, name in TOKENS]
     low = F.lower(value)
     path = F.when(low.rlike(r"^(/home|/users|~)"), "<user_home>/<file_path>").when(low.rlike(r"\.(py|js|ts|java|go|rs)$"), "<source_file>").when(low.rlike(r"\.(json|ya?ml|toml|ini|env)$"), "<config_file>").otherwise("<file_path>")
     url = F.when(low.rlike("^(postgresql|mysql|mongodb|redis)://"), "<database_url>").when(low.contains("api"), "<api_endpoint>").otherwise("<url>")
@@ -114,18 +132,20 @@ def by_type(kind: Column, value: Column) -> Column:
         .when(kind == "identifier", F.when(value.rlike("^[0-9]+$"), "<numeric_id>").otherwise("<uuid>"))
         .when(kind == "container", "<container_name>")
         .when(kind == "config", "<config_value>")
+        .when(kind == "timestamp", time)
+        .when(kind == "token", _first_of(held, "token"))
         .otherwise(F.concat(F.lit("<"), kind, F.lit(">")))
     )
 
 
-def abstraction(kind: Column, value: Column) -> Column:
-    return F.coalesce(by_rule(value), by_type(kind, value))
+def abstraction(kind: Column, value: Column, context: Column | None = None) -> Column:
+    return F.coalesce(by_rule(value), by_type(kind, value, context))
 
 
 def report(texts: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, type, value, start, stop, placeholder) of the references that stand after overlaps are resolved."""
-    each = texts.select(key, F.explode(without_overlaps(extracted(F.col("text")))).alias("s")).select(key, "s.type", "s.value", "s.start", "s.stop", "s.confidence")
-    return each.withColumn("placeholder", abstraction(F.col("type"), F.col("value")))
+    each = texts.select(key, F.explode(without_overlaps(extracted(F.col("text")))).alias("s")).select(key, "s.type", "s.value", "s.start", "s.stop", "s.confidence", "s.context")
+    return each.withColumn("placeholder", abstraction(F.col("type"), F.col("value"), F.col("context"))).drop("context")
 
 
 #: Shares of a validation's score.

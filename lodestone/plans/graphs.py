@@ -56,6 +56,12 @@ def centrality(spark, folder):
     return G.centrality(*star(spark, folder))
 
 
+@query("g11_pagerank")
+def pagerank(spark, folder):
+    """Sums of floating numbers over many rounds: held against a plain power iteration."""
+    return G.pagerank(*star(spark, folder))
+
+
 @query("a23_graph_metrics", f"WITH {STAR} SELECT n AS nodes, e AS edges, 1.0::DOUBLE AS avg_weight, round(2.0 * e / n, 8)::DOUBLE AS avg_degree, round(e::DOUBLE / (n * (n - 1)), 8) AS density FROM (SELECT count(*) AS n FROM nodes), (SELECT count(*) AS e FROM sedges)")
 def graph_metrics(spark, folder):
     return G.metrics(*star(spark, folder)).withColumns({"avg_degree": F.round("avg_degree", 8), "density": F.round("density", 8)})

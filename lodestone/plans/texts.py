@@ -105,6 +105,17 @@ def round_trip(spark, folder):
     return told.select("doc_id", (D.restored(D.apply(F.col("text"), F.col("pairs")), F.col("pairs")) == F.col("text")).alias("restored"))
 
 
+_GRAMS = "list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substring('  ' || w || ' ', i, 3)))))"
+
+
+@query("d08_similar_contents", f"WITH g AS (SELECT doc_id, {_GRAMS} AS g FROM documents), s AS (SELECT a.doc_id AS id, b.doc_id AS rule, len(list_intersect(a.g, b.g)) AS c, len(a.g) + len(b.g) AS n FROM g a JOIN g b ON b.doc_id % 50 = 0 AND len(a.g) >= 0.8 * len(b.g) AND len(b.g) >= 0.8 * len(a.g)) SELECT id, rule, round(c::DOUBLE / (n - c), 8) AS confidence FROM s WHERE n > 0 AND c::DOUBLE / (n - c) > 0.8")
+def similar_contents(spark, folder):
+    """Contents against known bad patterns: every fiftieth document stands for one."""
+    d = documents(spark, folder)
+    rules = d.where("doc_id % 50 = 0").select(F.col("doc_id").alias("rule"), F.col("text").alias("pattern"))
+    return D.similar_to(d.select(F.col("doc_id").alias("id"), "text"), rules).withColumn("confidence", F.round("confidence", 8))
+
+
 @query("d08_detections")
 def detections(spark, folder):
     return D.detections(documents(spark, folder).select(F.col("doc_id").alias("id"), "text"), M.RULES)
