@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import numbers as W
 from lodestone.functions import text as X
-from lodestone.sources.scratch import dropped, kept
-from lodestone.streaming.jobs import shared_dir
+from lodestone.sources.scratch import dropped, kept, shared_dir
 
 from . import code as N
 

@@ -86,6 +86,15 @@ def stream_queue(spark, folder):
     return S.drained(S.scan_queue(asked), "update", ["item"])
 
 
+@query("t03_queue_cycle", "WITH q AS (SELECT user_id AS item, max(CASE WHEN value / 100 < 0.85 THEN 8 WHEN value / 100 < 0.9 THEN 6 ELSE 5 END) AS priority, min(ts) AS t FROM events WHERE NOT (event_type = 'view' AND value / 100 >= 0.95) GROUP BY user_id), top AS (SELECT item FROM q ORDER BY priority DESC, t, item LIMIT 100) SELECT q.item, priority::INTEGER AS priority, CASE WHEN top.item IS NOT NULL AND q.item % 3 <> 0 THEN 'completed' ELSE 'pending' END AS status, (top.item IS NOT NULL)::INTEGER AS retries FROM q LEFT JOIN top ON top.item = q.item")
+def queue_cycle(spark, folder):
+    """All users queued by the scores of what they did, and the hundred most urgent scanned; every third scan fails."""
+    told = stream(spark, folder).select(F.col("user_id").alias("item"), (F.col("value") / 100).alias("score"), (F.col("event_type") == "view").alias("validated"), "ts")
+    path = S.scratch(spark, "queue")
+    S.run_queue(S.queued(told), path, F.col("item") % 3 != 0)
+    return S.queue_state(spark, path).select("item", "priority", "status", "retries")
+
+
 @query("t01_stream_scores", f"WITH {texts.SCORED} SELECT doc_id, score, refs::BIGINT AS refs FROM scored")
 def stream_scores(spark, folder):
     docs = source(spark, folder, "documents")

@@ -5,8 +5,6 @@ Every function takes a streaming DataFrame and returns one; drained() runs such
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -17,29 +15,11 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 
 from lodestone.functions import text as X
 from lodestone.operators import validate as V
+from lodestone.sources.scratch import scratch
 
 LATE = "1 hour"
 
 
-_OWN: dict[str, str] = {}  # by application: Spark doesn't let a running session name the folder
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a folder of its own only where a local session has none."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("on a cluster, set spark.checkpoint.dir to a folder that driver and executors share")
-        found = _OWN.get(spark.sparkContext.applicationId) or tempfile.mkdtemp(prefix="lodestone-")
-        _OWN[spark.sparkContext.applicationId] = found
-    return found.rstrip("/")
-
-
-def scratch(spark: SparkSession, what: str) -> str:
-    """A new folder's path below the shared one."""
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-
-
 def drained(stream: DataFrame, mode: str = "append", keys: list[str] | None = None) -> DataFrame:
     """Runs a streaming query over all that its source holds (AvailableNow) and reads what it wrote. In complete mode
     the rows are those of the last batch; in update mode, each key's (columns `keys`) are those of the last batch that
@@ -251,6 +231,113 @@ def scan_queue(stream: DataFrame, most: int = 3) -> DataFrame:
     return stream.withWatermark("ts", LATE).groupBy("item").applyInPandasWithState(step, "item long, status string, retries int", "status string, retries int", "update", GroupStateTimeout.EventTimeTimeout)
 
 
-def cached(stream: DataFrame, ttl: str = "1 hour") -> DataFrame:
-    """The requests that a cache with a time to live would have to compute: the first of a key within the time."""
-    return stream.withWatermark("ts", ttl).dropDuplicatesWithinWatermark(["key"])
+class Shard:
+    """One shard of a cache: entries (key, put at) from the one used longest ago to the last one used."""
+
+    def __init__(self, size: int, ttl: float, entries: list[tuple[str, float]] = ()):
+        self.size, self.ttl, self.entries = size, ttl, dict(entries)
+
+    def ask(self, key: str, seconds: float) -> tuple[str, int]:
+        """What a request finds (hit, miss or expired; the last two put the key in anew) and how many keys it evicts."""
+        put = self.entries.pop(key, None)
+        found = "miss" if put is None else "expired" if seconds > put + self.ttl else "hit"
+        self.entries[key] = put if found == "hit" else seconds
+        evicted = max(0, len(self.entries) - self.size)
+        for old in list(self.entries)[:evicted]:
+            del self.entries[old]
+        return found, evicted
+
+
+def cache_requests(stream: DataFrame, ttl_seconds: float, capacity: int, shards: int = 64) -> DataFrame:
+    """event_id, key, found (hit, miss, expired) and evicted of each request (event_id, key, ts) to a cache of `capacity`
+    keys that live `ttl_seconds` of event time from when they are put in; a full one gives up the key used longest ago.
+
+    The cache is dealt into shards by the key's hash, each of capacity / shards keys: a shard's state is bounded by that,
+    whatever the number of keys or requests, and shards are the parallelism. Requests are taken in the order of time
+    within a batch; those later than the watermark, and those without a key, are dropped."""
+    size = -(-capacity // shards)
+
+    def step(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        shard = Shard(size, ttl_seconds, list(zip(*state.get)) if state.exists else [])
+        pdf = in_order(frames, ["event_id", "key", "ts"])
+        found = [shard.ask(k, t.timestamp()) for k, t in zip(pdf["key"], pdf["ts"])]
+        state.update((list(shard.entries), list(shard.entries.values())))
+        until_idle(state, pdf)
+        yield pd.DataFrame({"event_id": pdf["event_id"], "key": pdf["key"], "found": [x for x, _ in found], "evicted": [n for _, n in found]})
+
+    told = stream.where("key is not null").withWatermark("ts", LATE).withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
+    return told.groupBy("shard").applyInPandasWithState(step, "event_id long, key string, found string, evicted int", "keys array<string>, put array<double>", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+#: Priority by safety score (below, priority), else the last; scored so high and validated, nothing is scanned.
+PRIORITIES, PRIORITY, SAFE = ((0.85, 8), (0.9, 6)), 5, 0.95
+QUEUE = "item long, priority int, queued_at timestamp, due_at timestamp, status string, retries int"
+
+
+def queued(contents: DataFrame) -> DataFrame:
+    """Arrivals (item, priority, ts) of contents (item, score, validated, ts): the lower the score, the more urgent."""
+    rank = F.lit(PRIORITY)
+    for below, value in reversed(PRIORITIES):
+        rank = F.when(F.col("score") < below, value).otherwise(rank)
+    skip = F.coalesce(F.col("validated") & (F.col("score") >= SAFE), F.lit(False))
+    return contents.where(~skip).select("item", rank.alias("priority"), "ts")
+
+
+def queue_cycle(state: DataFrame, arrivals: DataFrame, ok: Column, now: Column, batch: int = 100, most: int = 3, wait: str = "5 minutes") -> DataFrame:
+    """A scan queue after one cycle: (item, priority, queued_at, due_at, status, retries), one row an item.
+
+    Arrivals (item, priority, ts) of items that aren't pending enter the queue, those that are pending keep their place
+    with the greater priority. Of the pending items that are due, the `batch` of the highest priority that have waited
+    longest are scanned: one more try each, `ok` (a condition on item and retries, which counts this try) tells how it
+    ends. A failure is due again after `wait`; after `most` tries it has failed. Only the top rows go to one task."""
+    new = arrivals.groupBy("item").agg(F.max("priority").cast("int").alias("p"), F.min("ts").alias("t"))
+    both = state.join(new, "item", "full_outer")
+    open_ = F.col("status").eqNullSafe("pending")
+    enters = F.col("p").isNotNull() & ~open_
+    merged = both.select(
+        "item",
+        F.when(enters, F.col("p")).when(open_, F.greatest("priority", "p")).otherwise(F.col("priority")).alias("priority"),
+        F.when(enters, F.col("t")).otherwise(F.col("queued_at")).alias("queued_at"),
+        F.when(enters, F.col("t")).otherwise(F.col("due_at")).alias("due_at"),
+        F.when(enters, F.lit("pending")).otherwise(F.col("status")).alias("status"),
+        F.when(enters, F.lit(0)).otherwise(F.col("retries")).alias("retries"),
+    )
+    due = merged.where((F.col("status") == "pending") & (F.col("due_at") <= now)).orderBy(F.desc("priority"), "queued_at", "item").limit(batch)
+    tried = due.select("item", (F.col("retries") + 1).alias("retries"))
+    done = tried.select("item", F.col("retries").alias("tries"), ok.alias("ok"))
+    joined = merged.join(F.broadcast(done), "item", "left")  # `batch` rows at most
+    scanned = F.col("tries").isNotNull()
+    status = F.when(scanned, F.when(F.col("ok"), "completed").when(F.col("tries") >= most, "failed").otherwise("pending")).otherwise(F.col("status"))
+    due_at = F.when(scanned & ~F.col("ok") & (F.col("tries") < most), now + F.expr(f"interval {wait}")).otherwise(F.col("due_at"))
+    return joined.select("item", F.col("priority").cast("int").alias("priority"), "queued_at", due_at.alias("due_at"), status.alias("status"), F.coalesce("tries", "retries").cast("int").alias("retries"))
+
+
+def run_queue(stream: DataFrame, path: str, ok: Column, batch: int = 100, most: int = 3, wait: str = "5 minutes", trigger: dict | None = None) -> None:
+    """Runs the queue over a stream of arrivals (item, priority, ts): every micro-batch is a cycle at the latest time that
+    the stream has come to, and writes the queue's state under its own number, so a batch that is run again overwrites
+    itself. With trigger={"processingTime": "5 minutes"} it is the queue's schedule; else it runs what there is."""
+    spark = stream.sparkSession
+
+    def cycle(rows: DataFrame, number: int) -> None:
+        old = spark.read.schema(f"{QUEUE}, now timestamp").parquet(f"{path}/cycle={number - 1}") if number else spark.createDataFrame([], f"{QUEUE}, now timestamp")
+        latest = rows.agg(F.max("ts").alias("t")).first()["t"]
+        before = old.agg(F.max("now").alias("t")).first()["t"]
+        now = max((t for t in (latest, before) if t is not None), default=None)
+        new = queue_cycle(old.drop("now"), rows, ok, F.lit(now).cast("timestamp"), batch, most, wait)
+        new.withColumn("now", F.lit(now).cast("timestamp")).write.mode("overwrite").parquet(f"{path}/cycle={number}")
+
+    writer = stream.writeStream.option("checkpointLocation", f"{path}-state").trigger(**(trigger or {"availableNow": True}))
+    running = writer.foreachBatch(cycle).start()
+    if not trigger:
+        running.awaitTermination()
+
+
+def queue_state(spark: SparkSession, path: str) -> DataFrame:
+    """The queue after its last cycle."""
+    files = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/cycle=*")
+    found = files.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(files)
+    last = max((int(f.getPath().getName().split("=")[1]) for f in found or []), default=None)
+    return spark.createDataFrame([], QUEUE) if last is None else spark.read.schema(QUEUE).parquet(f"{path}/cycle={last}")
