@@ -16,6 +16,7 @@ from lodestone.operators import memory as O
 from lodestone.operators import spans as P
 from lodestone.operators import validate as V
 from lodestone.operators import views as VW
+from lodestone.operators import scopes as SC
 from lodestone.sources import model as M
 from lodestone.sources import tables as T
 from lodestone.sources.model import as_of, read, sql
@@ -165,6 +166,32 @@ def definitions(spark, folder):
     return N.definitions(code_files(spark, folder))
 
 
+def scoped_files(spark, folder):
+    """Source texts of both syntaxes: a class by indentation with a nested helper, or one by braces with brackets in
+    strings and comments; each supplier's method calls the next one's, if it is in the same file."""
+    s = read(spark, folder, "supplier").select(F.floor(F.col("s_suppkey") / 5).alias("file"), "s_suppkey")
+    k, after = F.col("s_suppkey").cast("string"), (F.col("s_suppkey") + 1).cast("string")
+    by_indent = F.concat(F.lit("    def get_"), k, F.lit("(self,\n            x=(1, 2)):\n        # } get_0(\n        def helper(y):\n            return '{' + str(y)\n\n        return helper(get_"), after, F.lit("(x))\n\n"))
+    by_brace = F.concat(F.lit("  function get_"), k, F.lit("(x) {\n    // { get_0(\n    const helper = (y) => { return \"}\" + y; };\n    return helper(get_"), after, F.lit("(x));\n  }\n"))
+    each = s.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("s_suppkey", by_indent.alias("i"), by_brace.alias("b")))).alias("m"))  # five rows a file
+    even = F.col("file") % 2 == 0
+    text = F.when(even, F.concat(F.lit("class Group"), "file", F.lit(":\n"), F.array_join("m.i", ""))).otherwise(F.concat(F.lit("class Group"), "file", F.lit(" {\n"), F.array_join("m.b", ""), F.lit("}\n")))
+    return each.select("file", text.alias("text"))
+
+
+_SCOPED = "f AS (SELECT (s_suppkey // 5)::BIGINT AS file, 'get_' || s_suppkey AS own, 'get_' || (s_suppkey + 1) AS next, s_suppkey FROM supplier)"
+
+
+@query("n06_scopes", f"WITH {_SCOPED} SELECT DISTINCT file, 'class' AS kind, 'Group' || file AS name, 0::INTEGER AS depth, NULL::VARCHAR AS parent FROM f UNION ALL SELECT file, 'function', own, 1, 'Group' || file FROM f UNION ALL SELECT file, 'function', 'helper', 2, own FROM f")
+def scopes(spark, folder):
+    return SC.definitions(scoped_files(spark, folder)).select("file", "kind", "name", "depth", "parent")
+
+
+@query("n07_scoped_calls", f"WITH {_SCOPED} SELECT file, own AS name, 'helper' AS uses, 1::BIGINT AS n FROM f UNION ALL SELECT a.file, a.own, b.own, 1 FROM f a JOIN f b ON b.file = a.file AND b.own = a.next")
+def scoped_calls(spark, folder):
+    return SC.calls(scoped_files(spark, folder))
+
+
 _CALLS = "SELECT (a.s_suppkey // 8)::BIGINT AS file, 'get_supplier_' || a.s_suppkey AS name, 'get_supplier_' || b.s_suppkey AS uses FROM supplier a JOIN supplier b ON b.s_suppkey = a.s_suppkey + 1 AND b.s_suppkey // 8 = a.s_suppkey // 8"
 
 
