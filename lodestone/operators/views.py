@@ -203,3 +203,55 @@ def upserted(old: DataFrame, new: DataFrame, key: str, adds: list[str], latest:
     """Old and new rows merged by key: `adds` are summed, `latest` are the greatest."""
     both = old.unionByName(new)
     return both.groupBy(key).agg(*[F.sum(c).alias(c) for c in adds], *[F.max(c).alias(c) for c in latest])
+
+
+def retained(buckets: DataFrame, as_of: Column, span: str) -> DataFrame:
+    """Buckets (column bucket) that a span of retention, such as `24 hours` or `30 days`, still holds."""
+    return buckets.where(F.col("bucket") >= as_of - F.expr(f"interval {span}"))
+
+
+def last_events(events: DataFrame, most: int = 10_000) -> DataFrame:
+    """The last events, so many at most: what is kept whatever its age."""
+    return events.orderBy(F.desc("ts"), F.desc("event_id")).limit(most)
+
+
+def metric_rows(section: str, metrics: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
+    """(section, key, metric, value): metrics in long form, one row each, so that sections of any shape stand in one file."""
+    key = F.concat_ws(",", *[F.col(k).cast("string") for k in keys])
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).cast("double").alias("value")) for n in names]))
+    return metrics.select(F.lit(section).alias("section"), key.alias("key"), each.alias("m")).select("section", "key", "m.metric", "m.value")
+
+
+def evolution_patterns(entries: DataFrame, top: int = 10, recent: int = 20) -> DataFrame:
+    """(what, rank, reference, n) of changes of references (reference, document, ts, id): the most evolved, the latest
+    changes (n is the change's id), and the number of documents affected. Each part takes its top rows first."""
+    most = entries.groupBy("reference").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "reference").limit(top)
+    late = entries.orderBy(F.desc("ts"), F.desc("id")).limit(recent)
+    ranked = lambda df, what, order, n: df.select(F.lit(what).alias("what"), F.row_number().over(Window.orderBy(*order)).cast("long").alias("rank"), "reference", n.alias("n"))  # noqa: E731 (top rows only)
+    affected = entries.agg(F.countDistinct("document").alias("n")).select(F.lit("affected").alias("what"), F.lit(1).cast("long").alias("rank"), F.lit(None).cast(entries.schema["reference"].dataType).alias("reference"), "n")
+    first = ranked(most, "most_evolved", [F.desc("n"), F.asc("reference")], F.col("n"))
+    return first.unionByName(ranked(late, "recent", [F.desc("ts"), F.desc("id")], F.col("id").cast("long"))).unionByName(affected)
+
+
+SYNC = "struct<synced:boolean,path:string,last_sync:timestamp>"
+
+
+def mark_synced(memories: DataFrame, marks: DataFrame, at: Column) -> DataFrame:
+    """memories with `vault_sync` set for those marked (memory_id, path; one row each) and kept for the others."""
+    old = F.col("vault_sync") if "vault_sync" in memories.columns else F.lit(None).cast(SYNC)
+    told = memories.withColumn("vault_sync", old).join(marks.select("memory_id", F.col("path").alias("__path"), F.lit(True).alias("__marked")), "memory_id", "left")
+    new = F.struct(F.lit(True).alias("synced"), F.col("__path").alias("path"), at.cast("timestamp").alias("last_sync"))
+    return told.withColumn("vault_sync", F.when(F.col("__marked"), new).otherwise(F.col("vault_sync"))).drop("__path", "__marked")
+
+
+def clear_synced(memories: DataFrame, ids: DataFrame) -> DataFrame:
+    """memories without `vault_sync` for the given memory_ids."""
+    told = memories.join(ids.select("memory_id", F.lit(True).alias("__gone")).distinct(), "memory_id", "left")
+    return told.withColumn("vault_sync", F.when(F.col("__gone").isNull(), F.col("vault_sync"))).drop("__gone")
+
+
+def sync_status(memories: DataFrame) -> DataFrame:
+    """memory_id, is_synced, path, last_sync and needs_sync: not synced, or updated since (column updated_at)."""
+    synced = F.coalesce(F.col("vault_sync.synced"), F.lit(False))
+    stale = F.coalesce(F.col("updated_at") > F.col("vault_sync.last_sync"), F.lit(False))
+    return memories.select("memory_id", synced.alias("is_synced"), F.col("vault_sync.path").alias("path"), F.col("vault_sync.last_sync").alias("last_sync"), (~synced | stale).alias("needs_sync"))

@@ -14,13 +14,16 @@ from lodestone.operators import memory as O
 from lodestone.operators import neighbours as N
 from lodestone.operators import spans as P
 from lodestone.operators import validate as V
+from lodestone.operators import views as VW
+from lodestone.sources import files as FS
 from lodestone.sources import model as M
 from lodestone.sources.model import as_of, read, sql
+from lodestone.sources.scratch import scratch
 
 from . import texts
 from .base import like, query, quoted
 from .memory import CENTRES, EDGES, _asked, _queries, cos
-from .views import LOG, NOW, events, interactions, validation_log
+from .views import EV, LOG, NOW, events, interactions, validation_log
 
 
 def documents(spark, folder):
@@ -97,11 +100,17 @@ def decay_config(spark, folder):
     return M.decay_config(spark).join(used, "interaction_type", "left_semi").select("interaction_type", "rate", "least", "factor", "preserve")
 
 
-@query("s10_metrics_export", "SELECT 'hourly' AS what, count(DISTINCT date_trunc('hour', ts)) AS n FROM events UNION ALL SELECT 'daily', count(DISTINCT date_trunc('day', ts)) FROM events UNION ALL SELECT 'types', count(DISTINCT event_type) FROM events")
+@query("s10_metrics_export", f"WITH {EV}, m AS (SELECT 'current' AS section, 'n' AS metric, count(*)::DOUBLE AS v FROM ev GROUP BY event_type UNION ALL SELECT 'current', 'p95', max(value) FILTER (r = floor(n * 0.95)) FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY value, event_id) - 1 AS r, count(*) OVER (PARTITION BY event_type) AS n FROM ev) GROUP BY event_type UNION ALL SELECT u, x, CASE x WHEN 'n' THEN n ELSE errors END FROM (SELECT 'hourly' AS u, count(*) AS n, count(*) FILTER (event_type = 'error') AS errors FROM ev GROUP BY date_trunc('hour', ts) UNION ALL SELECT 'daily', count(*), count(*) FILTER (event_type = 'error') FROM ev GROUP BY date_trunc('day', ts)), (VALUES ('n'), ('errors')) t(x) UNION ALL SELECT 'alerts', 'mean', mean FROM (SELECT round(avg(value), 8) AS mean FROM ev GROUP BY user_id) WHERE mean > 60) SELECT section, metric, count(*) AS rows_, round(sum(v), 4)::DOUBLE AS total FROM m GROUP BY ALL")
 def metrics_export(spark, folder):
-    e = events(spark, folder)
-    parts = [e.agg(F.lit(w).alias("what"), F.countDistinct(c).alias("n")) for w, c in (("hourly", F.date_trunc("hour", "ts")), ("daily", F.date_trunc("day", "ts")), ("types", F.col("event_type")))]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    """Current, hourly and daily metrics and alerts, written as CSV and read back."""
+    e, path = events(spark, folder), scratch(spark, "metrics")
+    alerts = VW.alerts(e.groupBy("user_id").agg(F.round(F.avg("value"), 8).alias("mean")), {"mean": 60.0}).withColumnRenamed("value", "mean")
+    parts = [("current", VW.current_metrics(e, ["event_type"]), ["event_type"], ["n", "p95"]), ("hourly", VW.rollup(e, "hour"), ["bucket"], ["n", "errors"]), ("daily", VW.rollup(e, "day"), ["bucket"], ["n", "errors"]), ("alerts", alerts.drop("metric"), ["user_id"], ["mean"])]
+    rows = None
+    for part in parts:
+        rows = VW.metric_rows(*part) if rows is None else rows.unionByName(VW.metric_rows(*part))
+    FS.export_metrics(rows, path, "csv")
+    return FS.exported_metrics(spark, path, "csv").groupBy("section", "metric").agg(F.count("*").alias("rows_"), F.round(F.sum("value"), 4).alias("total"))
 
 
 @query("f08_post_search", sql(f"SELECT interaction_id FROM interactions WHERE is_validated AND weight >= 0.15 AND exp(-((floor(epoch({NOW})) - floor(epoch(last_accessed))) / 3600.0) / 168.0) >= 0.5", "interactions"))
@@ -115,9 +124,13 @@ def node_filter(spark, folder):
     return read(spark, folder, "customer").where(F.col("c_nationkey").isin(1, 2, 3) & F.lower("c_name").contains("1")).select("c_custkey")
 
 
-@query("f16_retention", f"SELECT event_type, count(*) AS kept FROM events WHERE ts::TIMESTAMP >= {NOW} - INTERVAL 7 DAYS GROUP BY event_type")
+@query("f16_retention", f"WITH {EV} SELECT 'hourly' AS what, count(DISTINCT date_trunc('hour', ts)) AS kept FROM ev WHERE date_trunc('hour', ts) >= {NOW} - INTERVAL 24 HOURS UNION ALL SELECT 'daily', count(DISTINCT date_trunc('day', ts)) FROM ev WHERE date_trunc('day', ts) >= {NOW} - INTERVAL 30 DAYS UNION ALL SELECT 'events', least(count(*), 10000) FROM ev")
 def retention(spark, folder):
-    return events(spark, folder).where(F.col("ts") >= as_of() - F.expr("interval 7 days")).groupBy("event_type").agg(F.count("*").alias("kept"))
+    """What a day of hours, a month of days and ten thousand events leave."""
+    e = events(spark, folder)
+    parts = {"hourly": VW.retained(VW.rollup(e, "hour"), as_of(), "24 hours"), "daily": VW.retained(VW.rollup(e, "day"), as_of(), "30 days"), "events": VW.last_events(e)}
+    counts = [df.agg(F.count("*").alias("kept")).select(F.lit(what).alias("what"), "kept") for what, df in parts.items()]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2])
 
 
 @query("f18_attention", f"WITH {LOG} SELECT doc_id, score, floor(epoch({NOW} - validated_at) / 86400)::BIGINT AS days FROM log WHERE score < 0.8 AND validated_at + INTERVAL 30 DAYS > {NOW}")
@@ -233,11 +246,13 @@ def pruned_chains(spark, folder):
     return O.continuations(m).join(fresh, "target", "left_semi").select("source", "target")
 
 
-@query("m08_vault_sync", "SELECT event_id, json_extract_string(props, '$.k') IS NULL OR ts::TIMESTAMP > TIMESTAMP '2024-01-20 00:00:00' AS needs_sync FROM events")
+@query("m08_vault_sync", sql("SELECT memory_id, session_id % 2 = 0 AND session_id % 6 <> 0 AS is_synced, CASE WHEN session_id % 2 = 0 AND session_id % 6 <> 0 THEN 'notes/' || memory_id || '.md' END AS path, NOT (session_id % 2 = 0 AND session_id % 6 <> 0) OR created_at > TIMESTAMP '2024-01-02 00:00:00' AS needs_sync FROM memories", "memories"))
 def vault_sync(spark, folder):
-    e = events(spark, folder)
-    late = F.col("ts") > F.lit("2024-01-20 00:00:00").cast("timestamp")
-    return e.select("event_id", (F.get_json_object("props", "$.k").isNull() | late).alias("needs_sync"))
+    """Every second session is marked as synced, and of these every third cleared again."""
+    m, at = M.memories(spark, folder).withColumn("updated_at", F.col("created_at")), F.lit("2024-01-02 00:00:00")
+    marks = m.where("session_id % 2 = 0").select("memory_id", F.concat(F.lit("notes/"), "memory_id", F.lit(".md")).alias("path"))
+    left = VW.clear_synced(VW.mark_synced(m, marks, at), m.where("session_id % 6 = 0").select("memory_id"))
+    return VW.sync_status(left).drop("last_sync")
 
 
 @query("c10_stale_centroids", sql("SELECT label::INTEGER AS label, round(sum(x * x), 7)::DOUBLE AS square FROM (SELECT label, pos, avg(x) AS x FROM (SELECT label, unnest(range(0, 64)) AS pos, unnest(prompt_vector::DOUBLE[]) AS x FROM vectors WHERE label % 2 = 0) GROUP BY ALL) GROUP BY label", "vectors"))
@@ -251,10 +266,11 @@ def stage_means(spark, folder):
     return validation_log(spark, folder).groupBy("validation_type").agg(F.count("*").alias("n"), F.count_if("passed").alias("passed"), F.round(F.avg("score"), 8).alias("mean"))
 
 
-@query("a29_evolution", "SELECT source AS reference, count(*) AS changes, count(DISTINCT doc_id) AS documents FROM documents GROUP BY source ORDER BY changes DESC, reference LIMIT 10")
+@query("a29_evolution", "WITH c AS (SELECT user_id AS reference, event_id AS id, ts, json_extract_string(props, '$.k') AS document FROM events WHERE event_type <> 'click'), m AS (SELECT reference, count(*) AS n FROM c GROUP BY 1 ORDER BY n DESC, reference LIMIT 10), l AS (SELECT * FROM c ORDER BY ts DESC, id DESC LIMIT 20) SELECT 'most_evolved' AS what, row_number() OVER (ORDER BY n DESC, reference) AS rank, reference, n FROM m UNION ALL SELECT 'recent', row_number() OVER (ORDER BY ts DESC, id DESC), reference, id FROM l UNION ALL SELECT 'affected', 1, NULL, count(DISTINCT document) FROM c")
 def evolution(spark, folder):
-    d = documents(spark, folder)
-    return d.groupBy(F.col("source").alias("reference")).agg(F.count("*").alias("changes"), F.countDistinct("doc_id").alias("documents")).orderBy(F.desc("changes"), "reference").limit(10)
+    """What users did, but for clicks, as changes of references in the pages that they name."""
+    e = events(spark, folder).where("event_type <> 'click'")
+    return VW.evolution_patterns(e.select(F.col("user_id").alias("reference"), F.col("event_id").alias("id"), "ts", F.get_json_object("props", "$.k").alias("document")))
 
 
 @query("a37_run_tally", "SELECT event_type AS run, count(*) AS runs, round(avg(value), 8) AS avg_ms, max(value) AS max_ms FROM events GROUP BY event_type")

@@ -97,9 +97,10 @@ SESSIONS = "SELECT user_id::VARCHAR AS session_id, count(*) AS samples, count(*)
 
 @query("s11_sessions", SESSIONS.replace("min(ts)::TIMESTAMP(3)", "date_trunc('second', min(ts))"))
 def sessions(spark, folder):
-    """A monitoring session a user, written as JSON; the last hundred are read back and summed up (A-26)."""
+    """A monitoring session a user; the last hundred are written as JSON, read back and summed up (A-26)."""
     path, e = scratch(spark, "sessions"), events(spark, folder)
-    made = e.groupBy(F.col("user_id").cast("string").alias("session_id")).agg(
+    last = e.groupBy("user_id").agg(F.date_trunc("second", F.min("ts")).alias("started")).orderBy(F.desc("started"), F.col("user_id").cast("string")).limit(100)
+    made = e.join(F.broadcast(last.select("user_id")), "user_id", "left_semi").groupBy(F.col("user_id").cast("string").alias("session_id")).agg(
         F.date_trunc("second", F.min("ts")).alias("started"),
         F.collect_list(F.struct("ts", F.col("value").alias("cpu"), (F.col("value") / 2).alias("memory"))).alias("system_metrics"),
         F.collect_list(F.when(F.col("event_type") == "error", F.struct("ts", F.col("event_type").alias("kind")))).alias("alerts"),
@@ -327,9 +328,9 @@ def composite(spark, folder):
 
 @query("a26_session_summary", "SELECT user_id::VARCHAR AS session_id, count(*) AS samples, round(avg(value / 2), 6)::DOUBLE AS avg_memory, max(value) AS max_cpu FROM events GROUP BY user_id")
 def session_summary(spark, folder):
-    e = events(spark, folder).groupBy(F.col("user_id").cast("string").alias("session_id")).agg(F.collect_list(F.struct("ts", F.col("value").alias("cpu"), (F.col("value") / 2).alias("memory"))).alias("system_metrics"))
-    out = FS.session_summary(e.withColumn("alerts", F.array().cast("array<struct<ts:timestamp,kind:string>>")))
-    return out.select("session_id", "samples", F.round("avg_memory", 6).alias("avg_memory"), "max_cpu")
+    """Sessions as they come, summed up without their samples in one row."""
+    e = events(spark, folder).groupBy(F.col("user_id").cast("string").alias("session_id"))
+    return e.agg(F.count("*").alias("samples"), F.round(F.avg(F.col("value") / 2), 6).alias("avg_memory"), F.max("value").alias("max_cpu"))
 
 
 @query("w07_without_overlaps", "SELECT page_id, 2::BIGINT AS kept, (2 * length(url))::BIGINT AS chars FROM pages")

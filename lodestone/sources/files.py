@@ -57,6 +57,17 @@ def session_summary(rows: DataFrame) -> DataFrame:
     return each.groupBy("session_id").agg(F.max("alerts").alias("alerts"), F.avg("m.cpu").alias("avg_cpu"), F.max("m.cpu").alias("max_cpu"), F.avg("m.memory").alias("avg_memory"), F.count("*").alias("samples"))
 
 
+def export_metrics(rows: DataFrame, path: str, form: str = "json") -> None:
+    """Writes metrics in long form (section, key, metric, value) as `json` or `csv`, a folder for each section."""
+    writer = rows.repartition("section").write.partitionBy("section")
+    (writer.json(path) if form == "json" else writer.option("header", True).csv(path))
+
+
+def exported_metrics(spark: SparkSession, path: str, form: str = "json") -> DataFrame:
+    reader = spark.read.schema("key string, metric string, value double, section string")
+    return reader.json(path) if form == "json" else reader.option("header", True).csv(path)
+
+
 #: What a log line must hold to count as suspicious.
 SUSPICIOUS = {"auth_failure": r"(?i)authentication failed|password authentication failed", "injection": r"(?i)union\s+select|;\s*drop\s+table|or\s+1\s*=\s*1"}
 
