@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -130,10 +132,20 @@ def regex_rules(spark, folder):
     return D.detections(documents(spark, folder).select(F.col("doc_id").alias("id"), "text"), rules).groupBy("rule", "severity", "action").agg(F.count("*").alias("contents"))
 
 
-@query("d09_suggestions", r"""SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(/home|/Users|C:\\)[/\\][a-zA-Z0-9_.-]+[/\\]?[a-zA-Z0-9_.-]*', '<file_path>', 'g'),
-    '\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b', '<ip_address>', 'g'), '[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}', '<email_address>', 'g'), '\b[a-zA-Z0-9_-]{32,}\b', '<secret_token>', 'g')) AS hash FROM documents""")
+#: Templates of a caller, with priorities: the second one is applied first.
+TEMPLATES = ((1, "<link>(/[a-z0-9]+)*", "<page>"), (5, r"https?://[a-zA-Z0-9.-]+", "<link>"))
+
+
+def _suggested(content_type: str) -> str:
+    rows = [r[1:] for r in sorted(TEMPLATES, key=lambda r: -r[0])] + [*D.TYPED[content_type], *D.EVERY]
+    return reduce(lambda t, r: f"regexp_replace({t}, {quoted(r[0])}, {quoted(r[1].replace('$', chr(92)))}, 'g')", rows, "text")
+
+
+@query("d09_suggestions", " UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind, sha256({_suggested(k)}) AS hash FROM documents" for k in D.TYPED))
 def suggestions(spark, folder):
-    return documents(spark, folder).select("doc_id", X.sha256(D.suggestion(F.col("text"), "memory")).alias("hash"))
+    d = documents(spark, folder)
+    each = [d.select("doc_id", F.lit(k).alias("kind"), X.sha256(D.suggestion(F.col("text"), k, TEMPLATES)).alias("hash")) for k in D.TYPED]
+    return reduce(lambda a, b: a.unionByName(b), each)
 
 
 _SHAPES = " UNION ALL ".join(f"SELECT doc_id, text, '{k}' AS type FROM documents WHERE {like('text', p)}" for k, _, _, p in D.CONCRETE)

@@ -270,3 +270,14 @@ def test_cognitive_is_the_fold(spark):
     texts = ["", "if x:\n  for y in z:\n    pass\n\nwhile (a) {\n}\n", "FUNCTION f() {\n\n if b {\n}}\nif ", "x\n\tfor i\r\n  else\n", "nothing"]
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", N.cognitive(F.col("t")).alias("n")).collect()
     assert {r["t"]: r["n"] for r in rows} == {t: plain(t) for t in texts}
+
+
+def test_suggestions_by_type_and_template(spark):
+    texts = ['at /home/ann/x.py and 10.0.0.1', 'p = "/etc/passwd"; Token: "abc"', "https://a.example.org/x?key=1&b=2", "mail a@b.org " + "k" * 40, None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    told = lambda kind, templates=(): [r[0] for r in rows.orderBy("id").select(D.suggestion(F.col("t"), kind, templates)).collect()]
+    assert told("memory")[0] == "at <file_path> and <ip_address>" and told("general")[0] == texts[0]
+    assert told("code")[1] == 'p = "<file_path>"; Token = "<Token_value>"'
+    assert told("url")[2] == "<protocol>://<domain>/x?key=<key_value>&b=2"
+    assert told("general")[3:] == ["mail <email_address> <secret_token>", None]
+    assert told("general", [(1, "two", "three"), (9, "ann", "two")])[0] == "at /home/three/x.py and 10.0.0.1"
