@@ -63,8 +63,8 @@ def greedy_within(rows: DataFrame, keys: list[str], order: list[Column | str], s
         own = kept(at.where(fits).select(*names, F.col("used").cast("long").alias("used")))
         taken = own if taken is None else taken.unionByName(own)
         key = F.struct(*[F.col(k) for k in keys], F.lit(0).alias("__one"))
-        now = at.where(fits).groupBy(key.alias("k")).agg(F.max("used").cast("long").alias("__now"), (F.max("__rank") + 1).cast("long").alias("__count"))
-        rest = at.where(~fits).select(*names, key.alias("k")).join(now, "k").where(F.col("__now") + F.col(size) <= budget)  # a key's first row always fits
+        now = at.where(fits).groupBy(key.alias("__k")).agg(F.max("used").cast("long").alias("__now"), (F.max("__rank") + 1).cast("long").alias("__count"))
+        rest = at.where(~fits).select(*names, key.alias("__k")).join(now, "__k").where(F.col("__now") + F.col(size) <= budget)  # a key's first row always fits
         if most is not None:
             rest = rest.where(F.col("__count") < most)
         new = kept(rest.select(*names, F.col("__now").alias("__used"), F.col("__count").alias("__taken")))
