@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, stored
+from .common import discard, lean, stored
 
 MIN_WORDS = 25
 
@@ -63,10 +63,10 @@ def numbered_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> tuple[DataFra
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(size), block, np.int32)), pa.array(stop - size), pa.array(size.astype(np.int64))], ["doc_id", "h", *names, "block", "at", "n"])
             at = int(stop[-1]) if len(stop) else at
 
-    read = docs.select("doc_id", "h", "text").mapInArrow(split, f"doc_id long, h long, {kinds}")
+    read = docs.select("doc_id", "h", "text").mapInArrow(lean(split), f"doc_id long, h long, {kinds}")
     once = read.groupBy("doc_id", "h").agg(*[F.first(c).alias(c) for c in names])
     ordered = once.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h")
-    placed = stored(ordered.mapInArrow(place, f"doc_id long, h long, {kinds}, block int, at long, n long"))
+    placed = stored(ordered.mapInArrow(lean(place), f"doc_id long, h long, {kinds}, block int, at long, n long"))
     blocks = placed.groupBy("block").agg(F.sum("n").alias("n"))  # one row a task
     before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     base = blocks.select("block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))

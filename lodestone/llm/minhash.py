@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, components, discard, mix, ragged, rooted, shingles, slices, stored, text_buffer
+from .common import U64, components, discard, lean, mix, ragged, rooted, shingles, slices, stored, text_buffer
 
 ROWS, BANDS = 6, 50  # a pair of similarity 0.8 shares no bucket with probability (1 - 0.8 ** 6) ** 50 = 2.5e-7
 SIMILARITY_PERCENT, SHINGLE_WORDS = 80, 5
@@ -74,7 +74,7 @@ def sketches(docs: DataFrame, width: int, rows: int, bands: int) -> DataFrame:
                 own = [batch.column(i).slice(a, b - a) for i in (0, 1)]
                 yield pa.RecordBatch.from_arrays([*own, pa.array(size), pa.array(fp[0]), pa.array(fp[1]), pa.ListArray.from_arrays(pa.array(ends), pa.array(key.ravel()))], ["doc_id", "h", "n_shingles", "fp1", "fp2", "keys"])
 
-    return docs.select("doc_id", "h", "text").mapInArrow(sketch, "doc_id long, h long, n_shingles long, fp1 long, fp2 long, keys array<long>")
+    return docs.select("doc_id", "h", "text").mapInArrow(lean(sketch), "doc_id long, h long, n_shingles long, fp1 long, fp2 long, keys array<long>")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -96,7 +96,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
 
     left, right = (texts.select(F.col("rep").alias(x), F.col("text").alias(f"text_{x}")) for x in ("a", "b"))
     named = pairs.hint("merge").join(left, "a").hint("merge").join(right, "b")
-    return named.select("a", "b", "text_a", "text_b").mapInArrow(compare, "a long, b long")
+    return named.select("a", "b", "text_a", "text_b").mapInArrow(lean(compare), "a long, b long")
 
 
 def stars(bucket: DataFrame, centres: DataFrame, percent: int) -> DataFrame:
@@ -156,7 +156,7 @@ def settled(left: DataFrame, texts: DataFrame, width: int, percent: int) -> Data
         return pa.table({"a": a[a != b], "b": b[a != b]})
 
     member = groups(left)
-    known = texts.join(member.select("rep").distinct().hint("merge"), "rep", "left_semi").mapInArrow(sets, "rep long, hashes array<long>")
+    known = texts.join(member.select("rep").distinct().hint("merge"), "rep", "left_semi").mapInArrow(lean(sets), "rep long, hashes array<long>")
     cells = member.select("kind", "id", "rep", "comp", "slot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
     cells = cells.select("kind", "id", "rep", "comp", "slot", F.least("slot", "other").alias("low"), F.greatest("slot", "other").alias("high"))
     found = cells.hint("merge").join(known, "rep").groupBy("kind", "id", "low", "high").applyInArrow(compare, "a long, b long")

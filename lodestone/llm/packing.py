@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import stored
+from .common import lean, stored
 
 CAPACITY, END_ID = 1024, 2
 
@@ -55,7 +55,7 @@ def tokenized_pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = EN
             yield pa.RecordBatch.from_arrays(arrays, names)
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, block int, place long" + ", ids array<int>" * keep_ids
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, schema)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(cut), schema)
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
@@ -105,7 +105,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     before = Window.partitionBy("length").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     ahead = counts.withColumn("ahead", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
-    slots = spark.createDataFrame(plan(histogram, capacity), "length long, rank_from long, rank_to long, sequence_from long, offset long")
+    names = ["length", "rank_from", "rank_to", "sequence_from", "offset"]
+    columns = list(zip(*plan(histogram, capacity))) or [()] * len(names)
+    slots = spark.createDataFrame(pa.table([pa.array(c, pa.int64()) for c in columns], names))  # from Arrow no Python worker is needed
     ranked = pieces.join(ahead, ["block", "length"]).withColumn("rank", F.col("ahead") + F.col("place"))
     taken = ranked.join(F.broadcast(slots), "length").where("rank >= rank_from and rank < rank_to")
     return taken.withColumn("sequence_id", F.col("sequence_from") + F.col("rank") - F.col("rank_from")).drop("rank", "ahead", "place", "block", "rank_from", "rank_to", "sequence_from")

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BYTE, U64, discard, mix, slices, stored, text_buffer
+from .common import _BYTE, U64, discard, lean, mix, slices, stored, text_buffer
 
 PREFIXES, SUPPORT, NEW, PURITY = (4, 5, 6, 7), 3, 2, 0.7
 SAMPLE, UNITS, LONGEST, MEMO = 40_000, 20_000, 40, 200_000
@@ -51,6 +51,12 @@ def lower(column: pa.Array) -> pa.Array:
     return pc.utf8_lower(column.cast(pa.large_string()))
 
 
+def lowered(column: pa.Array, most: int = 250_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Row ranges of a column of texts, of at most `most` bytes or one row, and their lower-case bytes with offsets."""
+    for a, b in slices(text_buffer(column)[1], most):
+        yield a, b, *text_buffer(lower(column.slice(a, b - a)))
+
+
 def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the runs of True; a run ends with its text."""
     n = len(inside)
@@ -88,16 +94,15 @@ def trigram_counts(docs: DataFrame) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(64**3, np.int64)
         for batch in batches:
-            data, offsets = text_buffer(lower(batch.column(0)))
-            for a, b in slices(offsets):
-                s = np.zeros(offsets[b] - offsets[a] + 3, np.int64)
-                s[2:-1] = _ALPHABET[data[offsets[a] : offsets[b]]]
+            for _, _, data, _ in lowered(batch.column(0)):
+                s = np.zeros(len(data) + 3, np.int64)
+                s[2:-1] = _ALPHABET[data]
                 cell = (s[:-2] * 64 + s[1:-1]) * 64 + s[2:]
                 total += np.bincount(cell, minlength=64**3)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["cell", "n"])
 
-    return docs.select(F.col("text").cast("string")).mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    return docs.select(F.col("text").cast("string")).mapInArrow(lean(count), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
 
 
 def language_model(docs: DataFrame) -> np.ndarray:
@@ -225,16 +230,15 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = text_buffer(lower(batch.column(2)))
-            for a, b in slices(offsets):
-                u, doc = units(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            for a, b, data, offsets in lowered(batch.column(2)):
+                u, doc = units(data, offsets)
                 own = [np.unique(u[doc == i]) for i in range(b - a)] if b - a < 4 else _per_text(u, doc, b - a)
                 own = [x[x != 0] for x in own]
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int32)
                 flat = np.concatenate(own).view(np.int64) if own else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["doc_id", "toxic", "units"])
 
-    rows = stored(texts.mapInArrow(run, "doc_id long, toxic int, units array<long>"))
+    rows = stored(texts.mapInArrow(lean(run), "doc_id long, toxic int, units array<long>"))
     each = rows.select("doc_id", "toxic", F.explode("units").alias("unit"))
     counts = each.groupBy("unit").agg(F.sum("toxic").alias("t"), F.count("*").alias("n"))
     pure = stored(counts.where((F.col("t") >= SUPPORT) & (F.col("t") >= PURITY * F.col("n"))))
@@ -314,8 +318,7 @@ def scorer(model: dict, language: np.ndarray):
         return np.where(toxic > 0, 1 - clean, model["rest"]), toxic
 
     def score(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        data, offsets = text_buffer(lower(texts))
-        own = [part(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in slices(offsets)]
+        own = [part(data, offsets) for _, _, data, offsets in lowered(texts)]
         return (np.concatenate([x for x, _ in own]), np.concatenate([y for _, y in own])) if own else (np.zeros(0), np.zeros(0, np.int64))
 
     return score
@@ -331,7 +334,7 @@ def scores(docs: DataFrame, model: dict, language: np.ndarray) -> DataFrame:
             values, toxic = score(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values), pa.array(toxic)], ["doc_id", "score", "n_toxic"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double, n_toxic long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run), "doc_id long, score double, n_toxic long")
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, limit: float = 0.5) -> DataFrame:
@@ -345,7 +348,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, limi
         for batch in batches:
             yield batch.filter(pa.array(score(batch.column(column))[0] < limit))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
