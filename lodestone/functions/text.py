@@ -248,12 +248,6 @@ def relative_time(then: Column, as_of: Column) -> Column:
     return F.when(s < 60, "just now").when(s < 3600, ago(F.floor(s / 60), "minute")).when(s < 86400, ago(F.floor(s / 3600), "hour")).when(s < 604800, ago(F.floor(s / 86400), "day")).otherwise(ago(F.floor(s / 604800), "week"))
 
 
-def relevance(current: Column, recent: Column, symbol: Column, language: Column) -> Column:
-    """0.4 for the current file, 0.3 for a recent one, 0.2 for a symbol that stands in it, 0.1 for the language."""
-    parts = ((current, 0.4), (recent, 0.3), (symbol, 0.2), (language, 0.1))
-    return sum((F.when(c, w).otherwise(0.0) for c, w in parts), F.lit(0.0))
-
-
 def filled(template: str, values: dict[str, Column]) -> Column:
     """A template with {{name}} in place of values, and {{#if name}}...{{/if}} and {{#each name}}...{{this}}...{{/each}}
     blocks, as one expression: the template is read once, when the plan is built."""

@@ -12,6 +12,7 @@ from lodestone.operators import graph as G
 from lodestone.operators import intent as I
 from lodestone.operators import memory as O
 from lodestone.operators import neighbours as N
+from lodestone.operators import relevance as RV
 from lodestone.operators import spans as P
 from lodestone.operators import validate as V
 from lodestone.operators import views as VW
@@ -203,12 +204,47 @@ def priority(spark, folder):
     return events(spark, folder).where("event_type = 'error'").orderBy(F.desc("value"), "ts", "event_id").limit(100).select("event_id", "value")
 
 
-@query("l10_relevant_documents", "SELECT doc_id, round(0.4 * (source = 'src1')::INT + 0.3 * (n_chars < 2000)::INT + 0.2 * (lang = 'en')::INT + 0.1 * (doc_id % 2 = 0)::INT, 6)::DOUBLE AS relevance FROM documents ORDER BY relevance DESC, doc_id LIMIT 25")
+#: What a user of the pages works on, and how many tokens there are for what is loaded.
+CONTEXT, ROOM = RV.Context("/docs/the", ["/site/and", "/es/la", "/guide/der"], ["The", "und", "que"], "main"), 2500
+
+
+def _refers(path: str) -> str:
+    parts = [p for p in path.split("/") if p]
+    shared = f"len(list_filter(string_split_regex(r, '[/\\\\]'), lambda p: p IN ({', '.join(map(quoted, parts))})))"
+    size = "len(list_filter(string_split_regex(r, '[/\\\\]'), lambda p: p <> ''))"
+    return f"(len(list_filter(refs, lambda r: contains({quoted(path)}, r) OR contains(r, {quoted(parts[-1])}) OR {shared} > 0.5 * least({size}, {len(parts)}))) > 0)::INT"
+
+
+_REFS = " || ".join(f"regexp_extract_all(html, {quoted(p)}, 1)" for p in RV.REFERENCES)
+_RELEVANT = (
+    "seen AS (SELECT json_extract_string(props, '$.k')::BIGINT AS id, max(ts) AS last_ts, count(*) AS accesses, count(*) FILTER (event_type = 'purchase') AS bought FROM events GROUP BY 1), "
+    f"d AS (SELECT page_id AS id, html, list_transform({_REFS}, lambda r: lower(r)) AS refs, epoch({NOW} - last_ts) / 86400 AS days, accesses, CASE WHEN s.id IS NULL THEN 'archived' WHEN bought > 0 THEN 'active' ELSE 'known' END AS stage FROM pages p LEFT JOIN seen s ON s.id = p.page_id), "
+    f"rows AS (SELECT id, ceil(length(html) / 4.0)::BIGINT AS tokens, round((0.4::DOUBLE * {_refers(CONTEXT.current)} + 0.3::DOUBLE * (({' + '.join(map(_refers, CONTEXT.recent))})::DOUBLE / {len(CONTEXT.recent)}) + 0.2::DOUBLE * (({' + '.join(f'contains(html, {quoted(x)})::INT' for x in CONTEXT.symbols)})::DOUBLE / {len(CONTEXT.symbols)}) + 0.1::DOUBLE * contains(html, {quoted(CONTEXT.branch)})::INT) "
+    "* CASE WHEN days < 1 THEN 1.5 WHEN days < 7 THEN 1.2 ELSE 1.0 END * CASE WHEN accesses > 10 THEN 1.3 WHEN accesses > 5 THEN 1.1 ELSE 1.0 END * CASE stage WHEN 'active' THEN 1.2 WHEN 'archived' THEN 0.5 ELSE 1.0 END, 8)::DOUBLE AS score FROM d)"
+)
+
+
+def context_pages(spark, folder):
+    """Pages as documents: what events name them tells when and how often they were read. A page without any is
+    archived, one that led to a purchase is active."""
+    e = events(spark, folder).withColumn("id", F.get_json_object("props", "$.k").cast("long"))
+    seen = e.groupBy("id").agg(F.max("ts").alias("last_ts"), F.count("*").alias("accesses"), F.count_if(F.col("event_type") == "purchase").alias("bought"))
+    days = (as_of().cast("double") - F.col("last_ts").cast("timestamp").cast("double")) / 86400
+    stage = F.when(F.col("accesses").isNull(), "archived").when(F.col("bought") > 0, "active").otherwise("known")
+    pages = read(spark, folder, "pages").select(F.col("page_id").alias("id"), F.col("html").alias("text"))
+    return pages.join(seen, "id", "left").select("id", "text", days.alias("days"), "accesses", stage.alias("stage"))
+
+
+@query("x31_relevance", f"WITH {_RELEVANT} SELECT id, score, tokens FROM rows")
+def relevance(spark, folder):
+    """Relevance of every page to a context, raised for what is new, often read or active."""
+    return RV.scored(context_pages(spark, folder), CONTEXT)
+
+
+@query("l10_relevant_documents", f"WITH RECURSIVE {_RELEVANT}, r AS (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS n FROM rows), g AS (SELECT 0::BIGINT AS n, 0::BIGINT AS used, 0 AS k, NULL::BIGINT AS id, NULL::DOUBLE AS score, NULL::BIGINT AS tokens, false AS took UNION ALL SELECT r.n, g.used + CASE WHEN g.used + r.tokens <= {ROOM} THEN r.tokens ELSE 0 END, g.k + (g.used + r.tokens <= {ROOM})::INT, r.id, r.score, r.tokens, g.used + r.tokens <= {ROOM} FROM g JOIN r ON r.n = g.n + 1 WHERE g.k < 5) SELECT id, score, tokens, used FROM g WHERE took")
 def relevant_documents(spark, folder):
-    """Relevance to a context: its source, short texts, its language, even ids as a branch."""
-    flag = lambda c: F.when(c, 1).otherwise(0)
-    score = 0.4 * flag(F.col("source") == "src1") + 0.3 * flag(F.col("n_chars") < 2000) + 0.2 * flag(F.col("lang") == "en") + 0.1 * flag(F.col("doc_id") % 2 == 0)
-    return documents(spark, folder).select("doc_id", F.round(score, 6).alias("relevance")).orderBy(F.desc("relevance"), "doc_id").limit(25)
+    """The five most relevant pages that fit a budget of tokens."""
+    return RV.most_relevant(context_pages(spark, folder), CONTEXT, ROOM)
 
 
 @query("i05_semantic_connections", sql(f"SELECT a.vec_id AS query_id, b.vec_id AS memory_id, round(0.3 * {cos('a.prompt_vector', 'b.prompt_vector')} + 0.7 * {cos('a.prompt_vector', 'b.response_vector')}, 8)::DOUBLE AS strength FROM vectors a JOIN vectors b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0 AND 0.3 * {cos('a.prompt_vector', 'b.prompt_vector')} + 0.7 * {cos('a.prompt_vector', 'b.response_vector')} >= 0.2", "vectors"))

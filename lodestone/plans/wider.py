@@ -489,13 +489,6 @@ def token_estimates(spark, folder):
     return read(spark, folder, "conversations").select("conv_id", "turn", X.token_estimate(F.col("text")).alias("tokens"))
 
 
-@query("x31_relevance", "SELECT doc_id, round(0.4 * (source = 'src1')::INT + 0.3 * (doc_id % 5 = 0)::INT + 0.2 * contains(lower(text), 'the')::INT + 0.1 * (lang = 'en')::INT, 6)::DOUBLE AS relevance FROM documents")
-def relevance(spark, folder):
-    """Relevance of each document to a context: the current source, recent ids, a symbol, the language."""
-    score = X.relevance(F.col("source") == "src1", F.col("doc_id") % 5 == 0, F.lower("text").contains("the"), F.col("lang") == "en")
-    return documents(spark, folder).select("doc_id", F.round(score, 6).alias("relevance"))
-
-
 @query("x32_identifier_classes", "SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN '<getter_method>' WHEN 1 THEN '<setter_method>' WHEN 2 THEN '<predicate_method>' WHEN 3 THEN '<private_member>' WHEN 4 THEN '<constant>' ELSE '<class_name>' END AS cls FROM customer")
 def identifier_classes(spark, folder):
     """Names made of customers' names, by turns of six shapes."""
