@@ -34,6 +34,12 @@ def days_between(then: Column, as_of: Column) -> Column:
     return F.floor((F.unix_timestamp(as_of) - F.unix_timestamp(then)) / 86400)
 
 
+def whole_days(then: Column, as_of: Column) -> Column:
+    """Days that have passed entirely, by the microsecond: days_between() leaves fractions of a second out, so it counts a
+    day too many for the first second of a day."""
+    return F.floor((F.unix_micros(as_of) - F.unix_micros(then)) / 86_400_000_000)
+
+
 def hours_between(then: Column, as_of: Column) -> Column:
     return (F.unix_timestamp(as_of) - F.unix_timestamp(then)) / 3600.0
 

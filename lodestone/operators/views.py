@@ -18,8 +18,8 @@ def validated(interactions: DataFrame, least: float = 0.3) -> DataFrame:
 def active(interactions: DataFrame, as_of: Column, days: int = 30, least: float = 0.5) -> DataFrame:
     """Validated, heavy and lately accessed rows, with days since access and accesses a day."""
     told = interactions.where(F.col("is_validated") & (F.col("weight") > least) & (F.col("last_accessed") > as_of - F.expr(f"interval {days} days")))
-    age = F.greatest(F.lit(1), W.days_between(F.col("created_at"), as_of))
-    return told.withColumns({"days_since_access": W.days_between(F.col("last_accessed"), as_of), "access_rate": F.col("access_count") / age})
+    age = F.greatest(F.lit(1), W.whole_days(F.col("created_at"), as_of))
+    return told.withColumns({"days_since_access": W.whole_days(F.col("last_accessed"), as_of), "access_rate": F.col("access_count") / age})
 
 
 def session_stats(interactions: DataFrame) -> DataFrame:

@@ -256,7 +256,7 @@ def stale(spark, folder):
     from lodestone.functions import numbers as W
 
     old = interactions(spark, folder).where(F.col("last_accessed") < as_of() - F.expr("interval 2 days"))
-    return old.select("interaction_id", W.days_between(F.col("last_accessed"), as_of()).cast("long").alias("days"))
+    return old.select("interaction_id", W.whole_days(F.col("last_accessed"), as_of()).cast("long").alias("days"))
 
 
 @query("m05_quarantine", f"WITH {LOG} SELECT doc_id, score, CASE WHEN critical > 0 THEN 'critical' ELSE 'low_score' END AS reason, validated_at + INTERVAL 30 DAYS AS expires_at FROM log WHERE score < 0.8")
