@@ -40,7 +40,7 @@ def with_decay(interactions: DataFrame, config: DataFrame, as_of: Column) -> Dat
     row a type."""
     joined = interactions.join(F.broadcast(config), "interaction_type", "left")
     rate, least, after = F.coalesce("rate", F.lit(0.0001)), F.coalesce("least", F.lit(0.01)), F.coalesce("faster_after", F.lit(30))
-    days = W.days_between(F.col("last_accessed"), as_of)
+    days = W.whole_days(F.col("last_accessed"), as_of)
     return joined.withColumns({"days": days, "new_weight": W.decayed(F.col("weight"), days, F.col("access_count"), rate, least, after), "least": least, "preserve": F.coalesce("preserve", F.lit(0.85))}).drop("rate", "factor", "faster_after")
 
 
