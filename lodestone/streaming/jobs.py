@@ -6,6 +6,8 @@ Every function takes a streaming DataFrame and returns one; drained() runs such
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -200,7 +202,7 @@ def smoothed_threshold(stream: DataFrame, k: int = 5, least: float = 1.0) -> Dat
         pdf = in_order(frames, ["event_id", "ts", "value"])
         for e, v in pdf[["event_id", "value"]].itertuples(index=False):
             last = [*last, float(v)][-k:]
-            mean = sum(last) / len(last)
+            mean = reduce(add, last) / len(last)  # as a window's mean adds; sum() would compensate, and so tell ties apart otherwise
             if told is None or abs(mean - told) > least:
                 told = mean
                 rows.append((key[0], e, mean))
