@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType
 
 PLACEHOLDER = r"<[a-zA-Z][a-zA-Z0-9_]*>"
 
@@ -24,12 +28,51 @@ def trigram_similarity(left: Column, right: Column) -> Column:
 
 
 def entropy(text: Column) -> Column:
-    """Shannon entropy in bits per character; 0 for the empty text. A sum over sorted distinct characters, so it has
-    one order."""
-    chars = F.filter(F.split(text, ""), lambda c: c != "")
-    n = F.length(text)
-    share = F.transform(F.array_sort(F.array_distinct(chars)), lambda c: (n - F.length(F.replace(text, c, F.lit("")))) / n)
-    return F.when(n > 0, F.aggregate(share, F.lit(0.0), lambda a, p: a - p * F.log2(p))).otherwise(F.lit(0.0))
+    """Shannon entropy in bits per character; 0 for the empty text and null. Characters are counted in one pass over a text
+    as an array, in the order of their numbers."""
+    return _entropy(text)
+
+
+def may_repeat(text: Column) -> Column:
+    """Whether some line holds twenty characters at four places or more: without that, no stretch of twenty or more follows
+    itself three times. One sort of a line, where a pattern tries every start with every length."""
+    return _may_repeat(text)
+
+
+def _numbers(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _bits(text: str | None) -> float:
+    if not text:
+        return 0.0
+    x = np.frombuffer(text.encode(), np.uint8) if text.isascii() else _numbers(text)
+    n = np.bincount(x) if text.isascii() else np.unique(x, return_counts=True)[1]
+    share = n[n > 0] / len(x)
+    return float(0.0 - (share * np.log2(share)).sum())
+
+
+def _repeats(text: str | None, size: int = 20, times: int = 4) -> bool:
+    for line in re.split("[\n\r\x85\u2028\u2029]", text or ""):
+        if len(line) >= size * times:
+            x = _numbers(line).astype(np.uint64)
+            grams = np.zeros(len(x) - size + 1, np.uint64)
+            for k in range(size):
+                grams = grams * np.uint64(0x9E3779B97F4A7C15) + x[k : k + len(grams)]
+            grams.sort()
+            if (grams[times - 1 :] == grams[: len(grams) - times + 1]).any():
+                return True
+    return False
+
+
+@F.pandas_udf(DoubleType())
+def _entropy(texts: pd.Series) -> pd.Series:
+    return texts.map(_bits).astype(float)
+
+
+@F.pandas_udf(BooleanType())
+def _may_repeat(texts: pd.Series) -> pd.Series:
+    return texts.map(_repeats).astype(bool)
 
 
 def placeholder_count(text: Column) -> Column:
