@@ -149,12 +149,9 @@ def clustering_quality(spark, folder):
 def vector_top_k(spark, folder):
     """The five nearest of the same label for every 50th vector."""
     v = M.vectors(spark, folder)
-    asked = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("source_id"), "label", F.col("prompt_vector").alias("q"))
-    from pyspark.sql import Window
-
-    both = v.join(asked, "label").where("vec_id <> source_id").withColumn("score", W.cosine(F.col("q"), F.col("prompt_vector")))
-    place = F.row_number().over(Window.partitionBy("source_id").orderBy(F.desc("score"), "vec_id"))
-    return both.withColumn("r", place).where("r <= 5").select("source_id", "vec_id", F.round("score", 8).alias("score"))
+    asked = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("source_id"), "label", F.col("prompt_vector").alias("vector"))
+    found = NB.compared(v, asked, {"prompt_vector": None}, -2.0, 5, group="label")
+    return found.select("source_id", "vec_id", F.round("score", 8).alias("score"))
 
 
 @query("v04_json_paths", "SELECT event_id, json_valid(props) AS valid, length(json_extract_string(props, '$.k'))::BIGINT AS page_length FROM events")
