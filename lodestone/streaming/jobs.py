@@ -16,6 +16,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from lodestone.functions import text as X
+from lodestone.functions.rows import once
+from lodestone.operators import detect as D
 from lodestone.operators import validate as V
 from lodestone.sources.scratch import scratch
 
@@ -46,8 +48,9 @@ def drained(stream: DataFrame, mode: str = "append", keys: list[str] | None = No
 
 def scored(stream: DataFrame) -> DataFrame:
     """Adds the score and the number of references to each content as it comes."""
-    q = V.abstraction_quality(F.col("text"))
-    return stream.withColumn("q", q).withColumns({"score": F.col("q.score"), "refs": F.col("q.violation_count")}).drop("q")
+    told = once(stream, __found=D.violations(F.col("text")), __held=X.placeholder_count(F.col("text")))
+    told = once(told, refs=F.size("__found"))
+    return told.withColumn("score", V.score_of(F.length("text"), F.col("__held"), F.col("refs"))).select(*stream.columns, "score", "refs")
 
 
 def write_scores(batch: DataFrame, folder: str, number: int) -> None:
