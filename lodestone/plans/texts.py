@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as X
+from lodestone.functions.rows import once
 from lodestone.operators import code as N
 from lodestone.operators import detect as D
 from lodestone.operators import intent as I
@@ -28,7 +29,7 @@ SCORED = f"""marked AS (SELECT doc_id, text, lang, source, n_chars, {REFS} AS re
 def scored(spark: SparkSession, folder: str) -> DataFrame:
     """documents with references, critical ones, placeholders and the abstraction score. References are found once, as a
     column of their own."""
-    docs = read(spark, folder, "documents").withColumns({"found": D.violations(F.col("text")), "held": X.placeholder_count(F.col("text"))})
+    docs = once(read(spark, folder, "documents"), found=D.violations(F.col("text")), held=X.placeholder_count(F.col("text")))
     counted = docs.withColumns({"refs": F.size("found"), "critical": F.size(F.filter("found", lambda v: v["severity"] == "critical"))})
     score = V.score_of(F.length("text"), F.col("held"), F.col("refs"))
     return counted.select("doc_id", "text", "lang", "source", "n_chars", "refs", "critical", "held", score.alias("score")).withColumn("meets_minimum", F.col("score") >= 0.8)
@@ -143,9 +144,8 @@ def _suggested(content_type: str) -> str:
 
 @query("d09_suggestions", " UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind, sha256({_suggested(k)}) AS hash FROM documents" for k in D.TYPED))
 def suggestions(spark, folder):
-    d = documents(spark, folder)
-    each = [d.select("doc_id", F.lit(k).alias("kind"), X.sha256(D.suggestion(F.col("text"), k, TEMPLATES)).alias("hash")) for k in D.TYPED]
-    return reduce(lambda a, b: a.unionByName(b), each)
+    each = [F.struct(F.lit(k).alias("kind"), X.sha256(D.suggestion(F.col("text"), k, TEMPLATES)).alias("hash")) for k in D.TYPED]
+    return documents(spark, folder).select("doc_id", F.inline(F.array(*each)))
 
 
 _SHAPES = " UNION ALL ".join(f"SELECT doc_id, text, '{k}' AS type FROM documents WHERE {like('text', p)}" for k, _, _, p in D.CONCRETE)
@@ -255,7 +255,8 @@ _NUMBERED = f"v AS (SELECT doc_id, kind, value, row_number() OVER (PARTITION BY
 def overall_quality(spark, folder):
     """Quality of each document once abstracted: density, consistency, completeness, meaning kept, safety."""
     t = F.col("a")
-    told = scored(spark, folder).withColumn("pairs", D.mapping(F.col("text"))).withColumn("a", D.apply(F.col("text"), F.col("pairs")))
+    told = once(scored(spark, folder), pairs=D.mapping(F.col("text")))
+    told = once(told, a=D.apply(F.col("text"), F.col("pairs")))
     parts = {"density": F.when(V.density_valid(t), 1.0).otherwise(0.0), "consistent": V.consistency(t)["score"], "complete": V.completeness(t, F.col("pairs"))["score"], "semantic": (D.restored(t, F.col("pairs")) == F.col("text")).cast("double")}
     out = told.select("doc_id", "score", *[v.alias(k) for k, v in parts.items()])
     return out.withColumn("overall", F.round(V.overall_quality(*[F.col(k) for k in parts], F.col("score")), 6))
