@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -203,16 +204,20 @@ def resolved(found: DataFrame, strategy: str) -> DataFrame:
 
 
 def features(texts: DataFrame, size: int = 64) -> DataFrame:
-    """Adds a vector of hashed word counts of length 1; equal texts are computed once."""
-    hashed = texts.withColumn("content", F.sha2("text", 256))
-    once = hashed.dropDuplicates(["content"]).select("content", "text")
+    """Adds a vector of hashed word counts of length 1, null for texts without words. Words are hashed and counted row by
+    row: neither words nor texts are shuffled."""
+
+    @F.pandas_udf("array<double>")
+    def unit_counts(slots: pd.Series) -> pd.Series:
+        return slots.map(lambda s: None if s is None or not len(s) else _unit_counts(s, size))
+
     words = F.filter(F.split(F.lower("text"), r"[^a-z0-9]+"), lambda w: w != "")
-    slots = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(size)))
-    each = once.select("content", F.explode(slots).alias("slot")).groupBy("content", "slot").agg(F.count("*").alias("n"))
-    maps = each.groupBy("content").agg(F.map_from_entries(F.collect_list(F.struct("slot", F.col("n").cast("double")))).alias("m"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.try_element_at("m", i.cast("long")), F.lit(0.0)))
-    vectors = maps.select("content", W.normalised(dense).alias("vector"))
-    return hashed.join(vectors, "content", "left").drop("content")
+    return texts.withColumn("vector", unit_counts(F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(size)).cast("int"))))
+
+
+def _unit_counts(slots: np.ndarray, size: int) -> np.ndarray:
+    n = np.bincount(slots, minlength=size).astype(float)
+    return n / np.sqrt((n * n).sum())
 
 
 def joined_or_new(vectors: DataFrame, centres: DataFrame, least: float = 0.8) -> DataFrame:

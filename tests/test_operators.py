@@ -281,3 +281,15 @@ def test_suggestions_by_type_and_template(spark):
     assert told("url")[2] == "<protocol>://<domain>/x?key=<key_value>&b=2"
     assert told("general")[3:] == ["mail <email_address> <secret_token>", None]
     assert told("general", [(1, "two", "three"), (9, "ann", "two")])[0] == "at /home/three/x.py and 10.0.0.1"
+
+
+def test_features_count_words_row_by_row(spark):
+    """c12: no word or text is shuffled; equal texts have equal vectors, texts without words none."""
+    rows = [(1, "One two, ONE!"), (2, "one one two"), (3, " ., "), (4, None), (5, "")]
+    told = O.features(spark.createDataFrame(rows, "id long, text string"))
+    text = told._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in text and "Aggregate" not in text and "Generate" not in text
+    v = {r["id"]: r["vector"] for r in told.collect()}
+    slot = {w: spark.range(1).select(F.pmod(F.xxhash64(F.lit(w)), F.lit(64)).alias("s")).first()["s"] for w in ("one", "two")}
+    assert v[1] == v[2] and len(v[1]) == 64 and v[3] is v[4] is v[5] is None
+    assert v[1][slot["one"]] == pytest.approx(2 / math.sqrt(5)) and v[1][slot["two"]] == pytest.approx(1 / math.sqrt(5))
