@@ -2,8 +2,10 @@
 
 import math
 import os
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -168,3 +170,19 @@ def test_stated_queries_in_parts(spark):
         near = N.nearest_centres(df, centres, 2, most=most).collect()
         assert len(near) == 160 and {a.vec_id: a.cluster for a in near if a["rank"] == 1} == dict(enumerate((p @ r[:9].T).argmax(1).tolist()))
     assert N.compared(df, asked.where("source_id < 0"), {"prompt_vector": None}, 0.1).count() == 0
+
+
+def test_scores_are_held_in_blocks():
+    """i05: a task's memory doesn't grow with the queries, and blocks of these find what one product finds."""
+    r = np.random.default_rng(5)
+    q, x = (N._unit(r.standard_normal((n, 8))) for n in (20_000, 1100))
+    batch = pa.record_batch([pa.array(np.arange(len(x))), pa.array(x.tolist()), pa.array((-x).tolist())], names=["vec_id", "a", "b"])
+    tracemalloc.start()
+    parts = list(N._matches(batch, np.arange(len(q)), q, None, [0.3, 0.7], 0.39, None))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150_000_000
+    score = -0.4 * q @ x.T
+    score[np.arange(len(x)), np.arange(len(x))] = -1
+    assert {(i, j) for p in parts for i, j in zip(p["source_id"].to_pylist(), p["vec_id"].to_pylist())} == set(zip(*(c.tolist() for c in np.nonzero(score >= 0.39))))
+    assert max(p.num_rows for p in N._matches(batch, np.arange(len(q)), q, None, [None], -2.0, 3)) == 3 * N.CELLS // 1024
