@@ -39,13 +39,29 @@ PATTERNS = (
     ("secret", "token", 0.8, r"(?i)(?:secret|password|token)\s*[=:]\s*[\"']?([^\s\"']{8,})[\"']?"),
     ("email", "user_data", 1.0, r"\b[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}\b"),
 )
+#: Of patterns by name, texts one of which a text must hold for the pattern to match at all; finding these is far cheaper.
+NEEDED = {
+    "unix_absolute": "/", "windows_absolute": (":\\",), "home_directory": "~", "relative_explicit": ("./", ".\\"), "numeric_id_assignment": "=:", "uuid": "-",
+    "numeric_id_patterns": ("_id",), "db_primary_key": "=", "http_url": ("://",), "database_url": ("://",), "file_url": ("://",), "ipv4": ".", "ipv6": ":", "localhost_port": ":",
+    "container_name": ("container_name", "--name"), "image_tag": ":", "environment": "=", "config_value": "=:", "iso_time": "T", "unix_time": "=:", "api_key": "=:", "jwt": ("eyJ",),
+    "secret": "=:", "email": "@",
+}
+#: The same as patterns, which start with what is rare.
+HINTS = {"ipv4": r"\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]", "ipv6": r":[0-9a-fA-F]{1,4}:[0-9a-fA-F]", "image_tag": r":[a-zA-Z0-9_\-.]", "iso_time": r"T\d{2}:"}
 SCHEMA = "array<struct<type:string,value:string,start:int,stop:int,context:string,confidence:double,rule:string>>"
 AROUND = 50
 
 
 @lru_cache(maxsize=8)
 def compiled(patterns: tuple) -> list:
-    return [(name, kind, confidence, re.compile(p)) for name, kind, confidence, p in patterns]
+    """(name, type, confidence, pattern, what is needed, hint); only the given patterns have the last two."""
+    own = set(PATTERNS)
+    return [(*row[:3], re.compile(row[3]), NEEDED.get(row[0], "") if row in own else "", re.compile(HINTS.get(row[0], "") if row in own else "")) for row in patterns]
+
+
+def may_match(text: str, needed, hint: re.Pattern) -> bool:
+    """Whether a text holds what a pattern needs, by cheap tests; nothing needed holds for every text."""
+    return (not needed or any(n in text for n in needed)) and hint.search(text) is not None
 
 
 def checked(name: str, kind: str, pattern: str, confidence: float = 0.8) -> tuple:
@@ -63,9 +79,9 @@ def extracted(text: Column, patterns: tuple = PATTERNS) -> Column:
     def find(texts: pd.Series) -> pd.Series:
         rules, out = compiled(patterns), []
         for t in texts:
-            found = []
-            for name, kind, confidence, p in rules:
-                for m in p.finditer(t or ""):
+            t, found = t or "", []
+            for name, kind, confidence, p, needed, hint in rules:
+                for m in p.finditer(t) if may_match(t, needed, hint) else ():
                     a, b = m.span()
                     found.append({"type": kind, "value": m.group(1) if m.groups() else m.group(0), "start": a, "stop": b, "context": t[max(0, a - AROUND) : b + AROUND], "confidence": confidence, "rule": name})
             out.append(sorted(found, key=lambda r: (r["start"], -r["confidence"], r["rule"])))

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.operators import detect as D
+from lodestone.operators import spans as P
 from lodestone.operators import validate as V
 from lodestone.plans import registry
 from lodestone.streaming import jobs as S
@@ -81,3 +82,20 @@ def test_member_texts_move_lengths(spark):
     """j20: texts are abstracted below the join, whose rows are numbers."""
     lines = plan(registry.QUERIES["j20_member_texts"](spark, FOLDER)).splitlines()
     assert min(i for i, x in enumerate(lines) if "Join" in x) < min(i for i, x in enumerate(lines) if "inline" in x)
+
+
+def test_spans_need_what_they_are_said_to_need():
+    """d02: no text is passed over that a pattern matches, and few patterns are tried on plain prose."""
+    r = random.Random(4)
+    more = ["host = db1", "order_id='12'", "where ID = 4", "file:///x/y", "~/x", "./a", "2024-01-02T03:04:05Z", "1:2:3:4:5:6:7:8", "--name=web", "eyJa.eyJb.c", "img/x:latest", "API_KEY=" + "a" * 20, "password: hunter222", "localhost:80", "a" * 12, "12345678-1234-1234-1234-123456789abc", "D:\\dir\\f", "expires=1234567890", "redis://h", "255.1.0.9"]
+    texts = ["".join(r.choices([*PIECES, *more], k=r.randint(1, 6))) for _ in range(4000)]
+    hits = {row[0]: 0 for row in P.PATTERNS}
+    for name, _, _, p, needed, hint in P.compiled(P.PATTERNS):
+        for t in texts:
+            if p.search(t):
+                hits[name] += 1
+                assert P.may_match(t, needed, hint), (name, t)
+    assert min(hits.values()) > 0, hits
+    prose = "Plain words, as they come: some are long. Others aren't; 3.5 of them count.\n"
+    assert sum(P.may_match(prose, *row[4:]) for row in P.compiled(P.PATTERNS)) < 10
+    assert P.may_match("x", *P.compiled((("ipv4", "mine", 0.5, "x"),))[0][4:])
