@@ -21,8 +21,8 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def normalised(a: Column) -> Column:
-    n = norm(a)
-    return F.transform(a, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(x.cast("double")))
+    """Unit length; zeros stay. The norm is an array of one, as a plain one would be worked out again for every component."""
+    return F.transform(F.array(norm(a)), lambda n: F.transform(a, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(x.cast("double"))))[0]
 
 
 def combined(prompt: Column, response: Column, share: float = 0.4) -> Column:

@@ -16,6 +16,7 @@ from lodestone.operators import validate as V
 from lodestone.operators import views as VW
 from lodestone.sources import model as M
 from lodestone.sources.model import as_of, read, sql
+from lodestone.sources.scratch import dropped, kept
 from lodestone.streaming import jobs as S
 
 from . import texts
@@ -122,11 +123,13 @@ def bisecting_clusters(spark, folder):
 @query("c09_inverted_lists")
 def inverted_lists(spark, folder):
     """An index of most vectors, the rest appended, asked for every 50th vector with as many probes as its recall needs."""
-    v, path = M.vectors(spark, folder), S.scratch(spark, "lists")
+    v, path = kept(M.vectors(spark, folder).select("vec_id", "prompt_vector")), S.scratch(spark, "lists")
     NB.build_index(v.where("vec_id % 9 <> 0"), path)
     NB.append_vectors(v.where("vec_id % 9 = 0"), path)
     asked = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("source_id"), F.col("prompt_vector").alias("vector"))
-    return NB.nearest_in_lists(spark, path, asked, NB.fitted_probes(spark, path)).withColumn("score", F.round("score", 8))
+    found = NB.nearest_in_lists(spark, path, asked, NB.fitted_probes(spark, path)).withColumn("score", F.round("score", 8))
+    dropped(v)  # the search has its queries, and reads the index
+    return found
 
 
 @query("c11_members", sql("SELECT label, max(vec_id) AS newest, count(*) AS n FROM vectors WHERE vec_id % 9 <> 0 GROUP BY label", "vectors"))
