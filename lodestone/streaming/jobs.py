@@ -5,10 +5,12 @@ Every function takes a streaming DataFrame and returns one; drained() runs such
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from collections.abc import Iterator
 from functools import reduce
 from operator import add
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -155,6 +157,11 @@ def in_order(frames: Iterator[pd.DataFrame], columns: list[str]) -> pd.DataFrame
     return whole.sort_values(["ts", "event_id"], ignore_index=True)
 
 
+def seconds(ts: pd.Series) -> np.ndarray:
+    """Each time as Timestamp.timestamp() tells it, to the microsecond."""
+    return np.where(ts.isna(), np.nan, ts.to_numpy().astype("datetime64[us]").astype(np.int64) / 1e6)
+
+
 ADMITTED = "event_id long, user_id long, admitted boolean"
 
 
@@ -237,10 +244,11 @@ def scan_queue(stream: DataFrame, most: int = 3) -> DataFrame:
 
 
 class Shard:
-    """One shard of a cache: entries (key, put at) from the one used longest ago to the last one used."""
+    """One shard of a cache: entries (key, put at) from the one used longest ago to the last one used. A request takes the
+    same few steps however many entries there are."""
 
     def __init__(self, size: int, ttl: float, entries: list[tuple[str, float]] = ()):
-        self.size, self.ttl, self.entries = size, ttl, dict(entries)
+        self.size, self.ttl, self.entries = size, ttl, OrderedDict(entries)
 
     def ask(self, key: str, seconds: float) -> tuple[str, int]:
         """What a request finds (hit, miss or expired; the last two put the key in anew) and how many keys it evicts."""
@@ -248,8 +256,8 @@ class Shard:
         found = "miss" if put is None else "expired" if seconds > put + self.ttl else "hit"
         self.entries[key] = put if found == "hit" else seconds
         evicted = max(0, len(self.entries) - self.size)
-        for old in list(self.entries)[:evicted]:
-            del self.entries[old]
+        for _ in range(evicted):
+            self.entries.popitem(last=False)
         return found, evicted
 
 
@@ -268,12 +276,13 @@ def cache_requests(stream: DataFrame, ttl_seconds: float, capacity: int, shards:
             return
         shard = Shard(size, ttl_seconds, list(zip(*state.get)) if state.exists else [])
         pdf = in_order(frames, ["event_id", "key", "ts"])
-        found = [shard.ask(k, t.timestamp()) for k, t in zip(pdf["key"], pdf["ts"])]
+        found = [shard.ask(k, t) for k, t in zip(pdf["key"].tolist(), seconds(pdf["ts"]).tolist())]
         state.update((list(shard.entries), list(shard.entries.values())))
         until_idle(state, pdf)
         yield pd.DataFrame({"event_id": pdf["event_id"], "key": pdf["key"], "found": [x for x, _ in found], "evicted": [n for _, n in found]})
 
     told = stream.where("key is not null").withWatermark("ts", LATE).withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
+    told = told.select("shard", "event_id", "key", "ts")  # other columns would be shuffled and go to Python as well
     return told.groupBy("shard").applyInPandasWithState(step, "event_id long, key string, found string, evicted int", "keys array<string>, put array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 

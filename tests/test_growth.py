@@ -1,11 +1,15 @@
 """What keeps work from growing faster than its rows: bounds of what tasks give and of what a step does."""
 
+from collections import OrderedDict
+
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions import numbers as W
 from lodestone.operators import neighbours as N
+from lodestone.streaming import jobs as S
 
 
 @pytest.mark.parametrize("cells", [50, 1 << 20])
@@ -61,3 +65,27 @@ def test_norm_is_worked_out_once_a_vector(spark):
     told = rows.select("i", W.normalised(F.col("v")).alias("u"))
     assert told._jdf.queryExecution().analyzed().toString().count("aggregate(") == 1
     assert [r["u"] for r in told.orderBy("i").collect()] == [[0.6, 0.8], [0.0, 0.0], None, [], [1.0, None]]
+
+
+class Watched(OrderedDict):
+    """Entries of a shard that may not be gone through."""
+
+    def __iter__(self):
+        raise AssertionError("goes through all entries for one request")
+
+
+def test_a_request_does_not_go_through_the_cache():
+    shard = S.Shard(3, 10.0, [("a", 0.0), ("b", 1.0)])
+    shard.entries = Watched(zip("ab", (0.0, 1.0)))
+    asked = [("a", 5.0), ("c", 6.0), ("d", 7.0), ("b", 8.0), ("c", 9.0), ("a", 20.0), ("d", 21.0), ("c", 21.0)]
+    assert [shard.ask(*x) for x in asked] == [("hit", 0), ("miss", 0), ("miss", 1), ("miss", 1), ("hit", 0), ("miss", 1), ("miss", 1), ("expired", 0)]
+    smaller = S.Shard(1, 10.0, [("a", 0.0), ("b", 1.0), ("c", 2.0)])  # state of a cache that was larger
+    assert smaller.ask("b", 3.0) == ("hit", 2) and list(smaller.entries.items()) == [("b", 1.0)]
+
+
+def test_seconds_are_those_of_timestamps():
+    rng = np.random.default_rng(7)
+    for unit in ("us", "ns"):
+        ts = pd.Series(pd.to_datetime(rng.integers(-(10**15), 3 * 10**15, 20_000), unit="us")).astype(f"datetime64[{unit}]")
+        assert S.seconds(ts).tolist() == [t.timestamp() for t in ts]
+    assert np.isnan(S.seconds(pd.Series([pd.NaT, pd.Timestamp(0)]))).tolist() == [True, False]
