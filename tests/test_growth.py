@@ -1,5 +1,6 @@
 """What keeps work from growing faster than its rows: bounds of what tasks give and of what a step does."""
 
+import time
 from collections import OrderedDict
 
 import numpy as np
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import numbers as W
 from lodestone.operators import neighbours as N
+from lodestone.operators import trigrams as TG
 from lodestone.streaming import jobs as S
 
 
@@ -89,3 +91,63 @@ def test_seconds_are_those_of_timestamps():
         ts = pd.Series(pd.to_datetime(rng.integers(-(10**15), 3 * 10**15, 20_000), unit="us")).astype(f"datetime64[{unit}]")
         assert S.seconds(ts).tolist() == [t.timestamp() for t in ts]
     assert np.isnan(S.seconds(pd.Series([pd.NaT, pd.Timestamp(0)]))).tolist() == [True, False]
+
+
+def _kinds_of_sets(rng, many):
+    """Sets of few kinds, with own items and common ones, of 1 to 90 items and some nearly equal."""
+    words = [rng.permutation(300)[:120] for _ in range(3)]
+    sets = [rng.permutation(np.concatenate([words[k % 3], rng.integers(300, TG.KINDS, 6)]))[: int(rng.integers(1, 90))] for k in range(many)]
+    sets += [np.concatenate([s[: max(1, len(s) - 1)], rng.integers(0, 400, 1)]) for s in sets[::2]]
+    return sorted((np.unique(s) for s in sets), key=len)
+
+
+def _row(sets, s, first):
+    parts = {"ids": np.arange(first, first + len(sets)), "ns": np.array([len(x) for x in sets], np.int32), "xs": np.concatenate(sets).astype(np.uint16)}
+    return {k + s: v.tobytes() for k, v in parts.items()}
+
+
+@pytest.mark.parametrize(("share", "dense", "stripe", "least"), [(0.001, 4096, 512, 0.8), (0.05, 9, 16, 0.5), (2.0, 9, 50, 0.8), (0.0, 9999, 33, 0.3)])
+def test_alike_blocks_equal_counting_all(monkeypatch, share, dense, stripe, least):
+    """Whatever part of the items goes to the matrix product, and where sets of the other side are too small or large."""
+    for name, value in (("SHARE", share), ("DENSE", dense), ("STRIPE", stripe)):
+        monkeypatch.setattr(TG, name, value)
+    rng = np.random.default_rng(9)
+    a, b = _kinds_of_sets(rng, 90), _kinds_of_sets(rng, 40) + [np.arange(200)]
+    b += [x for x in a[::5]]
+    b.sort(key=len)
+    x = TG._Side(_row(a, "", 0), "", len(b[0]), len(b[-1]), least)
+    y = TG._Side(_row(b, "_2", 1000), "_2", len(a[0]), len(a[-1]), least)
+    got = {(int(x.ids[i]), int(y.ids[j])): s for p, q, t in TG._alike(x, y, least) for i, j, s in zip(p, q, t)}
+    own = [set(v.tolist()) for v in a], [set(v.tolist()) for v in b]
+    want = {(i, 1000 + j): len(v & w) / len(v | w) for i, v in enumerate(own[0]) for j, w in enumerate(own[1]) if len(v & w) / len(v | w) > least}
+    assert got == want and len(want) > 30
+
+
+def test_blocks_of_like_texts_are_bounded(spark, monkeypatch):
+    """By sets and by items; a pair of blocks is compared as a whole, not a set at a time."""
+    monkeypatch.setattr(TG, "SETS", 7)
+    monkeypatch.setattr(TG, "ITEMS", 60)
+    rng = np.random.default_rng(2)
+    words = ["".join(w) for w in rng.choice(list("abcde"), (40, 4))]
+    texts = [" ".join(rng.choice(words, rng.integers(1, 9))) for _ in range(60)]
+    texts += [t + " x" for t in texts[:30]] + ["".join(rng.choice(list("abcdefghijkl"), 200))]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    sets = [set(TG.codes(t).tolist()) for t in texts]
+    blocks = TG._packed(TG._sets(df)).collect()
+    sizes = [np.frombuffer(r["ns"], np.int32) for r in blocks]
+    assert sum(map(len, sizes)) == len(texts) and all(len(n) <= 7 and (n.sum() <= 60 or len(n) == 1) and (np.diff(n) >= 0).all() for n in sizes)
+    assert [(r["lo"], r["hi"]) for r in blocks] == [(n[0], n[-1]) for n in sizes]
+    want = {(i, j): len(v & w) / len(v | w) for i, v in enumerate(sets) for j, w in enumerate(sets) if j % 4 == 0 and len(v & w) / len(v | w) > 0.8}
+    assert {(r["a"], r["b"]): r["score"] for r in TG.similar_texts(df, df.where("id % 4 = 0"), 0.8).collect()} == want
+    assert TG.similar_texts(df.where("id < 0"), df, 0.8).count() == TG.similar_texts(df, df.where("text is null"), 0.8).count() == 0
+
+
+def test_a_pair_of_whole_blocks_takes_no_step_per_pair():
+    """Four million pairs of sets of 400 items."""
+    rng = np.random.default_rng(1)
+    a, b = ([np.flatnonzero(rng.random(1500) < 0.27) for _ in range(TG.SETS)] for _ in range(2))
+    a, b = sorted(a, key=len), sorted(b, key=len)
+    began = time.process_time()
+    x = TG._Side(_row(a, "", 0), "", len(b[0]), len(b[-1]), 0.8)
+    y = TG._Side(_row(b, "_2", 0), "_2", len(a[0]), len(a[-1]), 0.8)
+    assert not sum(len(i) for i, _, _ in TG._alike(x, y, 0.8)) and time.process_time() - began < 10
