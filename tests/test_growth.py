@@ -151,3 +151,58 @@ def test_a_pair_of_whole_blocks_takes_no_step_per_pair():
     x = TG._Side(_row(a, "", 0), "", len(b[0]), len(b[-1]), 0.8)
     y = TG._Side(_row(b, "_2", 0), "_2", len(a[0]), len(a[-1]), 0.8)
     assert not sum(len(i) for i, _, _ in TG._alike(x, y, 0.8)) and time.process_time() - began < 10
+
+
+@pytest.mark.parametrize("stripe", [7, 256])
+def test_nearest_of_blocks_equals_all_in_double(monkeypatch, stripe):
+    """Ties, copies, rows nearer to each other than single precision tells apart, and a row that meets itself."""
+    monkeypatch.setattr(N, "STRIPE", stripe)
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((600, 16))
+    x[100:180] = x[100] + 1e-6 * rng.standard_normal((80, 16))  # a few as good as equal
+    x[200:400] = x[200] + 1e-8 * rng.standard_normal((200, 16))  # many
+    x[400:420], x[420:440] = x[0:20], np.sign(x[420:440])  # copies, and equal means of others
+    x = N._unit(x) * rng.choice([1.0, 0.7], (600, 1))
+    ids = rng.permutation(5000)[:600]
+    for least in (0.3, 0.6):
+        found = N._Nearest(ids[:300], x[:300], least)
+        for part in np.array_split(rng.permutation(600), 4):
+            part = part[np.argsort(ids[part])]
+            found.add(ids[part], x[part])
+        got = {r["a"]: (r["b"], r["mean"]) for r in found.rows().to_pylist()}
+        # a product's last bit may depend on how it is summed, so means are compared to 1e-11, and ids where they are the first of all
+        mean = np.round(x[:300] @ x.T, 12)
+        mean[np.arange(300), np.arange(300)] = -np.inf
+        assert set(got) == {int(i) for i, m in zip(ids, mean) if m.max() >= least}
+        place = {int(i): k for k, i in enumerate(ids)}
+        for i, (a, m) in enumerate(zip(ids, mean)):
+            if int(a) in got:
+                b, top = got[int(a)]
+                assert abs(top - m.max()) < 1e-11 and abs(m[place[b]] - m.max()) < 1e-11
+                equal = ids[m >= m.max() - 2e-11]
+                assert len(equal) > 1 or b == equal[0]
+
+
+def test_nearest_takes_the_smallest_id_of_equal_ones():
+    x = np.eye(4)[[0, 0, 0, 1, 1, 2]]
+    found = N._Nearest(np.array([5, 9, 2, 7, 1, 4]), x, 0.5)
+    for part in ([4, 1], [2, 5, 0], [3]):  # by id
+        found.add(np.array([5, 9, 2, 7, 1, 4])[part], x[part])
+    assert found.rows().to_pylist() == [{"a": a, "b": b, "mean": 1.0} for a, b in ((5, 2), (9, 2), (2, 5), (7, 1), (1, 7))]
+
+
+def test_tasks_compare_a_block_with_many_others(spark, monkeypatch):
+    """So that a cluster's nearest leaves a task once, and not once for each of them."""
+    rng = np.random.default_rng(8)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.standard_normal((400, 4)))], "vec_id long, prompt_vector array<double>")
+    met, whole = [], N._met
+
+    def pairs(*args, **more):
+        out = whole(*args, **more)
+        met.append((args[0].count(), out.rdd.getNumPartitions()))
+        return out
+
+    monkeypatch.setattr(N, "_met", pairs)
+    N.mean_linkage(rows, 0.2, side=20).count()
+    blocks, tasks = met[0]
+    assert blocks == 20 and tasks == blocks * N.OTHERS  # not blocks times blocks
